@@ -1,4 +1,4 @@
-"""The queries of the library, by name, with their SQL."""
+"""The queries of the library by name, with their SQL."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from brindle.plans import graphs, metrics, texts
+from brindle.plans.metrics import flagship
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = metrics.QUERIES | texts.QUERIES | graphs.QUERIES
+ORACLES: dict[str, str] = metrics.ORACLES | texts.ORACLES | graphs.ORACLES
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+__all__ = ["ORACLES", "QUERIES", "flagship"]
