@@ -100,10 +100,11 @@ def layout(low: np.ndarray, high: np.ndarray, percent: int = PERCENT) -> tuple[n
     return m, np.where(small, m, m // 12 + 2)
 
 
-def key_rows(sets: list[np.ndarray], nodes: np.ndarray, below: bool, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, int]:
-    """(keys, node * 4 + flags, sets without a full allocation) for the sets' own bands, or as probes of the bands below.
+def key_rows(sets: list[np.ndarray], nodes: np.ndarray, below: bool, percent: int = PERCENT, wide: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, node * 4 + flags, nodes without a full allocation) for the sets' own bands, or as probes of the bands below.
 
-    Flags: 1 indexed, 2 probe."""
+    Flags: 1 indexed, 2 probe. wide: empty segments are indexed and probed everywhere, so that every set has a full allocation
+    (as many segments as are needed exist); else only where neighbourhoods are."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     edges = bands(int(sizes.max(initial=1)), percent)
     band = np.searchsorted(edges, sizes, side="right") - 1 - below
@@ -112,7 +113,7 @@ def key_rows(sets: list[np.ndarray], nodes: np.ndarray, below: bool, percent: in
         inside &= -(-sizes * percent // 100) < edges[np.maximum(band, 0) + 1]
     pick = np.flatnonzero(inside & (sizes > 0))
     if not len(pick):
-        return np.empty(0, np.uint64), np.empty(0, np.int64), 0
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     sizes, band, nodes = sizes[pick], band[pick], nodes[pick]
     tokens = np.concatenate([sets[i] for i in pick])
     m, d = layout(edges[band], edges[band + 1], percent)
@@ -143,9 +144,15 @@ def key_rows(sets: list[np.ndarray], nodes: np.ndarray, below: bool, percent: in
     void = near & ~full
     upto = np.cumsum(void) - np.concatenate([[0], np.cumsum(void)])[base][doc]
     used = void & (2 * (upto - 1) < short[doc])
-    left = int((short > 2 * np.bincount(doc[void], minlength=len(pick))).sum())
+    short = np.maximum(0, short - 2 * np.bincount(doc[void], minlength=len(pick)))
     probe |= used
     own = full | near
+    if wide:
+        far = ~own
+        upto = np.cumsum(far) - np.concatenate([[0], np.cumsum(far)])[base][doc]
+        probe |= far & (upto <= short[doc])
+        short = np.maximum(0, short - np.bincount(doc[far], minlength=len(pick)))
+        own = np.ones(total, dtype=bool)
     shown = probe if below else (own | probe)
     flags = (0 if below else own.astype(np.int64)) + 2 * probe
     keys, says = [mix(content + salt)[shown]], [(nodes[doc] * 4 + flags)[shown]]
@@ -153,7 +160,7 @@ def key_rows(sets: list[np.ndarray], nodes: np.ndarray, below: bool, percent: in
     gone = wider[slot] if below else near[slot]
     keys.append(mix(content[slot] - tokens + salt[slot])[gone])
     says.append((nodes[owner] * 4 + (0 if below else 1) + 2 * wider[slot])[gone])
-    return np.concatenate(keys), np.concatenate(says), left
+    return np.concatenate(keys), np.concatenate(says), nodes[short > 0]
 
 
 def described(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,8 +175,8 @@ def described(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_co
     return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, h long, n_shingles long, node long")
 
 
-def keyed(df: DataFrame, words: int = WORDS, percent: int = PERCENT, text_col: str = "text") -> DataFrame:
-    """key, said (node * 4 + flags) of every set: what is shuffled."""
+def keyed(df: DataFrame, words: int = WORDS, percent: int = PERCENT, text_col: str = "text", wide: bool = False) -> DataFrame:
+    """key, said (node * 4 + flags) of every set: what is shuffled. A null key marks a set without a full allocation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of this task: copies needn't be said again
@@ -182,9 +189,9 @@ def keyed(df: DataFrame, words: int = WORDS, percent: int = PERCENT, text_col: s
                 if not fresh:
                     continue
                 for below in (False, True):
-                    keys, says, left = key_rows([sets[i] for i in fresh], np.array([nodes[i] for i in fresh], dtype=np.int64), below, percent)
-                    if left:
-                        raise AssertionError(f"{left} sets have no full allocation")
+                    keys, says, left = key_rows([sets[i] for i in fresh], np.array([nodes[i] for i in fresh], dtype=np.int64), below, percent, wide)
+                    if len(left):
+                        yield pa.record_batch([pa.nulls(len(left), pa.int64()), pa.array(left * 4)], names=["key", "said"])
                     for k in range(0, len(keys), 200_000):
                         yield pa.record_batch([pa.array(keys[k : k + 200_000].view(np.int64)), pa.array(says[k : k + 200_000])], names=["key", "said"])
 
@@ -198,7 +205,7 @@ def grouped(rows: DataFrame) -> DataFrame:
     key = Window.partitionBy("key")
     node, probe = F.shiftrightunsigned("said", 2), F.col("said").bitwiseAND(2) != 0
     found = rows.select("key", "said").withColumns({"low": F.min(node).over(key), "high": F.max(node).over(key), "centre": F.min(F.when(probe, node)).over(key)})
-    found = found.where("low < high AND centre IS NOT NULL")
+    found = found.where("key IS NULL OR (low < high AND centre IS NOT NULL)")
     return found.select("key", F.shiftrightunsigned("said", 2).alias("node"), F.col("said").bitwiseAND(3).alias("flags"), "centre")
 
 
@@ -266,6 +273,8 @@ def join(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str
     similar pair lies within a component of them."""
     docs = written(described(df, words, id_col, text_col), "sets")
     groups = written(grouped(keyed(df, words, percent, text_col)), "groups")
+    if not groups.where("key IS NULL").isEmpty():  # so rare that all are indexed anew
+        groups = written(grouped(keyed(df, words, percent, text_col, wide=True)), "groups")
     star = written(ordered(F.col("centre"), F.col("node"), groups), "pairs")
     links = written(linked(star, docs, df, words, percent, id_col, text_col), "links")
     rooted = components(links)

@@ -84,16 +84,19 @@ class Index:
         sizes = np.array([len(d) for d in docs])
         wide = len(idf)
         owner = np.repeat(np.arange(len(docs), dtype=np.int64), sizes)
-        pair, tf = np.unique(np.concatenate(docs).astype(np.int64) * len(docs) + owner, return_counts=True)
-        self.term, self.doc = pair // len(docs), pair % len(docs)
-        self.weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.doc] / mean_length))
-        self.first = np.searchsorted(self.term, np.arange(wide + 1))
-        by_doc = np.lexsort((-self.weight, self.doc))
-        self.terms, self.of_doc = self.term[by_doc], np.searchsorted(self.doc[by_doc], np.arange(len(docs) + 1))
+        pair, tf = np.unique(owner * wide + np.concatenate(docs), return_counts=True)
+        doc, term = pair // wide, pair % wide
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean_length))
+        # by document for queries, by term for postings
+        self.of_doc, self.terms, self.weights = np.searchsorted(doc, np.arange(len(docs) + 1)), term, weight
+        by_term = np.argsort(term.astype(np.uint16 if wide <= 1 << 16 else np.int64), kind="stable")
+        self.doc, self.weight = doc[by_term], weight[by_term]
+        self.first = np.searchsorted(term[by_term], np.arange(wide + 1))
         self.n = len(docs)
 
     def scores(self, seed: int) -> np.ndarray:
-        terms = self.terms[self.of_doc[seed] : self.of_doc[seed + 1]][:QUERY_TERMS]
+        own = slice(self.of_doc[seed], self.of_doc[seed + 1])
+        terms = self.terms[own][np.argsort(-self.weights[own], kind="stable")[:QUERY_TERMS]]
         at = np.concatenate([np.arange(self.first[t], self.first[t + 1]) for t in terms])
         return np.bincount(self.doc[at], self.weight[at], minlength=self.n)
 

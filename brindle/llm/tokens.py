@@ -79,9 +79,14 @@ def library_memo(vocabulary: str) -> ChunkMemo:
     first = steps["pretokenizers"][0] if steps["type"] == "Sequence" else steps
     pattern = regex.compile(first["pattern"]["Regex"] if first["type"] == "Split" else BYTE_LEVEL_PATTERN)
     normalizer, tokenize = found.normalizer, found.model.tokenize
+    kinds = [n["type"] for n in json.loads(normalizer.__getstate__())["normalizers"]] if normalizer else []
+    # ASCII is in normal form C already, and white space is no part of a piece where the pattern has none
+    lower_only = kinds == ["NFC", "Replace", "Lowercase"]
 
     def pieces(text: str) -> list[str]:
-        return pattern.findall(normalizer.normalize_str(text) if normalizer else text)
+        if not normalizer:
+            return pattern.findall(text)
+        return pattern.findall(text.lower() if lower_only and text.isascii() else normalizer.normalize_str(text))
 
     def ids(piece: str) -> list[int]:
         return [t.id for t in tokenize(piece.encode().decode("latin-1").translate(BYTE_NAMES))]
