@@ -15,7 +15,7 @@ Pass = tuple[str, Callable[[DataFrame], DataFrame]]
 
 def body(text: Column) -> Column:
     """What is asserted: no assert, clock, disable clause, error tail or semicolon."""
-    t = F.regexp_replace(F.trim(text), r"(?s)\s*else\s+\$\w+\s*\(.*$|;\s*$", "")
+    t = F.regexp_replace(F.trim(F.regexp_replace(text, r"//[^\n]*", "")), r"(?s)\s*else\s+\$\w+\s*\(.*$|;\s*$", "")
     t = F.regexp_extract(t, r"(?s)^assert\s*(?:property\s*)?(.*)$", 1)
     t = strip_outer(t, 2)
     return strip_outer(F.regexp_replace(t, r"@\s*\([^)]*\)\s*|disable\s+iff\s*\((?:[^()]|\([^()]*\))*\)\s*", ""), 3)

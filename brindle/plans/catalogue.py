@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.plans import graphs, metrics, texts
+from brindle.plans import graphs, metrics, signals, texts
 from brindle.plans.metrics import flagship
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = metrics.QUERIES | texts.QUERIES | graphs.QUERIES
-ORACLES: dict[str, str] = metrics.ORACLES | texts.ORACLES | graphs.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = metrics.QUERIES | texts.QUERIES | graphs.QUERIES | signals.QUERIES
+ORACLES: dict[str, str] = metrics.ORACLES | texts.ORACLES | graphs.ORACLES | signals.ORACLES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -123,6 +123,7 @@ ORACLES = {
     "zero_one_path": f"""WITH RECURSIVE e AS MATERIALIZED ({_E}), p AS (SELECT s AS source, s AS node, 0::BIGINT AS delay, 0 AS k FROM (SELECT unnest([0, 1, 2])::BIGINT AS s) UNION SELECT p.source, e.b, p.delay + e.delay, k + 1 FROM p JOIN e ON e.a = p.node WHERE k < 4)
       SELECT source, node, min(delay)::BIGINT AS delay FROM p GROUP BY 1, 2""",
     "reach_three": f"""WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM ({_E}) WHERE delay = 0), p AS (SELECT s AS source, s AS node, 0 AS k FROM (SELECT unnest([0, 1, 2])::BIGINT AS s) UNION SELECT p.source, e.b, k + 1 FROM p JOIN e ON e.a = p.node WHERE k < 2) SELECT DISTINCT source, node FROM p""",
+    "closure": "SELECT p_partkey AS name FROM part WHERE p_partkey > 3 UNION SELECT unnest([1, 2, 3])::BIGINT",
     "hierarchy_depth": "SELECT 'r' || r_regionkey AS node, 1 AS depth FROM region WHERE FALSE UNION ALL SELECT 'root', 0 UNION ALL SELECT 'r' || r_regionkey, 1 FROM region UNION ALL SELECT DISTINCT 'n' || n_nationkey, 2 FROM nation UNION ALL SELECT 'c' || c_custkey, 3 FROM customer",
     "tree_lines": "SELECT 'root/' || r_name || '/' || n_name AS path, 2 AS depth, '    ' || n_name AS line FROM nation JOIN region ON n_regionkey = r_regionkey",
     "fanout": f"SELECT a, count(*) AS n FROM ({_E}) GROUP BY 1 ORDER BY n DESC, a LIMIT 25",

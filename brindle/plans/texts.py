@@ -278,6 +278,10 @@ ORACLES = {
       SELECT query, vec_id, label, place::INT AS place, filled FROM r WHERE place < 10""",
     "suffix_pairs": """WITH n AS (SELECT DISTINCT 'sig' || (p_partkey // 4) || CASE p_partkey % 3 WHEN 0 THEN '_valid' WHEN 1 THEN '_ready' ELSE '_vld' END AS n FROM part)
       SELECT a.n AS initiator, b.n AS responder FROM n a JOIN n b ON a.n LIKE '%\\_valid' ESCAPE '\\' AND b.n = left(a.n, length(a.n) - 6) || '_ready'""",
+    "glob_hints": """WITH k AS (SELECT DISTINCT unnest([p_brand, p_type]) AS key FROM part), g(grp, pos, re) AS (VALUES ('a', 0, '(?i)^.*small.*$'), ('a', 1, '(?i)^.*1.$'), ('b', 0, '(?i)^brand#3.*$')),
+      h AS (SELECT grp, key, min(pos)::INT AS pos FROM k JOIN g ON regexp_matches(key, re) GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY pos, key)::INT AS rn FROM h) WHERE rn <= 30""",
+    "identifier_counts": f"""WITH a AS ({ASSERTIONS}), c AS (SELECT pos, regexp_replace(regexp_replace(regexp_replace(assertion, '"[^"]*"|//.*', '', 'g'), '\\$\\w+', '', 'g'), '\\b\\d+\\b', '', 'g') AS s FROM a),
+      i AS (SELECT pos, unnest(list_distinct(regexp_extract_all(s, '\\b[A-Za-z_][A-Za-z0-9_]*\\b'))) AS name FROM c) SELECT name, count(*) AS n FROM i WHERE lower(name) NOT IN ({', '.join(f"'{k}'" for k in X.KEYWORDS)}) GROUP BY 1""",
     "template_cluster": "SELECT c_mktsegment AS kind, 'acct_* == seg[*]' AS template, count(*) AS n, min(c_custkey) AS first_pos, max(c_custkey) AS last_pos FROM customer GROUP BY 1",
     "slot_fit": "SELECT c_nationkey, count(*) AS n, (CASE c_nationkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 3 END)::INT AS shift, (CASE c_nationkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 8 WHEN 2 THEN 1 END)::INT AS mul, (CASE c_nationkey % 4 WHEN 0 THEN 5 WHEN 1 THEN -3 WHEN 2 THEN 1 END)::BIGINT AS add FROM customer GROUP BY 1",
     "value_cluster": "SELECT p_brand, constant, count(*) AS n, min(p_partkey) AS first_pos FROM (SELECT p_brand, p_partkey, CASE p_size % 5 WHEN 0 THEN '''0' WHEN 1 THEN '''1' WHEN 2 THEN '''1' WHEN 3 THEN '8''h' || (p_size % 10) END AS constant FROM part) WHERE constant IS NOT NULL GROUP BY 1, 2",
