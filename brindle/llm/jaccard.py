@@ -25,6 +25,7 @@ one array of shingles.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -53,24 +54,109 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=300_000)
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word)
+#: Bytes whose words are hashed at once, which bounds memory on long texts.
+CHUNK = 1 << 20
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
+SPACES = re.compile(rb"[\x20\x09-\x0D]")
+#: A random number for each byte at each of 64 places of a word; beyond them the numbers recur times an odd power.
+PLACES = np.random.default_rng(20).integers(0, 1 << 64, (64, 256), dtype=np.uint64).ravel()
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, byte offsets) of the words in data: the sum of their bytes' numbers, mixed with the length."""
+    codes = np.frombuffer(data, np.uint8)
+    inside = ~SPACE[codes]
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, sizes = edge[::2], edge[1::2] - edge[::2]
+    if not len(starts):
+        return np.empty(0, dtype=np.uint64), starts
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), sizes)
+    value = PLACES[((place & 63) << 8) + codes[inside]]
+    if sizes.max() > 64:
+        far = place > 63
+        odd = np.full(int(place.max() >> 6) + 1, GOLD, dtype=np.uint64)
+        odd[0] = 1
+        value[far] *= np.multiply.accumulate(odd)[place[far] >> 6]
+    return mix(np.add.reduceat(value, first) + sizes.astype(np.uint64) * GOLD), starts
+
+
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+    """The sorted distinct shingles of each whole text, as 64-bit hashes."""
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+    size = 0
+
+    def flush() -> None:
+        if not held:
+            return
+        ends = np.cumsum([len(x) + 1 for x in held])
+        hashes, starts = word_hashes(b" ".join(held))
+        at = [0, *np.searchsorted(starts, ends).tolist()]
+        runs = chained(hashes, words) if len(hashes) >= words else hashes
+        for a, b in zip(at, at[1:]):
+            out.append(np.unique(runs[a : b - words + 1]) if b - a >= words else distinct(hashes[a:b], words))
+        held.clear()
+
+    for text in texts:
+        data = (text or "").encode("utf-8", "replace").lower()  # bytes: only A-Z change
+        if len(data) > CHUNK:
+            flush()
+            size, at, parts = 0, 0, []
+            while at < len(data):
+                cut = SPACES.search(data, min(len(data), at + CHUNK))
+                to = cut.start() if cut else len(data)
+                parts.append(word_hashes(data[at:to])[0])
+                at = to
+            out.append(distinct(np.concatenate(parts), words))
+            continue
+        held.append(data)
+        size += len(data)
+        if size >= CHUNK:
+            flush()
+            size = 0
+    flush()
+    return out
+
+
+def distinct(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The shingles of one text's words; fewer words than a shingle has are one shingle."""
+    if not len(hashes):
+        return hashes
+    return np.unique(chained(hashes, min(words, len(hashes))))
+
+
+def chained(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of n words."""
+    out = np.full(len(hashes) - n + 1, n, dtype=np.uint64)
+    for i in range(n):
+        out = mix((out + GOLD) ^ hashes[i : len(hashes) - n + 1 + i])
+    return out
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The sorted distinct shingles of a whole text, as 64-bit hashes."""
-    if not text:
-        return np.empty(0, dtype=np.uint64)
-    said = text.encode("utf-8", "replace").lower().split()  # bytes: A-Z only, and the six ASCII spaces
-    if not said:
-        return np.empty(0, dtype=np.uint64)
-    one = np.fromiter(map(word_hash, said), dtype=np.uint64, count=len(said))
-    n = min(words, len(said))
-    out = np.full(len(said) - n + 1, n, dtype=np.uint64)
-    for i in range(n):
-        out = mix((out + GOLD) ^ one[i : len(one) - n + 1 + i])
-    return np.unique(out)
+def sketch_of(found: np.ndarray) -> bytes:
+    """The parity of the shingles in each of 2^k slots, as many as there are shingles or more (64 at least).
+
+    Two sets differ in at least as many shingles as their sketches in bits; halves folded together make the shorter sketch."""
+    slots = 1 << max(6, int(len(found) - 1).bit_length())
+    return np.packbits(np.bincount((mix(found + M1) & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1, bitorder="little").tobytes()
+
+
+def may_link(n: int, sketch: bytes, m: int, other: bytes, percent: int) -> bool:
+    """False only if the sets of n and m shingles can't be similar."""
+    if percent * max(n, m) > 100 * min(n, m):
+        return False
+    bits, x, y = 8 * min(len(sketch), len(other)), int.from_bytes(sketch, "little"), int.from_bytes(other, "little")
+
+    def folded(value: int, wide: int) -> int:
+        while wide > bits:
+            wide //= 2
+            value = (value >> wide) ^ (value & ((1 << wide) - 1))
+        return value
+
+    x, y = folded(x, 8 * len(sketch)), folded(y, 8 * len(other))
+    return (x ^ y).bit_count() <= difference(n + m, percent)
 
 
 def node_of(found: np.ndarray) -> int:
@@ -164,15 +250,15 @@ def key_rows(sets: list[np.ndarray], nodes: np.ndarray, below: bool, percent: in
 
 
 def described(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, h (the text's hash), n_shingles, node (null without shingles)."""
+    """id, h (the text's hash), n_shingles, node and sketch (null without shingles)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [shingles(t, words) for t in b.text]
-            yield pd.DataFrame({"id": b.id, "h": b.h, "n_shingles": [len(s) for s in sets], "node": pd.array([node_of(s) if len(s) else None for s in sets], dtype="Int64")})
+            sets = shingle_sets(list(b.text), words)
+            yield pd.DataFrame({"id": b.id, "h": b.h, "n_shingles": [len(s) for s in sets], "node": pd.array([node_of(s) if len(s) else None for s in sets], dtype="Int64"), "sketch": [sketch_of(s) if len(s) else None for s in sets]})
 
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, h long, n_shingles long, node long")
+    return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, h long, n_shingles long, node long, sketch binary")
 
 
 def keyed(df: DataFrame, words: int = WORDS, percent: int = PERCENT, text_col: str = "text", wide: bool = False) -> DataFrame:
@@ -183,7 +269,7 @@ def keyed(df: DataFrame, words: int = WORDS, percent: int = PERCENT, text_col: s
         for b in batches:
             texts = b.column(0).to_pylist()
             for at in range(0, len(texts), 256):
-                sets = [s for t in texts[at : at + 256] if len(s := shingles(t, words))]
+                sets = [s for s in shingle_sets(texts[at : at + 256], words) if len(s)]
                 nodes = [node_of(s) for s in sets]
                 fresh = [i for i, n in enumerate(nodes) if n not in seen and (seen.add(n) or True)]
                 if not fresh:
@@ -213,8 +299,23 @@ def ordered(a, b, pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()
 
 
+def possible(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches don't rule out. Sketches are a small part of the sets."""
+    nodes = docs.where("node IS NOT NULL").select("node", "n_shingles", "sketch").dropDuplicates(["node"])
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = [may_link(*x, percent) for x in zip(*(b.column(i).to_pylist() for i in range(2, 6)))]
+            yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    with_both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "s_a", "n_b", "s_b")
+    return with_both.mapInArrow(run, "a long, b long")
+
+
 def linked(pairs: DataFrame, docs: DataFrame, df: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) of nodes that are similar, by their whole sets. docs: described()."""
+    pairs = written(possible(pairs, docs, percent), "possible")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     reps = docs.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id")).join(nodes, "node", "left_semi")
     hashed = lambda c: F.coalesce(F.pmod(F.xxhash64(c.cast("string")), F.lit(FILTER_SLOTS)), F.lit(-1)).cast("int")
@@ -226,8 +327,7 @@ def linked(pairs: DataFrame, docs: DataFrame, df: DataFrame, words: int, percent
         for b in batches:
             at = np.flatnonzero(wanted[b.column(0).to_numpy(zero_copy_only=False)])
             for k in range(0, len(at), 256):
-                sets = [shingles(t, words) for t in b.column(1).take(pa.array(at[k : k + 256])).to_pylist()]
-                sets = [s for s in sets if len(s)]
+                sets = [s for s in shingle_sets(b.column(1).take(pa.array(at[k : k + 256])).to_pylist(), words) if len(s)]
                 yield pa.record_batch([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "held"])
 
     sets = df.select(hashed(F.col(id_col)).alias("slot"), F.col(text_col).alias("text")).mapInArrow(run, "node long, held binary")

@@ -180,6 +180,34 @@ def test_jaccard_crowded(monkeypatch):
     assert len(left) == 0 and ((says & 2) > 0).sum() >= jaccard.difference(180)
 
 
+def test_shingles(monkeypatch):
+    """Equal and different as the words are, however the texts are cut into chunks."""
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(0, "y" * 3000 + " a"), (0, "y" * 3001 + " a"), (0, "z" * 64 + "a" + "b" * 64), (0, "b" + "z" * 63 + "a" + "b" * 63 + "z")]
+    plain, made = plain_sets(rows), jaccard.shingle_sets([t for _, t in rows])
+    monkeypatch.setattr(jaccard, "CHUNK", 700)
+    again = jaccard.shingle_sets([t for _, t in rows])
+    assert [len(s) for s in made] == [len(s) for s in plain] and all(np.array_equal(a, b) for a, b in zip(made, again))
+    for i in range(len(rows)):
+        for j in range(i):
+            assert len(np.intersect1d(made[i], made[j])) == len(plain[i] & plain[j])
+
+
+def test_sketches():
+    """Sketches never rule out a similar pair, and do rule out strangers."""
+    r = np.random.default_rng(6)
+    for size in (1, 4, 30, 63, 64, 65, 200, 513, 3000):
+        base = np.unique(r.integers(0, 2**63, size, dtype=np.int64).astype(np.uint64))
+        for cut in range(0, size // 4 + 1, max(1, size // 40)):
+            other = np.unique(np.concatenate([base[cut:], r.integers(0, 2**63, cut // 3, dtype=np.int64).astype(np.uint64)]))
+            both = len(np.intersect1d(base, other))
+            linked = 100 * both >= 75 * (len(base) + len(other) - both)
+            for a, b in ((base, other), (other, base)):
+                assert jaccard.may_link(len(a), jaccard.sketch_of(a), len(b), jaccard.sketch_of(b), 75) or not linked
+        if size >= 64:
+            strange = r.integers(0, 2**63, size, dtype=np.int64).astype(np.uint64)
+            assert not jaccard.may_link(len(base), jaccard.sketch_of(base), len(strange), jaccard.sketch_of(np.unique(strange)), 75)
+
+
 def test_one_of_each(spark):
     base = " ".join(f"w{i}" for i in range(60))
     rows = [(5, base), (2, base + " end"), (9, None), (8, ""), (4, "other words of its own kind"), (2, base + " end"), (None, base)]
