@@ -43,6 +43,9 @@ WORDS, PERCENT = 5, 75
 SMALL = 32
 #: Slots of the filter that spares texts without candidates from being read again; it never decides.
 FILTER_SLOTS = 1 << 20
+#: Frequent shingles that steer the allocation, and the sets of a task that are counted together (memory of a worker).
+FREQUENT, COUNTED = 1 << 16, 4000
+NONE = (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -186,7 +189,7 @@ def layout(low: np.ndarray, high: np.ndarray, percent: int = PERCENT) -> tuple[n
     return m, np.where(small, m, m // 12 + 2)
 
 
-def key_rows(sets: list[np.ndarray], nodes: np.ndarray, below: bool, percent: int = PERCENT, wide: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def key_rows(sets: list[np.ndarray], nodes: np.ndarray, below: bool, percent: int = PERCENT, wide: bool = False, frequent: tuple[np.ndarray, np.ndarray] = NONE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys, node * 4 + flags, nodes without a full allocation) for the sets' own bands, or as probes of the bands below.
 
     Flags: 1 indexed, 2 probe. wide: empty segments are indexed and probed everywhere, so that every set has a full allocation
@@ -216,8 +219,13 @@ def key_rows(sets: list[np.ndarray], nodes: np.ndarray, below: bool, percent: in
     salt = mix(band[doc].astype(np.uint64) * GOLD + place.astype(np.uint64))
     near = place < d[doc]
     full = count > 0
-    # the allocation: as many segments with tolerance 0 as are needed, those of most shingles first
-    order = np.lexsort((mix(content), -count, doc))
+    # the allocation: as many segments with tolerance 0 as are needed, at the least cost: a segment meets at most the documents
+    # that hold its rarest shingle, and of equal ones that of more shingles meets fewer
+    rarest = np.full(total, np.iinfo(np.int64).max)
+    if len(frequent[0]):
+        at = np.minimum(np.searchsorted(frequent[0], tokens), len(frequent[0]) - 1)
+        np.minimum.at(rarest, slot, np.where(frequent[0][at] == tokens, frequent[1][at], 0))
+    order = np.lexsort((mix(content), -count, rarest, doc))
     rank = np.empty(total, dtype=np.int64)
     rank[order] = np.arange(total) - base[doc[order]]
     probe = full & (rank < need[doc])
@@ -250,18 +258,57 @@ def key_rows(sets: list[np.ndarray], nodes: np.ndarray, below: bool, percent: in
 
 
 def described(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, h (the text's hash), n_shingles, node and sketch (null without shingles)."""
+    """id, h (the text's hash), n_shingles, node and sketch (null without shingles).
+
+    Each task adds rows with n_shingles -1 whose sketch holds the shingles in a hundredth of its documents or more, with
+    their counts: at most a hundred times the mean size of its sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()  # copies of one set count once in a task
+        held: list[np.ndarray] = []
+        n = 0
+
+        def frequent() -> pd.DataFrame:
+            all_, counts = np.unique(np.concatenate(held) if held else np.empty(0, dtype=np.uint64), return_counts=True)
+            often = counts >= max(3, n // 100)
+            data = all_[often].tobytes() + counts[often].astype(np.uint64).tobytes()
+            return pd.DataFrame({"id": pd.array([None], dtype="Int64") if whole else [None], "h": [0], "n_shingles": [-1], "node": pd.array([None], dtype="Int64"), "sketch": [data]})
+
         for b in batches:
             sets = shingle_sets(list(b.text), words)
+            for s in sets:
+                if len(s) and (k := node_of(s)) not in seen:
+                    seen.add(k)
+                    held.append(s)
+                    n += 1
+            if n >= COUNTED:
+                yield frequent()
+                held, n = [], 0
             yield pd.DataFrame({"id": b.id, "h": b.h, "n_shingles": [len(s) for s in sets], "node": pd.array([node_of(s) if len(s) else None for s in sets], dtype="Int64"), "sketch": [sketch_of(s) if len(s) else None for s in sets]})
+        if held:
+            yield frequent()
 
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    whole = dict(rows.dtypes)["id"] in ("bigint", "int", "smallint", "tinyint")
     return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, h long, n_shingles long, node long, sketch binary")
 
 
-def keyed(df: DataFrame, words: int = WORDS, percent: int = PERCENT, text_col: str = "text", wide: bool = False) -> DataFrame:
+def frequent_shingles(described_: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of all documents, at most FREQUENT, sorted, with their counts. They only steer the allocation."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for data in b.sketch:
+                both = np.frombuffer(data, np.uint64).reshape(2, -1)
+                yield pd.DataFrame({"s": both[0].view(np.int64), "n": both[1].view(np.int64)})
+
+    each = described_.where("n_shingles < 0").select("sketch").mapInPandas(run, "s long, n long")
+    top = each.groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(FREQUENT).toPandas()
+    order = np.argsort(top.s.to_numpy(dtype=np.int64).view(np.uint64), kind="stable")
+    return top.s.to_numpy(dtype=np.int64).view(np.uint64)[order], top.n.to_numpy(dtype=np.int64)[order]
+
+
+def keyed(df: DataFrame, words: int = WORDS, percent: int = PERCENT, text_col: str = "text", wide: bool = False, frequent: tuple[np.ndarray, np.ndarray] = NONE) -> DataFrame:
     """key, said (node * 4 + flags) of every set: what is shuffled. A null key marks a set without a full allocation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +322,7 @@ def keyed(df: DataFrame, words: int = WORDS, percent: int = PERCENT, text_col: s
                 if not fresh:
                     continue
                 for below in (False, True):
-                    keys, says, left = key_rows([sets[i] for i in fresh], np.array([nodes[i] for i in fresh], dtype=np.int64), below, percent, wide)
+                    keys, says, left = key_rows([sets[i] for i in fresh], np.array([nodes[i] for i in fresh], dtype=np.int64), below, percent, wide, frequent)
                     if len(left):
                         yield pa.record_batch([pa.nulls(len(left), pa.int64()), pa.array(left * 4)], names=["key", "said"])
                     for k in range(0, len(keys), 200_000):
@@ -371,10 +418,11 @@ def components(links: DataFrame) -> DataFrame:
 def join(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents: id, n_shingles, node; links: a, b of nodes). The links found join all that similarity joins: every other
     similar pair lies within a component of them."""
-    docs = written(described(df, words, id_col, text_col), "sets")
-    groups = written(grouped(keyed(df, words, percent, text_col)), "groups")
+    first = written(described(df, words, id_col, text_col), "sets")
+    docs, frequent = first.where("n_shingles >= 0"), frequent_shingles(first)
+    groups = written(grouped(keyed(df, words, percent, text_col, frequent=frequent)), "groups")
     if not groups.where("key IS NULL").isEmpty():  # so rare that all are indexed anew
-        groups = written(grouped(keyed(df, words, percent, text_col, wide=True)), "groups")
+        groups = written(grouped(keyed(df, words, percent, text_col, wide=True, frequent=frequent)), "groups")
     star = written(ordered(F.col("centre"), F.col("node"), groups), "pairs")
     links = written(linked(star, docs, df, words, percent, id_col, text_col), "links")
     rooted = components(links)
