@@ -25,12 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.store import written
-from brindle.llm.tokens import library_memo
+from brindle.llm.tokens import forget, library_memo
 
 BLOCK, COVERED, SEGMENT_IDS = 4096, 0.98, 1 << 20
 MAGIC = b"PFR1"
@@ -124,32 +125,49 @@ def write_table(df: DataFrame, vocabulary: str, end_id: int = 0, id_col: str = "
     return written(dealt.mapInPandas(run, f"part int, seq int, ids long, data binary, docs array<struct<id:{kind},n:long>>"), "pfor")
 
 
-def read_table(table: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id, start (ids of all documents before it), n_tokens, ids binary (little-endian unsigned 32-bit), read from the segments."""
+def decoded(table: DataFrame) -> DataFrame:
+    """part, seq, id, own_start (within the segment), n_tokens, ids binary: read from the segments where they lie."""
     kind = table.schema["docs"].dataType.elementType["id"].dataType.simpleString()
-    # one row for each part: as many as tasks that wrote, then running sums over parts and over a part's segments
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # a worker that has written doesn't need its memos any more
+        for b in batches:
+            for k in range(b.num_rows):
+                part, seq, data, docs = (b.column(i)[k].as_py() for i in range(4))
+                ids = read_segment(data)
+                ends = np.cumsum([d["n"] for d in docs])
+                for i in range(0, len(docs), 1000):
+                    some = docs[i : i + 1000]
+                    starts = [int(e) - d["n"] for e, d in zip(ends[i : i + 1000], some)]
+                    yield pa.record_batch(
+                        [pa.array([part] * len(some), pa.int32()), pa.array([seq] * len(some), pa.int32()), pa.array([d["id"] for d in some], b.schema.field(3).type.value_type.field(0).type), pa.array(starts, pa.int64()), pa.array([d["n"] for d in some], pa.int64()), pa.array([ids[s : s + d["n"]].astype("<u4").tobytes() for s, d in zip(starts, some)], pa.binary())],
+                        names=["part", "seq", "id", "own_start", "n_tokens", "ids"],
+                    )
+
+    return table.select("part", "seq", "data", "docs").mapInArrow(run, f"part int, seq int, id {kind}, own_start long, n_tokens long, ids binary")
+
+
+def located(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows (part, seq, own_start and more) with start: ids of all documents before. Segments' data is not moved.
+
+    Running sums: over parts (one row for each task that wrote) and over a part's segments."""
     parts = table.groupBy("part").agg(F.sum("ids").alias("total"))
     before = parts.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("parts_before"))
     own = Window.partitionBy("part").orderBy("seq")
     firsts = table.select("part", "seq", (F.sum("ids").over(own) - F.col("ids")).alias("own_before")).join(before, "part")
-    located = table.join(firsts.select("part", "seq", (F.col("own_before") + F.col("parts_before")).alias("first")), ["part", "seq"])
+    first = firsts.select("part", "seq", (F.col("own_before") + F.col("parts_before")).alias("first"))
+    return rows.join(first, ["part", "seq"]).withColumn("start", F.col("first") + F.col("own_start"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for first, data, docs in zip(b["first"], b["data"], b["docs"]):
-                ids = read_segment(bytes(data))
-                counts = [d["n"] for d in docs]
-                starts = np.cumsum([0, *counts])[:-1]
-                for i in range(0, len(docs), 1000):
-                    some = range(i, min(i + 1000, len(docs)))
-                    yield pd.DataFrame({"id": pd.Series([docs[k]["id"] for k in some], dtype=object), "start": [int(first + starts[k]) for k in some], "n_tokens": [counts[k] for k in some], "ids": [ids[starts[k] : starts[k] + counts[k]].astype("<u4").tobytes() for k in some]})
 
-    return located.select("first", "data", "docs").mapInPandas(run, f"id {kind}, start long, n_tokens long, ids binary").withColumnRenamed("id", id_col)
+def read_table(table: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """id, start (ids of all documents before it), n_tokens, ids binary (little-endian unsigned 32-bit), read from the segments."""
+    return located(decoded(table), table).select(F.col("id").alias(id_col), "start", "n_tokens", "ids")
 
 
 def digests(table: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id, start, n_tokens and ids_crc32 of what read_table() reads."""
-    return read_table(table, id_col).select(id_col, "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    """id, start, n_tokens and ids_crc32 of what is read; only the digests are joined with the starts."""
+    rows = decoded(table).select("part", "seq", "id", "own_start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return located(rows, table).select(F.col("id").alias(id_col), "start", "n_tokens", "ids_crc32")
 
 
 def crc(ids: np.ndarray) -> int:

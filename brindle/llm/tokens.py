@@ -92,3 +92,8 @@ def library_memo(vocabulary: str) -> ChunkMemo:
         return [t.id for t in tokenize(piece.encode().decode("latin-1").translate(BYTE_NAMES))]
 
     return ChunkMemo(pieces, ids)
+
+
+def forget() -> None:
+    """Free this worker's memos."""
+    library_memo.cache_clear()
