@@ -47,12 +47,25 @@ class Memo(dict):
 
 
 class ChunkMemo:
-    """Ids of whole texts as little-endian unsigned 32-bit integers: of pieces by encode_piece, of chunks by their pieces."""
-
-    def __init__(self, pieces: Callable[[str], list[str]], encode_piece: Callable[[str], Iterable[int]]):
-        self.split = pieces
-        self.of_piece = Memo(lambda piece: np.array(encode_piece(piece), dtype="<u4").tobytes())
-        self.of_chunk = Memo(self.joined)
+    """Ids of whole texts as little-endian unsigned 32-bit integers, by the ids of their chunks.
+
+    pieces(text) splits a text, encode_piece(piece) gives a piece's ids. A run of letters with at most one space before it
+    is one piece, and a full stop or the like behind it one more, so the usual chunks needn't be split by the pattern.
+    direct(chunk) is the piece that such letters are, or None where only pieces() can tell."""
+
+    def __init__(self, pieces: Callable[[str], list[str]], encode_piece: Callable[[str], Iterable[int]], direct: Callable[[str], str | None] = lambda chunk: chunk):
+        self.split, self.direct = pieces, direct
+        self.encode = lambda piece: np.array(encode_piece(piece), dtype="<u4").tobytes()
+        self.of_piece = Memo(self.encode)
+        self.of_chunk = Memo(self.chunk)
+
+    def chunk(self, chunk: str) -> bytes:
+        if (chunk[1:] if chunk[0] == " " else chunk).isalpha():
+            if (piece := self.direct(chunk)) is not None:
+                return self.encode(piece)
+        elif chunk[-1] in ".,;:!?" and (chunk[1:-1] if chunk[0] == " " else chunk[:-1]).isalpha():
+            return self.of_chunk[chunk[:-1]] + self.of_chunk[chunk[-1]]
+        return self.joined(chunk)
 
     def joined(self, text: str) -> bytes:
         return b"".join(map(self.of_piece.__getitem__, self.split(text)))
@@ -91,7 +104,12 @@ def library_memo(vocabulary: str) -> ChunkMemo:
     def ids(piece: str) -> list[int]:
         return [t.id for t in tokenize(piece.encode().decode("latin-1").translate(BYTE_NAMES))]
 
-    return ChunkMemo(pieces, ids)
+    def direct(chunk: str) -> str | None:
+        if not normalizer:
+            return chunk
+        return chunk.strip(" ").lower() if lower_only and chunk.isascii() else None
+
+    return ChunkMemo(pieces, ids, direct)
 
 
 def forget() -> None:
