@@ -30,8 +30,6 @@ from brindle.llm.tokens import library_memo
 
 WINDOW, SHARD_TOKENS = 4096, 1 << 20
 K1, B = 1.2, 0.75
-#: Terms of a query: those of the seed that weigh most.
-QUERY_TERMS = 48
 
 
 def encoded(df: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,15 +86,15 @@ class Index:
         doc, term = pair // wide, pair % wide
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean_length))
         # by document for queries, by term for postings
-        self.of_doc, self.terms, self.weights = np.searchsorted(doc, np.arange(len(docs) + 1)), term, weight
+        self.of_doc, self.terms = np.searchsorted(doc, np.arange(len(docs) + 1)), term
         by_term = np.argsort(term.astype(np.uint16 if wide <= 1 << 16 else np.int64), kind="stable")
         self.doc, self.weight = doc[by_term], weight[by_term]
         self.first = np.searchsorted(term[by_term], np.arange(wide + 1))
         self.n = len(docs)
 
     def scores(self, seed: int) -> np.ndarray:
-        own = slice(self.of_doc[seed], self.of_doc[seed + 1])
-        terms = self.terms[own][np.argsort(-self.weights[own], kind="stable")[:QUERY_TERMS]]
+        """Of all documents, by all distinct terms of the seed."""
+        terms = self.terms[self.of_doc[seed] : self.of_doc[seed + 1]]
         at = np.concatenate([np.arange(self.first[t], self.first[t + 1]) for t in terms])
         return np.bincount(self.doc[at], self.weight[at], minlength=self.n)
 

@@ -351,6 +351,15 @@ def test_neighbours():
     assert [(k, s) for k, _, _, s, _ in made] == [(0, 0), (2, 0), (1, 1), (3, 1)]
 
 
+def test_all_terms_of_the_seed():
+    # the last document shares only a term that is the lightest of the seed's 101
+    held, idf = [np.arange(101), np.arange(200, 240), np.array([100, *range(300, 339)])], np.ones(400)
+    idf[100] = 0.5
+    scores = packing.Index(held, idf, 60.0).scores(0)
+    assert scores[2] > 0 == scores[1]
+    assert [k for k, *_ in packing.fill(held, packing.Index(held, idf, 60.0), 141)] == [0, 2, 1]
+
+
 # --- top k
 
 
