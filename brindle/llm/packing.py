@@ -1,13 +1,20 @@
 """Lexical retrieval packing.
 
 Documents are encoded once to a table of token ids in the shared folder. Document frequencies of all terms (token ids, so
-never more than the vocabulary) and the mean length are counted over all documents. Documents are dealt to shards of about
-SHARD_TOKENS tokens by a hash; each shard builds a BM25 inverted index of its documents. A window starts with a seed, its
-unused neighbours by falling BM25 score fill it, and the document that is cut at the window's end goes on as the next
-window's seed. Only a shard's last window has room left.
+never more than the vocabulary) and the mean length are counted over all documents. A window starts with a seed, its
+unused neighbours by falling BM25 score fill it, and the document that is cut at the window's end goes on as a later
+window's seed. Only the last window has room left.
 
-The hash includes a number that each row got when the table was written, so copies of one document are dealt to all shards,
-and a shard's size is bounded whatever the rows are.
+Candidate search covers all data. Windows fill in rounds. In a round the free documents are dealt to shards of about
+INDEX_TOKENS tokens with a BM25 index each, the seed of every open window asks every shard, and the answers are merged.
+A shard answers with its best documents until they would fill the window on their own, so nothing that the merged list
+needs is cut. A document that several windows ask for goes to the one that scores it highest; a window that isn't full
+then asks again in the next round, among the documents that are still free. New windows are opened (first with documents
+that were cut) as long as the open ones have room for half of the free tokens at most. When SHARD_TOKENS tokens or fewer
+are free, one task fills the open windows and then one window after the other, again over all that is free.
+
+Every document gets a number when the table is written, the tokens before it in its task; a window's sequence_id is the number of
+its first token. Equal scores are ordered by a hash of seed and document, so that copies are dealt to the windows that ask for them.
 
 Defined results: a null or empty text has only the end id; repeated rows and rows of one id are documents of their own
 (start and doc_tokens are the row's); null ids pass through; an empty table gives no pieces; other columns take no part;
@@ -22,18 +29,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.store import written
-from brindle.llm.tokens import library_memo
+from brindle.llm.tokens import forget, library_memo
 
 WINDOW, SHARD_TOKENS = 4096, 1 << 20
+#: Tokens of a search shard, and seeds that ask it at a time. They bound a task's memory, not what is found.
+INDEX_TOKENS, ASK = 1 << 21, 64
 K1, B = 1.2, 0.75
 
 
 def encoded(df: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Written table: id, row (a number of its own for each row), n, ids (little-endian, two bytes each where all fit)."""
+    """Written table: id, row (a number of its own for each token of each row: that of its first), n, ids (little-endian, two bytes each where all fit)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo, row = library_memo(vocabulary), TaskContext.get().partitionId() << 40
@@ -41,8 +50,8 @@ def encoded(df: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id",
         for b in batches:
             ids = [np.frombuffer(memo.buffer(t) + end, "<u4") for t in b.text]
             narrow = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else x.tobytes() for x in ids]
-            yield pd.DataFrame({"id": b.id, "row": np.arange(row, row + len(b)), "n": [len(x) for x in ids], "ids": narrow})
-            row += len(b)
+            yield pd.DataFrame({"id": b.id, "row": row + np.cumsum([0, *map(len, ids)])[:-1], "n": [len(x) for x in ids], "ids": narrow})
+            row += sum(map(len, ids))
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return written(rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, row long, n long, ids binary"), "tokens")
@@ -94,15 +103,52 @@ class Index:
 
     def scores(self, seed: int) -> np.ndarray:
         """Of all documents, by all distinct terms of the seed."""
-        terms = self.terms[self.of_doc[seed] : self.of_doc[seed + 1]]
+        return self.of_terms(self.terms[self.of_doc[seed] : self.of_doc[seed + 1]])
+
+    def of_terms(self, terms: np.ndarray) -> np.ndarray:
         at = np.concatenate([np.arange(self.first[t], self.first[t + 1]) for t in terms])
         return np.bincount(self.doc[at], self.weight[at], minlength=self.n)
 
+    def of_many(self, asked: list[np.ndarray]) -> np.ndarray:
+        """A row of scores for each list of terms. Terms of many documents are multiplied as a matrix, the others walked."""
+        if not hasattr(self, "dense"):
+            df = np.diff(self.first)
+            often = np.argsort(-df, kind="stable")[:1024]
+            often = often[df[often] * 16 > self.n]
+            self.place, self.dense = np.full(len(df), -1), np.zeros((len(often), self.n))
+            self.place[often] = np.arange(len(often))
+            for k, t in enumerate(often):
+                own = slice(self.first[t], self.first[t + 1])
+                self.dense[k, self.doc[own]] = self.weight[own]
+        wanted, out = np.zeros((len(asked), len(self.dense))), []
+        for q, terms in zip(wanted, asked):
+            place = self.place[terms]
+            q[place[place >= 0]] = 1
+            light = terms[place < 0]
+            out.append(self.of_terms(light) if len(light) else np.zeros(self.n))
+        # rounded: sums of another order are ties too
+        return np.round(wanted @ self.dense + np.array(out), 9)
 
-def fill(docs: list[np.ndarray], index: Index, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset): every id once."""
+
+def fill(docs: list[np.ndarray], index: Index, window: int = WINDOW, starts: list[int] | None = None, opened: list[tuple[np.ndarray, int]] | None = None) -> Iterator[tuple[int, int, int, int, int]]:
+    """(document, start, length, sequence, offset): every id once, from starts on. opened: terms and room of windows that are
+    filled first; their sequences are -1, -2 and so on."""
     used = np.zeros(len(docs), dtype=bool)
     sizes = np.array([len(d) for d in docs])
+    starts = np.array(starts if starts is not None else [0] * len(docs))
+
+    def ranked(scores: np.ndarray) -> np.ndarray:
+        free = np.flatnonzero(~used)
+        return free[np.argsort(-scores[free], kind="stable")]
+
+    for i, (terms, room) in enumerate(opened or []):
+        for k in ranked(index.of_terms(terms)):
+            length = int(min(sizes[k] - starts[k], room))
+            yield int(k), int(starts[k]), length, -1 - i, window - room
+            room, starts[k] = room - length, starts[k] + length
+            used[k] = starts[k] == sizes[k]
+            if not room:
+                break
     sequence, room, next_ = 0, window, 0
     seed, at = -1, 0
     while True:
@@ -111,7 +157,7 @@ def fill(docs: list[np.ndarray], index: Index, window: int = WINDOW) -> Iterator
                 next_ += 1
             if next_ == len(docs):
                 return
-            seed, at = next_, 0
+            seed, at = next_, int(starts[next_])
             used[seed] = True
         while sizes[seed] - at >= room:  # it fills what is left
             yield seed, at, room, sequence, window - room
@@ -121,16 +167,66 @@ def fill(docs: list[np.ndarray], index: Index, window: int = WINDOW) -> Iterator
             continue
         yield seed, at, int(sizes[seed] - at), sequence, window - room
         room -= int(sizes[seed] - at)
-        scores = index.scores(seed)
-        free = np.flatnonzero(~used)
-        seed = -1
-        for k in free[np.argsort(-scores[free], kind="stable")]:
+        ahead, seed = ranked(index.scores(seed)), -1
+        for k in ahead:
             used[k] = True
-            if sizes[k] >= room:
-                seed, at = int(k), 0
+            if sizes[k] - starts[k] >= room:
+                seed, at = int(k), int(starts[k])
                 break
-            yield int(k), 0, int(sizes[k]), sequence, window - room
-            room -= int(sizes[k])
+            yield int(k), int(starts[k]), int(sizes[k] - starts[k]), sequence, window - room
+            room -= int(sizes[k] - starts[k])
+
+
+def best(scores: np.ndarray, left: np.ndarray, room: int, seed: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first documents by falling score that fill the room, and the order of equal scores."""
+    most = 64
+    while True:
+        found = np.arange(len(scores)) if most >= len(scores) else np.flatnonzero(scores >= np.partition(scores, -most)[-most])
+        if len(found) == len(scores) or left[found].sum() >= room:
+            break
+        most *= 4
+    tie = (rows[found].astype(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+    tie = ((tie ^ (tie >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(1)).astype(np.int64)
+    order = np.lexsort((tie, -scores[found]))
+    order = order[np.cumsum(left[found[order]]) - left[found[order]] < room]
+    return found[order], tie[order]
+
+
+def searched(free: DataFrame, opened: DataFrame, shards: int, idf: np.ndarray, mean: float) -> DataFrame:
+    """seq, room, row, left, score, tie: what each shard of the free documents answers to each open window."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
+        shard, held, meta, index = -1, [], [], None
+        for b in batches:
+            for (at, kind), g in b.groupby(["shard", "kind"], sort=True):
+                if at != shard:
+                    shard, held, meta, index = at, [], [], None
+                if kind == 0:
+                    held += [ids_of(d, n) for d, n in zip(g.ids, g.n)]
+                    meta.append((g.row.to_numpy(), (g.n - g["at"]).to_numpy()))
+                elif held:
+                    if index is None:
+                        index, rows, left = Index(held, idf, mean), *map(np.concatenate, zip(*meta))
+                    for k in range(0, len(g), ASK):
+                        part, out = g.iloc[k : k + ASK], []
+                        for seq, room, scores in zip(part.row, part["at"], index.of_many([ids_of(d, n) for d, n in zip(part.ids, part.n)])):
+                            found, tie = best(scores, left, room, seq, rows)
+                            out.append((np.full(len(found), seq), np.full(len(found), room), rows[found], left[found], scores[found], tie))
+                        yield pd.DataFrame(dict(zip(("seq", "room", "row", "left", "score", "tie"), map(np.concatenate, zip(*out)))))
+
+    held = free.select(F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"), F.lit(0).alias("kind"), "row", "n", "at", "ids")
+    asks = opened.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("kind"), F.col("seq").alias("row"), "n", F.col("room").alias("at"), F.col("terms").alias("ids"))
+    dealt = held.union(asks).repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "kind", "row")
+    return dealt.mapInPandas(run, "seq long, room long, row long, left long, score double, tie long")
+
+
+def placed(answers: DataFrame, window: int) -> DataFrame:
+    """row, seq, offset, length: the answers of all shards merged; each document goes to the window that scores it highest."""
+    by_score = Window.partitionBy("seq").orderBy(F.desc("score"), "tie", "row").rowsBetween(Window.unboundedPreceding, -1)
+    fits = lambda df: df.withColumn("before", F.coalesce(F.sum("left").over(by_score), F.lit(0))).where("before < room")
+    one = fits(answers).groupBy("row").agg(F.max_by(F.struct("seq", "room", "left", "score", "tie"), F.struct("score", F.col("tie"), F.col("seq"))).alias("to"))
+    return fits(one.select("row", "to.*")).select("row", "seq", (window - F.col("room") + F.col("before")).alias("offset"), F.least("left", F.col("room") - F.col("before")).alias("length"))
 
 
 def pack(df: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,20 +234,71 @@ def pack(df: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW,
     tokens = encoded(df, vocabulary, end_id, id_col, text_col)
     docs, n_docs, n_tokens = frequencies(tokens)
     idf = np.log1p((n_docs - docs + 0.5) / (docs + 0.5))
-    mean, shards = n_tokens / max(n_docs, 1), max(1, -(-n_tokens // shard_tokens))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("row", kind="stable")
-        held, shard, out = [ids_of(d, n) for d, n in zip(rows.ids, rows.n)], int(rows.shard.iloc[0]), []
-        for k, start, length, sequence, offset in fill(held, Index(held, idf, mean), window):
-            ids = held[k][start : start + length].astype("<u4").tobytes()
-            out.append((k, start, length, zlib.crc32(ids), len(held[k]), (shard << 32) + sequence, offset, ids if with_ids else None))
-        made = pd.DataFrame(out, columns=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
-        made["id"] = rows.id.array.take(made.id.to_numpy())
-        return made
-
-    kind = dict(tokens.dtypes)["id"]
-    dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
-    made = dealt.groupBy("shard").applyInPandas(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    mean, kind = n_tokens / max(n_docs, 1), dict(tokens.dtypes)["id"]
+
+    def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own = [np.unique(ids_of(d, n)).astype("<u4") for d, n in zip(b.ids, b.n)]
+            yield pd.DataFrame({"seq": b.seq, "room": b.room, "n": [len(x) for x in own], "terms": [x.tobytes() for x in own]})
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ids = [ids_of(d, n)[s : s + k].astype("<u4").tobytes() for d, n, s, k in zip(b.ids, b.n, b.start, b.length)]
+            yield pd.DataFrame({"id": b.id, "start": b.start, "length": b.length, "ids_crc32": [zlib.crc32(x) for x in ids], "doc_tokens": b.n, "sequence_id": b.sequence_id, "offset": b.offset, "ids": ids if with_ids else None})
+
+    def finish(_: tuple, rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        forget()
+        rows, asks, first, out = rows.sort_values(["at", "row"], ascending=[False, True]), asks.sort_values("seq"), {}, []
+        if len(rows):
+            held, numbers = [ids_of(d, n) for d, n in zip(rows.ids, rows.n)], rows.row.to_numpy()
+            opened = [(ids_of(d, n), int(room)) for d, n, room in zip(asks.terms, asks.n, asks.room)]
+            first = {-1 - i: int(seq) for i, seq in enumerate(asks.seq)}
+            for k, start, length, sequence, offset in fill(held, Index(held, idf, mean), window, rows["at"].tolist(), opened):
+                out.append((k, start, length, first.setdefault(sequence, int(numbers[k]) + start), offset))
+        made = pd.DataFrame(out, columns=["k", "start", "length", "sequence_id", "offset"], dtype="int64")
+        for c in ("id", "n", "ids"):
+            made[c] = rows[c].array.take(made.k.to_numpy())
+        return made[["id", "n", "ids", "start", "length", "sequence_id", "offset"]]
+
+    spark, pieces = df.sparkSession, []
+    left = tokens.withColumn("at", F.lit(0).cast("long"))
+    opened = spark.createDataFrame([], "seq long, room long, n long, terms binary")
+    while True:
+        free, n_free, n_cut = left.agg(F.coalesce(F.sum(F.col("n") - F.col("at")), F.lit(0)), F.count(F.lit(1)), F.count(F.when(F.col("at") > 0, 1))).first()
+        if free <= shard_tokens:
+            break
+        room, n_open = opened.agg(F.coalesce(F.sum("room"), F.lit(0)), F.count(F.lit(1))).first()
+        # documents that were cut come first; a share of each kind by hash
+        more, chance = max(0, free // 2 - room) / window, F.pmod(F.xxhash64("row", F.lit(len(pieces))), F.lit(1 << 30)) / float(1 << 30)
+        if n_open == 0 and more * 8 < 1:
+            more = 1.0
+        while True:
+            seeds = left.where(chance < F.when(F.col("at") > 0, min(1.0, more / max(n_cut, 1))).otherwise(max(0.0, more - n_cut) / max(n_free - n_cut, 1)))
+            rest = F.pmod(F.col("n") - F.col("at"), F.lit(window))
+            own, new_room, n_new = seeds.agg(F.coalesce(F.sum(F.col("n") - F.col("at")), F.lit(0)), F.coalesce(F.sum(F.pmod(window - rest, F.lit(window))), F.lit(0)), F.count(F.lit(1))).first()
+            if n_new == 0 and n_open == 0:
+                smallest = left.agg(F.min("row")).first()[0]
+                seeds, n_new = left.where(F.col("row") == smallest), 1
+                break
+            if room + new_room <= free - own:
+                break
+            more /= 2
+        seeds = written(seeds, "seeds")
+        whole = F.floor((F.col("n") - F.col("at") - 1) / window)
+        at = (F.col("at") + F.col("k") * window).alias("start")
+        pieces.append(seeds.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), whole))).select("id", "n", "ids", at, F.least(F.lit(window).cast("long"), F.col("n") - at).alias("length"), (F.col("row") + at).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
+        begun = seeds.where(rest > 0).select((F.col("row") + F.col("n") - rest).alias("seq"), (window - rest).alias("room"), "n", "ids")
+        opened = written(opened.unionByName(begun.mapInPandas(terms, opened.schema)), "windows")
+        left = left.join(seeds.select("row"), "row", "left_anti")
+        found = written(placed(searched(left, opened, max(1, -(-free // INDEX_TOKENS)), idf, mean), window), "placed")
+        done = written(left.join(found, "row", "left"), "free")
+        pieces.append(done.where("seq IS NOT NULL").select("id", "n", "ids", F.col("at").alias("start"), "length", F.col("seq").alias("sequence_id"), "offset"))
+        left = done.select("id", "row", "n", "ids", (F.col("at") + F.coalesce("length", F.lit(0))).alias("at")).where("at < n")
+        took = found.groupBy("seq").agg(F.sum("length").alias("took"))
+        opened = opened.join(took, "seq", "left").select("seq", (F.col("room") - F.coalesce("took", F.lit(0))).alias("room"), "n", "terms").where("room > 0")
+    last = left.withColumn("one", F.lit(0)).groupBy("one").cogroup(opened.withColumn("one", F.lit(0)).groupBy("one")).applyInPandas(finish, f"id {kind}, n long, ids binary, start long, length long, sequence_id long, offset long")
+    for p in pieces:
+        last = last.unionByName(p)
+    made = last.mapInPandas(cut, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
     made = made.withColumnRenamed("id", id_col)
     return made if with_ids else made.drop("ids")

@@ -351,6 +351,40 @@ def test_neighbours():
     assert [(k, s) for k, _, _, s, _ in made] == [(0, 0), (2, 0), (1, 1), (3, 1)]
 
 
+def families(r, n=20, each=40):
+    words = lambda f: ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(30)]
+    found = [words(f) for f in range(n)]
+    rows = [(100 * k + f, " ".join(r.sample(found[f], 20))) for k in range(each) for f in range(n)]
+    return r.sample(rows, len(rows))
+
+
+def test_neighbours_of_all_data(spark):
+    # every family is spread over all tables' parts; a shard of 2500 tokens holds few members of each
+    rows = families(random.Random(3))
+    got = packing.pack(docs(spark, rows).repartition(3), P.path("word_bpe_49k.json"), window=512, shard_tokens=8000, with_ids=False).toPandas()
+    assert got.length.sum() == got.drop_duplicates("doc_id").doc_tokens.sum() > 5 * 8000
+    same = sum((s.doc_id % 100).value_counts().iloc[0] for _, s in got.groupby("sequence_id"))
+    assert same > 0.7 * len(got)
+    assert (got.groupby("sequence_id").length.sum() < 512).sum() <= 1
+
+
+def test_answers_of_shards_are_those_of_one_index(spark):
+    r = np.random.default_rng(4)
+    held = [r.integers(0, 300, r.integers(1, 60)) for _ in range(400)]
+    held += held[:20]
+    idf, mean = r.random(300), 30.0
+    free = spark.createDataFrame([(i, len(x), 0, x.astype("<u2").tobytes()) for i, x in enumerate(held)], "row long, n long, at long, ids binary")
+    asks = [np.unique(x) for x in held[:30]]
+    opened = spark.createDataFrame([(1000 + i, 200, len(x), x.astype("<u4").tobytes()) for i, x in enumerate(asks)], "seq long, room long, n long, terms binary")
+    got, index = packing.searched(free, opened, 7, idf, mean).toPandas(), packing.Index(held, idf, mean)
+    for i, x in enumerate(asks):
+        scores = index.of_terms(x)
+        own = got[got.seq == 1000 + i].sort_values(["score", "tie"], ascending=[False, True])
+        assert np.allclose(own.score, scores[own.row])
+        own = own[own.left.cumsum() - own.left < 200]
+        assert np.allclose(own.score, -np.sort(-scores)[: len(own)])
+
+
 def test_all_terms_of_the_seed():
     # the last document shares only a term that is the lightest of the seed's 101
     held, idf = [np.arange(101), np.arange(200, 240), np.array([100, *range(300, 339)])], np.ones(400)
