@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,35 @@ def dense_topk(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_i
     return ranked(scored, k, id_col)
 
 
+def dense_topk_blocks(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
+    """L1/F1: like dense_topk for any number of queries: blocks of queries meet blocks of rows, and the k best of each meeting are
+    merged. Scores are rounded to 12 digits before they are ranked. Vectors with a null, without a length or of no element take no part."""
+    fine = lambda df, c: df.where(F.coalesce(F.size(c) > 0, F.lit(False)) & F.forall(c, lambda x: x.isNotNull()) & (dot(F.col(c), F.col(c)) > 0))
+    asks = fine(queries.select("query", F.col("q").cast("array<double>").alias("v")), "v")
+    held = fine(rows.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")), "v")
+    n_asks, n_held = max(1, -(-asks.count() // block)), max(1, -(-held.count() // block))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asks = asks.withColumn("a", F.pmod(F.xxhash64("query"), F.lit(n_asks)).cast("int")).withColumn("b", each(n_held))
+    held = held.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n_held)).cast("int")).withColumn("a", each(n_asks))
+
+    def meet(_: tuple, qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query": qs["query"][:0], "id": vs["id"][:0], "score": np.zeros(0)})]
+        for size, q in qs.groupby(qs.v.map(len)):
+            v = vs[vs.v.map(len) == size].sort_values("id", kind="stable")
+            if not len(v):
+                continue
+            x, y = np.stack(q.v), np.stack(v.v)
+            scores = np.round(x @ y.T / np.sqrt(np.outer((x * x).sum(1), (y * y).sum(1))), 12)
+            for n, s in zip(q["query"], scores):
+                at = np.argsort(-s, kind="stable")[:k]
+                out.append(pd.DataFrame({"query": n, "id": v["id"].array.take(at), "score": s[at]}))
+        return pd.concat(out)
+
+    kinds = f"query {dict(queries.dtypes)['query']}, id {dict(rows.dtypes)[id_col]}, score double"
+    made = asks.groupBy("a", "b").cogroup(held.groupBy("a", "b")).applyInPandas(meet, kinds)
+    return ranked(made.withColumnRenamed("id", id_col), k, id_col)
+
+
 def ranked(scored: DataFrame, k: int, id_col: str) -> DataFrame:
     """rank counts from 0; ties go to the smaller id."""
     w = Window.partitionBy("query").orderBy(F.desc("score"), id_col)

@@ -89,11 +89,11 @@ def dense_topk(spark, d):
 _QUERY_DOCS = 5
 
 
-def _bm25(spark, d):
+def _bm25(spark, d, items=f"item_id < {_QUERY_DOCS}"):
     docs = _tokens(t(spark, d, "documents"), "doc_id")
     index = retrieval.postings(docs, "doc_id", "tokens")
     n = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean_length"))
-    queries = _tokens(t(spark, d, "benchmark").where(f"item_id < {_QUERY_DOCS}"), "item_id").select(F.col("item_id").alias("query"), F.explode(F.array_distinct("tokens")).alias("term"))
+    queries = _tokens(t(spark, d, "benchmark").where(items), "item_id").select(F.col("item_id").alias("query"), F.explode(F.array_distinct("tokens")).alias("term"))
     return retrieval.bm25(index, queries, n, "doc_id")
 
 
@@ -116,6 +116,40 @@ def two_stage_retrieval(spark, d):
     return retrieval.two_stage(hits, retrieval.top_groups(hits, "label", 3, "vec_id"), 10, "vec_id", "label").select("query", "vec_id", "label", "place", "filled")
 
 
+def out_of_scope_all(spark, d):
+    names = _tokens(t(spark, d, "benchmark"), "item_id").select(F.explode("tokens").alias("w"))
+    return coverage.out_of_scope(_tokens(t(spark, d, "documents"), "doc_id"), "doc_id", "tokens", names, "w", ("^[0-9]+$",)).select("doc_id")
+
+
+def _hundredths(e):
+    """Every vector whose id is divisible by 100, as a query."""
+    return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+
+
+def dense_topk_all(spark, d):
+    e = t(spark, d, "embeddings")
+    return retrieval.dense_topk_blocks(_hundredths(e), e, 10).withColumn("score", F.round("score", 6))
+
+
+def bm25_topk_all(spark, d):
+    return retrieval.ranked(_bm25(spark, d, "TRUE").withColumn("score", F.round("score", 6)), 10, "doc_id")
+
+
+def rrf_fusion_all(spark, d):
+    """Queries: every benchmark item, and every vector whose id is divisible by 100; a query of one side alone has that side's ranks."""
+    sparse = retrieval.ranked(_bm25(spark, d, "TRUE").withColumn("score", F.round("score", 6)), 20, "doc_id")
+    e = t(spark, d, "embeddings")
+    items = e.join(t(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    dense = retrieval.dense_topk_blocks(items.unionByName(_hundredths(e)).dropDuplicates(["query"]), e.withColumnRenamed("vec_id", "doc_id"), 20, "doc_id")
+    return retrieval.fuse(dense, sparse, 10, "doc_id").withColumn("score", F.round("score", 9))
+
+
+def two_stage_retrieval_all(spark, d):
+    e = t(spark, d, "embeddings")
+    hits = retrieval.dense_topk_blocks(_hundredths(e), e, 40).join(e.select("vec_id", "label"), "vec_id")
+    return retrieval.two_stage(hits, retrieval.top_groups(hits, "label", 3, "vec_id"), 10, "vec_id", "label").select("query", "vec_id", "label", "place", "filled")
+
+
 def suffix_pairs(spark, d):
     n = F.col("p_partkey")
     end = F.when(n % 3 == 0, "_valid").when(n % 3 == 1, "_ready").otherwise("_vld")
@@ -225,7 +259,7 @@ def flag_labels(spark, d):
     return lab.groupBy("lang", "quality", "toxic").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text").contains(" | ")).alias("n_piped"), F.sum("n_chars").alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (keep_first_exact, keep_first_normalised, canonical_dedup, keep_first_capped, subsumption, cap_per_group, small_groups, merged_sources, set_sizes, coverage_overlap, coverage_subset, majority_unknown, unknown_names, out_of_scope, dense_topk, bm25_topk, rrf_fusion, two_stage_retrieval, suffix_pairs, glob_hints, template_cluster, slot_fit, value_cluster, clean_counts, mutation_rows, fixed_windows, doc_chunks, sentence_props, html_text, html_strip, log_counts, last_numbers, url_parts, tag_split, slugs, identifier_counts, implication_parts, module_attribution, peak_values, flag_labels)}
+QUERIES = {f.__name__: f for f in (keep_first_exact, keep_first_normalised, canonical_dedup, keep_first_capped, subsumption, cap_per_group, small_groups, merged_sources, set_sizes, coverage_overlap, coverage_subset, majority_unknown, unknown_names, out_of_scope, dense_topk, bm25_topk, rrf_fusion, two_stage_retrieval, out_of_scope_all, dense_topk_all, bm25_topk_all, rrf_fusion_all, two_stage_retrieval_all, suffix_pairs, glob_hints, template_cluster, slot_fit, value_cluster, clean_counts, mutation_rows, fixed_windows, doc_chunks, sentence_props, html_text, html_strip, log_counts, last_numbers, url_parts, tag_split, slugs, identifier_counts, implication_parts, module_attribution, peak_values, flag_labels)}
 
 _TOK = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 _COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
@@ -297,3 +331,8 @@ ORACLES = {
     "peak_values": "SELECT user_id, max(value) AS peak, arg_min(event_id, (-value, event_id)) AS at FROM events GROUP BY 1",
     "flag_labels": "SELECT lang, quality, toxic, count(*) AS n, count(*) FILTER (contains(text, ' | ')) AS n_piped, sum(n_chars)::BIGINT AS chars FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2, 3",
 }
+#: The same SQL over every benchmark item and every hundredth vector.
+ORACLES |= {
+    f"{name}_all": ORACLES[name].replace("WHERE q.vec_id < 5", f"WHERE {vectors}").replace(f" WHERE item_id < {_QUERY_DOCS}", "").replace(" WHERE item_id < 3", "")
+    for name, vectors in (("out_of_scope", ""), ("dense_topk", "q.vec_id % 100 = 0"), ("bm25_topk", ""), ("rrf_fusion", "q.vec_id % 100 = 0 OR q.vec_id IN (SELECT item_id FROM benchmark)"), ("two_stage_retrieval", "q.vec_id % 100 = 0"))
+}
