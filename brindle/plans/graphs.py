@@ -17,6 +17,15 @@ def _edges(spark, d):
 _E = "SELECT l_suppkey % 97 AS a, l_partkey % 89 AS b, min(l_linenumber % 2)::BIGINT AS delay FROM lineitem WHERE (l_partkey % 89) % 5 = (l_suppkey % 97) % 5 AND l_suppkey % 97 <> l_partkey % 89 GROUP BY 1, 2"
 
 
+def _all_edges(spark, d):
+    """Supplier to part edges of the whole table by their own keys; a part whose key is a supplier's too goes on from there."""
+    li = t(spark, d, "lineitem")
+    return graph.directed(li.select(F.col("l_suppkey").alias("x"), F.col("l_partkey").alias("y"), (F.col("l_linenumber") % 2).cast("long").alias("dl")), "x", "y", "dl")
+
+
+_ALL = "SELECT l_suppkey AS a, l_partkey AS b, min(l_linenumber % 2)::BIGINT AS delay FROM lineitem WHERE l_suppkey <> l_partkey GROUP BY 1, 2"
+
+
 def cooccurrence(spark, d):
     return graph.cooccurrence(t(spark, d, "lineitem"), "l_orderkey", "l_suppkey")
 
@@ -73,6 +82,34 @@ def linked_pairs(spark, d):
     return graph.linked(pairs, _edges(spark, d).where("delay = 0").select("a", "b"), modules)
 
 
+def directed_edges_all(spark, d):
+    return _all_edges(spark, d)
+
+
+def zero_one_path_all(spark, d):
+    return graph.least_delays(graph.cut(_all_edges(spark, d)), t(spark, d, "supplier").select(F.col("s_suppkey").alias("node")), 4)
+
+
+def reach_three_all(spark, d):
+    return graph.reachable(graph.cut(_all_edges(spark, d).where("delay = 0")), t(spark, d, "supplier").select(F.col("s_suppkey").alias("node")), 2)
+
+
+def fanout_all(spark, d):
+    return graph.fanout(_all_edges(spark, d), 25, 4).select("a", "n")
+
+
+def scope_seed_all(spark, d):
+    c = t(spark, d, "lineitem").select(F.col("l_partkey").alias("name"), F.col("l_orderkey").alias("instance"), F.col("l_returnflag").alias("type"), F.when(F.col("l_linenumber") % 2 == 0, "output").otherwise("input").alias("direction"))
+    return graph.out_of_scope_seed(c, spark.createDataFrame([("R",)], "type string"))
+
+
+def linked_pairs_all(spark, d):
+    """Pairs: suppliers of one order."""
+    pairs = graph.cooccurrence(t(spark, d, "lineitem"), "l_orderkey", "l_suppkey").select("a", "b")
+    modules = t(spark, d, "part").select(F.col("p_partkey").alias("name"), F.col("p_brand").alias("module"))
+    return graph.linked(pairs, graph.cut(_all_edges(spark, d).where("delay = 0")).select("a", "b"), modules)
+
+
 def running_counter(spark, d):
     action = F.when(F.col("event_type") == "view", "add").when(F.col("event_type") == "click", "remove").when(F.col("event_type") == "signup", "keep").when(F.col("event_type") == "purchase", "extract").otherwise("transform")
     e = t(spark, d, "events").select("event_id", "user_id", action.alias("action"), F.floor("value").alias("delta"))
@@ -116,7 +153,7 @@ def last_match(spark, d):
     return trace.last_match(t(spark, d, "events"), "user_id", "event_id", F.when(F.col("event_type") == "error", F.col("event_id")))
 
 
-QUERIES = {f.__name__: f for f in (cooccurrence, directed_edges, zero_one_path, reach_three, closure, hierarchy_depth, tree_lines, fanout, state_machines, scope_seed, linked_pairs, running_counter, role_merge, token_totals, forward_fill, look_back, step_deltas, batches, first_definition, last_match)}
+QUERIES = {f.__name__: f for f in (cooccurrence, directed_edges, zero_one_path, reach_three, closure, hierarchy_depth, tree_lines, fanout, state_machines, scope_seed, linked_pairs, directed_edges_all, zero_one_path_all, reach_three_all, fanout_all, scope_seed_all, linked_pairs_all, running_counter, role_merge, token_totals, forward_fill, look_back, step_deltas, batches, first_definition, last_match)}
 ORACLES = {
     "cooccurrence": "WITH s AS (SELECT DISTINCT l_orderkey AS g, l_suppkey AS n FROM lineitem) SELECT a.n AS a, b.n AS b, count(*) AS n_groups FROM s a JOIN s b ON a.g = b.g AND a.n < b.n GROUP BY 1, 2",
     "directed_edges": _E,
@@ -144,3 +181,14 @@ ORACLES = {
     "first_definition": "SELECT user_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY 1",
     "last_match": "SELECT user_id, coalesce(max(event_id) FILTER (event_type = 'error'), -1) AS value FROM events GROUP BY 1",
 }
+#: Over the keys as they are, sources and pairs from the tables.
+ORACLES |= {
+    "directed_edges_all": _ALL,
+    "zero_one_path_all": f"""WITH RECURSIVE e AS MATERIALIZED ({_ALL}), p AS (SELECT s_suppkey AS source, s_suppkey AS node, 0::BIGINT AS delay, 0 AS k FROM supplier UNION SELECT p.source, e.b, p.delay + e.delay, k + 1 FROM p JOIN e ON e.a = p.node WHERE k < 4)
+      SELECT source, node, min(delay)::BIGINT AS delay FROM p GROUP BY 1, 2""",
+    "reach_three_all": f"WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM ({_ALL}) WHERE delay = 0), p AS (SELECT s_suppkey AS source, s_suppkey AS node, 0 AS k FROM supplier UNION SELECT p.source, e.b, k + 1 FROM p JOIN e ON e.a = p.node WHERE k < 2) SELECT DISTINCT source, node FROM p",
+    "fanout_all": f"SELECT a, count(*) AS n FROM ({_ALL}) GROUP BY 1 ORDER BY n DESC, a LIMIT 25",
+    "scope_seed_all": ORACLES["scope_seed"].replace("l_partkey % 300", "l_partkey"),
+    "linked_pairs_all": f"""WITH e AS MATERIALIZED (SELECT a, b FROM ({_ALL}) WHERE delay = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), s AS (SELECT DISTINCT l_orderkey AS g, l_suppkey AS n FROM lineitem), p AS (SELECT DISTINCT x.n AS a, y.n AS b FROM s x JOIN s y ON x.g = y.g AND x.n < y.n), m AS (SELECT p_partkey AS name, p_brand AS module FROM part)
+      SELECT a, b FROM p JOIN u USING (a, b) UNION SELECT p.a, p.b FROM p JOIN u x ON p.a = x.a JOIN u y ON y.a = x.b AND y.b = p.b UNION SELECT p.a, p.b FROM p JOIN m x ON p.a = x.name JOIN m y ON p.b = y.name AND x.module = y.module""",
+}
