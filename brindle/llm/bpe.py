@@ -19,11 +19,12 @@ from functools import cache
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.tokens import ChunkMemo
+from brindle.llm.tokens import ChunkTable, said
 
 #: Remembered pairs before that memo starts anew.
 MEMO_PAIRS = 500_000
@@ -135,22 +136,28 @@ class ByteBpe:
 
 
 @cache
-def _worker(path: str, pattern: str) -> tuple[ByteBpe, ChunkMemo, list[str]]:
+def _worker(path: str, pattern: str) -> tuple[ByteBpe, ChunkTable, list[str]]:
     """Once in each worker."""
     codec = ByteBpe(read_ranks(path), pattern)
-    return codec, ChunkMemo(codec.pattern.findall, lambda piece: codec.encode_piece(piece.encode())), [str(i) for i in range(max(codec.bytes_of, default=0) + 1)]
+
+    def encode(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids = [codec.encode(c.decode("utf-8", "replace")) for c in said(codes, starts, sizes)]
+        return np.array([i for x in ids for i in x], dtype=np.uint32), np.array([len(x) for x in ids], dtype=np.int64)
+
+    return codec, ChunkTable(encode), [str(i) for i in range(max(codec.bytes_of, default=0) + 1)]
 
 
 def encode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids array<int>: the token ids of each row's whole text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _, memo, _ = _worker(ranks, pattern)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, table, _ = _worker(ranks, pattern)
         for b in batches:
-            yield pd.DataFrame({"id": b.id, "ids": [np.frombuffer(memo.buffer(t), "<u4").astype("i4") for t in b.text]})
+            ids = [x.astype("i4") for x in table.ids(b.column(1))]
+            yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, ids array<int>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -170,16 +177,17 @@ def round_trip(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id",
 
     Encoding and decoding run in one pass over the rows, so that no ids leave the worker."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec, memo, decimal = _worker(ranks, pattern)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, table, decimal = _worker(ranks, pattern)
         for b in batches:
-            rows = []
-            for text in b.text:
-                ids = np.frombuffer(memo.buffer(text), "<u4").tolist()
-                said = ",".join(map(decimal.__getitem__, ids))
-                rows.append((len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
-            yield pd.concat([b.id, pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"], index=b.index)], axis=1)
+            n, said_, back = [], [], []
+            for found in table.ids(b.column(1)):
+                ids = found.tolist()
+                n.append(len(ids))
+                said_.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
+                back.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(said_, pa.string()), pa.array(back, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {dict(rows.dtypes)['id']}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return rows.mapInPandas(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)

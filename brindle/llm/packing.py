@@ -2,19 +2,18 @@
 
 Documents are encoded once to a table of token ids in the shared folder. Document frequencies of all terms (token ids, so
 never more than the vocabulary) and the mean length are counted over all documents. A window starts with a seed, its
-unused neighbours by falling BM25 score fill it, and the document that is cut at the window's end goes on as a later
-window's seed. Only the last window has room left.
+unused neighbours by falling BM25 score fill it, and the document that is cut at the window's end is the next window's seed.
 
-Candidate search covers all data. Windows fill in rounds. In a round the free documents are dealt to shards of about
-INDEX_TOKENS tokens with a BM25 index each, the seed of every open window asks every shard, and the answers are merged.
-A shard answers with its best documents until they would fill the window on their own, so nothing that the merged list
-needs is cut. A document that several windows ask for goes to the one that scores it highest; a window that isn't full
-then asks again in the next round, among the documents that are still free. New windows are opened (first with documents
-that were cut) as long as the open ones have room for half of the free tokens at most. When SHARD_TOKENS tokens or fewer
-are free, one task fills the open windows and then one window after the other, again over all that is free.
+Shards are dealt by lexical content, so that a seed's neighbours are in its own shard: all documents are put in one order,
+cut into shards of about SHARD_TOKENS tokens, and each shard has an inverted index that answers its seeds by all their
+distinct terms. The order is that of a tree of topics (latent semantic coordinates, halved again and again; fitted on at most
+SAMPLE documents, their first SAMPLE_TERMS distinct terms each), within a topic that of two weighted minhashes of the terms,
+which put copies and near copies side by side, and then that of a hash. The minhashes don't depend on the sample, so the
+order goes on parting documents however many there are; copies in any number are parted by the last hash only. A task sees
+one shard and half of the next at most. Only the last window of a shard has room left.
 
 Every document gets a number when the table is written, the tokens before it in its task; a window's sequence_id is the number of
-its first token. Equal scores are ordered by a hash of seed and document, so that copies are dealt to the windows that ask for them.
+its first token.
 
 Defined results: a null or empty text has only the end id; repeated rows and rows of one id are documents of their own
 (start and doc_tokens are the row's); null ids pass through; an empty table gives no pieces; other columns take no part;
@@ -25,36 +24,131 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.store import written
-from brindle.llm.tokens import forget, library_memo
+from brindle.llm.tokens import forget, library_table
 
 WINDOW, SHARD_TOKENS = 4096, 1 << 20
-#: Tokens of a search shard, and seeds that ask it at a time. They bound a task's memory, not what is found.
-INDEX_TOKENS, ASK = 1 << 21, 64
 K1, B = 1.2, 0.75
+#: Documents, and distinct terms of each, that the tree of topics is fitted on; its depth, coordinates and hashed terms.
+SAMPLE, SAMPLE_TERMS, DEPTH, COORDINATES, BUCKETS = 4096, 2048, 8, 16, 4096
+#: Tokens whose coordinates are summed at once.
+SUMMED = 1 << 17
+
+
+@dataclass
+class Order:
+    """Puts documents in an order of content: topic, and two weighted minhashes."""
+
+    loads: np.ndarray  # coordinates of each term
+    draws: np.ndarray  # two exponential draws of each term, divided by its weight
+    cuts: list[tuple[np.ndarray, np.ndarray]]  # of each level: the coordinate and the value that halves each node
+
+    def keys(self, docs: list[np.ndarray]) -> np.ndarray:
+        """A row of topic, first and second minhash for each document (ids, never empty)."""
+        out = np.zeros((len(docs), 3), dtype=np.int32)
+        at = 0
+        while at < len(docs):
+            to, n = at, 0
+            while to < len(docs) and (n == 0 or n + len(docs[to]) <= SUMMED):
+                n, to = n + len(docs[to]), to + 1
+            own = docs[at:to]
+            first = np.cumsum([0, *map(len, own[:-1])])
+            terms = np.minimum(np.concatenate(own), len(self.loads) - 1)
+            place = np.zeros((len(own), self.loads.shape[1]), dtype=np.float32)
+            for k in range(0, len(terms), SUMMED):  # one document may be longer than SUMMED
+                part = terms[k : k + SUMMED]
+                begin = np.maximum(first - k, 0)[np.searchsorted(first, k, side="right") - 1 :]
+                begin = begin[begin < len(part)]
+                row = np.searchsorted(first, k, side="right") - 1
+                place[row : row + len(begin)] += np.add.reduceat(self.loads[part], begin, axis=0)
+            out[at:to, 0] = self.topic(place)
+            for i in (0, 1):
+                draw = self.draws[i][terms]
+                least = np.repeat(np.minimum.reduceat(draw, first), [len(d) for d in own])
+                hit = np.flatnonzero(draw == least)
+                owner = np.searchsorted(first, hit, side="right") - 1
+                out[at:to, 1 + i] = terms[hit[np.searchsorted(owner, np.arange(len(own)))]]
+            at = to
+        return out
+
+    def topic(self, place: np.ndarray) -> np.ndarray:
+        place = place / np.maximum(np.linalg.norm(place, axis=1, keepdims=True), 1e-9)
+        node = np.zeros(len(place), dtype=np.int64)
+        for axis, value in self.cuts:
+            node = 2 * node + (place[np.arange(len(place)), axis[node]] > value[node])
+        return node.astype(np.int32)
+
+
+def order_of(sample: list[np.ndarray], terms: int) -> Order:
+    """Fitted on the distinct terms of sampled documents."""
+    r = np.random.default_rng(7)
+    df = np.bincount(np.concatenate(sample), minlength=terms) if sample else np.zeros(terms)
+    idf = np.log1p((len(sample) - df + 0.5) / (df + 0.5))
+    draws = (r.exponential(size=(2, terms)) / idf).astype(np.float32)
+    bucket, sign = r.integers(0, BUCKETS, terms), r.choice([-1.0, 1.0], terms)
+    x = np.zeros((max(len(sample), 1), BUCKETS), dtype=np.float32)
+    for row, own in zip(x, sample):
+        np.add.at(row, bucket[own], sign[own] * idf[own])
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    # the leading right singular vectors, by subspace iteration
+    base = r.normal(size=(BUCKETS, COORDINATES)).astype(np.float32)
+    for _ in range(8):
+        base = np.linalg.qr(x.T @ (x @ base))[0]
+    order = Order((base[bucket] * (sign * idf)[:, None]).astype(np.float32), draws, [])
+    place = x @ base
+    place /= np.maximum(np.linalg.norm(place, axis=1, keepdims=True), 1e-9)
+    node = np.zeros(len(place), dtype=np.int64)
+    for level in range(DEPTH):
+        axis, value = np.zeros(1 << level, dtype=np.int64), np.zeros(1 << level, dtype=np.float32)
+        for k in range(1 << level):
+            if len(own := place[node == k]) > 1:
+                axis[k] = own.var(axis=0).argmax()
+                value[k] = np.median(own[:, axis[k]])
+        order.cuts.append((axis, value))
+        node = 2 * node + (place[np.arange(len(place)), axis[node]] > value[node])
+    return order
+
+
+def fitted(df: DataFrame, vocabulary: str, terms: int, id_col: str, text_col: str) -> Order:
+    """The order of content, from about SAMPLE documents that a hash of their place picks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks = library_table(vocabulary)
+        for b in batches:
+            own = [np.unique(x)[:SAMPLE_TERMS].astype("<u4").tobytes() for x in chunks.ids(b.column(0))]
+            yield pa.record_batch([pa.array(own, pa.binary())], names=["terms"])
+
+    chance = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.col(id_col)), F.lit(1 << 30))
+    some = df.where(chance < int((1 << 30) * min(1.0, SAMPLE / max(df.count(), 1)))).select(F.col(text_col).alias("text"))
+    return order_of([x for r in some.mapInArrow(run, "terms binary").collect() if len(x := np.frombuffer(r.terms, "<u4").astype(np.int64))], terms)
 
 
-def encoded(df: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Written table: id, row (a number of its own for each token of each row: that of its first), n, ids (little-endian, two bytes each where all fit)."""
+def encoded(df: DataFrame, vocabulary: str, end_id: int, order: Order, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Written table: id, row (a number of its own for each token of each row: that of its first), n, topic, first, second, ids
+    (little-endian, two bytes each where all fit)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, row = library_memo(vocabulary), TaskContext.get().partitionId() << 40
-        end = np.array([end_id], "<u4").tobytes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks, row = library_table(vocabulary), TaskContext.get().partitionId() << 40
+        end = np.array([end_id], np.uint32)
         for b in batches:
-            ids = [np.frombuffer(memo.buffer(t) + end, "<u4") for t in b.text]
-            narrow = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else x.tobytes() for x in ids]
-            yield pd.DataFrame({"id": b.id, "row": row + np.cumsum([0, *map(len, ids)])[:-1], "n": [len(x) for x in ids], "ids": narrow})
-            row += sum(map(len, ids))
+            ids = [np.concatenate([x, end]) for x in chunks.ids(b.column(1))]
+            n = np.array([len(x) for x in ids], dtype=np.int64)
+            keys = order.keys(ids)
+            narrow = [(x.astype("<u2") if x.max() < 1 << 16 else x.astype("<u4")).tobytes() for x in ids]
+            columns = [b.column(0), pa.array(row + np.cumsum(n) - n), pa.array(n), *[pa.array(np.ascontiguousarray(keys[:, i])) for i in range(3)], pa.array(narrow, pa.binary())]
+            yield pa.record_batch(columns, names=["id", "row", "n", "topic", "first", "second", "ids"])
+            row += int(n.sum())
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return written(rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, row long, n long, ids binary"), "tokens")
+    return written(rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, row long, n long, topic int, first int, second int, ids binary"), "tokens")
 
 
 def ids_of(data: bytes, n: int) -> np.ndarray:
@@ -64,20 +158,22 @@ def ids_of(data: bytes, n: int) -> np.ndarray:
 def frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, int]:
     """Documents that hold each term, documents, tokens: over the whole table. As many numbers as the vocabulary has."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: np.ndarray = np.zeros(0, dtype=np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # a worker that has encoded doesn't need its table any more
+        seen, own = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
         for b in batches:
-            for data, n in zip(b.ids, b.n):
+            for data, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = ids_of(data, n)
                 if len(seen) <= (top := int(ids.max())):
                     seen = np.concatenate([seen, np.zeros(top + 1 - len(seen), dtype=np.int64)])
-                own = np.zeros(top + 1, dtype=bool)
+                    own = np.zeros(len(seen), dtype=bool)
                 own[ids] = True
-                seen[: top + 1] += own
+                seen += own
+                own[ids] = False
         at = np.flatnonzero(seen)
-        yield pd.DataFrame({"term": at, "docs": seen[at]})
+        yield pa.record_batch([pa.array(at), pa.array(seen[at])], names=["term", "docs"])
 
-    counts = tokens.select("ids", "n").mapInPandas(run, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).toPandas()
+    counts = tokens.select("ids", "n").mapInArrow(run, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).toPandas()
     n_docs, n_tokens = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     out = np.zeros(int(counts.term.max()) + 1 if len(counts) else 1, dtype=np.int64)
     out[counts.term.to_numpy()] = counts.docs.to_numpy()
@@ -89,66 +185,34 @@ class Index:
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
         sizes = np.array([len(d) for d in docs])
-        wide = len(idf)
+        self.n, self.wide = len(docs), len(idf)
         owner = np.repeat(np.arange(len(docs), dtype=np.int64), sizes)
-        pair, tf = np.unique(owner * wide + np.concatenate(docs), return_counts=True)
-        doc, term = pair // wide, pair % wide
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean_length))
-        # by document for queries, by term for postings
-        self.of_doc, self.terms = np.searchsorted(doc, np.arange(len(docs) + 1)), term
-        by_term = np.argsort(term.astype(np.uint16 if wide <= 1 << 16 else np.int64), kind="stable")
-        self.doc, self.weight = doc[by_term], weight[by_term]
-        self.first = np.searchsorted(term[by_term], np.arange(wide + 1))
-        self.n = len(docs)
+        pair, tf = np.unique(owner * self.wide + np.concatenate(docs), return_counts=True)
+        doc, term = pair // self.wide, pair % self.wide
+        weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean_length))).astype(np.float32)
+        self.of_doc, self.terms = np.searchsorted(doc, np.arange(len(docs) + 1)), term.astype(np.int32)
+        by_term = np.argsort(term.astype(np.uint16 if self.wide <= 1 << 16 else np.int64), kind="stable")
+        self.doc, self.weight, self.term = doc[by_term].astype(np.int32), weight[by_term], self.terms[by_term]
+        self.first = np.searchsorted(self.term, np.arange(self.wide + 1)).tolist()
 
     def scores(self, seed: int) -> np.ndarray:
-        """Of all documents, by all distinct terms of the seed."""
-        return self.of_terms(self.terms[self.of_doc[seed] : self.of_doc[seed + 1]])
-
-    def of_terms(self, terms: np.ndarray) -> np.ndarray:
-        at = np.concatenate([np.arange(self.first[t], self.first[t + 1]) for t in terms])
-        return np.bincount(self.doc[at], self.weight[at], minlength=self.n)
-
-    def of_many(self, asked: list[np.ndarray]) -> np.ndarray:
-        """A row of scores for each list of terms. Terms of many documents are multiplied as a matrix, the others walked."""
-        if not hasattr(self, "dense"):
-            df = np.diff(self.first)
-            often = np.argsort(-df, kind="stable")[:1024]
-            often = often[df[often] * 16 > self.n]
-            self.place, self.dense = np.full(len(df), -1), np.zeros((len(often), self.n))
-            self.place[often] = np.arange(len(often))
-            for k, t in enumerate(often):
-                own = slice(self.first[t], self.first[t + 1])
-                self.dense[k, self.doc[own]] = self.weight[own]
-        wanted, out = np.zeros((len(asked), len(self.dense))), []
-        for q, terms in zip(wanted, asked):
-            place = self.place[terms]
-            q[place[place >= 0]] = 1
-            light = terms[place < 0]
-            out.append(self.of_terms(light) if len(light) else np.zeros(self.n))
-        # rounded: sums of another order are ties too
-        return np.round(wanted @ self.dense + np.array(out), 9)
-
-
-def fill(docs: list[np.ndarray], index: Index, window: int = WINDOW, starts: list[int] | None = None, opened: list[tuple[np.ndarray, int]] | None = None) -> Iterator[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset): every id once, from starts on. opened: terms and room of windows that are
-    filled first; their sequences are -1, -2 and so on."""
+        """Of all documents that weren't forgotten, by all distinct terms of the seed."""
+        parts = [slice(self.first[t], self.first[t + 1]) for t in self.terms[self.of_doc[seed] : self.of_doc[seed + 1]].tolist()]
+        return np.bincount(np.concatenate([self.doc[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), minlength=self.n)
+
+    def forget(self, used: np.ndarray) -> None:
+        """Take the postings of used documents out."""
+        on = ~used[self.doc]
+        self.doc, self.weight, self.term = self.doc[on], self.weight[on], self.term[on]
+        self.first = np.searchsorted(self.term, np.arange(self.wide + 1)).tolist()
+
+
+def fill(docs: list[np.ndarray], index: Index, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
+    """(document, start, length, sequence, offset): every id of every document once. The first unused document is a seed
+    where no document was cut."""
     used = np.zeros(len(docs), dtype=bool)
-    sizes = np.array([len(d) for d in docs])
-    starts = np.array(starts if starts is not None else [0] * len(docs))
-
-    def ranked(scores: np.ndarray) -> np.ndarray:
-        free = np.flatnonzero(~used)
-        return free[np.argsort(-scores[free], kind="stable")]
-
-    for i, (terms, room) in enumerate(opened or []):
-        for k in ranked(index.of_terms(terms)):
-            length = int(min(sizes[k] - starts[k], room))
-            yield int(k), int(starts[k]), length, -1 - i, window - room
-            room, starts[k] = room - length, starts[k] + length
-            used[k] = starts[k] == sizes[k]
-            if not room:
-                break
+    sizes = [len(d) for d in docs]
+    free, held = len(docs), len(docs)
     sequence, room, next_ = 0, window, 0
     seed, at = -1, 0
     while True:
@@ -157,148 +221,76 @@ def fill(docs: list[np.ndarray], index: Index, window: int = WINDOW, starts: lis
                 next_ += 1
             if next_ == len(docs):
                 return
-            seed, at = next_, int(starts[next_])
+            seed, at = next_, 0
             used[seed] = True
+            free -= 1
         while sizes[seed] - at >= room:  # it fills what is left
             yield seed, at, room, sequence, window - room
             sequence, at, room = sequence + 1, at + room, window
         if at == sizes[seed]:
             seed = -1
             continue
-        yield seed, at, int(sizes[seed] - at), sequence, window - room
-        room -= int(sizes[seed] - at)
-        ahead, seed = ranked(index.scores(seed)), -1
+        yield seed, at, sizes[seed] - at, sequence, window - room
+        room -= sizes[seed] - at
+        if free < 0.7 * held:
+            index.forget(used)
+            held = free
+        left = np.flatnonzero(~used)
+        ahead, seed = left[np.argsort(-index.scores(seed)[left], kind="stable")].tolist(), -1
         for k in ahead:
             used[k] = True
-            if sizes[k] - starts[k] >= room:
-                seed, at = int(k), int(starts[k])
+            free -= 1
+            if sizes[k] >= room:
+                seed, at = k, 0
                 break
-            yield int(k), int(starts[k]), int(sizes[k] - starts[k]), sequence, window - room
-            room -= int(sizes[k] - starts[k])
-
-
-def best(scores: np.ndarray, left: np.ndarray, room: int, seed: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first documents by falling score that fill the room, and the order of equal scores."""
-    most = 64
-    while True:
-        found = np.arange(len(scores)) if most >= len(scores) else np.flatnonzero(scores >= np.partition(scores, -most)[-most])
-        if len(found) == len(scores) or left[found].sum() >= room:
-            break
-        most *= 4
-    tie = (rows[found].astype(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
-    tie = ((tie ^ (tie >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(1)).astype(np.int64)
-    order = np.lexsort((tie, -scores[found]))
-    order = order[np.cumsum(left[found[order]]) - left[found[order]] < room]
-    return found[order], tie[order]
-
-
-def searched(free: DataFrame, opened: DataFrame, shards: int, idf: np.ndarray, mean: float) -> DataFrame:
-    """seq, room, row, left, score, tie: what each shard of the free documents answers to each open window."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forget()
-        shard, held, meta, index = -1, [], [], None
-        for b in batches:
-            for (at, kind), g in b.groupby(["shard", "kind"], sort=True):
-                if at != shard:
-                    shard, held, meta, index = at, [], [], None
-                if kind == 0:
-                    held += [ids_of(d, n) for d, n in zip(g.ids, g.n)]
-                    meta.append((g.row.to_numpy(), (g.n - g["at"]).to_numpy()))
-                elif held:
-                    if index is None:
-                        index, rows, left = Index(held, idf, mean), *map(np.concatenate, zip(*meta))
-                    for k in range(0, len(g), ASK):
-                        part, out = g.iloc[k : k + ASK], []
-                        for seq, room, scores in zip(part.row, part["at"], index.of_many([ids_of(d, n) for d, n in zip(part.ids, part.n)])):
-                            found, tie = best(scores, left, room, seq, rows)
-                            out.append((np.full(len(found), seq), np.full(len(found), room), rows[found], left[found], scores[found], tie))
-                        yield pd.DataFrame(dict(zip(("seq", "room", "row", "left", "score", "tie"), map(np.concatenate, zip(*out)))))
-
-    held = free.select(F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"), F.lit(0).alias("kind"), "row", "n", "at", "ids")
-    asks = opened.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("kind"), F.col("seq").alias("row"), "n", F.col("room").alias("at"), F.col("terms").alias("ids"))
-    dealt = held.union(asks).repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "kind", "row")
-    return dealt.mapInPandas(run, "seq long, room long, row long, left long, score double, tie long")
-
-
-def placed(answers: DataFrame, window: int) -> DataFrame:
-    """row, seq, offset, length: the answers of all shards merged; each document goes to the window that scores it highest."""
-    by_score = Window.partitionBy("seq").orderBy(F.desc("score"), "tie", "row").rowsBetween(Window.unboundedPreceding, -1)
-    fits = lambda df: df.withColumn("before", F.coalesce(F.sum("left").over(by_score), F.lit(0))).where("before < room")
-    one = fits(answers).groupBy("row").agg(F.max_by(F.struct("seq", "room", "left", "score", "tie"), F.struct("score", F.col("tie"), F.col("seq"))).alias("to"))
-    return fits(one.select("row", "to.*")).select("row", "seq", (window - F.col("room") + F.col("before")).alias("offset"), F.least("left", F.col("room") - F.col("before")).alias("length"))
+            yield k, 0, sizes[k], sequence, window - room
+            room -= sizes[k]
 
 
 def pack(df: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids (binary, little-endian unsigned 32-bit)."""
-    tokens = encoded(df, vocabulary, end_id, id_col, text_col)
+    from tokenizers import Tokenizer
+
+    order = fitted(df, vocabulary, Tokenizer.from_file(vocabulary).get_vocab_size(with_added_tokens=True), id_col, text_col)
+    tokens = encoded(df, vocabulary, end_id, order, id_col, text_col)
     docs, n_docs, n_tokens = frequencies(tokens)
-    idf = np.log1p((n_docs - docs + 0.5) / (docs + 0.5))
-    mean, kind = n_tokens / max(n_docs, 1), dict(tokens.dtypes)["id"]
+    idf, mean = np.log1p((n_docs - docs + 0.5) / (docs + 0.5)), n_tokens / max(n_docs, 1)
+
+    def packed(ids: pa.Array, rows: np.ndarray, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        first: dict[int, int] = {}
+        made = []
+        for k, start, length, sequence, offset in fill(held, Index(held, idf, mean), window):
+            made.append((k, start, length, first.setdefault(sequence, int(rows[k]) + start), offset))
+        for i in range(0, len(made), 4096):
+            k, start, length, sequence, offset = (np.array(x, dtype=np.int64) for x in zip(*made[i : i + 4096]))
+            own = [held[d][s : s + n].astype("<u4").tobytes() for d, s, n in zip(k.tolist(), start.tolist(), length.tolist())]
+            columns = [ids.take(pa.array(k)), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array([len(held[d]) for d in k.tolist()], pa.int64()), pa.array(sequence), pa.array(offset)]
+            yield pa.record_batch(columns + [pa.array(own, pa.binary())] * with_ids, names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        names, rows, held, sizes = [], [], [], []
 
-    def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            own = [np.unique(ids_of(d, n)).astype("<u4") for d, n in zip(b.ids, b.n)]
-            yield pd.DataFrame({"seq": b.seq, "room": b.room, "n": [len(x) for x in own], "terms": [x.tobytes() for x in own]})
+        def shards(least: int) -> Iterator[pa.RecordBatch]:
+            """Shards of what is held, as long as it is least tokens or more."""
+            nonlocal names, rows, held, sizes
+            while (total := sum(sizes)) and total >= least:
+                cut = len(sizes) if total < 1.5 * shard_tokens else int(np.searchsorted(np.cumsum(sizes), shard_tokens)) + 1
+                ids = pa.concat_arrays(names)
+                yield from packed(ids[:cut], np.concatenate(rows)[:cut], held[:cut])
+                names, rows, held, sizes = [ids[cut:]], [np.concatenate(rows)[cut:]], held[cut:], sizes[cut:]
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids = [ids_of(d, n)[s : s + k].astype("<u4").tobytes() for d, n, s, k in zip(b.ids, b.n, b.start, b.length)]
-            yield pd.DataFrame({"id": b.id, "start": b.start, "length": b.length, "ids_crc32": [zlib.crc32(x) for x in ids], "doc_tokens": b.n, "sequence_id": b.sequence_id, "offset": b.offset, "ids": ids if with_ids else None})
-
-    def finish(_: tuple, rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        forget()
-        rows, asks, first, out = rows.sort_values(["at", "row"], ascending=[False, True]), asks.sort_values("seq"), {}, []
-        if len(rows):
-            held, numbers = [ids_of(d, n) for d, n in zip(rows.ids, rows.n)], rows.row.to_numpy()
-            opened = [(ids_of(d, n), int(room)) for d, n, room in zip(asks.terms, asks.n, asks.room)]
-            first = {-1 - i: int(seq) for i, seq in enumerate(asks.seq)}
-            for k, start, length, sequence, offset in fill(held, Index(held, idf, mean), window, rows["at"].tolist(), opened):
-                out.append((k, start, length, first.setdefault(sequence, int(numbers[k]) + start), offset))
-        made = pd.DataFrame(out, columns=["k", "start", "length", "sequence_id", "offset"], dtype="int64")
-        for c in ("id", "n", "ids"):
-            made[c] = rows[c].array.take(made.k.to_numpy())
-        return made[["id", "n", "ids", "start", "length", "sequence_id", "offset"]]
-
-    spark, pieces = df.sparkSession, []
-    left = tokens.withColumn("at", F.lit(0).cast("long"))
-    opened = spark.createDataFrame([], "seq long, room long, n long, terms binary")
-    while True:
-        free, n_free, n_cut = left.agg(F.coalesce(F.sum(F.col("n") - F.col("at")), F.lit(0)), F.count(F.lit(1)), F.count(F.when(F.col("at") > 0, 1))).first()
-        if free <= shard_tokens:
-            break
-        room, n_open = opened.agg(F.coalesce(F.sum("room"), F.lit(0)), F.count(F.lit(1))).first()
-        # documents that were cut come first; a share of each kind by hash
-        more, chance = max(0, free // 2 - room) / window, F.pmod(F.xxhash64("row", F.lit(len(pieces))), F.lit(1 << 30)) / float(1 << 30)
-        if n_open == 0 and more * 8 < 1:
-            more = 1.0
-        while True:
-            seeds = left.where(chance < F.when(F.col("at") > 0, min(1.0, more / max(n_cut, 1))).otherwise(max(0.0, more - n_cut) / max(n_free - n_cut, 1)))
-            rest = F.pmod(F.col("n") - F.col("at"), F.lit(window))
-            own, new_room, n_new = seeds.agg(F.coalesce(F.sum(F.col("n") - F.col("at")), F.lit(0)), F.coalesce(F.sum(F.pmod(window - rest, F.lit(window))), F.lit(0)), F.count(F.lit(1))).first()
-            if n_new == 0 and n_open == 0:
-                smallest = left.agg(F.min("row")).first()[0]
-                seeds, n_new = left.where(F.col("row") == smallest), 1
-                break
-            if room + new_room <= free - own:
-                break
-            more /= 2
-        seeds = written(seeds, "seeds")
-        whole = F.floor((F.col("n") - F.col("at") - 1) / window)
-        at = (F.col("at") + F.col("k") * window).alias("start")
-        pieces.append(seeds.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), whole))).select("id", "n", "ids", at, F.least(F.lit(window).cast("long"), F.col("n") - at).alias("length"), (F.col("row") + at).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
-        begun = seeds.where(rest > 0).select((F.col("row") + F.col("n") - rest).alias("seq"), (window - rest).alias("room"), "n", "ids")
-        opened = written(opened.unionByName(begun.mapInPandas(terms, opened.schema)), "windows")
-        left = left.join(seeds.select("row"), "row", "left_anti")
-        found = written(placed(searched(left, opened, max(1, -(-free // INDEX_TOKENS)), idf, mean), window), "placed")
-        done = written(left.join(found, "row", "left"), "free")
-        pieces.append(done.where("seq IS NOT NULL").select("id", "n", "ids", F.col("at").alias("start"), "length", F.col("seq").alias("sequence_id"), "offset"))
-        left = done.select("id", "row", "n", "ids", (F.col("at") + F.coalesce("length", F.lit(0))).alias("at")).where("at < n")
-        took = found.groupBy("seq").agg(F.sum("length").alias("took"))
-        opened = opened.join(took, "seq", "left").select("seq", (F.col("room") - F.coalesce("took", F.lit(0))).alias("room"), "n", "terms").where("room > 0")
-    last = left.withColumn("one", F.lit(0)).groupBy("one").cogroup(opened.withColumn("one", F.lit(0)).groupBy("one")).applyInPandas(finish, f"id {kind}, n long, ids binary, start long, length long, sequence_id long, offset long")
-    for p in pieces:
-        last = last.unionByName(p)
-    made = last.mapInPandas(cut, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
-    made = made.withColumnRenamed("id", id_col)
-    return made if with_ids else made.drop("ids")
+            n = b.column(2).to_pylist()
+            names.append(b.column(0))
+            rows.append(b.column(1).to_numpy())
+            held += [ids_of(d, k) for d, k in zip(b.column(3).to_pylist(), n)]
+            sizes += n
+            yield from shards(int(1.5 * shard_tokens))
+        yield from shards(1)
+
+    by = ["topic", "first", "second", "tie"]
+    dealt = tokens.withColumn("tie", F.xxhash64("row")).repartitionByRange(max(1, -(-n_tokens // shard_tokens)), *by).sortWithinPartitions(*by)
+    kind = dict(tokens.dtypes)["id"]
+    made = dealt.select("id", "row", "n", "ids").mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids)
+    return made.withColumnRenamed("id", id_col)

@@ -24,14 +24,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.store import written
-from brindle.llm.tokens import forget, library_memo
+from brindle.llm.tokens import forget, library_table
 
 BLOCK, COVERED, SEGMENT_IDS = 4096, 0.98, 1 << 20
 MAGIC = b"PFR1"
@@ -39,20 +38,38 @@ HEAD, BLOCK_HEAD = struct.Struct("<4sIQI"), struct.Struct("<IHHB")
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
-    """The low width bits of each value, one after the other."""
+    """The low width bits of each value, one after the other: eight values are width bytes, so each group of eight is
+    shifted into lanes of 64 bits."""
     if not width or not len(values):
         return b""
-    bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
-    return np.packbits(bits.ravel(), bitorder="little").tobytes()
+    rows = np.zeros((-(-len(values) // 8), 8), dtype=np.uint64)
+    rows.ravel()[: len(values)] = values & np.uint32((1 << width) - 1)
+    lanes = np.zeros((len(rows), -(-width // 8) + 1), dtype=np.uint64)
+    for i in range(8):
+        lane, at = divmod(i * width, 64)
+        lanes[:, lane] |= rows[:, i] << np.uint64(at)
+        if at + width > 64:
+            lanes[:, lane + 1] |= rows[:, i] >> np.uint64(64 - at)
+    data = np.ascontiguousarray(lanes.astype("<u8", copy=False).view(np.uint8).reshape(len(rows), -1)[:, :width])
+    return data.tobytes()[: (len(values) * width + 7) // 8]
 
 
 def unpack(data: bytes, n: int, width: int) -> np.ndarray:
     if not width or not n:
         return np.zeros(n, dtype=np.uint32)
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little", count=n * width).reshape(n, width)
-    out = np.zeros((n, 32), dtype=np.uint8)
-    out[:, :width] = bits
-    return np.packbits(out, axis=1, bitorder="little").view("<u4").ravel()
+    groups = -(-n // 8)
+    held = np.zeros(groups * width, dtype=np.uint8)
+    held[: len(data)] = np.frombuffer(data, np.uint8)
+    lanes = np.zeros((groups, 8 * (-(-width // 8) + 1)), dtype=np.uint8)
+    lanes[:, :width] = held.reshape(groups, width)
+    lanes = lanes.view("<u8")
+    out, mask = np.empty((groups, 8), dtype=np.uint64), np.uint64((1 << width) - 1)
+    for i in range(8):
+        lane, at = divmod(i * width, 64)
+        out[:, i] = lanes[:, lane] >> np.uint64(at)
+        if at + width > 64:
+            out[:, i] |= lanes[:, lane + 1] << np.uint64(64 - at)
+    return (out & mask).astype(np.uint32).ravel()[:n]
 
 
 def write_block(ids: np.ndarray) -> bytes:
@@ -97,32 +114,35 @@ def write_table(df: DataFrame, vocabulary: str, end_id: int = 0, id_col: str = "
     Returns the written table: part, seq, ids, data, docs (array of id and count in the segment's order)."""
     kind = dict(df.dtypes)[id_col]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, part, end = library_memo(vocabulary), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
-        held: list[bytes] = []
-        docs: list[dict] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks, part, end = library_table(vocabulary), TaskContext.get().partitionId(), np.array([end_id], np.uint32)
+        held: list[np.ndarray] = []
+        names: list = []
+        sizes: list[int] = []
         seq = n = 0
 
-        def segment() -> pd.DataFrame:
-            ids = np.frombuffer(b"".join(held), "<u4")
-            return pd.DataFrame({"part": [part], "seq": [seq], "ids": [len(ids)], "data": [write_segment(ids)], "docs": [docs]})
+        def segment() -> pa.RecordBatch:
+            docs = pa.array([[{"id": i, "n": k} for i, k in zip(names, sizes)]], pa.list_(pa.struct([("id", arrow_kind), ("n", pa.int64())])))
+            return pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([n], pa.int64()), pa.array([write_segment(np.concatenate(held))], pa.binary()), docs], names=["part", "seq", "ids", "data", "docs"])
 
         for b in batches:
-            for i, text in zip(b.id.array, b.text.array):
-                size = len(own := memo.buffer(text) + end) // 4
+            arrow_kind = b.schema.field(0).type
+            for i, own in zip(b.column(0).to_pylist(), chunks.ids(b.column(1))):
+                size = len(own) + 1
                 if n and n + size > segment_ids:
                     yield segment()
-                    held, docs, seq, n = [], [], seq + 1, 0
-                held.append(own)
-                docs.append({"id": None if pd.isna(i) else i, "n": size})
+                    held, names, sizes, seq, n = [], [], [], seq + 1, 0
+                held += [own, end]
+                names.append(i)
+                sizes.append(size)
                 n += size
-        if docs:
+        if names:
             yield segment()
 
     text = F.col(text_col)
     rows = df.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("tie", F.xxhash64("text"))
     dealt = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
-    return written(dealt.mapInPandas(run, f"part int, seq int, ids long, data binary, docs array<struct<id:{kind},n:long>>"), "pfor")
+    return written(dealt.mapInArrow(run, f"part int, seq int, ids long, data binary, docs array<struct<id:{kind},n:long>>"), "pfor")
 
 
 def decoded(table: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """The operators against plain versions, on small tables with nulls, empty and long texts, ties, repeated rows and clashing names."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -8,14 +9,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from brindle.llm import bpe, credentials, jaccard, linededup, packing, pfor, quality, rules, sharding, topk
-from brindle.llm.tokens import library_memo
+from brindle.llm import bpe, credentials, jaccard, linededup, packing, pfor, quality, rules, sharding, tokens, topk
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -246,14 +247,34 @@ def test_bpe_pieces():
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_memo(name):
-    plain = Tokenizer.from_file(P.path(name))
-    plain.encode_special_tokens = True
-    memo, r = library_memo(P.path(name)), random.Random(2)
-    parts = ["a", "E", "The", " ", "  ", "\n", "\t", "É", "Σ", "İ", "漢", "я", "1", "23", "!!", "'S", "😀", "́", "\xa0", "\x1c", "\x85", "_", "<|endoftext|>", "ﬁ", "²"]
-    texts = [t or "" for t in TEXTS] + ["".join(r.choice(parts) for _ in range(r.randint(1, 40))) for _ in range(3000)]
-    for text, want in zip(texts, plain.encode_batch(texts, add_special_tokens=False)):
-        assert np.frombuffer(memo.buffer(text), "<u4").tolist() == want.ids
+def test_chunk_table(name, monkeypatch):
+    """The ids are those of the library as it stands, special strings included, whatever the slices and however full the table is."""
+    plain, table, r = Tokenizer.from_file(P.path(name)), tokens.library_table(P.path(name)), random.Random(2)
+    parts = ["a", "E", "The", " ", "  ", "\n", "\t", "É", "Σ", "İ", "i", "ß", "Ã", "×", "é.", "漢", "я", "1", "23", "!!", ",", "?", "'S", "😀", "́", "\xa0", "\x1c", "\x85", "\u3000", "\u2003", "\x00", "_", "<|endoftext|>", "<|startoftext|>", "<|", "ﬁ", "²", "ing"]
+    texts = [t or "" for t in TEXTS] + ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(8000)] + ["BİLGİ, KADIRİ. İ?", "y" * 100 + " b" * 3000]
+    want = [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in table.ids(pa.array(texts))] == want
+    assert [x.tolist() for x in table.ids(pa.array([None, *texts]).slice(1, 500))] == want[:500]
+    monkeypatch.setattr(tokens, "SLICE", 200)
+    monkeypatch.setattr(tokens, "MOST_ENTRIES", 300)
+    assert [x.tolist() for x in table.ids(pa.array(texts))] == want
+    assert [x.tolist() for x in table.ids(pa.array([None, ""]))] == [[], []] and list(table.ids(pa.array([], pa.string()))) == []
+
+
+def test_merges():
+    """Words of many lengths in one go, equal to the library one by one."""
+    r = random.Random(4)
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        plain, lower = Tokenizer.from_file(P.path(name)), name.startswith("word")
+        words = ["".join(r.choice("aeiourstnlhdcmAEÉéüßçÖ") for _ in range(r.randint(1, 22))) for _ in range(4000)]
+        said = [x for x in ((" " * r.randint(0, 1) + w).encode() for w in words) if len(x) <= tokens.HELD]
+        codes = np.frombuffer(b"".join(said) + bytes(24), np.uint8)
+        sizes = np.array([len(x) for x in said])
+        own, rows, n = tokens.words(codes, np.cumsum(sizes) - sizes, sizes, lower)
+        assert len(own) == len(said)
+        spec = json.load(open(P.path(name), encoding="utf-8"))["model"]
+        ids, counts = tokens.Merges(spec["vocab"], spec["merges"], spec["end_of_word_suffix"] or "").encode(rows, n)
+        assert [row[:k].tolist() for row, k in zip(ids, counts)] == [x.ids for x in plain.encode_batch([x.decode() for x in said], add_special_tokens=False)]
 
 
 # --- sharding
@@ -308,7 +329,6 @@ def test_blocks():
 def test_token_file(spark):
     name = P.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(name)
-    plain.encode_special_tokens = True
     rows = [(i, t) for i, t in ROWS if i not in (3, 7, None)] + [(None, "a b")]
     table = pfor.write_table(docs(spark, rows, extra=True).repartition(6), name, segment_ids=3000)
     got = {r.doc_id: r for r in pfor.digests(table).collect()}
@@ -327,7 +347,6 @@ def test_token_file(spark):
 def test_packing(spark):
     name = P.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(name)
-    plain.encode_special_tokens = True
     rows = [(i, t) for i, t in enumerate(TEXTS)]
     got = packing.pack(docs(spark, rows, extra=True), name, window=64, shard_tokens=20000).toPandas()
     for i, t in rows:
@@ -339,7 +358,7 @@ def test_packing(spark):
     for _, s in got.groupby("sequence_id"):
         s = s.sort_values("offset")
         assert s.offset.tolist() == [0, *s.length.cumsum().tolist()[:-1]] and s.length.sum() <= 64
-    assert (got.groupby("sequence_id").length.sum() < 64).sum() <= -(-got.length.sum() // 20000)
+    assert (got.groupby("sequence_id").length.sum() < 64).sum() <= 2 * -(-got.length.sum() // 20000)
     assert packing.pack(docs(spark, []), name).count() == 0
     assert packing.pack(docs(spark, ROWS), name, with_ids=False).agg(F.sum(F.when(F.col("start") == 0, 1))).first()[0] == len(ROWS)
 
@@ -359,30 +378,51 @@ def families(r, n=20, each=40):
 
 
 def test_neighbours_of_all_data(spark):
-    # every family is spread over all tables' parts; a shard of 2500 tokens holds few members of each
+    # every family is spread over all the table's parts; a shard holds a few of them whole
     rows = families(random.Random(3))
     got = packing.pack(docs(spark, rows).repartition(3), P.path("word_bpe_49k.json"), window=512, shard_tokens=8000, with_ids=False).toPandas()
     assert got.length.sum() == got.drop_duplicates("doc_id").doc_tokens.sum() > 5 * 8000
     same = sum((s.doc_id % 100).value_counts().iloc[0] for _, s in got.groupby("sequence_id"))
     assert same > 0.7 * len(got)
-    assert (got.groupby("sequence_id").length.sum() < 512).sum() <= 1
-
-
-def test_answers_of_shards_are_those_of_one_index(spark):
+    assert (got.groupby("sequence_id").length.sum() < 512).sum() <= 2 * -(-got.length.sum() // 8000)
+
+
+def test_order_of_content():
+    """Copies have equal keys and near copies mostly do; keys don't depend on what else is in a batch."""
+    r = np.random.default_rng(5)
+    held = [r.integers(0, 5000, r.integers(1, 400)) for _ in range(300)] + [r.integers(0, 5000, 3 * packing.SUMMED)]
+    near = [np.r_[x[: len(x) // 2], [7], x[len(x) // 2 :]] for x in held]
+    order = packing.order_of([np.unique(x) for x in held[:200]], 5000)
+    keys = order.keys(held)
+    assert np.array_equal(keys, np.concatenate([order.keys([x]) for x in held])) and np.array_equal(keys, order.keys(held[::-1])[::-1])
+    assert (order.keys(near)[:, 1] == keys[:, 1]).mean() > 0.9
+    assert np.bincount(keys[:, 0], minlength=2**packing.DEPTH).max() < 60
+    for x, (_, a, b) in zip(held, keys):
+        assert a == x[np.argmin(order.draws[0][x])] and b == x[np.argmin(order.draws[1][x])]
+    assert packing.order_of([], 10).keys([np.array([3])]).shape == (1, 3)
+
+
+def test_neighbours_are_those_of_plain_bm25():
+    """A window's neighbours are the unused documents by falling score, as a plain BM25 gives it, postings taken out or not."""
     r = np.random.default_rng(4)
     held = [r.integers(0, 300, r.integers(1, 60)) for _ in range(400)]
     held += held[:20]
-    idf, mean = r.random(300), 30.0
-    free = spark.createDataFrame([(i, len(x), 0, x.astype("<u2").tobytes()) for i, x in enumerate(held)], "row long, n long, at long, ids binary")
-    asks = [np.unique(x) for x in held[:30]]
-    opened = spark.createDataFrame([(1000 + i, 200, len(x), x.astype("<u4").tobytes()) for i, x in enumerate(asks)], "seq long, room long, n long, terms binary")
-    got, index = packing.searched(free, opened, 7, idf, mean).toPandas(), packing.Index(held, idf, mean)
-    for i, x in enumerate(asks):
-        scores = index.of_terms(x)
-        own = got[got.seq == 1000 + i].sort_values(["score", "tie"], ascending=[False, True])
-        assert np.allclose(own.score, scores[own.row])
-        own = own[own.left.cumsum() - own.left < 200]
-        assert np.allclose(own.score, -np.sort(-scores)[: len(own)])
+    df = np.bincount(np.concatenate([np.unique(x) for x in held]), minlength=300)
+    idf, mean = np.log1p((len(held) - df + 0.5) / (df + 0.5)), np.mean([len(x) for x in held])
+
+    def score(seed, doc):
+        tf = Counter(doc.tolist())
+        return sum(idf[t] * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(doc) / mean)) for t in set(seed.tolist()) if t in tf)
+
+    used, seeds = set(), {}
+    for k, _, length, sequence, offset in packing.fill(held, packing.Index(held, idf, mean), 200):
+        if sequence in seeds and seeds[sequence] is not None:
+            best = max(score(held[seeds[sequence]], held[i]) for i in range(len(held)) if i not in used)
+            assert score(held[seeds[sequence]], held[k]) == pytest.approx(best, rel=1e-5)
+        # the piece that fills the window ends it; a later one that goes on with the same document is a seed
+        seeds.setdefault(sequence, k)
+        used.add(k)
+    assert len(used) == len(held)
 
 
 def test_all_terms_of_the_seed():
