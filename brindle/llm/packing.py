@@ -39,10 +39,22 @@ WINDOW, SHARD_TOKENS = 4096, 1 << 20
 K1, B = 1.2, 0.75
 #: Documents, and distinct terms of each, that the tree of topics is fitted on; its depth, coordinates and hashed terms.
 SAMPLE, SAMPLE_TERMS, DEPTH, COORDINATES, BUCKETS = 4096, 2048, 8, 16, 4096
-#: Tokens whose coordinates are summed at once.
+#: Tokens whose terms are looked at together, if they aren't one document's.
 SUMMED = 1 << 17
 
 
+def distinct(docs: list[np.ndarray], wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, times) of the distinct terms of each document, in this order. Terms are less than wide; no document is empty."""
+    kind = np.uint16 if wide <= 1 << 16 else np.int64
+    sizes = np.array([len(d) for d in docs])
+    all_ = np.concatenate([np.sort(d.astype(kind), kind="stable") for d in docs])
+    new = np.ones(len(all_), dtype=bool)
+    new[1:] = all_[1:] != all_[:-1]
+    new[np.cumsum(sizes) - sizes] = True
+    at = np.flatnonzero(new)
+    return np.repeat(np.arange(len(docs)), sizes)[at], all_[at].astype(np.int64), np.diff(at, append=len(all_))
+
+
 @dataclass
 class Order:
     """Puts documents in an order of content: topic, and two weighted minhashes."""
@@ -51,33 +63,25 @@ class Order:
     draws: np.ndarray  # two exponential draws of each term, divided by its weight
     cuts: list[tuple[np.ndarray, np.ndarray]]  # of each level: the coordinate and the value that halves each node
 
-    def keys(self, docs: list[np.ndarray]) -> np.ndarray:
-        """A row of topic, first and second minhash for each document (ids, never empty)."""
-        out = np.zeros((len(docs), 3), dtype=np.int32)
+    def keys(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """A row of topic, first and second minhash for each document (ids, never empty), and how many of them hold each term."""
+        wide = len(self.loads)
+        out, counts = np.zeros((len(docs), 3), dtype=np.int32), np.zeros(wide, dtype=np.int64)
         at = 0
         while at < len(docs):
             to, n = at, 0
             while to < len(docs) and (n == 0 or n + len(docs[to]) <= SUMMED):
                 n, to = n + len(docs[to]), to + 1
-            own = docs[at:to]
-            first = np.cumsum([0, *map(len, own[:-1])])
-            terms = np.minimum(np.concatenate(own), len(self.loads) - 1)
-            place = np.zeros((len(own), self.loads.shape[1]), dtype=np.float32)
-            for k in range(0, len(terms), SUMMED):  # one document may be longer than SUMMED
-                part = terms[k : k + SUMMED]
-                begin = np.maximum(first - k, 0)[np.searchsorted(first, k, side="right") - 1 :]
-                begin = begin[begin < len(part)]
-                row = np.searchsorted(first, k, side="right") - 1
-                place[row : row + len(begin)] += np.add.reduceat(self.loads[part], begin, axis=0)
-            out[at:to, 0] = self.topic(place)
+            owner, terms, _ = distinct(docs[at:to], wide)
+            first = np.searchsorted(owner, np.arange(to - at))
+            counts += np.bincount(terms, minlength=wide)
+            out[at:to, 0] = self.topic(np.add.reduceat(self.loads[terms], first, axis=0))
             for i in (0, 1):
                 draw = self.draws[i][terms]
-                least = np.repeat(np.minimum.reduceat(draw, first), [len(d) for d in own])
-                hit = np.flatnonzero(draw == least)
-                owner = np.searchsorted(first, hit, side="right") - 1
-                out[at:to, 1 + i] = terms[hit[np.searchsorted(owner, np.arange(len(own)))]]
+                hit = np.flatnonzero(draw == np.minimum.reduceat(draw, first)[owner])
+                out[at:to, 1 + i] = terms[hit[np.searchsorted(owner[hit], np.arange(to - at))]]
             at = to
-        return out
+        return out, counts
 
     def topic(self, place: np.ndarray) -> np.ndarray:
         place = place / np.maximum(np.linalg.norm(place, axis=1, keepdims=True), 1e-9)
@@ -133,50 +137,51 @@ def fitted(df: DataFrame, vocabulary: str, terms: int, id_col: str, text_col: st
 
 def encoded(df: DataFrame, vocabulary: str, end_id: int, order: Order, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Written table: id, row (a number of its own for each token of each row: that of its first), n, topic, first, second, ids
-    (little-endian, two bytes each where all fit)."""
+    (little-endian, two bytes each where all fit). Each task adds a row with n -1 whose ids hold terms and in how many of its
+    documents they are (8 bytes each)."""
+    kind = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks, row = library_table(vocabulary), TaskContext.get().partitionId() << 40
-        end = np.array([end_id], np.uint32)
+        end, seen = np.array([end_id], np.uint32), np.zeros(len(order.loads), dtype=np.int64)
+        names = ["id", "row", "n", "topic", "first", "second", "ids"]
         for b in batches:
             ids = [np.concatenate([x, end]) for x in chunks.ids(b.column(1))]
             n = np.array([len(x) for x in ids], dtype=np.int64)
-            keys = order.keys(ids)
+            keys, counts = order.keys(ids)
+            seen += counts
             narrow = [(x.astype("<u2") if x.max() < 1 << 16 else x.astype("<u4")).tobytes() for x in ids]
             columns = [b.column(0), pa.array(row + np.cumsum(n) - n), pa.array(n), *[pa.array(np.ascontiguousarray(keys[:, i])) for i in range(3)], pa.array(narrow, pa.binary())]
-            yield pa.record_batch(columns, names=["id", "row", "n", "topic", "first", "second", "ids"])
+            yield pa.record_batch(columns, names=names)
             row += int(n.sum())
+            empty = b.column(0)[:0]
+        if row & ((1 << 40) - 1):
+            at = np.flatnonzero(seen)
+            none = pa.nulls(1, empty.type)
+            yield pa.record_batch([none, pa.array([-1]), pa.array([-1]), *[pa.array([-1], pa.int32())] * 3, pa.array([at.tobytes() + seen[at].tobytes()], pa.binary())], names=names)
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return written(rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, row long, n long, topic int, first int, second int, ids binary"), "tokens")
+    return written(rows.mapInArrow(run, f"id {kind}, row long, n long, topic int, first int, second int, ids binary"), "tokens")
 
 
 def ids_of(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, "<u4" if len(data) == 4 * n else "<u2").astype(np.uint32)
 
 
-def frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, int]:
+def frequencies(tokens: DataFrame, terms: int) -> tuple[np.ndarray, int, int]:
     """Documents that hold each term, documents, tokens: over the whole table. As many numbers as the vocabulary has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()  # a worker that has encoded doesn't need its table any more
-        seen, own = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
         for b in batches:
-            for data, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = ids_of(data, n)
-                if len(seen) <= (top := int(ids.max())):
-                    seen = np.concatenate([seen, np.zeros(top + 1 - len(seen), dtype=np.int64)])
-                    own = np.zeros(len(seen), dtype=bool)
-                own[ids] = True
-                seen += own
-                own[ids] = False
-        at = np.flatnonzero(seen)
-        yield pa.record_batch([pa.array(at), pa.array(seen[at])], names=["term", "docs"])
-
-    counts = tokens.select("ids", "n").mapInArrow(run, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).toPandas()
-    n_docs, n_tokens = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    out = np.zeros(int(counts.term.max()) + 1 if len(counts) else 1, dtype=np.int64)
-    out[counts.term.to_numpy()] = counts.docs.to_numpy()
+            for data in b.column(0).to_pylist():
+                term, docs = np.frombuffer(data, np.int64).reshape(2, -1)
+                yield pa.record_batch([pa.array(term), pa.array(docs)], names=["term", "docs"])
+
+    counts = tokens.where("n < 0").select("ids").mapInArrow(run, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).toPandas()
+    n_docs, n_tokens = tokens.where("n > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    out = np.zeros(terms, dtype=np.int64)
+    out[counts.term.to_numpy(dtype=np.int64)] = counts.docs.to_numpy(dtype=np.int64)
     return out, n_docs, n_tokens
 
 
@@ -186,25 +191,27 @@ class Index:
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
         sizes = np.array([len(d) for d in docs])
         self.n, self.wide = len(docs), len(idf)
-        owner = np.repeat(np.arange(len(docs), dtype=np.int64), sizes)
-        pair, tf = np.unique(owner * self.wide + np.concatenate(docs), return_counts=True)
-        doc, term = pair // self.wide, pair % self.wide
+        doc, term, tf = distinct(docs, self.wide)
         weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean_length))).astype(np.float32)
         self.of_doc, self.terms = np.searchsorted(doc, np.arange(len(docs) + 1)), term.astype(np.int32)
         by_term = np.argsort(term.astype(np.uint16 if self.wide <= 1 << 16 else np.int64), kind="stable")
         self.doc, self.weight, self.term = doc[by_term].astype(np.int32), weight[by_term], self.terms[by_term]
-        self.first = np.searchsorted(self.term, np.arange(self.wide + 1)).tolist()
+        self.first = np.searchsorted(self.term, np.arange(self.wide + 1))
 
     def scores(self, seed: int) -> np.ndarray:
         """Of all documents that weren't forgotten, by all distinct terms of the seed."""
-        parts = [slice(self.first[t], self.first[t + 1]) for t in self.terms[self.of_doc[seed] : self.of_doc[seed + 1]].tolist()]
-        return np.bincount(np.concatenate([self.doc[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), minlength=self.n)
+        terms = self.terms[self.of_doc[seed] : self.of_doc[seed + 1]]
+        first = self.first[terms]
+        sizes = self.first[terms + 1] - first
+        upto = np.cumsum(sizes)
+        at = np.repeat(first - (upto - sizes), sizes) + np.arange(int(upto[-1]))
+        return np.bincount(self.doc[at], self.weight[at], minlength=self.n)
 
     def forget(self, used: np.ndarray) -> None:
         """Take the postings of used documents out."""
         on = ~used[self.doc]
         self.doc, self.weight, self.term = self.doc[on], self.weight[on], self.term[on]
-        self.first = np.searchsorted(self.term, np.arange(self.wide + 1)).tolist()
+        self.first = np.searchsorted(self.term, np.arange(self.wide + 1))
 
 
 def fill(docs: list[np.ndarray], index: Index, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
@@ -251,9 +258,9 @@ def pack(df: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW,
     """id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids (binary, little-endian unsigned 32-bit)."""
     from tokenizers import Tokenizer
 
-    order = fitted(df, vocabulary, Tokenizer.from_file(vocabulary).get_vocab_size(with_added_tokens=True), id_col, text_col)
-    tokens = encoded(df, vocabulary, end_id, order, id_col, text_col)
-    docs, n_docs, n_tokens = frequencies(tokens)
+    terms = max(Tokenizer.from_file(vocabulary).get_vocab_size(with_added_tokens=True), end_id + 1)
+    tokens = encoded(df, vocabulary, end_id, fitted(df, vocabulary, terms, id_col, text_col), id_col, text_col)
+    docs, n_docs, n_tokens = frequencies(tokens, terms)
     idf, mean = np.log1p((n_docs - docs + 0.5) / (docs + 0.5)), n_tokens / max(n_docs, 1)
 
     def packed(ids: pa.Array, rows: np.ndarray, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +297,7 @@ def pack(df: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW,
         yield from shards(1)
 
     by = ["topic", "first", "second", "tie"]
-    dealt = tokens.withColumn("tie", F.xxhash64("row")).repartitionByRange(max(1, -(-n_tokens // shard_tokens)), *by).sortWithinPartitions(*by)
+    dealt = tokens.where("n > 0").withColumn("tie", F.xxhash64("row")).repartitionByRange(max(1, -(-n_tokens // shard_tokens)), *by).sortWithinPartitions(*by)
     kind = dict(tokens.dtypes)["id"]
     made = dealt.select("id", "row", "n", "ids").mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids)
     return made.withColumnRenamed("id", id_col)

@@ -393,13 +393,14 @@ def test_order_of_content():
     held = [r.integers(0, 5000, r.integers(1, 400)) for _ in range(300)] + [r.integers(0, 5000, 3 * packing.SUMMED)]
     near = [np.r_[x[: len(x) // 2], [7], x[len(x) // 2 :]] for x in held]
     order = packing.order_of([np.unique(x) for x in held[:200]], 5000)
-    keys = order.keys(held)
-    assert np.array_equal(keys, np.concatenate([order.keys([x]) for x in held])) and np.array_equal(keys, order.keys(held[::-1])[::-1])
-    assert (order.keys(near)[:, 1] == keys[:, 1]).mean() > 0.9
+    keys, counts = order.keys(held)
+    assert np.array_equal(counts, sum(np.bincount(np.unique(x), minlength=5000) for x in held))
+    assert np.array_equal(keys, np.concatenate([order.keys([x])[0] for x in held])) and np.array_equal(keys, order.keys(held[::-1])[0][::-1])
+    assert (order.keys(near)[0][:, 1] == keys[:, 1]).mean() > 0.9
     assert np.bincount(keys[:, 0], minlength=2**packing.DEPTH).max() < 60
     for x, (_, a, b) in zip(held, keys):
         assert a == x[np.argmin(order.draws[0][x])] and b == x[np.argmin(order.draws[1][x])]
-    assert packing.order_of([], 10).keys([np.array([3])]).shape == (1, 3)
+    assert packing.order_of([], 10).keys([np.array([3])])[0].shape == (1, 3)
 
 
 def test_neighbours_are_those_of_plain_bm25():
