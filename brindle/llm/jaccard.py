@@ -12,7 +12,9 @@ strangers, one of several hardly any), so the smallest are skipped; where that i
 In bands of small sets all segments have neighbourhoods.
 
 Candidates are verified exactly on the shingle sets. A group of sets under one key is never paired off: first each with one
-centre; then, as linked sets are in one component already, only pairs of different components, each a probe and an indexed set.
+centre; then, as linked sets are in one component already, a probe and an indexed set of different components, and of these
+only the pairs that sizes and sketches (the parity of the shingles in some slots, which bounds the difference from below)
+don't rule out. That test is the join's own condition, so pairs that it rules out are never rows.
 
 Shingles and sets are known by 64-bit (62-bit for sets) hashes. Equal sets are one node of the graph, whose documents get
 the node's component.
@@ -41,8 +43,11 @@ from brindle.llm.store import written
 WORDS, PERCENT = 5, 75
 #: Bands from this size on index neighbourhoods of some segments only.
 SMALL = 32
-#: Slots of the filter that spares texts without candidates from being read again; it never decides.
-FILTER_SLOTS = 1 << 20
+#: Slots of a set's sketch (at least), which joins compare as numbers of 64 bits.
+SLOTS = 1024
+#: The most sets with candidates of which the driver makes a filter, and its slots for each. It spares texts from being made
+#: into sets again and never decides; beyond it the texts are joined.
+FILTERED, FILTER_SLOTS = 1 << 21, 16
 #: Frequent shingles that steer the allocation, and the sets of a task that are counted together (memory of a worker).
 FREQUENT, COUNTED = 1 << 16, 4000
 NONE = (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
@@ -139,26 +144,31 @@ def chained(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def sketch_of(found: np.ndarray) -> bytes:
-    """The parity of the shingles in each of 2^k slots, as many as there are shingles or more (64 at least).
+    """The parity of the shingles in each of 2^k slots, as many as there are shingles or more (SLOTS at least).
 
     Two sets differ in at least as many shingles as their sketches in bits; halves folded together make the shorter sketch."""
-    slots = 1 << max(6, int(len(found) - 1).bit_length())
+    slots = max(SLOTS, 1 << int(len(found) - 1).bit_length())
     return np.packbits(np.bincount((mix(found + M1) & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1, bitorder="little").tobytes()
 
 
+def folded(sketch: bytes) -> np.ndarray:
+    """The sketch of SLOTS slots, as signed numbers of 64 bits."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, "<i8").reshape(-1, SLOTS // 64), axis=0)
+
+
 def may_link(n: int, sketch: bytes, m: int, other: bytes, percent: int) -> bool:
     """False only if the sets of n and m shingles can't be similar."""
     if percent * max(n, m) > 100 * min(n, m):
         return False
     bits, x, y = 8 * min(len(sketch), len(other)), int.from_bytes(sketch, "little"), int.from_bytes(other, "little")
 
-    def folded(value: int, wide: int) -> int:
+    def narrow(value: int, wide: int) -> int:
         while wide > bits:
             wide //= 2
             value = (value >> wide) ^ (value & ((1 << wide) - 1))
         return value
 
-    x, y = folded(x, 8 * len(sketch)), folded(y, 8 * len(other))
+    x, y = narrow(x, 8 * len(sketch)), narrow(y, 8 * len(other))
     return (x ^ y).bit_count() <= difference(n + m, percent)
 
 
@@ -258,7 +268,7 @@ def key_rows(sets: list[np.ndarray], nodes: np.ndarray, below: bool, percent: in
 
 
 def described(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, h (the text's hash), n_shingles, node and sketch (null without shingles).
+    """id, h (the text's hash), n_shingles, node, sketch and fold (its folded(); null without shingles).
 
     Each task adds rows with n_shingles -1 whose sketch holds the shingles in a hundredth of its documents or more, with
     their counts: at most a hundred times the mean size of its sets."""
@@ -272,7 +282,7 @@ def described(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_co
             all_, counts = np.unique(np.concatenate(held) if held else np.empty(0, dtype=np.uint64), return_counts=True)
             often = counts >= max(3, n // 100)
             data = all_[often].tobytes() + counts[often].astype(np.uint64).tobytes()
-            return pd.DataFrame({"id": pd.array([None], dtype="Int64") if whole else [None], "h": [0], "n_shingles": [-1], "node": pd.array([None], dtype="Int64"), "sketch": [data]})
+            return pd.DataFrame({"id": pd.array([None], dtype="Int64") if whole else [None], "h": [0], "n_shingles": [-1], "node": pd.array([None], dtype="Int64"), "sketch": [data], "fold": [None]})
 
         for b in batches:
             sets = shingle_sets(list(b.text), words)
@@ -284,13 +294,14 @@ def described(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_co
             if n >= COUNTED:
                 yield frequent()
                 held, n = [], 0
-            yield pd.DataFrame({"id": b.id, "h": b.h, "n_shingles": [len(s) for s in sets], "node": pd.array([node_of(s) if len(s) else None for s in sets], dtype="Int64"), "sketch": [sketch_of(s) if len(s) else None for s in sets]})
+            sketches = [sketch_of(s) if len(s) else None for s in sets]
+            yield pd.DataFrame({"id": b.id, "h": b.h, "n_shingles": [len(s) for s in sets], "node": pd.array([node_of(s) if len(s) else None for s in sets], dtype="Int64"), "sketch": sketches, "fold": [None if x is None else folded(x) for x in sketches]})
         if held:
             yield frequent()
 
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     whole = dict(rows.dtypes)["id"] in ("bigint", "int", "smallint", "tinyint")
-    return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, h long, n_shingles long, node long, sketch binary")
+    return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, h long, n_shingles long, node long, sketch binary, fold array<long>")
 
 
 def frequent_shingles(described_: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -360,25 +371,43 @@ def possible(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return with_both.mapInArrow(run, "a long, b long")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, df: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of nodes that are similar, by their whole sets. docs: described()."""
-    pairs = written(possible(pairs, docs, percent), "possible")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    reps = docs.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id")).join(nodes, "node", "left_semi")
-    hashed = lambda c: F.coalesce(F.pmod(F.xxhash64(c.cast("string")), F.lit(FILTER_SLOTS)), F.lit(-1)).cast("int")
-    slots = reps.select(hashed(F.col("id")).alias("slot")).distinct().toPandas().slot.to_numpy()  # at most FILTER_SLOTS numbers
-    wanted = np.zeros(FILTER_SLOTS + 1, dtype=bool)
-    wanted[slots] = True  # null ids are at -1, the last
+def sets_of(nodes: DataFrame, docs: DataFrame, df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """Written table: node, held (the sorted shingles, 8 bytes each) of the wanted nodes. One text of each is made into a set."""
+    reps = written(docs.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "h")).alias("rep")).join(nodes, "node", "left_semi").select("rep.*"), "reps")
+    n = reps.count()
+    if n <= FILTERED:
+        slots = 1 << max(10, (n * FILTER_SLOTS).bit_length())
+        hashed = lambda i, h: F.pmod(F.xxhash64(i, h), F.lit(slots)).cast("int")
+        wanted = np.zeros(slots, dtype=bool)
+        wanted[reps.select(hashed("id", "h").alias("slot")).toPandas().slot.to_numpy()] = True  # at most FILTERED numbers
+        packed = np.packbits(wanted)
+        texts = df.select(hashed(F.col(id_col), F.xxhash64(F.col(text_col))).alias("slot"), F.col(text_col).alias("text"))
+    else:
+        packed = None
+        own = df.select(F.col(id_col).alias("own"), F.xxhash64(F.col(text_col)).alias("own_h"), F.col(text_col).alias("text"))
+        texts = own.join(reps, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_h") == F.col("h")), "left_semi").select(F.lit(0).alias("slot"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # of this task: copies needn't be said again
         for b in batches:
-            at = np.flatnonzero(wanted[b.column(0).to_numpy(zero_copy_only=False)])
+            at = np.arange(b.num_rows)
+            if packed is not None:
+                slot = b.column(0).to_numpy()
+                at = np.flatnonzero(packed[slot >> 3] >> (7 - (slot & 7)) & 1)
             for k in range(0, len(at), 256):
-                sets = [s for s in shingle_sets(b.column(1).take(pa.array(at[k : k + 256])).to_pylist(), words) if len(s)]
-                yield pa.record_batch([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "held"])
+                sets = {node_of(s): s for s in shingle_sets(b.column(1).take(pa.array(at[k : k + 256])).to_pylist(), words) if len(s)}
+                fresh = [n for n in sets if n not in seen and (seen.add(n) or True)]
+                yield pa.record_batch([pa.array(fresh, pa.int64()), pa.array([sets[n].tobytes() for n in fresh], pa.binary())], names=["node", "held"])
+
+    sets = texts.mapInArrow(run, "node long, held binary")
+    return written(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "held")
 
-    sets = df.select(hashed(F.col(id_col)).alias("slot"), F.col(text_col).alias("text")).mapInArrow(run, "node long, held binary")
-    sets = sets.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+def linked(pairs: DataFrame, docs: DataFrame, df: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of nodes that are similar, by their whole sets. docs: described()."""
+    pairs = written(possible(pairs, docs, percent), "possible")
+    nodes = written(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
+    sets = sets_of(nodes, docs, df, words, id_col, text_col)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -396,6 +425,24 @@ def linked(pairs: DataFrame, docs: DataFrame, df: DataFrame, words: int, percent
     return with_a.select("a", "b", "of_a", "of_b").mapInArrow(verify, "a long, b long")
 
 
+def crossing(groups: DataFrame, rooted: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a key and that sizes and sketches don't rule out, but for the centres' pairs."""
+    known = written(groups.join(rooted, "node", "left").select("key", "node", "flags", "centre", F.coalesce("root", "node").alias("root")), "known")
+    spans = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    others = known.where("node <> centre").join(spans, "key", "left_semi")
+    facts = docs.where("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("fold").alias("fold"))
+    open_ = written(others.join(facts, "node").select("key", "node", "flags", "root", "n", "fold"), "open")
+
+    def side(bit: int, c: str) -> DataFrame:
+        return open_.where(F.col("flags").bitwiseAND(bit) != 0).select("key", *[F.col(x).alias(f"{c}_{x}") for x in ("node", "root", "n", "fold")])
+
+    most = F.expr(f"(p_n + i_n) * {100 - percent} div {100 + percent}")
+    differ = sum((F.bit_count(F.col("p_fold")[j].bitwiseXOR(F.col("i_fold")[j])) for j in range(1, SLOTS // 64)), F.bit_count(F.col("p_fold")[0].bitwiseXOR(F.col("i_fold")[0])))
+    fits = (F.col("p_root") != F.col("i_root")) & (percent * F.greatest("p_n", "i_n") <= 100 * F.least("p_n", "i_n")) & (differ <= most)
+    pairs = side(2, "p").withColumnRenamed("key", "p_key").join(side(1, "i"), (F.col("p_key") == F.col("key")) & fits)
+    return ordered(F.col("p_node"), F.col("i_node"), pairs)
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) of every node in links (a, b), by alternating large and small stars."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
@@ -416,24 +463,16 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def join(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents: id, n_shingles, node; links: a, b of nodes). The links found join all that similarity joins: every other
-    similar pair lies within a component of them."""
+    """(documents: id, n_shingles, node; edges: a, b of nodes). The edges' components are those of all links."""
     first = written(described(df, words, id_col, text_col), "sets")
     docs, frequent = first.where("n_shingles >= 0"), frequent_shingles(first)
     groups = written(grouped(keyed(df, words, percent, text_col, frequent=frequent)), "groups")
     if not groups.where("key IS NULL").isEmpty():  # so rare that all are indexed anew
         groups = written(grouped(keyed(df, words, percent, text_col, wide=True, frequent=frequent)), "groups")
-    star = written(ordered(F.col("centre"), F.col("node"), groups), "pairs")
-    links = written(linked(star, docs, df, words, percent, id_col, text_col), "links")
-    rooted = components(links)
-    known = groups.join(rooted, "node", "left").select("key", "node", "flags", F.coalesce("root", "node").alias("root"))
-    spans = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    open_ = written(known.join(spans, "key", "left_semi"), "open")
-    probes = open_.where(F.col("flags").bitwiseAND(2) != 0).select("key", F.col("node").alias("p"), F.col("root").alias("p_root"))
-    indexed = open_.where(F.col("flags").bitwiseAND(1) != 0).select("key", F.col("node").alias("i"), F.col("root").alias("i_root"))
-    rest = ordered(F.col("p"), F.col("i"), probes.join(indexed, "key").where("p_root <> i_root"))
-    rest = written(rest.join(star, ["a", "b"], "left_anti"), "pairs")
-    return docs, links.union(linked(rest, docs, df, words, percent, id_col, text_col))
+    star = ordered(F.col("centre"), F.col("node"), groups)
+    rooted = components(linked(star, docs, df, words, percent, id_col, text_col))
+    rest = linked(crossing(groups, rooted, docs, percent), docs, df, words, percent, id_col, text_col)
+    return docs, rooted.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest)
 
 
 def near_duplicates(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
