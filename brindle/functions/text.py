@@ -28,8 +28,8 @@ VACUOUS_TRUE = r"(?i)^\s*assert\s*(?:property\s*)?\(?\s*1'b1\s*\)?\s*\)?\s*;"
 COST_BUILTINS = r"\$(past|stable|rose|fell|onehot|onehot0|isunknown)\b"
 QUALITY_BUILTINS = r"\$(past|stable|rose|fell|onehot|onehot0|countones|isunknown|changed)\b"
 SET_WORDS = r"\b(inside|throughout|until|first_match)\b"
-# English modal phrases of documented properties.
-MODALS = ("must not", "must", "shall not", "shall", "should not", "should", "will not", "will")
+# English phrases of documented properties.
+MODALS = ("must", "shall", "should", "required to", "expected to", "cannot", "never", "always")
 
 
 def strip(text: Column, *patterns: str) -> Column:
@@ -294,9 +294,9 @@ def property_block(text: Column) -> Column:
 
 
 def modal(text: Column, phrases=MODALS) -> Column:
-    """The first modal phrase, null without one. Phrases may come from the caller."""
-    found = F.lower(F.regexp_extract(text, r"(?i)\b(" + "|".join(p.replace(" ", r"\s+") for p in phrases) + r")\b", 1))
-    return F.nullif(F.regexp_replace(found, r"\s+", " "), F.lit(""))
+    """The first word of the first modal phrase that something follows, null without one. Phrases may come from the caller."""
+    found = F.regexp_extract(text, r"(?i)\b(" + "|".join(p.replace(" ", r"\s+") for p in phrases) + r")\s", 1)
+    return F.nullif(F.lower(F.regexp_extract(found, r"^(\S+)", 1)), F.lit(""))
 
 
 def balanced(text: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.functions.text import VACUOUS_TRUE, canonical, exact_signature, idents, strip_outer
+from brindle.functions.text import VACUOUS_TRUE, balanced, canonical, exact_signature, idents, strip_outer
 
 A = "assertion"
 Pass = tuple[str, Callable[[DataFrame], DataFrame]]
@@ -33,8 +33,20 @@ def squeezed(text: Column) -> Column:
     return F.regexp_replace(text, r"\s+", "")
 
 
+def split_top(text: Column, sign: str) -> Column:
+    """The parts of text between the signs that stand in no parenthesis."""
+
+    def step(out: Column, part: Column) -> Column:
+        last = F.element_at(out, -1)
+        return F.when((F.size(out) > 0) & ~balanced(F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(""))), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.concat(last, F.lit(sign), part)))).otherwise(F.concat(out, F.array(part)))
+
+    parts = F.split(text, sign.replace("|", r"\|"))
+    # a fold only where a part isn't balanced on its own
+    return F.when(F.forall(parts, balanced), parts).otherwise(F.aggregate(parts, F.array().cast("array<string>"), step))
+
+
 def conjuncts(text: Column) -> Column:
-    return F.transform(F.split(text, "&&"), lambda c: squeezed(strip_outer(c, 2)))
+    return F.transform(split_top(text, "&&"), lambda c: squeezed(strip_outer(c, 2)))
 
 
 def constant_false(text: Column) -> Column:
@@ -59,6 +71,17 @@ def keep(test: Callable[[Column], Column]) -> Callable[[DataFrame], DataFrame]:
     return run
 
 
+def repair(test: Callable[[Column], Column], f: Callable[[Column], Column]) -> Callable[[DataFrame], DataFrame]:
+    """A filter that also rewrites what stays."""
+    made = keep(test)
+
+    def run(df: DataFrame) -> DataFrame:
+        return change(f)(made(df))
+
+    run.test, run.change = test, change(f)
+    return run
+
+
 def change(f: Callable[[Column], Column]) -> Callable[[DataFrame], DataFrame]:
     return lambda df: df.withColumn(A, f(F.col(A)))
 
@@ -76,12 +99,59 @@ def _flags(df: DataFrame) -> Column:
 fix_immediate_implication = change(lambda t: F.when(t.rlike(r"^assert\s*\("), F.regexp_replace(t, r"^assert\s*\((.*?)\s*\|->\s*(.*)\)(\s*(?:else.*)?;)\s*$", "assert (!($1) || ($2))$3")).otherwise(t))
 # A double negation of the same goes.
 fix_double_negation = change(lambda t: F.regexp_replace(t, r"!\s*\(\s*!\s*\(?([A-Za-z_]\w*)\)?\s*\)", "$1"))
-# A conjunct that equals the disable clause can't hold.
-remove_dead_under_disable = keep(lambda t: ~F.array_contains(conjuncts(F.coalesce(sides(t)["condition"], F.lit(""))), F.nullif(squeezed(F.regexp_extract(t, r"disable\s+iff\s*\(([^()]*)\)", 1)), F.lit(""))))
-# A clocked claim over two names or more without any relation.
-remove_missing_implication = keep(lambda t: t.rlike(r"\|[-=]>|\|\||==|!=|<|>|\$|!|inside|&&") | (F.size(idents(t)) < 2))
-# An equality without a condition between two names.
-remove_unconditional_equality = keep(lambda t: ~body(t).rlike(r"^[A-Za-z_]\w*\s*==\s*[A-Za-z_]\w*$"))
+_DISABLED = r"(?s)^(assert\b.*?(?i:disable\s+iff)\s*\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)\s*)(.*?)(\|[-=]>.*)$"
+
+
+def _dead(t: Column) -> tuple[Column, Column]:
+    """(the conjuncts of the condition, what the disable clause holds)."""
+    dead = F.nullif(squeezed(strip_outer(F.regexp_extract(t, _DISABLED, 2), 2)), F.lit(""))
+    return split_top(strip_outer(F.regexp_extract(t, _DISABLED, 3), 3), "&&"), dead
+
+
+def _strip_dead(t: Column) -> Column:
+    parts, dead = _dead(t)
+    # the first equal conjunct goes
+    at = F.array_position(F.transform(parts, lambda c: squeezed(strip_outer(c, 2))), dead)
+    left = F.filter(parts, lambda c, i: i + 1 != at)
+    new = F.concat(F.regexp_extract(t, _DISABLED, 1), F.lit("("), F.array_join(F.transform(left, lambda c: F.trim(c)), " && "), F.lit(")"), F.regexp_extract(t, _DISABLED, 4))
+    return F.when(at > 0, new).otherwise(t)
+
+
+def _only_dead(t: Column) -> Column:
+    parts, dead = _dead(t)
+    return (F.size(parts) == 1) & (squeezed(strip_outer(F.get(parts, F.lit(0)), 2)) == dead)
+
+
+# A conjunct that equals the disable clause can't hold: it goes, and the row only if nothing else is left.
+remove_dead_under_disable = repair(lambda t: ~_only_dead(t), _strip_dead)
+_ATOM = r"^\s*[!~]?\s*\(?\s*[A-Za-z_]\w*(?:\.\w+)*(?:\[[^\]]+\])?\s*\)?\s*$"
+
+
+def _violation(t: Column) -> Column:
+    """An immediate conjunction of two plain signals or more, one of them negated, without any implication."""
+    b = body(t)
+    parts = split_top(b, "&&")
+    plain = ~b.rlike(r"\|\||==|!=|<=|>=|\s<\s|\s>\s|[+*/%]|(?<![!~\-])\s-\s") & ~t.rlike(r"\|->|\|=>|##")
+    return t.rlike(r"^assert\s*\(") & plain & (F.size(parts) > 1) & F.forall(parts, lambda c: c.rlike(_ATOM)) & F.exists(parts, lambda c: c.rlike(r"^\s*[!~]"))
+
+
+# I11.
+remove_missing_implication = keep(lambda t: ~_violation(t))
+_LITERAL = r"(?:\d+'?[bdhoBDHOxXzZ?]?[\w?]*|\{[^}]+\})"
+
+
+def _always_equal(t: Column) -> Column:
+    """A name that equals a literal without any condition; names in capitals are parameters."""
+    b = body(t)
+    whole = rf"^\s*\(?\s*([A-Za-z_]\w*(?:\.\w+)*)(?:\[[^\]]+\])?\s*==\s*{_LITERAL}\s*\)?\s*$"
+    inner = rf"\(\s*([A-Za-z_]\w*(?:\[[^\]]+\])?)\s*==\s*{_LITERAL}\s*\)"
+    name = F.when(b.rlike(whole), F.regexp_extract(b, whole, 1)).otherwise(F.regexp_extract(b, inner, 1))
+    free = ~b.rlike(r"\|[->=]+|##|\$(past|stable|rose|fell|onehot|isunknown)|&&|\|\|")
+    return t.rlike("^assert") & free & (name != "") & ~(name.rlike("[A-Z]") & ~name.rlike("[a-z]") & (F.char_length(name) > 1))
+
+
+# I12.
+remove_unconditional_equality = keep(lambda t: ~_always_equal(t))
 # The claim is one of the conditions.
 remove_tautologies = keep(lambda t: ~F.array_contains(conjuncts(F.coalesce(sides(t)["condition"], F.lit(""))), squeezed(sides(t)["claim"])))
 # Conditions that never hold, claims that always do.
@@ -197,6 +267,7 @@ def counted(df: DataFrame, passes: Sequence[Pass] = PASSES) -> DataFrame:
     for step, (_, f) in enumerate(passes, 1):
         if hasattr(f, "test"):
             df = df.withColumn("__gone", F.coalesce(gone, F.when(~F.coalesce(f.test(F.col(A)), F.lit(True)), step)))
+            df = f.change(df) if hasattr(f, "change") else df
         elif hasattr(f, "key"):
             w = Window.partitionBy("id", gone.isNull(), f.key(F.col(A))).orderBy("pos")
             df = df.withColumn("__rn", F.row_number().over(w)).withColumn("__gone", F.coalesce(gone, F.when(F.col("__rn") > 1, step))).drop("__rn")

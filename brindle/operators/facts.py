@@ -28,8 +28,12 @@ NAME_TYPES = (
     (r"(?:^|_)(?:data|dat|wdat|rdat|pwdata|prdata)(?:$|_)", "data"),
     (r"(?:^|_)(?:nposted|posted)(?:$|_)", "control"),
 )
-# Name hints of roles.
-ROLE_NAMES = ((r"(?i)(?:^|_)(?:addr|adr|address)\w*$", "address"), (r"(?i)(?:^|_)(?:data|dat|payload|wdata|rdata)\w*$", "data"), (r"(?i)(?:^|_)(?:status|busy|done|full|empty|err|error|ack)\w*$", "status"))
+# Name hints of roles, in their order.
+ROLE_NAMES = (
+    (r"(?i)_addr\b|_address\b|_baseaddr\b", "address"),
+    (r"(?i)_data\b|_pd\b|_payload\b|_dout\b|_din\b", "data"),
+    (r"(?i)_status\b|_done\b|_busy\b|_idle\b|_err(or)?\b", "status"),
+)
 
 
 def signal_type(name: Column, direction: Column, width: Column) -> Column:

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder that the cluster names; only a run without one gets its own."""
+    """checkpoint() in the folder that the cluster names; only a local run without one gets its own."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         made = "file://" + tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set("spark.checkpoint.dir", made)
         spark.sparkContext.setCheckpointDir(made)
@@ -66,14 +68,19 @@ def one_way(edges: DataFrame, sources: DataFrame, hops: int = 3) -> DataFrame:
 
 
 def closure(seeds: DataFrame, refs: DataFrame, most: int = 10) -> DataFrame:
-    """K2: names that depend on seeds alone: a name enters when all it refers to is in (refs: name, ref). Until nothing changes."""
+    """K2: the seeds and what hangs on them alone (refs: name, ref), until nothing changes or most rounds are done.
+
+    Forwards a name enters when all that it refers to is in; backwards a name that is defined (it has refs of its own) enters
+    when all names that refer to it are in. Self-references don't count; a null ref only says that the name is defined."""
+    links = cut(refs.where("name <> ref").select("name", "ref").distinct())
+    needs = links.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    users = links.groupBy("ref").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("ref", "name").join(refs.select("name"), "name", "left_semi")
     inside = seeds.select("name").distinct()
-    size = refs.select("name", "ref").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    links = refs.select("name", "ref").distinct()
     for _ in range(most):
-        held = links.join(inside.withColumnRenamed("name", "ref"), "ref", "left_semi").groupBy("name").agg(F.count(F.lit(1)).alias("c"))
-        new = held.join(size, "name").where("c = n").select("name").join(inside, "name", "left_anti")
-        new = cut(new)
+        inside = cut(inside)
+        ahead = links.join(inside.withColumnRenamed("name", "ref"), "ref", "left_semi").groupBy("name").agg(F.count(F.lit(1)).alias("n")).join(needs, ["name", "n"])
+        back = links.join(inside, "name", "left_semi").groupBy("ref").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("ref", "name").join(users, ["name", "n"])
+        new = cut(ahead.select("name").union(back.select("name")).distinct().join(inside, "name", "left_anti"))
         if new.isEmpty():
             break
         inside = inside.union(new)

@@ -6,85 +6,152 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Replaced operators, and what replaces them.
-REPLACED = {"&&": ["||"], "||": ["&&"], "==": ["!="], "!=": ["=="], "<=": ["<"], ">=": [">"], "<": [">="], ">": ["<="], "+": ["-"], "-": ["+"], "&": ["|"], "|": ["&"], "^": ["|"]}
-OPERATOR = re.compile(r"\|\||&&|==|!=|<=|>=|<<|>>|<|>|\+|-|&|\||\^")
+REPLACED = {
+    "&&": ("||",),
+    "||": ("&&",),
+    "&": ("|",),
+    "|": ("&",),
+    "^": ("&", "|"),
+    "==": ("!=",),
+    "!=": ("==",),
+    ">=": (">", "=="),
+    "<=": ("<", "=="),
+    ">": (">=", "<"),
+    "<": ("<=", ">"),
+    "+": ("-",),
+    "-": ("+",),
+}
+#: An operator, two signs before one, that no = or ! stands before and no = behind.
+OPERATOR = re.compile(r"(?<![=!])(?:" + "|".join(re.escape(x) for n in (2, 1) for x in REPLACED if len(x) == n) + r")(?!=)")
 # Lines that are never mutated.
-SKIPPED = re.compile(r"^\s*(?://|/\*|\*|`|module\b|endmodule\b|input\b|output\b|inout\b|parameter\b|localparam\b|$)")
+SKIPPED = (
+    r"^\s*//",
+    r"^\s*$",
+    r"^\s*(module|endmodule)\b",
+    r"^\s*(input|output|inout)\b",
+    r"^\s*(wire|reg|logic|integer)\b",
+    r"^\s*(parameter|localparam)\b",
+    r"^\s*(begin|end)\s*$",
+    r"^\s*\);?\s*$",
+    r"^\s*\.\w+\s*\(",
+)
+# Words that are no module's or instance's name.
+NO_NAMES = (
+    "module", "endmodule", "input", "output", "inout", "wire", "reg", "logic", "assign", "always", "initial", "if", "else", "begin", "end",
+    "case", "default", "for", "generate", "parameter", "localparam", "function", "endfunction", "task", "endtask", "always_comb", "always_ff",
+    "always_latch", "integer",
+)
+SKIP, INSTANCE = re.compile("|".join(SKIPPED)), re.compile(r"^\s*(\w+)\s+(?:#\s*\(.*?\)\s+)?(\w+)\s*\(")
+Made = Iterator[tuple[str, str]]
 
 
 def _put(line: str, m: re.Match, new: str) -> str:
     return line[: m.start()] + new + line[m.end() :]
 
 
-def op_replace(line: str) -> Iterator[tuple[str, str]]:
-    """M1."""
+def op_replace(line: str) -> Made:
+    """M1: mutated line and description, operator by operator."""
     for m in OPERATOR.finditer(line):
-        for new in REPLACED.get(m[0], ()):
-            yield _put(line, m, new), f"{m[0]} to {new}"
-
-
-def const_replace(line: str) -> Iterator[tuple[str, str]]:
-    """M2: one-bit constants flip, the last digit of other literals changes, integers move by one."""
-    for m in re.finditer(r"\d+'[bdh][0-9a-fA-F]+|(?<![\w'])\d+\b", line):
-        if m[0] in ("1'b0", "1'b1"):
-            news = ["1'b1" if m[0] == "1'b0" else "1'b0"]
-        elif "'" in m[0]:
-            news = [m[0][:-1] + ("1" if m[0][-1] == "0" else "0")]
-        else:
-            news = [str(int(m[0]) + 1)] + ([str(int(m[0]) - 1)] if int(m[0]) > 0 else [])
-        for new in news:
-            yield _put(line, m, new), f"{m[0]} to {new}"
-
-
-def slice_move(line: str) -> Iterator[tuple[str, str]]:
-    """M4: both ends of a slice move by one, down only from above 0."""
+        for new in REPLACED[m[0]]:
+            yield _put(line, m, new), f"Replace '{m[0]}' with '{new}'"
+
+
+def _other_constant(said: str) -> tuple[str, ...]:
+    if "'" not in said:
+        n = int(said)
+        return (str(1 - n),) if n < 2 else (str(n - 1), str(n + 1))
+    if said in ("1'b0", "1'b1"):
+        return ("1'b1" if said == "1'b0" else "1'b0",)
+    size, base, digits = re.fullmatch(r"(\d+)'(.)(.+)", said).groups()
+    if digits == "0":
+        return ()
+    if base == "b":
+        last = "0" if digits[-1] == "1" else "1"
+    elif base == "h":
+        last = f"{int(digits[-1], 16) ^ 1:x}" if digits[-1] != "_" else ""
+    else:
+        last = str(int(digits[-1]) ^ 1) if digits[-1].isdigit() else ""
+    return (f"{size}'{base}{digits[:-1]}{last}",) if last else ()
+
+
+def const_replace(line: str) -> Made:
+    """M2: one-bit constants flip, the lowest bit of other literals' last digit flips (of a plain zero not), integers move by one."""
+    for m in re.finditer(r"\d+'[bhd][0-9a-fA-F_]+|\b\d+\b", line, re.ASCII):
+        for new in _other_constant(m[0]):
+            yield _put(line, m, new), f"Replace constant '{m[0]}' with '{new}'"
+
+
+def slice_move(line: str) -> Made:
+    """M4: both ends of a slice move by one: down, only from above 0, then up."""
     for m in re.finditer(r"\[(\d+):(\d+)\]", line):
         hi, lo = int(m[1]), int(m[2])
-        for step in (1, -1) if lo > 0 else (1,):
-            yield _put(line, m, f"[{hi + step}:{lo + step}]"), f"{m[0]} by {step}"
+        for step, said in ((-1, "down"), (1, "up")):
+            if step > 0 or lo > 0:
+                new = f"[{hi + step}:{lo + step}]"
+                yield _put(line, m, new), f"Shift {m[0]} {said} to {new}"
 
 
-def cond_negate(line: str) -> Iterator[tuple[str, str]]:
-    """M5."""
-    for m in re.finditer(r"\bif\s*\(", line):
-        depth = 0
-        for i in range(m.end() - 1, len(line)):
-            depth += (line[i] == "(") - (line[i] == ")")
-            if depth == 0:
-                yield f"{line[: m.end()]}!({line[m.end() : i]}){line[i:]}", "condition negated"
-                break
+def cond_negate(line: str) -> Made:
+    """M5: negations of a name go, then conditions that are one name are negated."""
+    for m in re.finditer(r"!(\w+)", line):
+        yield _put(line, m, m[1]), f"Remove negation: !{m[1]} → {m[1]}"
+    for m in re.finditer(r"if\s*\(\s*(\w+)\s*\)", line):
+        yield _put(line, m, f"if (!{m[1]})"), f"Negate condition: if ({m[1]}) → if (!{m[1]})"
 
 
-def assign_delete(line: str) -> Iterator[tuple[str, str]]:
+def assign_delete(line: str) -> Made:
     """M6."""
-    if re.match(r"\s*(?:assign\b.*=|[\w.\[\]:]+\s*<=).*;", line):
-        yield re.sub(r"^(\s*)", r"\1// deleted: ", line, count=1), "assignment deleted"
+    if re.match(r"\s*(assign\s+\w+\s*=|[\w\[\]:]+\s*<=)", line):
+        yield f"// MUTANT_DELETED: {line.lstrip()}", "Delete assignment"
+
 
+def edge_swap(line: str) -> Made:
+    """M7: the first edge of each kind turns."""
+    for old, new in (("posedge", "negedge"), ("negedge", "posedge")):
+        if old in line:
+            yield line.replace(old, new, 1), f"Swap {old} → {new}"
 
-def edge_swap(line: str) -> Iterator[tuple[str, str]]:
-    """M7: the first edge turns."""
-    for a, b in (("posedge", "negedge"), ("negedge", "posedge")):
-        if re.search(rf"\b{a}\b", line):
-            yield re.sub(rf"\b{a}\b", b, line, count=1), f"{a} to {b}"
 
+def signal_swap(widths: dict[str, int]) -> Callable[[str], Made]:
+    """M3: each two signals of equal width that the line holds trade places throughout; widths in their order of declaration.
 
-def signal_swap(widths: dict[str, int]) -> Callable[[str], Iterator[tuple[str, str]]]:
-    """M3: of two signals of equal width in the line, in the order of names, the first gives way to the second."""
+    Names count wherever their letters stand. Hierarchical names (with a point) take no part; leave clocks and resets out."""
+    groups: dict[int, list[str]] = {}
+    for name, width in widths.items():
+        if "." not in name:
+            groups.setdefault(width, []).append(name)
 
-    def swap(line: str) -> Iterator[tuple[str, str]]:
-        there = sorted(n for n in widths if re.search(rf"\b{re.escape(n)}\b", line))
-        for i, a in enumerate(there):
-            for b in there[i + 1 :]:
-                if widths[a] == widths[b]:
-                    yield re.sub(rf"\b{re.escape(a)}\b", b, line, count=1), f"{a} to {b}"
+    def swap(line: str) -> Made:
+        for names in groups.values():
+            there = [n for n in names if n in line]
+            for i, a in enumerate(there):
+                for b in there[i + 1 :]:
+                    new = b.join(part.replace(b, a) for part in line.split(a))
+                    if new != line:
+                        yield new, f"Swap '{a}' with '{b}'"
 
     return swap
 
 
+def instances(lines: Sequence[str]) -> list[bool]:
+    """Which lines of a file belong to an instance of another module, up to the parenthesis that closes it."""
+    out, depth = [], 0
+    for line in lines:
+        if depth <= 0:
+            m = INSTANCE.match(line)
+            if not m or m[1] in NO_NAMES or m[2] in NO_NAMES:
+                out.append(False)
+                continue
+            depth = 0
+        depth += line.count("(") - line.count(")")
+        out.append(True)
+    return out
+
+
 #: The registry.
 OPERATORS: dict[str, Callable[[str], Iterator[tuple[str, str]]]] = {
     "OP_REPLACE": op_replace,
@@ -97,26 +164,28 @@ OPERATORS: dict[str, Callable[[str], Iterator[tuple[str, str]]]] = {
 
 
 def mutants(lines: DataFrame, source: str, line_no: str, line: str, names: Sequence[str] | None = None, widths: dict[str, int] | None = None, most: int | None = None) -> DataFrame:
-    """M8: source, id (0, 1 ... within the source), operator, line_no, original, mutated, description; equal mutants of a line once."""
+    """M8: source, id (0, 1 ... within the source), operator, line_no, original, mutated, description; equal mutants of a line once.
+
+    A group is one source file, as an instance's lines are known only in their order."""
     chosen = [(n, OPERATORS[n]) for n in names or OPERATORS] + ([("SIGNAL_SWAP", signal_swap(widths))] if widths else [])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for s, no, text in zip(b.source, b.line_no, b.line):
-                if text is None or SKIPPED.match(text):
-                    continue
-                for rank, (name, make) in enumerate(chosen):
-                    out += [(s, no, rank, k, name, text, new, why) for k, (new, why) in enumerate(make(text)) if new != text]
-            yield pd.DataFrame(out, columns=["source", "line_no", "rank", "k", "operator", "original", "mutated", "description"])
+    def run(file: pd.DataFrame) -> pd.DataFrame:
+        file, out, n = file.sort_values("line_no"), [], 0
+        said = [x if isinstance(x, str) else "" for x in file.line]
+        for s, no, text, instance in zip(file.source, file.line_no, said, instances(said)):
+            if instance or SKIP.match(text):
+                continue
+            seen: set[str] = set()
+            for name, make in chosen:
+                for new, why in make(text):
+                    if new not in seen and (most is None or n < most):
+                        seen.add(new)
+                        out.append((s, no, name, text, new, why, n))
+                        n += 1
+        return pd.DataFrame(out, columns=["source", "line_no", "operator", "original", "mutated", "description", "id"])
 
     rows = lines.select(F.col(source).cast("string").alias("source"), F.col(line_no).cast("long").alias("line_no"), F.col(line).alias("line"))
-    made = rows.mapInPandas(run, "source string, line_no long, rank int, k int, operator string, original string, mutated string, description string")
-    same = Window.partitionBy("source", "line_no", F.md5("mutated")).orderBy("rank", "k")
-    made = made.withColumn("__rn", F.row_number().over(same)).where("__rn = 1")
-    order = Window.partitionBy("source").orderBy("line_no", "rank", "k")
-    made = made.withColumn("id", F.row_number().over(order) - 1).drop("__rn", "rank", "k")
-    return made if most is None else made.where(F.col("id") < most)
+    return rows.groupBy("source").applyInPandas(run, "source string, line_no long, operator string, original string, mutated string, description string, id long")
 
 
 def evaluate(mutants_: DataFrame, run_one: Callable[[str], str]) -> DataFrame:

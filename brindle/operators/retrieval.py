@@ -19,14 +19,8 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def dense_topk(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """L1/F1: query, id, score, rank of the k nearest by cosine. queries (query, q) is a small stated set, held against all rows."""
-    scored = rows.select(id_col, vector).join(queries.select("query", "q"), F.size(vector) == F.size("q")).select("query", id_col, cosine(F.col(vector), F.col("q")).alias("score"))
-    return ranked(scored, k, id_col)
-
-
-def dense_topk_blocks(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
-    """L1/F1: like dense_topk for any number of queries: blocks of queries meet blocks of rows, and the k best of each meeting are
+def dense_topk(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
+    """L1/F1: query, id, score, rank of the k nearest by cosine. queries: query, q. Blocks of queries meet blocks of rows, and the k best of each meeting are
     merged. Scores are rounded to 12 digits before they are ranked. Vectors with a null, without a length or of no element take no part."""
     fine = lambda df, c: df.where(F.coalesce(F.size(c) > 0, F.lit(False)) & F.forall(c, lambda x: x.isNotNull()) & (dot(F.col(c), F.col(c)) > 0))
     asks = fine(queries.select("query", F.col("q").cast("array<double>").alias("v")), "v")
@@ -57,7 +51,8 @@ def dense_topk_blocks(queries: DataFrame, rows: DataFrame, k: int, id_col: str =
 def ranked(scored: DataFrame, k: int, id_col: str) -> DataFrame:
     """rank counts from 0; ties go to the smaller id."""
     w = Window.partitionBy("query").orderBy(F.desc("score"), id_col)
-    return scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    # the filter on the row number itself lets each task keep its own k best before the shuffle
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 def postings(rows: DataFrame, id_col: str, tokens: str) -> DataFrame:
@@ -66,14 +61,19 @@ def postings(rows: DataFrame, id_col: str, tokens: str) -> DataFrame:
     return each.groupBy("term", id_col).agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
-def bm25(index: DataFrame, queries: DataFrame, n_docs: DataFrame, id_col: str, epsilon: float = 0.25) -> DataFrame:
-    """L2: query, id, score. queries: query, term. n_docs: one row n, mean_length. idf = ln((n - df + 0.5) / (df + 0.5)), where
-    negative epsilon times the mean idf of all terms (so that mean is one more aggregate over the terms)."""
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def bm25(rows: DataFrame, id_col: str, tokens: str, queries: DataFrame, n_docs: DataFrame, epsilon: float = 0.25) -> DataFrame:
+    """L2: query, id, score. rows: id, tokens (an array); queries: query, term. n_docs: one row n, mean_length.
+
+    idf = ln((n - df + 0.5) / (df + 0.5)), where negative epsilon times the mean idf of all terms. Document frequencies are
+    counted map-side over all terms; only the queries' terms become postings."""
+    df = rows.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     terms = df.crossJoin(F.broadcast(n_docs)).withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))  # one row
     mean = terms.agg(F.avg("raw").alias("mean_raw"))
-    wanted = terms.join(queries.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(mean))
+    asked = queries.select("term").distinct()
+    wanted = terms.join(asked, "term", "left_semi").crossJoin(F.broadcast(mean))
     idf = wanted.select("term", "mean_length", F.when(F.col("raw") < 0, epsilon * F.col("mean_raw")).otherwise(F.col("raw")).alias("idf"))
+    each = rows.select(id_col, F.size(tokens).alias("length"), F.explode(tokens).alias("term")).join(asked, "term", "left_semi")
+    index = each.groupBy("term", id_col).agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
     hits = index.join(idf, "term").join(queries, "term")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     return hits.groupBy("query", id_col).agg(F.sum(part).alias("score"))
@@ -91,7 +91,7 @@ def two_stage(hits: DataFrame, groups: DataFrame, k: int, id_col: str, group: st
     chosen = groups.select("query", group).distinct().withColumn("__in", F.lit(0))
     marked = hits.join(chosen, ["query", group], "left").withColumn("filled", F.col("__in").isNull())
     w = Window.partitionBy("query").orderBy("filled", "rank", id_col)
-    return marked.withColumn("place", F.row_number().over(w) - 1).where(F.col("place") < k).drop("__in")
+    return marked.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).withColumn("place", F.col("place") - 1).drop("__in")
 
 
 def top_groups(hits: DataFrame, group: str, k: int, id_col: str) -> DataFrame:

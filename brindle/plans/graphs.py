@@ -9,45 +9,22 @@ from brindle.plans.tables import t
 
 
 def _edges(spark, d):
-    """Supplier to part edges as a graph of small numbers: a, b, delay."""
-    li = t(spark, d, "lineitem").where("l_orderkey % 7 = l_orderkey % 7")
-    return graph.directed(li.select((F.col("l_suppkey") % 97).alias("x"), (F.col("l_partkey") % 89).alias("y"), (F.col("l_linenumber") % 2).cast("long").alias("dl")).where("y % 5 = x % 5"), "x", "y", "dl")
-
-
-_E = "SELECT l_suppkey % 97 AS a, l_partkey % 89 AS b, min(l_linenumber % 2)::BIGINT AS delay FROM lineitem WHERE (l_partkey % 89) % 5 = (l_suppkey % 97) % 5 AND l_suppkey % 97 <> l_partkey % 89 GROUP BY 1, 2"
-
-
-def _all_edges(spark, d):
     """Supplier to part edges of the whole table by their own keys; a part whose key is a supplier's too goes on from there."""
     li = t(spark, d, "lineitem")
     return graph.directed(li.select(F.col("l_suppkey").alias("x"), F.col("l_partkey").alias("y"), (F.col("l_linenumber") % 2).cast("long").alias("dl")), "x", "y", "dl")
 
 
-_ALL = "SELECT l_suppkey AS a, l_partkey AS b, min(l_linenumber % 2)::BIGINT AS delay FROM lineitem WHERE l_suppkey <> l_partkey GROUP BY 1, 2"
+_E = "SELECT l_suppkey AS a, l_partkey AS b, min(l_linenumber % 2)::BIGINT AS delay FROM lineitem WHERE l_suppkey <> l_partkey GROUP BY 1, 2"
 
 
 def cooccurrence(spark, d):
     return graph.cooccurrence(t(spark, d, "lineitem"), "l_orderkey", "l_suppkey")
 
 
-def directed_edges(spark, d):
-    return _edges(spark, d)
-
-
-def zero_one_path(spark, d):
-    sources = spark.range(3).select(F.col("id").alias("node"))
-    return graph.least_delays(_edges(spark, d), sources, 4)
-
-
-def reach_three(spark, d):
-    sources = spark.range(3).select(F.col("id").alias("node"))
-    return graph.reachable(_edges(spark, d).where("delay = 0"), sources, 2)
-
-
 def closure(spark, d):
-    refs = t(spark, d, "part").select(F.col("p_partkey").alias("name"), F.explode(F.array(F.floor(F.col("p_partkey") / 2), F.floor(F.col("p_partkey") / 3))).alias("ref"))
-    seeds = spark.range(1, 4).select(F.col("id").alias("name"))
-    return graph.closure(seeds, refs.where("name > 3"), 16)
+    """Part n refers to part n / 2: what hangs on 4 and 5 is forwards all below them, and backwards 2, which only they refer to."""
+    refs = t(spark, d, "part").where("p_partkey > 1").select(F.col("p_partkey").alias("name"), F.floor(F.col("p_partkey") / 2).alias("ref"))
+    return graph.closure(spark.range(4, 6).select(F.col("id").alias("name")), refs, 24)
 
 
 def hierarchy_depth(spark, d):
@@ -62,52 +39,37 @@ def tree_lines(spark, d):
     return graph.tree_lines(paths, "p", "n")
 
 
-def fanout(spark, d):
-    return graph.fanout(_edges(spark, d), 25, 4).select("a", "n")
-
-
 def state_machines(spark, d):
     cases = t(spark, d, "part").select(F.col("p_brand").alias("selector"), (F.col("p_size") % 8).cast("long").alias("state"))
     return graph.state_machines(cases, F.col("state") >= 0)
 
 
-def scope_seed(spark, d):
-    c = t(spark, d, "lineitem").select((F.col("l_partkey") % 300).alias("name"), F.col("l_orderkey").alias("instance"), F.col("l_returnflag").alias("type"), F.when(F.col("l_linenumber") % 2 == 0, "output").otherwise("input").alias("direction"))
-    return graph.out_of_scope_seed(c, spark.createDataFrame([("R",)], "type string"))
-
-
-def linked_pairs(spark, d):
-    pairs = spark.range(20).select(F.col("id").alias("a"), (F.col("id") + 5).alias("b"))
-    modules = t(spark, d, "part").where("p_partkey < 60").select(F.col("p_partkey").alias("name"), F.col("p_brand").alias("module"))
-    return graph.linked(pairs, _edges(spark, d).where("delay = 0").select("a", "b"), modules)
-
-
-def directed_edges_all(spark, d):
-    return _all_edges(spark, d)
+def directed_edges(spark, d):
+    return _edges(spark, d)
 
 
-def zero_one_path_all(spark, d):
-    return graph.least_delays(graph.cut(_all_edges(spark, d)), t(spark, d, "supplier").select(F.col("s_suppkey").alias("node")), 4)
+def zero_one_path(spark, d):
+    return graph.least_delays(graph.cut(_edges(spark, d)), t(spark, d, "supplier").select(F.col("s_suppkey").alias("node")), 4)
 
 
-def reach_three_all(spark, d):
-    return graph.reachable(graph.cut(_all_edges(spark, d).where("delay = 0")), t(spark, d, "supplier").select(F.col("s_suppkey").alias("node")), 2)
+def reach_three(spark, d):
+    return graph.reachable(graph.cut(_edges(spark, d).where("delay = 0")), t(spark, d, "supplier").select(F.col("s_suppkey").alias("node")), 2)
 
 
-def fanout_all(spark, d):
-    return graph.fanout(_all_edges(spark, d), 25, 4).select("a", "n")
+def fanout(spark, d):
+    return graph.fanout(_edges(spark, d), 25, 4).select("a", "n")
 
 
-def scope_seed_all(spark, d):
+def scope_seed(spark, d):
     c = t(spark, d, "lineitem").select(F.col("l_partkey").alias("name"), F.col("l_orderkey").alias("instance"), F.col("l_returnflag").alias("type"), F.when(F.col("l_linenumber") % 2 == 0, "output").otherwise("input").alias("direction"))
     return graph.out_of_scope_seed(c, spark.createDataFrame([("R",)], "type string"))
 
 
-def linked_pairs_all(spark, d):
+def linked_pairs(spark, d):
     """Pairs: suppliers of one order."""
     pairs = graph.cooccurrence(t(spark, d, "lineitem"), "l_orderkey", "l_suppkey").select("a", "b")
     modules = t(spark, d, "part").select(F.col("p_partkey").alias("name"), F.col("p_brand").alias("module"))
-    return graph.linked(pairs, graph.cut(_all_edges(spark, d).where("delay = 0")).select("a", "b"), modules)
+    return graph.linked(pairs, graph.cut(_edges(spark, d).where("delay = 0")).select("a", "b"), modules)
 
 
 def running_counter(spark, d):
@@ -153,21 +115,14 @@ def last_match(spark, d):
     return trace.last_match(t(spark, d, "events"), "user_id", "event_id", F.when(F.col("event_type") == "error", F.col("event_id")))
 
 
-QUERIES = {f.__name__: f for f in (cooccurrence, directed_edges, zero_one_path, reach_three, closure, hierarchy_depth, tree_lines, fanout, state_machines, scope_seed, linked_pairs, directed_edges_all, zero_one_path_all, reach_three_all, fanout_all, scope_seed_all, linked_pairs_all, running_counter, role_merge, token_totals, forward_fill, look_back, step_deltas, batches, first_definition, last_match)}
+QUERIES = {f.__name__: f for f in (cooccurrence, directed_edges, zero_one_path, reach_three, closure, hierarchy_depth, tree_lines, fanout, state_machines, scope_seed, linked_pairs, running_counter, role_merge, token_totals, forward_fill, look_back, step_deltas, batches, first_definition, last_match)}
 ORACLES = {
     "cooccurrence": "WITH s AS (SELECT DISTINCT l_orderkey AS g, l_suppkey AS n FROM lineitem) SELECT a.n AS a, b.n AS b, count(*) AS n_groups FROM s a JOIN s b ON a.g = b.g AND a.n < b.n GROUP BY 1, 2",
-    "directed_edges": _E,
-    "zero_one_path": f"""WITH RECURSIVE e AS MATERIALIZED ({_E}), p AS (SELECT s AS source, s AS node, 0::BIGINT AS delay, 0 AS k FROM (SELECT unnest([0, 1, 2])::BIGINT AS s) UNION SELECT p.source, e.b, p.delay + e.delay, k + 1 FROM p JOIN e ON e.a = p.node WHERE k < 4)
-      SELECT source, node, min(delay)::BIGINT AS delay FROM p GROUP BY 1, 2""",
-    "reach_three": f"""WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM ({_E}) WHERE delay = 0), p AS (SELECT s AS source, s AS node, 0 AS k FROM (SELECT unnest([0, 1, 2])::BIGINT AS s) UNION SELECT p.source, e.b, k + 1 FROM p JOIN e ON e.a = p.node WHERE k < 2) SELECT DISTINCT source, node FROM p""",
-    "closure": "SELECT p_partkey AS name FROM part WHERE p_partkey > 3 UNION SELECT unnest([1, 2, 3])::BIGINT",
+    "closure": "WITH RECURSIVE r AS (SELECT 2::BIGINT AS name UNION SELECT p_partkey FROM part JOIN r ON p_partkey // 2 = r.name) SELECT name FROM r",
     "hierarchy_depth": "SELECT 'r' || r_regionkey AS node, 1 AS depth FROM region WHERE FALSE UNION ALL SELECT 'root', 0 UNION ALL SELECT 'r' || r_regionkey, 1 FROM region UNION ALL SELECT DISTINCT 'n' || n_nationkey, 2 FROM nation UNION ALL SELECT 'c' || c_custkey, 3 FROM customer",
     "tree_lines": "SELECT 'root/' || r_name || '/' || n_name AS path, 2 AS depth, '    ' || n_name AS line FROM nation JOIN region ON n_regionkey = r_regionkey",
-    "fanout": f"SELECT a, count(*) AS n FROM ({_E}) GROUP BY 1 ORDER BY n DESC, a LIMIT 25",
     "state_machines": "WITH s AS (SELECT p_brand AS selector, count(DISTINCT p_size % 8)::INT AS n_states, max(p_size % 8) AS top FROM part GROUP BY 1) SELECT selector, n_states, TRUE AS named, top = n_states - 1 AND n_states & (n_states - 1) = 0 AS complete FROM s WHERE n_states >= 2",
-    "scope_seed": "WITH c AS (SELECT l_partkey % 300 AS name, l_returnflag AS type, l_linenumber % 2 = 0 AS o FROM lineitem) SELECT name FROM c WHERE type = 'R' AND o UNION SELECT name FROM c WHERE type = 'R' AND NOT o AND name NOT IN (SELECT name FROM c WHERE type <> 'R' AND NOT o)",
-    "linked_pairs": f"""WITH e AS MATERIALIZED (SELECT a, b FROM ({_E}) WHERE delay = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), p AS (SELECT i AS a, i + 5 AS b FROM (SELECT unnest(range(0, 20))::BIGINT AS i)), m AS (SELECT p_partkey AS name, p_brand AS module FROM part WHERE p_partkey < 60)
-      SELECT a, b FROM p JOIN u USING (a, b) UNION SELECT p.a, p.b FROM p JOIN u x ON p.a = x.a JOIN u y ON y.a = x.b AND y.b = p.b UNION SELECT p.a, p.b FROM p JOIN m x ON p.a = x.name JOIN m y ON p.b = y.name AND x.module = y.module""",
+    "scope_seed": "WITH c AS (SELECT l_partkey AS name, l_returnflag AS type, l_linenumber % 2 = 0 AS o FROM lineitem) SELECT name FROM c WHERE type = 'R' AND o UNION SELECT name FROM c WHERE type = 'R' AND NOT o AND name NOT IN (SELECT name FROM c WHERE type <> 'R' AND NOT o)",
     "running_counter": """WITH e AS (SELECT event_id, user_id, CASE event_type WHEN 'view' THEN 'add' WHEN 'click' THEN 'remove' WHEN 'signup' THEN 'keep' WHEN 'purchase' THEN 'extract' ELSE 'transform' END AS action, floor(value)::BIGINT AS delta FROM events),
       s AS (SELECT *, count(*) FILTER (action = 'keep') OVER (PARTITION BY user_id ORDER BY event_id) AS seg FROM e)
       SELECT event_id, user_id, action, delta, sum(CASE WHEN action IN ('add', 'extract', 'keep') THEN delta WHEN action = 'remove' THEN -abs(delta) ELSE 0 END) OVER (PARTITION BY user_id, seg ORDER BY event_id)::BIGINT AS remaining FROM s""",
@@ -181,14 +136,12 @@ ORACLES = {
     "first_definition": "SELECT user_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY 1",
     "last_match": "SELECT user_id, coalesce(max(event_id) FILTER (event_type = 'error'), -1) AS value FROM events GROUP BY 1",
 }
-#: Over the keys as they are, sources and pairs from the tables.
 ORACLES |= {
-    "directed_edges_all": _ALL,
-    "zero_one_path_all": f"""WITH RECURSIVE e AS MATERIALIZED ({_ALL}), p AS (SELECT s_suppkey AS source, s_suppkey AS node, 0::BIGINT AS delay, 0 AS k FROM supplier UNION SELECT p.source, e.b, p.delay + e.delay, k + 1 FROM p JOIN e ON e.a = p.node WHERE k < 4)
+    "directed_edges": _E,
+    "zero_one_path": f"""WITH RECURSIVE e AS MATERIALIZED ({_E}), p AS (SELECT s_suppkey AS source, s_suppkey AS node, 0::BIGINT AS delay, 0 AS k FROM supplier UNION SELECT p.source, e.b, p.delay + e.delay, k + 1 FROM p JOIN e ON e.a = p.node WHERE k < 4)
       SELECT source, node, min(delay)::BIGINT AS delay FROM p GROUP BY 1, 2""",
-    "reach_three_all": f"WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM ({_ALL}) WHERE delay = 0), p AS (SELECT s_suppkey AS source, s_suppkey AS node, 0 AS k FROM supplier UNION SELECT p.source, e.b, k + 1 FROM p JOIN e ON e.a = p.node WHERE k < 2) SELECT DISTINCT source, node FROM p",
-    "fanout_all": f"SELECT a, count(*) AS n FROM ({_ALL}) GROUP BY 1 ORDER BY n DESC, a LIMIT 25",
-    "scope_seed_all": ORACLES["scope_seed"].replace("l_partkey % 300", "l_partkey"),
-    "linked_pairs_all": f"""WITH e AS MATERIALIZED (SELECT a, b FROM ({_ALL}) WHERE delay = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), s AS (SELECT DISTINCT l_orderkey AS g, l_suppkey AS n FROM lineitem), p AS (SELECT DISTINCT x.n AS a, y.n AS b FROM s x JOIN s y ON x.g = y.g AND x.n < y.n), m AS (SELECT p_partkey AS name, p_brand AS module FROM part)
+    "reach_three": f"WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM ({_E}) WHERE delay = 0), p AS (SELECT s_suppkey AS source, s_suppkey AS node, 0 AS k FROM supplier UNION SELECT p.source, e.b, k + 1 FROM p JOIN e ON e.a = p.node WHERE k < 2) SELECT DISTINCT source, node FROM p",
+    "fanout": f"SELECT a, count(*) AS n FROM ({_E}) GROUP BY 1 ORDER BY n DESC, a LIMIT 25",
+    "linked_pairs": f"""WITH e AS MATERIALIZED (SELECT a, b FROM ({_E}) WHERE delay = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), s AS (SELECT DISTINCT l_orderkey AS g, l_suppkey AS n FROM lineitem), p AS (SELECT DISTINCT x.n AS a, y.n AS b FROM s x JOIN s y ON x.g = y.g AND x.n < y.n), m AS (SELECT p_partkey AS name, p_brand AS module FROM part)
       SELECT a, b FROM p JOIN u USING (a, b) UNION SELECT p.a, p.b FROM p JOIN u x ON p.a = x.a JOIN u y ON y.a = x.b AND y.b = p.b UNION SELECT p.a, p.b FROM p JOIN m x ON p.a = x.name JOIN m y ON p.b = y.name AND x.module = y.module""",
 }

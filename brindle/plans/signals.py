@@ -16,12 +16,6 @@ def signal_types(spark, d):
 
 
 def cross_module(spark, d):
-    rows = t(spark, d, "lineitem").where("l_linenumber <= 3").groupBy(F.col("l_orderkey").alias("r")).agg(F.collect_set("l_suppkey").alias("names"))
-    s = t(spark, d, "supplier").where("s_suppkey % 11 <> 0").select(F.col("s_suppkey").alias("name"), (F.col("s_nationkey") % 3).alias("module"), (F.col("s_suppkey") % 4).alias("instance"))
-    return facts.cross_module(rows, "r", "names", s.select("name", "module"), s.select("name", "instance"))
-
-
-def cross_module_all(spark, d):
     rows = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("r")).agg(F.collect_set("l_suppkey").alias("names"))
     s = t(spark, d, "supplier").select(F.col("s_suppkey").alias("name"), (F.col("s_nationkey") % 3).alias("module"), (F.col("s_suppkey") % 4).alias("instance"))
     return facts.cross_module(rows, "r", "names", s.select("name", "module"), s.select("name", "instance"))
@@ -44,15 +38,13 @@ def state_flags(spark, d):
     return facts.unknown_states(rows, "p_partkey", "a", states)
 
 
-QUERIES = {f.__name__: f for f in (signal_types, cross_module, cross_module_all, frequent_names, equalities, state_flags)}
+QUERIES = {f.__name__: f for f in (signal_types, cross_module, frequent_names, equalities, state_flags)}
 ORACLES = {
     "signal_types": "SELECT 'u' || p_partkey || CASE p_partkey % 6 WHEN 0 THEN '_en' WHEN 1 THEN '_addr' WHEN 2 THEN '_clk' WHEN 3 THEN '_data_x' WHEN 4 THEN '_rst' ELSE '_misc' END AS name, CASE p_partkey % 6 WHEN 0 THEN 'control' WHEN 1 THEN 'address' WHEN 2 THEN 'clock' WHEN 3 THEN 'data' WHEN 4 THEN 'reset' ELSE CASE WHEN p_size % 3 = 1 THEN CASE WHEN p_size % 2 = 0 THEN 'status' ELSE 'control' END ELSE 'data' END END AS type FROM part",
-    "cross_module": """WITH n AS (SELECT DISTINCT l_orderkey AS r, l_suppkey AS name FROM lineitem WHERE l_linenumber <= 3), s AS (SELECT s_suppkey AS name, s_nationkey % 3 AS m, s_suppkey % 4 AS i FROM supplier WHERE s_suppkey % 11 <> 0),
+    "cross_module": """WITH n AS (SELECT DISTINCT l_orderkey AS r, l_suppkey AS name FROM lineitem), s AS (SELECT s_suppkey AS name, s_nationkey % 3 AS m, s_suppkey % 4 AS i FROM supplier),
       g AS (SELECT r, count(*) AS n, count(s.name) AS k, count(DISTINCT m) AS ms, count(DISTINCT i) AS is_ FROM n LEFT JOIN s USING (name) GROUP BY 1) SELECT r, n = k AND n >= 2 AND ms > 1 AND is_ > 1 AS "cross" FROM g""",
     "frequent_names": """WITH f AS (SELECT l_partkey AS name, count(*) AS freq FROM lineitem GROUP BY 1), r AS (SELECT p_partkey AS name, p_brand, coalesce(freq, 0) AS freq, row_number() OVER (PARTITION BY p_brand ORDER BY coalesce(freq, 0) DESC, p_partkey)::INT AS rn FROM part LEFT JOIN f ON p_partkey = f.name) SELECT * FROM r WHERE rn <= 12""",
     "equalities": f"""WITH a AS ({ASSERTIONS}) SELECT pos, CASE pos % 12 WHEN 0 THEN 'size_' || (id % 7) WHEN 1 THEN 'data_' || (id % 5) WHEN 2 THEN 'a_' || (id % 4) WHEN 3 THEN 'a_' || (id % 4) WHEN 4 THEN 'cnt' WHEN 6 THEN '$bits(bus_' || (id % 6) || ')' WHEN 9 THEN '$past(q_' || (id % 3) || ')' ELSE 'x' END AS lhs,
       CASE pos % 12 WHEN 0 THEN 'q_' || (id % 3) WHEN 1 THEN 'hold' WHEN 2 THEN 'b' WHEN 3 THEN 'b' WHEN 4 THEN (id % 3)::VARCHAR WHEN 6 THEN '8' WHEN 9 THEN 'd' ELSE 'x' END AS rhs, CASE pos % 12 WHEN 1 THEN 'ready,valid' WHEN 4 THEN 'rst' WHEN 9 THEN 'en' ELSE '' END AS names FROM a WHERE pos % 12 IN (0, 1, 2, 3, 4, 6, 9, 10)""",
     "state_flags": "SELECT p_partkey, p_size % 6 > 2 AS flagged FROM part",
 }
-#: Over every line and supplier.
-ORACLES["cross_module_all"] = ORACLES["cross_module"].replace(" WHERE l_linenumber <= 3", "").replace(" WHERE s_suppkey % 11 <> 0", "")

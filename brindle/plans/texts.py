@@ -75,48 +75,14 @@ def unknown_names(spark, d):
     return coverage.unknown_names(_tokens(t(spark, d, "documents").where("lang <> 'en'"), "doc_id"), "tokens", known, "w")
 
 
-def out_of_scope(spark, d):
-    names = _tokens(t(spark, d, "benchmark"), "item_id").where("item_id < 3").select(F.explode("tokens").alias("w"))
-    return coverage.out_of_scope(_tokens(t(spark, d, "documents"), "doc_id"), "doc_id", "tokens", names, "w", ("^[0-9]+$",)).select("doc_id")
-
-
-def dense_topk(spark, d):
-    e = t(spark, d, "embeddings")
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    return retrieval.dense_topk(q, e, 10).withColumn("score", F.round("score", 6))
-
-
-_QUERY_DOCS = 5
-
-
-def _bm25(spark, d, items=f"item_id < {_QUERY_DOCS}"):
+def _bm25(spark, d):
     docs = _tokens(t(spark, d, "documents"), "doc_id")
-    index = retrieval.postings(docs, "doc_id", "tokens")
     n = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean_length"))
-    queries = _tokens(t(spark, d, "benchmark").where(items), "item_id").select(F.col("item_id").alias("query"), F.explode(F.array_distinct("tokens")).alias("term"))
-    return retrieval.bm25(index, queries, n, "doc_id")
-
-
-def bm25_topk(spark, d):
-    return retrieval.ranked(_bm25(spark, d).withColumn("score", F.round("score", 6)), 10, "doc_id")
-
-
-def rrf_fusion(spark, d):
-    sparse = retrieval.ranked(_bm25(spark, d).withColumn("score", F.round("score", 6)), 20, "doc_id")
-    e = t(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    q = e.where(f"doc_id < {_QUERY_DOCS}").select(F.col("doc_id").alias("query"), F.col("embedding").alias("q"))
-    dense = retrieval.dense_topk(q, e, 20, "doc_id")
-    return retrieval.fuse(dense, sparse, 10, "doc_id").withColumn("score", F.round("score", 9))
-
-
-def two_stage_retrieval(spark, d):
-    e = t(spark, d, "embeddings")
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    hits = retrieval.dense_topk(q, e, 40).join(e.select("vec_id", "label"), "vec_id")
-    return retrieval.two_stage(hits, retrieval.top_groups(hits, "label", 3, "vec_id"), 10, "vec_id", "label").select("query", "vec_id", "label", "place", "filled")
+    queries = _tokens(t(spark, d, "benchmark"), "item_id").select(F.col("item_id").alias("query"), F.explode(F.array_distinct("tokens")).alias("term"))
+    return retrieval.bm25(docs, "doc_id", "tokens", queries, n)
 
 
-def out_of_scope_all(spark, d):
+def out_of_scope(spark, d):
     names = _tokens(t(spark, d, "benchmark"), "item_id").select(F.explode("tokens").alias("w"))
     return coverage.out_of_scope(_tokens(t(spark, d, "documents"), "doc_id"), "doc_id", "tokens", names, "w", ("^[0-9]+$",)).select("doc_id")
 
@@ -126,27 +92,27 @@ def _hundredths(e):
     return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
 
 
-def dense_topk_all(spark, d):
+def dense_topk(spark, d):
     e = t(spark, d, "embeddings")
-    return retrieval.dense_topk_blocks(_hundredths(e), e, 10).withColumn("score", F.round("score", 6))
+    return retrieval.dense_topk(_hundredths(e), e, 10).withColumn("score", F.round("score", 6))
 
 
-def bm25_topk_all(spark, d):
-    return retrieval.ranked(_bm25(spark, d, "TRUE").withColumn("score", F.round("score", 6)), 10, "doc_id")
+def bm25_topk(spark, d):
+    return retrieval.ranked(_bm25(spark, d).withColumn("score", F.round("score", 6)), 10, "doc_id")
 
 
-def rrf_fusion_all(spark, d):
+def rrf_fusion(spark, d):
     """Queries: every benchmark item, and every vector whose id is divisible by 100; a query of one side alone has that side's ranks."""
-    sparse = retrieval.ranked(_bm25(spark, d, "TRUE").withColumn("score", F.round("score", 6)), 20, "doc_id")
+    sparse = retrieval.ranked(_bm25(spark, d).withColumn("score", F.round("score", 6)), 20, "doc_id")
     e = t(spark, d, "embeddings")
     items = e.join(t(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    dense = retrieval.dense_topk_blocks(items.unionByName(_hundredths(e)).dropDuplicates(["query"]), e.withColumnRenamed("vec_id", "doc_id"), 20, "doc_id")
+    dense = retrieval.dense_topk(items.unionByName(_hundredths(e)).dropDuplicates(["query"]), e.withColumnRenamed("vec_id", "doc_id"), 20, "doc_id")
     return retrieval.fuse(dense, sparse, 10, "doc_id").withColumn("score", F.round("score", 9))
 
 
-def two_stage_retrieval_all(spark, d):
+def two_stage_retrieval(spark, d):
     e = t(spark, d, "embeddings")
-    hits = retrieval.dense_topk_blocks(_hundredths(e), e, 40).join(e.select("vec_id", "label"), "vec_id")
+    hits = retrieval.dense_topk(_hundredths(e), e, 40).join(e.select("vec_id", "label"), "vec_id")
     return retrieval.two_stage(hits, retrieval.top_groups(hits, "label", 3, "vec_id"), 10, "vec_id", "label").select("query", "vec_id", "label", "place", "filled")
 
 
@@ -170,7 +136,9 @@ def template_cluster(spark, d):
 
 def slot_fit(spark, d):
     c = t(spark, d, "customer").select("c_nationkey", F.col("c_custkey").alias("x"))
-    y = F.when(F.col("c_nationkey") % 4 == 0, F.col("x") + 5).when(F.col("c_nationkey") % 4 == 1, F.col("x") * 8 - 3).when(F.col("c_nationkey") % 4 == 2, F.shiftright("x", 3) + 1).otherwise(F.col("x") * F.col("x"))
+    x = F.col("x")
+    shapes = [x + 5, x * 8 - 3, F.shiftright(x, 3) + 1, x * x, 7 - x, x * 128 + 1, x * 5, F.lit(9).cast("long"), F.shiftright(x, 7) * -8 + 2]
+    y = F.get(F.array(*shapes), (F.col("c_nationkey") % len(shapes)).cast("int"))
     return cluster.slot_fit(c.withColumn("y", y), ["c_nationkey"], "x", "y")
 
 
@@ -186,8 +154,15 @@ def clean_counts(spark, d):
 
 
 def mutation_rows(spark, d):
-    lines = t(spark, d, "part").select((F.col("p_partkey") % 50).alias("f"), F.col("p_partkey").alias("n"), F.concat(F.lit("assign q_"), F.col("p_size").cast("string"), F.lit(" = (a[7:0] == 8'h1"), (F.col("p_size") % 10).cast("string"), F.lit(") && b;")).alias("l"))
-    return mutate.mutants(lines, "f", "n", "l")
+    n, size = F.col("p_partkey") % 5, F.col("p_size")
+    line = (
+        F.when(n == 0, F.concat(F.lit("assign q_"), size.cast("string"), F.lit(" = (a[7:0] == 8'h1"), (size % 10).cast("string"), F.lit(") && b;")))
+        .when(n == 1, F.concat(F.lit("  if (!busy) y <= x ^ 4'd"), (size % 8).cast("string"), F.lit(";")))
+        .when(n == 2, "always @(posedge clk) if (en) z <= 1'b0;")
+        .when(n == 3, "wire w = a && b;")
+        .otherwise("sub u1 (a && b);")
+    )
+    return mutate.mutants(t(spark, d, "part").select((F.col("p_partkey") % 50).alias("f"), F.col("p_partkey").alias("n"), line.alias("l")), "f", "n", "l")
 
 
 def fixed_windows(spark, d):
@@ -259,7 +234,7 @@ def flag_labels(spark, d):
     return lab.groupBy("lang", "quality", "toxic").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text").contains(" | ")).alias("n_piped"), F.sum("n_chars").alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (keep_first_exact, keep_first_normalised, canonical_dedup, keep_first_capped, subsumption, cap_per_group, small_groups, merged_sources, set_sizes, coverage_overlap, coverage_subset, majority_unknown, unknown_names, out_of_scope, dense_topk, bm25_topk, rrf_fusion, two_stage_retrieval, out_of_scope_all, dense_topk_all, bm25_topk_all, rrf_fusion_all, two_stage_retrieval_all, suffix_pairs, glob_hints, template_cluster, slot_fit, value_cluster, clean_counts, mutation_rows, fixed_windows, doc_chunks, sentence_props, html_text, html_strip, log_counts, last_numbers, url_parts, tag_split, slugs, identifier_counts, implication_parts, module_attribution, peak_values, flag_labels)}
+QUERIES = {f.__name__: f for f in (keep_first_exact, keep_first_normalised, canonical_dedup, keep_first_capped, subsumption, cap_per_group, small_groups, merged_sources, set_sizes, coverage_overlap, coverage_subset, majority_unknown, unknown_names, out_of_scope, dense_topk, bm25_topk, rrf_fusion, two_stage_retrieval, suffix_pairs, glob_hints, template_cluster, slot_fit, value_cluster, clean_counts, mutation_rows, fixed_windows, doc_chunks, sentence_props, html_text, html_strip, log_counts, last_numbers, url_parts, tag_split, slugs, identifier_counts, implication_parts, module_attribution, peak_values, flag_labels)}
 
 _TOK = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 _COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
@@ -267,10 +242,12 @@ _BM = f"""docs AS (SELECT doc_id, {_TOK} AS w FROM documents), st AS (SELECT cou
  p AS (SELECT doc_id, term, count(*) AS tf, any_value(l) AS l FROM (SELECT doc_id, len(w) AS l, unnest(w) AS term FROM docs) GROUP BY 1, 2),
  df AS (SELECT term, count(*) AS df FROM p GROUP BY 1), raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df, st),
  idf AS (SELECT term, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
- qt AS (SELECT DISTINCT item_id AS query, unnest({_TOK}) AS term FROM benchmark WHERE item_id < {_QUERY_DOCS}),
+ qt AS (SELECT DISTINCT item_id AS query, unnest({_TOK}) AS term FROM benchmark),
  bm AS (SELECT query, doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / al))), 6) AS score FROM qt JOIN p USING (term) JOIN idf USING (term), st GROUP BY 1, 2),
  bmr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) - 1 AS rank FROM bm)"""
-_DENSE = f"dn AS (SELECT q.vec_id AS query, e.vec_id, {_COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id < 5), dr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) - 1 AS rank FROM dn)"
+#: Queries: every hundredth vector; for fusion those of benchmark items too.
+_HUNDREDTHS, _ITEMS = "q.vec_id % 100 = 0", "q.vec_id % 100 = 0 OR q.vec_id IN (SELECT item_id FROM benchmark)"
+_DENSE = f"dn AS (SELECT q.vec_id AS query, e.vec_id, {_COS} AS score FROM embeddings e, embeddings q WHERE {{where}}), dr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) - 1 AS rank FROM dn)"
 _NORMDOC = "lower(trim(regexp_replace(regexp_replace(regexp_replace(text, '//.*', '', 'g'), '\\$error\\s*\\([^)]*\\)', '$error(...)', 'g'), '\\s+', ' ', 'g')))"
 ORACLES = {
     "keep_first_exact": "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY trim(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), 'else \\$error\\(.*$', '', 'g'))",
@@ -301,13 +278,13 @@ ORACLES = {
     "majority_unknown": f"""WITH x AS (SELECT doc_id, unnest(list_distinct({_TOK})) AS t FROM documents), k AS (SELECT DISTINCT unnest({_TOK}) AS t FROM benchmark),
       c AS (SELECT doc_id, count(*) AS n, count(k.t) AS n_known FROM x LEFT JOIN k ON x.t = k.t GROUP BY 1) SELECT doc_id, coalesce(n, 0) AS n, coalesce(n_known, 0) AS n_known, coalesce(n, 0) = 0 OR n_known >= 0.5 * n AS kept FROM documents LEFT JOIN c USING (doc_id)""",
     "unknown_names": f"WITH x AS (SELECT doc_id, unnest(list_distinct({_TOK})) AS w FROM documents WHERE lang <> 'en'), k AS (SELECT DISTINCT unnest({_TOK}) AS w FROM documents WHERE lang = 'en') SELECT w, count(*) AS n FROM x ANTI JOIN k USING (w) GROUP BY 1",
-    "out_of_scope": f"WITH x AS (SELECT doc_id, unnest({_TOK}) AS w FROM documents), k AS (SELECT DISTINCT unnest({_TOK}) AS w FROM benchmark WHERE item_id < 3) SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM x WHERE w IN (SELECT w FROM k) OR regexp_matches(w, '^[0-9]+$'))",
-    "dense_topk": f"WITH {_DENSE} SELECT query, vec_id, round(score, 6) AS score, rank::INT AS rank FROM dr WHERE rank < 10",
+    "out_of_scope": f"WITH x AS (SELECT doc_id, unnest({_TOK}) AS w FROM documents), k AS (SELECT DISTINCT unnest({_TOK}) AS w FROM benchmark) SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM x WHERE w IN (SELECT w FROM k) OR regexp_matches(w, '^[0-9]+$'))",
+    "dense_topk": f"WITH {_DENSE.format(where=_HUNDREDTHS)} SELECT query, vec_id, round(score, 6) AS score, rank::INT AS rank FROM dr WHERE rank < 10",
     "bm25_topk": f"WITH {_BM} SELECT query, doc_id, score, rank::INT AS rank FROM bmr WHERE rank < 10",
-    "rrf_fusion": f"""WITH {_BM}, {_DENSE}, f AS (SELECT coalesce(a.query, b.query) AS query, coalesce(a.vec_id, b.doc_id) AS doc_id, coalesce(1 / (60 + a.rank), 0) + coalesce(1 / (60 + b.rank), 0) AS score
+    "rrf_fusion": f"""WITH {_BM}, {_DENSE.format(where=_ITEMS)}, f AS (SELECT coalesce(a.query, b.query) AS query, coalesce(a.vec_id, b.doc_id) AS doc_id, coalesce(1 / (60 + a.rank), 0) + coalesce(1 / (60 + b.rank), 0) AS score
       FROM (SELECT * FROM dr WHERE rank < 20) a FULL JOIN (SELECT * FROM bmr WHERE rank < 20) b ON a.query = b.query AND a.vec_id = b.doc_id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) - 1 AS rank FROM f)
       SELECT query, doc_id, round(score, 9) AS score, rank::INT AS rank FROM r WHERE rank < 10""",
-    "two_stage_retrieval": f"""WITH {_DENSE}, h AS (SELECT query, vec_id, rank, label FROM dr JOIN embeddings USING (vec_id) WHERE rank < 40), g AS (SELECT DISTINCT query, label FROM h WHERE rank < 3),
+    "two_stage_retrieval": f"""WITH {_DENSE.format(where=_HUNDREDTHS)}, h AS (SELECT query, vec_id, rank, label FROM dr JOIN embeddings USING (vec_id) WHERE rank < 40), g AS (SELECT DISTINCT query, label FROM h WHERE rank < 3),
       m AS (SELECT h.*, g.label IS NULL AS filled FROM h LEFT JOIN g ON h.query = g.query AND h.label = g.label), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY filled, rank, vec_id) - 1 AS place FROM m)
       SELECT query, vec_id, label, place::INT AS place, filled FROM r WHERE place < 10""",
     "suffix_pairs": """WITH n AS (SELECT DISTINCT 'sig' || (p_partkey // 4) || CASE p_partkey % 3 WHEN 0 THEN '_valid' WHEN 1 THEN '_ready' ELSE '_vld' END AS n FROM part)
@@ -317,7 +294,26 @@ ORACLES = {
     "identifier_counts": f"""WITH a AS ({ASSERTIONS}), c AS (SELECT pos, regexp_replace(regexp_replace(regexp_replace(assertion, '"[^"]*"|//.*', '', 'g'), '\\$\\w+', '', 'g'), '\\b\\d+\\b', '', 'g') AS s FROM a),
       i AS (SELECT pos, unnest(list_distinct(regexp_extract_all(s, '\\b[A-Za-z_][A-Za-z0-9_]*\\b'))) AS name FROM c) SELECT name, count(*) AS n FROM i WHERE lower(name) NOT IN ({', '.join(f"'{k}'" for k in X.KEYWORDS)}) GROUP BY 1""",
     "template_cluster": "SELECT c_mktsegment AS kind, 'acct_* == seg[*]' AS template, count(*) AS n, min(c_custkey) AS first_pos, max(c_custkey) AS last_pos FROM customer GROUP BY 1",
-    "slot_fit": "SELECT c_nationkey, count(*) AS n, (CASE c_nationkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 3 END)::INT AS shift, (CASE c_nationkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 8 WHEN 2 THEN 1 END)::INT AS mul, (CASE c_nationkey % 4 WHEN 0 THEN 5 WHEN 1 THEN -3 WHEN 2 THEN 1 END)::BIGINT AS add FROM customer GROUP BY 1",
+    "slot_fit": """WITH m AS (SELECT unnest([1, -1, 2, -2, 3, 4, -4, 8, -8, 16, 32, 64, 128]) AS mul, unnest(range(1, 14)) AS i), g AS (SELECT 0 AS shift, 0 AS mul, 0 AS o UNION ALL SELECT s, mul, 100 * s + i FROM m, (SELECT unnest(range(0, 8)) AS s)),
+      c AS (SELECT c_nationkey, c_custkey AS x, [c_custkey + 5, c_custkey * 8 - 3, (c_custkey >> 3) + 1, c_custkey * c_custkey, 7 - c_custkey, c_custkey * 128 + 1, c_custkey * 5, 9, (c_custkey >> 7) * -8 + 2][c_nationkey % 9 + 1] AS y FROM customer),
+      f AS (SELECT c_nationkey, o, shift, mul, min(y - mul * (x >> shift)) AS add, max(y - mul * (x >> shift)) AS top FROM c, g GROUP BY ALL), b AS (SELECT c_nationkey, arg_min(shift, o) AS shift, arg_min(mul, o) AS mul, arg_min(add, o) AS add FROM f WHERE add = top GROUP BY 1)
+      SELECT c_nationkey, count(*) AS n, any_value(shift)::INT AS shift, any_value(mul)::INT AS mul, any_value(add)::BIGINT AS add FROM customer LEFT JOIN b USING (c_nationkey) GROUP BY 1""",
+    "mutation_rows": r"""WITH l AS (SELECT p_partkey % 50 AS f, p_partkey AS n, p_size AS s, p_partkey % 5 AS k, CASE p_partkey % 5 WHEN 0 THEN 'assign q_' || p_size || ' = (a[7:0] == 8''h1' || (p_size % 10) || ') && b;' WHEN 1 THEN '  if (!busy) y <= x ^ 4''d' || (p_size % 8) || ';' ELSE 'always @(posedge clk) if (en) z <= 1''b0;' END AS o,
+        '8''h1' || (p_size % 10) AS h, '8''h1' || xor(p_size % 10, 1) AS h2, '4''d' || (p_size % 8) AS dd, '4''d' || xor(p_size % 8, 1) AS d2 FROM part WHERE p_partkey % 5 < 3),
+      x AS (SELECT *, CASE k
+        WHEN 0 THEN [['OP_REPLACE', replace(o, '==', '!='), 'Replace ''=='' with ''!='' '], ['OP_REPLACE', replace(o, '&&', '||'), 'Replace ''&&'' with ''||'' '],
+          ['CONST_REPLACE', replace(o, '[7:0]', '[6:0]'), 'Replace constant ''7'' with ''6'' '], ['CONST_REPLACE', replace(o, '[7:0]', '[8:0]'), 'Replace constant ''7'' with ''8'' '], ['CONST_REPLACE', replace(o, '[7:0]', '[7:1]'), 'Replace constant ''0'' with ''1'' '],
+          ['CONST_REPLACE', replace(o, h, h2), 'Replace constant ''' || h || ''' with ''' || h2 || ''' '], ['BITSLICE_MUT', replace(o, '[7:0]', '[8:1]'), 'Shift [7:0] up to [8:1]'], ['ASSIGN_DELETE', '// MUTANT_DELETED: ' || o, 'Delete assignment']]
+        WHEN 1 THEN [['OP_REPLACE', replace(o, '<=', '<'), 'Replace ''<='' with ''<'' '], ['OP_REPLACE', replace(o, '<=', '=='), 'Replace ''<='' with ''=='' '], ['OP_REPLACE', replace(o, '^', '&'), 'Replace ''^'' with ''&'' '], ['OP_REPLACE', replace(o, '^', '|'), 'Replace ''^'' with ''|'' '],
+          ['CONST_REPLACE', replace(o, dd, d2), 'Replace constant ''' || dd || ''' with ''' || d2 || ''' '], ['COND_NEGATE', replace(o, '!busy', 'busy'), 'Remove negation: !busy → busy']]
+        ELSE [['OP_REPLACE', replace(o, '<=', '<'), 'Replace ''<='' with ''<'' '], ['OP_REPLACE', replace(o, '<=', '=='), 'Replace ''<='' with ''=='' '], ['CONST_REPLACE', replace(o, '1''b0', '1''b1'), 'Replace constant ''1''b0'' with ''1''b1'' '],
+          ['COND_NEGATE', replace(o, '(en)', '(!en)'), 'Negate condition: if (en) → if (!en)'], ['SENSITIVITY_MUT', replace(o, 'posedge', 'negedge'), 'Swap posedge → negedge']] END AS xs FROM l),
+      m AS (SELECT *, unnest(xs) AS x, generate_subscripts(xs, 1) AS i FROM x)
+      SELECT f::VARCHAR AS source, n AS line_no, x[1] AS operator, o AS original, x[2] AS mutated, trim(x[3]) AS description, (row_number() OVER (PARTITION BY f ORDER BY n, i) - 1)::BIGINT AS id FROM m WHERE NOT (k = 1 AND x[1] = 'CONST_REPLACE' AND s % 8 = 0)""",
+    "clean_counts": """WITH a AS (SELECT p_size AS id, p_partkey % 12 AS k, p_brand AS b FROM part WHERE p_partkey % 12 < 11),
+      e AS (SELECT count(*) AS n, count(*) FILTER (k <> 10) AS alive, count(DISTINCT (id, k, CASE WHEN k = 1 THEN b END)) FILTER (k <> 10) AS exact, count(DISTINCT (id, CASE k WHEN 3 THEN 2 WHEN 8 THEN 7 ELSE k END)) FILTER (k <> 10) AS form FROM a),
+      s AS (SELECT unnest(['input', 'fix_immediate_implication', 'fix_double_negation', 'fold_ternary', 'remove_dead_under_disable', 'remove_missing_implication', 'remove_unconditional_equality', 'remove_tautologies', 'remove_vacuous_condition', 'remove_self_comparison', 'remove_vacuous_claim', 'remove_trivial', 'deduplicate', 'semantic_deduplicate']) AS pass, unnest(range(0, 14))::INT AS step)
+      SELECT step, pass, CASE WHEN step < 9 THEN n WHEN step < 12 THEN alive WHEN step = 12 THEN exact ELSE form END AS n_left FROM s, e""",
     "value_cluster": "SELECT p_brand, constant, count(*) AS n, min(p_partkey) AS first_pos FROM (SELECT p_brand, p_partkey, CASE p_size % 5 WHEN 0 THEN '''0' WHEN 1 THEN '''1' WHEN 2 THEN '''1' WHEN 3 THEN '8''h' || (p_size % 10) END AS constant FROM part) WHERE constant IS NOT NULL GROUP BY 1, 2",
     "fixed_windows": "WITH s AS (SELECT doc_id, text, CASE WHEN length(text) <= 1000 THEN [0] ELSE list_filter(range(0, length(text), 800), lambda s: s = 0 OR s + 200 < length(text)) END AS st FROM documents WHERE length(text) > 0), u AS (SELECT doc_id, text, unnest(st) AS char_start, unnest(range(0, len(st))) AS i FROM s) SELECT doc_id, i::INT AS chunk_index, char_start::INT AS char_start, length(substr(text, char_start + 1, 1000))::INT AS n, md5(substr(text, char_start + 1, 1000)) AS digest FROM u",
     "html_strip": "SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->|<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) AS digest FROM pages",
@@ -331,8 +327,3 @@ ORACLES = {
     "peak_values": "SELECT user_id, max(value) AS peak, arg_min(event_id, (-value, event_id)) AS at FROM events GROUP BY 1",
     "flag_labels": "SELECT lang, quality, toxic, count(*) AS n, count(*) FILTER (contains(text, ' | ')) AS n_piped, sum(n_chars)::BIGINT AS chars FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2, 3",
 }
-#: The same SQL over every benchmark item and every hundredth vector.
-ORACLES |= {
-    f"{name}_all": ORACLES[name].replace("WHERE q.vec_id < 5", f"WHERE {vectors}").replace(f" WHERE item_id < {_QUERY_DOCS}", "").replace(" WHERE item_id < 3", "")
-    for name, vectors in (("out_of_scope", ""), ("dense_topk", "q.vec_id % 100 = 0"), ("bm25_topk", ""), ("rrf_fusion", "q.vec_id % 100 = 0 OR q.vec_id IN (SELECT item_id FROM benchmark)"), ("two_stage_retrieval", "q.vec_id % 100 = 0"))
-}

@@ -43,7 +43,10 @@ def one(spark, text, f):
         (X.strip_outer, "((a) && (b))", "(a) && (b)"),
         (X.strip_outer, "(a) && (b)", "(a) && (b)"),
         (X.balanced, "(a))(", False),
-        (X.modal, "It must not fall.", "must not"),
+        (X.modal, "It must not fall.", "must"),
+        (X.modal, "It is Required  to hold, always so.", "required"),
+        (X.modal, "It will never be; we must", "never"),
+        (X.modal, "It will be as we must", None),
         (X.data_uri, "data:text/plain;base64,aGk=", "hi"),
         (X.token_estimate, "abcdefghi", 2),
         (X.fenced_code, "x\n```sv\nassert a;\n```\ny", "assert a;"),

@@ -1,7 +1,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from brindle.operators import cluster, coverage, dedup, graph, mutate, retrieval, stats, trace
+from brindle.operators import clean, cluster, coverage, dedup, graph, mutate, retrieval, stats, trace
 from brindle.sources import reports
 from brindle.sources import text as S
 
@@ -66,17 +66,40 @@ def test_slot_fit(spark):
 
 
 def test_partition(spark):
-    rows = [("k", i, i, 3 * i) for i in range(8)] + [("k", 10 + i, i, i + 100) for i in range(6)] + [("k", 99, 1, 7777)]
-    got = cluster.partition(spark.createDataFrame(rows, "k string, p long, x long, y long"), "k", "p", "x", "y").toPandas()
+    rows = [("k", i, i, [3 * i, 5]) for i in range(8)] + [("k", 10 + i, i, [i + 100, 7 - i]) for i in range(6)] + [("k", 99, 1, [7777, 1])]
+    got = cluster.partition(spark.createDataFrame(rows, "k string, p long, x long, ys array<long>"), "k", "p", "x", "ys").toPandas()
     assert sorted(got.groupby("part").size().to_dict().items()) == [(-1, 1), (0, 8), (1, 6)]
+    assert {tuple(f) for f in got[got.part >= 0].formulas} == {("0 3 0", "0 0 5"), ("0 1 100", "0 -1 7")}
+    # a multiplier that isn't tried fits no pair; four rows are too few
+    odd = [("k", i, i, [5 * i * i]) for i in range(8)] + [("m", i, i, [i]) for i in range(4)]
+    assert set(cluster.partition(spark.createDataFrame(odd, "k string, p long, x long, ys array<long>"), "k", "p", "x", "ys").toPandas().part) == {-1}
+
+
+def made(f, line):
+    return [new for new, _ in f(line)]
+
+
+def test_mutations():
+    assert made(mutate.op_replace, "a ^ b") == ["a & b", "a | b"]
+    assert made(mutate.op_replace, "a >= b") == ["a > b", "a == b"] and made(mutate.op_replace, "a < b") == ["a <= b", "a > b"]
+    assert made(mutate.op_replace, "a === b !== c = d") == [] and made(mutate.op_replace, "x <<= 1") == ["x <=<= 1", "x ><= 1", "x << 1", "x <== 1"]
+    const = lambda x: made(mutate.const_replace, x)
+    assert const("8'h15") == ["8'h14"] and const("4'd5") == ["4'd4"] and const("8'h0") == [] and const("1'b0") == ["1'b1"]
+    assert const("1") == ["0"] and const("0") == ["1"] and const("7") == ["6", "8"] and const("4'b101") == ["4'b100"] and const("8'hF") == ["8'he"] and const("q_5") == []
+    assert made(mutate.slice_move, "x[7:1] = y[3:0]") == ["x[6:0] = y[3:0]", "x[8:2] = y[3:0]", "x[7:1] = y[4:1]"]
+    assert made(mutate.cond_negate, "if (!a) x") == ["if (a) x"] and made(mutate.cond_negate, "if ( a ) x") == ["if (!a) x"] and made(mutate.cond_negate, "if (a && b) x") == []
+    assert made(mutate.assign_delete, "  assign x = y;") == ["// MUTANT_DELETED: assign x = y;"] and made(mutate.assign_delete, " q[1:0] <= d;") == ["// MUTANT_DELETED: q[1:0] <= d;"] and made(mutate.assign_delete, "x = y;") == []
+    assert made(mutate.edge_swap, "posedge a or negedge b") == ["negedge a or negedge b", "posedge a or posedge b"]
+    assert made(mutate.signal_swap({"a": 1, "b": 1, "c": 2}), "a = a && b;") == ["b = b && a;"]
+    assert mutate.instances(["wire x;", "sub #(.W(8)) u1 (", "  .a(b)", ");", "assign x = y;", "sub u2 (a);", "if (a) b", "always @(c) d"]) == [False, True, True, True, False, True, False, False]
 
 
 def test_mutants(spark):
-    df = spark.createDataFrame([("f", 1, "assign q = (a == 1'b0) && b;"), ("f", 2, "// a && b"), ("f", 3, None), ("f", 4, "if (x) y <= z[7:1];")], "f string, n long, l string")
-    got = mutate.mutants(df, "f", "n", "l", widths={"a": 1, "b": 1}).toPandas()
-    assert list(got.sort_values("id").id) == list(range(len(got))) and set(got.line_no) == {1, 4}
-    assert "assign q = (a == 1'b1) && b;" in set(got.mutated) and "if (!(x)) y <= z[7:1];" in set(got.mutated)
-    assert "assign q = (b == 1'b0) && b;" in set(got.mutated)
+    lines = ["assign q = (a == 1'b0) && b;", "// a && b", None, "  begin", "sub u1 (", "  x && y", ");", "if (x) y <= z[7:1];", "wire w = a && b;"]
+    df = spark.createDataFrame([("f", i + 1, x) for i, x in enumerate(lines)], "f string, n long, l string")
+    got = mutate.mutants(df, "f", "n", "l", widths={"a": 1, "b": 1}).toPandas().sort_values("id")
+    assert list(got.id) == list(range(len(got))) and set(got.line_no) == {1, 8}
+    assert list(got[got.line_no == 1].mutated) == ["assign q = (a != 1'b0) && b;", "assign q = (a == 1'b0) || b;", "assign q = (a == 1'b1) && b;", "// MUTANT_DELETED: assign q = (a == 1'b0) && b;", "bssign q = (b == 1'a0) && a;"]
     assert mutate.mutants(df, "f", "n", "l", most=3).count() == 3
 
     def fake(text):
@@ -87,6 +110,36 @@ def test_mutants(spark):
     assert set(mutate.evaluate(mutate.mutants(df, "f", "n", "l"), fake).toPandas().status) == {"killed", "timeout"}
 
 
+def test_repairs(spark):
+    P = "assert property (@(posedge clk) "
+    rows = [
+        (P + "disable iff (!rst) (a && !rst && (b || c && d)) |-> e);", P + "disable iff (!rst) (a && (b || c && d))|-> e);"),
+        (P + "disable iff ( (!rst) ) !rst |=> e);", None),
+        (P + "disable iff (!rst) a |-> e);", P + "disable iff (!rst) a |-> e);"),
+        ("assert (v && !r && !p);", None),
+        ("assert (v && r);", "assert (v && r);"),
+        ("assert (!(a && b));", "assert (!(a && b));"),
+        ("assert (a == 1 && !b);", "assert (a == 1 && !b);"),
+        (P + "v && !r);", P + "v && !r);"),
+        ("assert (mode == 4'd3);", None),
+        (P + "disable iff (!rst) x.y[3:0] == 8'hff);", None),
+        ("assert (a == b);", "assert (a == b);"),
+        ("assert (MAX_N == 4);", "assert (MAX_N == 4);"),
+        (P + "en |-> mode == 4'd3);", P + "en |-> mode == 4'd3);"),
+    ]
+    df = spark.createDataFrame([(1, i, t) for i, (t, _) in enumerate(rows)], "id int, pos int, assertion string")
+    passes = [("a", clean.remove_dead_under_disable), ("b", clean.remove_missing_implication), ("c", clean.remove_unconditional_equality)]
+    got = {r.pos: r.assertion for r in clean.clean(df, passes).collect()}
+    assert got == {i: t for i, (_, t) in enumerate(rows) if t is not None}
+    assert [r.n_left for r in clean.counted(df, passes).orderBy("step").collect()] == [13, 12, 11, 9]
+
+
+def test_closure(spark):
+    # backwards: p is defined and only q, which is in, refers to it; o isn't defined
+    refs = spark.createDataFrame([("q", "s"), ("q", "p"), ("p", None), ("s", "o"), ("z", "p2"), ("q2", "p2"), ("q2", "s")], "name string, ref string")
+    assert {r.name for r in graph.closure(spark.createDataFrame([("s",), ("q",)], "name string"), refs).collect()} == {"s", "q", "p"}
+
+
 def test_chunks():
     text = "a" * 900 + "\n\n" + "b" * 900
     got = list(S.snapped(text, 1000, 200))
