@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.store import written
+from brindle.llm.store import fresh, written
 
 WORDS, PERCENT = 5, 75
 #: Bands from this size on index neighbourhoods of some segments only.
@@ -343,14 +343,17 @@ def keyed(df: DataFrame, words: int = WORDS, percent: int = PERCENT, text_col: s
 
 
 def grouped(rows: DataFrame) -> DataFrame:
-    """key, node, flags, centre: the members of keys that a probe and another set share. centre: the key's smallest probe."""
+    """key, node, flags, centre, crowded: the members of keys that a probe and another set share. centre: the key's smallest
+    probe. crowded: two sets or more share the key with the centre, so that its pairs with them aren't all."""
     from pyspark.sql import Window
 
     key = Window.partitionBy("key")
     node, probe = F.shiftrightunsigned("said", 2), F.col("said").bitwiseAND(2) != 0
     found = rows.select("key", "said").withColumns({"low": F.min(node).over(key), "high": F.max(node).over(key), "centre": F.min(F.when(probe, node)).over(key)})
     found = found.where("key IS NULL OR (low < high AND centre IS NOT NULL)")
-    return found.select("key", F.shiftrightunsigned("said", 2).alias("node"), F.col("said").bitwiseAND(3).alias("flags"), "centre")
+    found = found.select("key", F.shiftrightunsigned("said", 2).alias("node"), F.col("said").bitwiseAND(3).alias("flags"), "centre")
+    other = F.when(F.col("node") != F.col("centre"), F.col("node"))
+    return found.withColumn("crowded", F.min(other).over(key) < F.max(other).over(key))
 
 
 def ordered(a, b, pairs: DataFrame) -> DataFrame:
@@ -427,9 +430,9 @@ def linked(pairs: DataFrame, docs: DataFrame, df: DataFrame, words: int, percent
 
 def crossing(groups: DataFrame, rooted: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share a key and that sizes and sketches don't rule out, but for the centres' pairs."""
-    known = written(groups.join(rooted, "node", "left").select("key", "node", "flags", "centre", F.coalesce("root", "node").alias("root")), "known")
+    known = written(groups.where("crowded AND node <> centre").join(rooted, "node", "left").select("key", "node", "flags", F.coalesce("root", "node").alias("root")), "known")
     spans = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    others = known.where("node <> centre").join(spans, "key", "left_semi")
+    others = known.join(spans, "key", "left_semi")
     facts = docs.where("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("fold").alias("fold"))
     open_ = written(others.join(facts, "node").select("key", "node", "flags", "root", "n", "fold"), "open")
 
@@ -490,10 +493,11 @@ def one_of_each(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_co
     docs, links = join(df, words, percent, id_col, text_col)
     placed = docs.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = placed.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first")).select("first.id", "first.h")
-    stays = written(first.union(docs.where("node IS NULL").select("id", "h")).distinct().toDF("__id", "__h"), "stays")
-    out = df.join(stays, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__h")), "left_semi")
+    id_, h = fresh(df, "own_id", "own_h")
+    stays = written(first.union(docs.where("node IS NULL").select("id", "h")).distinct().toDF(id_, h), "stays")
+    out = df.join(stays, F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(F.col(text_col)) == F.col(h)), "left_semi")
     if docs.where("node IS NOT NULL").groupBy("id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         return out
     # rows of equal id and text: one stays
-    same = out.withColumn("__h", F.when(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(F.col(text_col))))
-    return same.where("__h IS NULL").unionByName(same.where("__h IS NOT NULL").dropDuplicates([id_col, "__h"])).drop("__h")
+    same = out.withColumn(h, F.when(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(F.col(text_col))))
+    return same.where(F.col(h).isNull()).unionByName(same.where(F.col(h).isNotNull()).dropDuplicates([id_col, h])).drop(h)
