@@ -2,12 +2,11 @@
 
 Strong patterns (an assignment to a secret's name, an access key id, a long hexadecimal run) are reported wherever they
 stand. Weak candidates prove nothing alone: an account name, an opaque mixed token, an endpoint with a host. They are
-reported only where complementary parts co-occur: an identifier or an endpoint within REACH code points of a secret, or a
-secret within REACH of an identifier or an endpoint, in the same scope (a paragraph: no blank line between them).
+reported only where complementary parts co-occur: an identifier or an endpoint in the scope of a secret, or a secret in that
+of an identifier or an endpoint. Scopes are the intervals between blank lines, however long.
 
-The link is an interval join of the parts of a document within a scope, done as a sweep: in the order of their starts, the
-nearest complementary part before (largest end so far) and behind (smallest start to come) decide. So no pairs are made,
-and the work is n log n in the parts of a scope. Texts are scanned once and stay in their stage; only their parts are
+The link is an interval join of the parts of a document with its scopes: a part's scope is the number of blank lines before
+it, and what roles a scope holds is a window over its parts. So no pairs are made. Texts are scanned once and stay in their stage; only their parts are
 shuffled, after equal (id, text) rows have been counted together.
 
 All is DataFrame expressions. Spans are code points, end exclusive. The place of a match is found from the pieces between
@@ -22,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-REACH = 400
+from brindle.llm.store import fresh
 
 #: kind, pattern, role, strong. Kinds in the order of reports. Each pattern's matches are leftmost and don't overlap.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -52,7 +51,7 @@ def _spans(text: Column, rank: int, pattern: str, keep) -> Column:
     return F.when(text.rlike(pattern), F.aggregate(lengths, start, step)["out"]).otherwise(empty)
 
 
-def scan(df: DataFrame, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, h (the text's hash), spans: array<struct<start, rank, end>> in order of start and kind; one row for each row of df."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), text.alias("text"))
@@ -66,7 +65,7 @@ def scan(df: DataFrame, reach: int = REACH, id_col: str = "doc_id", text_col: st
     key = ["id", "h", "size"]
     rows = rows.groupBy(*key).agg(F.first("parts").alias("parts"), F.first("blanks").alias("blanks"), F.count(F.lit(1)).alias("copies"))
     parts = rows.select(*key, "copies", "blanks", F.explode_outer("parts").alias("p")).select(*key, "copies", F.col("p.start").alias("start"), F.col("p.rank").alias("rank"), F.col("p.end").alias("end"), F.size(F.filter("blanks", lambda b: b < F.col("p.start"))).alias("scope"))
-    linked = _linked(parts, key, reach)
+    linked = _linked(parts, key)
     span = F.when(linked["reported"], F.struct("start", "rank", "end"))
     whole = linked.groupBy(*key, "copies").agg(F.sort_array(F.collect_list(span)).alias("spans"))
     return whole.select(F.col("id").alias(id_col), "h", "spans", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).drop("copy")
@@ -80,17 +79,12 @@ def _blank_lines(text: Column) -> Column:
     return F.aggregate(F.slice(gaps, 1, F.size(gaps) - 1), start, step)["out"]
 
 
-def _linked(parts: DataFrame, key: list[str], reach: int) -> DataFrame:
-    """parts with reported: strong, or weak with a complementary part within reach in the same scope."""
+def _linked(parts: DataFrame, key: list[str]) -> DataFrame:
+    """parts with reported: strong, or weak with a complementary part in the same scope."""
     secret = F.col("rank").isin(*[KINDS.index(k) for k in SECRETS])
-    order = Window.partitionBy(*key, "scope").orderBy("start", "rank")
-    before, behind = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-
-    def near(other: Column) -> Column:
-        last, next_ = F.max(F.when(other, F.col("end"))).over(before), F.min(F.when(other, F.col("start"))).over(behind)
-        return F.coalesce(F.col("start") - last <= reach, F.lit(False)) | F.coalesce(next_ - F.col("end") <= reach, F.lit(False))
-
-    complement = F.when(secret, near(~secret)).otherwise(near(secret))
+    scope = Window.partitionBy(*key, "scope")
+    has = lambda role: F.coalesce(F.max(role).over(scope), F.lit(False))
+    complement = F.when(secret, has(~secret)).otherwise(has(secret))
     return parts.withColumn("reported", F.col("rank").isNotNull() & (F.col("rank").isin(*range(len(STRONG))) | complement))
 
 
@@ -100,27 +94,27 @@ def said(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def report(df: DataFrame, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_assign, n_access, n_hex, n_weak, base_sha256, spans."""
-    found = scan(df, reach, id_col, text_col)
+    found = scan(df, id_col, text_col)
     count = lambda test: F.size(F.filter("spans", lambda s: test(s["rank"]))).cast("long")
     base = F.filter("spans", lambda s: s["rank"] < len(STRONG))
     return found.select(id_col, *[count(lambda r, i=i: r == i).alias(f"n_{k}") for i, k in enumerate(STRONG)], count(lambda r: r >= len(STRONG)).alias("n_weak"), F.sha2(F.encode(said(base), "UTF-8"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
-def redact(df: DataFrame, reach: int = REACH, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redact(df: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with each reported span of its text replaced by mark. Overlapping spans are one; null texts stay null."""
-    found = scan(df, reach, id_col, text_col).where(F.size("spans") > 0)
-    spans = found.select(F.col(id_col).alias("__id"), F.col("h").alias("__h"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__h"])
-    joined = df.join(spans, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__h")), "left")
+    id_, h, spans = fresh(df, "own_id", "own_h", "own_spans")
+    found = scan(df, id_col, text_col).where(F.size("spans") > 0).select(F.col(id_col).alias(id_), F.col("h").alias(h), F.col("spans").alias(spans)).dropDuplicates([id_, h])
+    joined = df.join(found, F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(F.col(text_col)) == F.col(h)), "left")
     text = F.col(text_col)
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["at"]
+        new = s["start"] >= a["at"]
         gap = F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, F.concat(a["out"], gap, F.lit(mark))).otherwise(a["out"]).alias("out"))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(new, F.concat(a["out"], gap, F.lit(mark))).otherwise(a["out"]).alias("out"))
 
-    done = F.aggregate("__spans", begin, step)
-    cleaned = F.when(F.col("__spans").isNull(), text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.char_length(text))))
+    done = F.aggregate(spans, begin, step)
+    cleaned = F.when(F.col(spans).isNull(), text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.char_length(text))))
     return joined.withColumn(text_col, cleaned).select(*df.columns)

@@ -4,7 +4,7 @@ Only lines with a word count; blank lines neither match nor break a run. A windo
 least MIN_WORDS words that starts (or ends) at a given line. Each window's smallest line hash is its fingerprint: two
 documents that share a run of MIN_WORDS words share all windows inside it, and so their fingerprints, wherever the run
 stands. Positions are joined on fingerprints first, which leaves the few windows whose fingerprint occurs elsewhere; of
-these the hash of the whole window decides. Windows that start and windows that end at each line of a shared run together
+these the whole window decides, by two hashes of its lines' hashes (128 bits). Windows that start and windows that end at each line of a shared run together
 cover exactly that run, so matches are extended both ways to the run's ends without comparing documents in pairs.
 
 Of windows with equal content the one in the smallest (id, text hash, line) is the first; lines of all others are deleted,
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.rules import WORD
+from brindle.llm.store import fresh
 
 MIN_WORDS = 50
 KEY = ["id", "h"]
@@ -32,21 +33,24 @@ def _lines(text: Column) -> Column:
 
 
 def worded_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, h (the text's hash), line (its number), n (its words), hash: a row for each line with a word."""
+    """id, h (the text's hash), line (its number), n (its words), hash, other (a second hash): a row for each line with a word.
+
+    White space around a line doesn't count."""
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.posexplode(_lines(F.col(text_col))).alias("line", "said"))
-    rows = rows.select(*KEY, "line", F.xxhash64(F.trim("said")).alias("hash"), F.regexp_count("said", F.lit(WORD + "+")).alias("n"))
+    line = F.regexp_replace("said", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    rows = rows.select(*KEY, "line", F.xxhash64(line).alias("hash"), F.xxhash64(F.lit(1), line).alias("other"), F.regexp_count("said", F.lit(WORD + "+")).alias("n"))
     return rows.where("n > 0").dropDuplicates([*KEY, "line"])
 
 
 def windows(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """id, h, first, last (line numbers), content (hash of the lines' hashes), fingerprint (the smallest of them)."""
+    """id, h, first, last (line numbers), content (two hashes of the lines' hashes), fingerprint (the smallest of them)."""
     doc = Window.partitionBy(*KEY).orderBy("line")
     rows = lines.withColumn("upto", F.sum("n").over(doc)).withColumn("before", F.col("upto") - F.col("n"))
     starting = Window.partitionBy(*KEY).orderBy("before").rangeBetween(0, min_words - 1)
     ending = Window.partitionBy(*KEY).orderBy("upto").rangeBetween(1 - min_words, 0)
 
     def of(frame) -> Column:
-        made = F.struct(F.min("line").over(frame).alias("first"), F.max("line").over(frame).alias("last"), F.xxhash64(F.collect_list("hash").over(frame)).alias("content"), F.min("hash").over(frame).alias("fingerprint"))
+        made = F.struct(F.min("line").over(frame).alias("first"), F.max("line").over(frame).alias("last"), F.struct(F.xxhash64(F.collect_list("hash").over(frame)).alias("a"), F.xxhash64(F.collect_list("other").over(frame)).alias("b")).alias("content"), F.min("hash").over(frame).alias("fingerprint"))
         return F.when(F.sum("n").over(frame) >= min_words, made)
 
     both = rows.select(*KEY, of(starting).alias("a"), of(ending).alias("b"))
@@ -74,10 +78,13 @@ def runs(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text
     return islands.groupBy(*KEY, "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min_by("source", F.struct("first", "last")).alias("source")).drop("run")
 
 
-def dedup(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with later repeated runs of lines taken out of its text, and __deleted: array of struct<first, last, source> of line numbers."""
+def dedup(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", deleted_col: str | None = None) -> DataFrame:
+    """df with later repeated runs of lines taken out of its text, and in deleted_col, if it is named, an array of
+    struct<first, last, source> of line numbers (null where nothing is deleted)."""
     found = runs(df, min_words, id_col, text_col)
-    listed = found.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("first", "last", "source"))).alias("__deleted")).withColumnsRenamed({"id": "__id", "h": "__h"})
-    joined = df.join(listed, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__h")), "left").drop("__id", "__h")
-    kept = F.filter(_lines(F.col(text_col)), lambda x, i: ~F.exists("__deleted", lambda r: (r["first"] <= i) & (i <= r["last"])))
-    return joined.withColumn(text_col, F.when(F.col("__deleted").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
+    id_, h, deleted = fresh(df, "own_id", "own_h", "own_deleted")
+    listed = found.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("first", "last", "source"))).alias(deleted)).withColumnsRenamed({"id": id_, "h": h})
+    joined = df.join(listed, F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(F.col(text_col)) == F.col(h)), "left")
+    kept = F.filter(_lines(F.col(text_col)), lambda x, i: ~F.exists(deleted, lambda r: (r["first"] <= i) & (i <= r["last"])))
+    made = joined.withColumn(text_col, F.when(F.col(deleted).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
+    return made.select(*df.columns, *([F.col(deleted).alias(deleted_col)] if deleted_col else []))

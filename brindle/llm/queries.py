@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import bpe, credentials, jaccard, linededup, packing, pfor, quality, rules, sharding, topk
-from brindle.llm.store import table
+from brindle.llm.store import table, written
 
 
 def _vocabulary(name: str) -> str:
@@ -22,8 +23,17 @@ def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rules.decide(rules.ledger(table(spark, sf_dir, "documents")))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", "policy")
+    """The stored ledger, with the verdict of every policy."""
+    found = rules.decide(written(rules.ledger(table(spark, sf_dir, "documents")), "ledger"))
+    verdicts = [(F.col("failed").bitwiseAND(F.lit(rules.mask((*rules.BASE, *names)))) == 0).alias("kept_" + policy.replace("-", "_")) for policy, names in rules.POLICIES.items()]
+    return found.select("doc_id", *rules.MEASURES, "base_failed", "kept", "failed", "policy", *verdicts)
+
+
+def ablation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every policy's ablation from one stored ledger."""
+    held = written(rules.ledger(table(spark, sf_dir, "documents")), "ledger")
+    made = [rules.ablation(held, policy) for policy in rules.POLICIES]
+    return reduce(DataFrame.unionByName, made)
 
 
 def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +66,8 @@ def secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lines_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text (what is left of it), n_lines and n_deleted lines, deleted: from-to of each run."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
-    made = linededup.dedup(docs)
-    runs = F.coalesce("__deleted", F.array().cast(made.schema["__deleted"].dataType))
+    made = linededup.dedup(docs, deleted_col="runs")
+    runs = F.coalesce("runs", F.array().cast(made.schema["runs"].dataType))
     n = F.aggregate(runs, F.lit(0).cast("long"), lambda a, r: a + r["last"] - r["first"] + 1)
     said = F.array_join(F.transform(runs, lambda r: F.concat_ws("-", r["first"].cast("string"), r["last"].cast("string"))), ",")
     return made.select("doc_id", "text", "n_lines", n.alias("n_deleted"), said.alias("deleted"))
@@ -71,6 +81,7 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_retrieval_packing": packing_query,
     "op2_rule_ledger": rules_query,
+    "rule_ablation": ablation_query,
     "op3_ngram_jaccard": jaccard_query,
     "op4_byte_bpe": bpe_query,
     "op5_rendezvous_sharding": sharding_query,
@@ -117,7 +128,15 @@ WITH base AS (
     + 128 * (word_chars > 0 AND n_letters < 0.5::DOUBLE * word_chars)::BIGINT)::BIGINT AS failed
   FROM r
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed, 'web-2' AS policy FROM f
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper_words, n_letters, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed, 'web-2' AS policy,
+  (failed & 3) = 0 AS kept_base_1, (failed & 51) = 0 AS kept_web_1, failed = 0 AS kept_web_2 FROM f
+"""
+
+_ABLATION = f"""
+WITH l AS ({_RULES}), r AS (SELECT unnest(['MIN_WORDS', 'REPEATED_WORDS', 'SHORT_WORDS', 'LONG_WORDS', 'SYMBOLS', 'DUPLICATE_LINES', 'UPPER_WORDS', 'FEW_LETTERS']) AS rule, unnest([1, 2, 4, 8, 16, 32, 64, 128]) AS bit),
+p AS (SELECT unnest(['base-1', 'web-1', 'web-2']) AS policy, unnest([3, 51, 255]) AS own)
+SELECT p.policy, rule, count(*) AS n_docs, count(*) FILTER (failed & bit <> 0) AS n_failed, count(*) FILTER (failed & own = bit) AS n_only, count(*) FILTER (failed & own = 0) AS n_kept, count(*) FILTER (failed & own & ~bit = 0) AS n_kept_without
+FROM l, r JOIN p ON own & bit <> 0 GROUP BY ALL
 """
 
 _TOPK = """
@@ -147,4 +166,4 @@ SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id
 FROM t LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x) m USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_rule_ledger": _RULES, "op3_ngram_jaccard": _JACCARD, "op7_threshold_topk": _TOPK}
+ORACLE_SQL: dict[str, str] = {"op2_rule_ledger": _RULES, "rule_ablation": _ABLATION, "op3_ngram_jaccard": _JACCARD, "op7_threshold_topk": _TOPK}

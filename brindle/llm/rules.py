@@ -63,6 +63,8 @@ def _over(top: str, bottom: str, limit: float) -> Column:
     return (F.col(bottom) > 0) & (F.col(top) > limit * F.col(bottom))
 
 
+#: What a ledger measures.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper_words", "n_letters")
 #: The rules in the order of their bits; a true value is a failure. New rules go to the end, so that stored bits keep their meaning.
 RULES: Mapping[str, Column | None] = {
     name: None for name in ("MIN_WORDS", "REPEATED_WORDS", "SHORT_WORDS", "LONG_WORDS", "SYMBOLS", "DUPLICATE_LINES", "UPPER_WORDS", "FEW_LETTERS")
