@@ -299,6 +299,35 @@ def modal(text: Column, phrases=MODALS) -> Column:
     return F.nullif(F.lower(F.regexp_extract(found, r"^(\S+)", 1)), F.lit(""))
 
 
+# Patterns of the signal that a message says is checked, in their order, and words that are none.
+CHECKED = (
+    r"(?i)(\w+)\s+(?:incorrect|mismatch|wrong|error|failure)",
+    r"(?i)([a-zA-Z_]\w*)\s+output\s+(?:incorrect|mismatch|wrong)",
+    r"(?i)(?:expected|check(?:ing)?|verify(?:ing)?)\s+(\w+)",
+    r"(?i)(\w+)\s+(?:should|must)\s+be",
+    r"(?i)(\w+)\s+pattern\s+(?:incorrect|mismatch|wrong)",
+)
+NOISE = (
+    "the", "a", "an", "output", "input", "signal", "value", "result", "data", "when", "if", "not", "is", "are",
+    "code", "mode", "pattern", "format", "sign", "flag", "zero", "one", "bit", "byte", "word", "width", "size",
+)
+
+
+def checked_signal(message: Column) -> Column:
+    """What the first pattern names that isn't noise, null without one."""
+    found = [F.regexp_extract(message, p, 1) for p in CHECKED]
+    return F.coalesce(*[F.when((f != "") & ~F.lower(f).isin(*NOISE), f) for f in found])
+
+
+def covered_signature(text: Column) -> Column:
+    """An assertion in short: no message, keywords, semicolon or outer parentheses, 100 characters at most; null for other lines."""
+    bare = F.regexp_extract(F.trim(text), r"(?s)^(.*?)(?:\belse\s+\$\w+\s*\(.*)?$", 1)
+    bare = F.regexp_replace(F.trim(F.regexp_replace(bare, r"^assert\s+(property\s+)?", "")), r";\s*$", "")
+    bare = strip_outer(F.trim(bare), 1)
+    short = F.when(F.char_length(bare) > 100, F.concat(F.left(bare, F.lit(97)), F.lit("..."))).otherwise(bare)
+    return F.when(F.trim(text).startswith("assert"), F.nullif(short, F.lit("")))
+
+
 def balanced(text: Column) -> Column:
     """Every parenthesis closes, none before it opens."""
     signs = F.transform(F.regexp_extract_all(text, F.lit(r"([()])"), F.lit(1)), lambda c: F.when(c == "(", 1).otherwise(-1))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import VACUOUS_TRUE, balanced, canonical, exact_signature, idents, strip_outer
+from brindle.operators.coverage import pair_links
 
 A = "assertion"
 Pass = tuple[str, Callable[[DataFrame], DataFrame]]
@@ -33,6 +34,11 @@ def squeezed(text: Column) -> Column:
     return F.regexp_replace(text, r"\s+", "")
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value evaluated (and written into the plan) once."""
+    return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
+
+
 def split_top(text: Column, sign: str) -> Column:
     """The parts of text between the signs that stand in no parenthesis."""
 
@@ -40,9 +46,11 @@ def split_top(text: Column, sign: str) -> Column:
         last = F.element_at(out, -1)
         return F.when((F.size(out) > 0) & ~balanced(F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(""))), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.concat(last, F.lit(sign), part)))).otherwise(F.concat(out, F.array(part)))
 
-    parts = F.split(text, sign.replace("|", r"\|"))
-    # a fold only where a part isn't balanced on its own
-    return F.when(F.forall(parts, balanced), parts).otherwise(F.aggregate(parts, F.array().cast("array<string>"), step))
+    def joined(parts: Column) -> Column:
+        # a fold only where a part isn't balanced on its own
+        return F.when(F.forall(parts, lambda c: balanced(c)), parts).otherwise(F.aggregate(parts, F.array().cast("array<string>"), step))
+
+    return bound(F.split(text, sign.replace("|", r"\|")), joined)
 
 
 def conjuncts(text: Column) -> Column:
@@ -110,16 +118,19 @@ def _dead(t: Column) -> tuple[Column, Column]:
 
 def _strip_dead(t: Column) -> Column:
     parts, dead = _dead(t)
-    # the first equal conjunct goes
-    at = F.array_position(F.transform(parts, lambda c: squeezed(strip_outer(c, 2))), dead)
-    left = F.filter(parts, lambda c, i: i + 1 != at)
-    new = F.concat(F.regexp_extract(t, _DISABLED, 1), F.lit("("), F.array_join(F.transform(left, lambda c: F.trim(c)), " && "), F.lit(")"), F.regexp_extract(t, _DISABLED, 4))
-    return F.when(at > 0, new).otherwise(t)
+
+    def without(p: Column) -> Column:
+        # the first equal conjunct goes
+        at = F.array_position(F.transform(p, lambda c: squeezed(strip_outer(c, 2))), dead)
+        new = lambda k: F.concat(F.regexp_extract(t, _DISABLED, 1), F.lit("("), F.array_join(F.transform(F.filter(p, lambda c, i: i + 1 != k), lambda c: F.trim(c)), " && "), F.lit(")"), F.regexp_extract(t, _DISABLED, 4))
+        return bound(at, lambda k: F.when(k > 0, new(k)).otherwise(t))
+
+    return F.when(t.rlike(_DISABLED), bound(parts, without)).otherwise(t)
 
 
 def _only_dead(t: Column) -> Column:
     parts, dead = _dead(t)
-    return (F.size(parts) == 1) & (squeezed(strip_outer(F.get(parts, F.lit(0)), 2)) == dead)
+    return t.rlike(_DISABLED) & bound(parts, lambda p: (F.size(p) == 1) & (squeezed(strip_outer(F.get(p, F.lit(0)), 2)) == dead))
 
 
 # A conjunct that equals the disable clause can't hold: it goes, and the row only if nothing else is left.
@@ -129,10 +140,13 @@ _ATOM = r"^\s*[!~]?\s*\(?\s*[A-Za-z_]\w*(?:\.\w+)*(?:\[[^\]]+\])?\s*\)?\s*$"
 
 def _violation(t: Column) -> Column:
     """An immediate conjunction of two plain signals or more, one of them negated, without any implication."""
-    b = body(t)
-    parts = split_top(b, "&&")
-    plain = ~b.rlike(r"\|\||==|!=|<=|>=|\s<\s|\s>\s|[+*/%]|(?<![!~\-])\s-\s") & ~t.rlike(r"\|->|\|=>|##")
-    return t.rlike(r"^assert\s*\(") & plain & (F.size(parts) > 1) & F.forall(parts, lambda c: c.rlike(_ATOM)) & F.exists(parts, lambda c: c.rlike(r"^\s*[!~]"))
+    immediate = t.rlike(r"^assert\s*\(") & ~t.rlike(r"\|->|\|=>|##")
+
+    def violates(b: Column) -> Column:
+        atoms = lambda p: (F.size(p) > 1) & F.forall(p, lambda c: c.rlike(_ATOM)) & F.exists(p, lambda c: c.rlike(r"^\s*[!~]"))
+        return ~b.rlike(r"\|\||==|!=|<=|>=|\s<\s|\s>\s|[+*/%]|(?<![!~\-])\s-\s") & bound(split_top(b, "&&"), atoms)
+
+    return immediate & bound(body(t), violates)
 
 
 # I11.
@@ -142,23 +156,51 @@ _LITERAL = r"(?:\d+'?[bdhoBDHOxXzZ?]?[\w?]*|\{[^}]+\})"
 
 def _always_equal(t: Column) -> Column:
     """A name that equals a literal without any condition; names in capitals are parameters."""
-    b = body(t)
     whole = rf"^\s*\(?\s*([A-Za-z_]\w*(?:\.\w+)*)(?:\[[^\]]+\])?\s*==\s*{_LITERAL}\s*\)?\s*$"
     inner = rf"\(\s*([A-Za-z_]\w*(?:\[[^\]]+\])?)\s*==\s*{_LITERAL}\s*\)"
-    name = F.when(b.rlike(whole), F.regexp_extract(b, whole, 1)).otherwise(F.regexp_extract(b, inner, 1))
-    free = ~b.rlike(r"\|[->=]+|##|\$(past|stable|rose|fell|onehot|isunknown)|&&|\|\|")
-    return t.rlike("^assert") & free & (name != "") & ~(name.rlike("[A-Z]") & ~name.rlike("[a-z]") & (F.char_length(name) > 1))
+    lower = lambda name: (name != "") & ~(name.rlike("[A-Z]") & ~name.rlike("[a-z]") & (F.char_length(name) > 1))
+
+    def equal(b: Column) -> Column:
+        name = F.when(b.rlike(whole), F.regexp_extract(b, whole, 1)).otherwise(F.regexp_extract(b, inner, 1))
+        return ~b.rlike(r"\|[->=]+|##|\$(past|stable|rose|fell|onehot|isunknown)|&&|\|\|") & bound(name, lower)
+
+    return t.rlike("^assert") & bound(body(t), equal)
 
 
 # I12.
 remove_unconditional_equality = keep(lambda t: ~_always_equal(t))
-# The claim is one of the conditions.
-remove_tautologies = keep(lambda t: ~F.array_contains(conjuncts(F.coalesce(sides(t)["condition"], F.lit(""))), squeezed(sides(t)["claim"])))
+def implied(condition: Column, claim: Column) -> Column:
+    """The claim, or one of its alternatives, is among the conjuncts of the condition; an alternative may be all of it."""
+    held = F.filter(conjuncts(F.coalesce(condition, F.lit(""))), lambda c: c != "")
+    others = F.filter(F.transform(split_top(claim, "||"), lambda c: squeezed(strip_outer(c, 3))), lambda c: c != "")
+    whole = F.array(squeezed(strip_outer(condition, 3)))
+    among = lambda h, o: F.array_contains(h, squeezed(strip_outer(claim, 3))) | ((F.size(o) > 1) & F.arrays_overlap(o, F.array_union(h, whole)))
+    return bound(held, lambda h: bound(others, lambda o: among(h, o)))
+
+
+# I13.
+remove_tautologies = keep(lambda t: ~bound(sides(t), lambda s: implied(s["condition"], s["claim"])))
+
+
+def same_sides(claim: Column) -> Column:
+    """The first comparison outside parentheses has the same on both sides; logical combinations are left alone."""
+
+    def decided(said: Column) -> Column:
+        out = F.lit(False)
+        for op in reversed(("==", "!=", "<=", ">=", "<", ">")):
+            rest = lambda p, op=op: F.array_join(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), op)
+            pair = bound(split_top(said, op), lambda p, rest=rest: F.when(F.size(p) > 1, F.array(squeezed(strip_outer(F.get(p, F.lit(0)), 3)), squeezed(strip_outer(rest(p), 3)))))
+            out = bound(pair, lambda x, out=out: F.when((F.get(x, F.lit(0)) != "") & (F.get(x, F.lit(1)) != ""), F.get(x, F.lit(0)) == F.get(x, F.lit(1))).otherwise(out))
+        return out
+
+    return ~claim.rlike(r"&&|\|\|") & bound(strip_outer(claim, 3), decided)
+
+
 # Conditions that never hold, claims that always do.
 remove_vacuous_condition = keep(lambda t: ~constant_false(sides(t)["condition"]))
 remove_vacuous_claim = keep(lambda t: ~constant_true(sides(t)["claim"]))
 # The same on both sides of a comparison.
-remove_self_comparison = keep(lambda t: ~squeezed(sides(t)["claim"]).rlike(r"^([A-Za-z_]\w*(?:\[[^\]]*\])?)(?:===|!==|==|!=|<=|>=|<|>)\1$"))
+remove_self_comparison = keep(lambda t: ~bound(sides(t)["claim"], same_sides))
 # Constant truths.
 remove_trivial = keep(lambda t: ~t.rlike(VACUOUS_TRUE))
 # Constant ternaries.
@@ -187,6 +229,87 @@ def next_cycle_on(names: DataFrame, combinational: bool) -> Callable[[DataFrame]
     return run
 
 
+_SLICE = r"(\w+(?:\[[^\]]+\])?)"
+_RESTATED = rf"^\s*assert\s*\(?\s*{_SLICE}\s*==\s*\(?\s*{_SLICE}\s*\)?\s*\)?\s*(?:else\s+\$\w+\([^)]*\))?\s*;\s*$"
+
+
+def _slice_width(part: Column) -> Column:
+    """Bits of a select, null for a bare name or a select that isn't numbers."""
+    hi, lo = (F.regexp_extract(part, r"\[(\d+)\s*:\s*(\d+)\]$", i).try_cast("int") for i in (1, 2))
+    return F.coalesce(F.abs(hi - lo) + 1, F.when(part.rlike(r"\w\[\d+\]$"), F.lit(1)))
+
+
+def _restates(t: Column) -> Column:
+    left, right = (_slice_width(F.regexp_extract(t, _RESTATED, i)) for i in (1, 2))
+    return t.rlike(_RESTATED) & F.coalesce(left == right, left.isNotNull() | right.isNotNull())
+
+
+# An immediate equality of two selects of equal width, or of a select and a bare name.
+remove_slice_restatements = keep(lambda t: ~_restates(t))
+
+
+def loop_names(text: Column) -> Column:
+    """Names of one or two small letters in what is asserted, without strings, messages and literals."""
+    bare = F.regexp_replace(F.regexp_replace(body(text), r"(?s)\)\s*else\s+\$\w+\s*\(.*$", ""), r'"[^"]*"', " ")
+    bare = F.regexp_replace(bare, r"\b\d+'\s*[bdhoBDHO][0-9a-fA-FxXzZ_?]*", " ")
+    return F.array_distinct(F.regexp_extract_all(bare, F.lit(r"\b([a-z]{1,2})\b"), F.lit(1)))
+
+
+def loop_scope(widths: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Rows with a name like a loop's that no declared width knows go; without any width all stay. widths: name."""
+
+    def run(df: DataFrame) -> DataFrame:
+        any_ = widths.agg((F.count(F.lit(1)) > 0).alias("__any"))  # one row
+        each = df.crossJoin(F.broadcast(any_)).where("__any").select("id", "pos", F.explode(loop_names(F.col(A))).alias("name"))
+        return df.join(each.join(widths.select("name").distinct(), "name", "left_anti").select("id", "pos").distinct(), ["id", "pos"], "left_anti")
+
+    return run
+
+
+def affinity(edges: DataFrame, most: float = 0.0) -> Callable[[DataFrame], DataFrame]:
+    """An annotation for rows of two names or more of whose pairs no more than the share most is linked (edges: a, b)."""
+
+    def run(df: DataFrame) -> DataFrame:
+        rows = df.select(F.struct("id", "pos").alias("k"), idents(body(F.col(A))).alias("names"))
+        low = pair_links(rows, "k", "names", edges).where(F.col("n_linked") <= most * F.col("n_pairs")).select("k.id", "k.pos").withColumn("__low", F.lit(True))
+        marked = df.join(low, ["id", "pos"], "left").withColumn("__flags", _flags(df))
+        return marked.withColumn("flags", F.when(F.col("__low"), F.array_append("__flags", F.lit("low_affinity"))).otherwise(F.col("__flags"))).drop("__low", "__flags")
+
+    return run
+
+
+_REFERENCE = r"(?i)\bassert\s+property\s*\(\s*([A-Za-z_]\w*)\s*\)"
+
+
+def property_bodies(files: DataFrame, id_col: str, text: str) -> DataFrame:
+    """id, name, body (in one line, without a semicolon at its end), line of the block's start: of blocks of equal name the last."""
+    block = r"(?is)\bproperty\s+([A-Za-z_]\w*)\s*;\s*(.*?)\s*\bendproperty\b"
+    t = F.col(text)
+    names, bodies, gaps = F.regexp_extract_all(t, F.lit(block), F.lit(1)), F.regexp_extract_all(t, F.lit(block), F.lit(2)), F.split(t, block, -1)
+    each = files.select(F.col(id_col).alias("id"), F.posexplode(F.arrays_zip(names.alias("name"), bodies.alias("body"))).alias("k", "p"), gaps.alias("gaps"), F.regexp_extract_all(t, F.lit(block), F.lit(0)).alias("blocks"))
+    newlines = lambda parts, upto: F.aggregate(F.slice(parts, 1, upto), F.lit(0), lambda a, x: a + F.regexp_count(x, F.lit("\n")))
+    flat = F.regexp_replace(F.trim(F.regexp_replace(F.col("p.body"), r"\s+", " ")), r"[;\s]+$", "")
+    each = each.select("id", F.col("p.name").alias("name"), flat.alias("body"), (newlines(F.col("gaps"), F.col("k") + 1) + newlines(F.col("blocks"), F.col("k"))).alias("line"), "k")
+    return each.groupBy("id", "name").agg(F.max_by("body", "k").alias("body"), F.max_by("line", "k").alias("line"))
+
+
+def inlined(rows: DataFrame, bodies: DataFrame, rebuilt: bool = True, nearest: bool = False) -> DataFrame:
+    """H6-H8: rows (id, pos, assertion) that assert a property by its name get its body: as assert property (body); or, if not
+    rebuilt, behind the assertion. nearest: a name without a block takes the block before it (pos and the blocks' lines count alike)."""
+    name = F.regexp_extract(A, _REFERENCE, 1)
+    out = rows.withColumn("__name", F.nullif(name, F.lit(""))).join(bodies.select("id", F.col("name").alias("__name"), F.col("body").alias("__body")), ["id", "__name"], "left")
+    found = F.nullif(F.col("__body"), F.lit(""))
+    if nearest:
+        marks = bodies.select("id", F.col("line").alias("pos"), F.col("body").alias("__mark"))
+        both = out.withColumn("__mark", F.lit(None).cast("string")).withColumn("__row", F.lit(1)).unionByName(marks.withColumn("__row", F.lit(0)), allowMissingColumns=True)
+        before = Window.partitionBy("id").orderBy("pos", "__row").rowsBetween(Window.unboundedPreceding, -1)
+        out = both.withColumn("__near", F.last("__mark", ignorenulls=True).over(before)).where("__row = 1")
+        found = F.coalesce(found, F.nullif(F.col("__near"), F.lit("")))
+    t = F.col(A)
+    new = F.concat(F.lit("assert property ("), found, F.lit(");")) if rebuilt else F.concat(F.rtrim(F.regexp_replace(F.rtrim(t), ";+$", "")), F.lit("  "), found, F.lit(";"))
+    return out.withColumn(A, F.when(F.col("__name").isNotNull() & found.isNotNull(), new).otherwise(t)).select(*rows.columns)
+
+
 def known_widths(widths: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """Rows with a literal wider than the signal it is compared with go. widths: name, width."""
 
