@@ -111,7 +111,7 @@ _DISABLED = r"(?s)^(assert\b.*?(?i:disable\s+iff)\s*\(((?:[^()]|\((?:[^()]|\([^(
 
 
 def _dead(t: Column) -> tuple[Column, Column]:
-    """(the conjuncts of the condition, what the disable clause holds)."""
+    """(the conjuncts of the condition, what the disable clause holds)."""
     dead = F.nullif(squeezed(strip_outer(F.regexp_extract(t, _DISABLED, 2), 2)), F.lit(""))
     return split_top(strip_outer(F.regexp_extract(t, _DISABLED, 3), 3), "&&"), dead
 

@@ -47,7 +47,7 @@ def unknown_names(rows: DataFrame, tokens: str, known: DataFrame, word: str) ->
 
 
 def out_of_scope(rows: DataFrame, row: str, tokens: str, names: DataFrame, word: str, patterns: tuple[str, ...] = ()) -> DataFrame:
-    """Rows that hold none of the names and no token that a pattern matches."""
+    """Rows that hold none of the names and no token that a pattern matches."""
     listed = rows.select(F.col(row).alias("r"), F.explode(tokens).alias("t"))
     bad = listed.join(names.select(F.col(word).alias("t")).distinct(), "t", "left_semi").select("r")
     if patterns:

@@ -57,7 +57,7 @@ def last_wins(*sources: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def subsumed(df: DataFrame, pos: str, lhs: str, rhs: str, names: str) -> DataFrame:
-    """Rows (lhs == rhs under the condition names, a sorted array, empty if unconditional) that stay.
+    """Rows (lhs == rhs under the condition names, a sorted array, empty if unconditional) that stay.
 
     A conditional row goes if its pair holds unconditionally (A) or another value does (C). Of unconditional rows with one
     lhs the first value stays (C2; all their values count for C, also those that go). Of conditional rows with one pair those

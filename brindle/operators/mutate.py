@@ -164,7 +164,8 @@ OPERATORS: dict[str, Callable[[str], Iterator[tuple[str, str]]]] = {
 
 
 def mutants(lines: DataFrame, source: str, line_no: str, line: str, names: Sequence[str] | None = None, widths: dict[str, int] | None = None, most: int | None = None) -> DataFrame:
-    """M8: source, id (0, 1 ... within the source), operator, line_no, original, mutated, description; equal mutants of a line once.
+    """Source, id (0, 1 ... within the source), operator, line_no, original, mutated, description; equal mutants of a line once;
+    with most the first of a source in the order they are made.
 
     A group is one source file, as an instance's lines are known only in their order."""
     chosen = [(n, OPERATORS[n]) for n in names or OPERATORS] + ([("SIGNAL_SWAP", signal_swap(widths))] if widths else [])

@@ -62,7 +62,7 @@ def postings(rows: DataFrame, id_col: str, tokens: str) -> DataFrame:
 
 
 def bm25(rows: DataFrame, id_col: str, tokens: str, queries: DataFrame, n_docs: DataFrame, epsilon: float = 0.25) -> DataFrame:
-    """L2: query, id, score. rows: id, tokens (an array); queries: query, term. n_docs: one row n, mean_length.
+    """L2/F2: query, id, score. rows: id, tokens (an array); queries: query, term. n_docs: one row n, mean_length.
 
     idf = ln((n - df + 0.5) / (df + 0.5)), where negative epsilon times the mean idf of all terms. Document frequencies are
     counted map-side over all terms; only the queries' terms become postings."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brindle.functions import text as X
-from brindle.operators import clean, lookup
+from brindle.operators import clean, lookup, repairs
 from brindle.plans.tables import ASSERTIONS, assertions, t
 
 
@@ -52,6 +52,30 @@ _NAMED = (
     ("assert property (none);", "assert property (none);", "assert property (none)  c;"),
     ("assert property (a |-> b);", "assert property (a |-> b);", "assert property (a |-> b);"),
 )
+_ANDS = (
+    ('assert (en && (a || b) && sum{n} == c) else $error("sum{n} mismatch");', 'assert (en && (a || b) && sum{n} == c) else $error("sum{n} mismatch");'),
+    ('assert (en && mode && SUM{n} == c) else $error("sum{n} mismatch");', 'assert (!(en && mode) || (SUM{n} == c)) else $error("sum{n} mismatch");'),
+    ('assert (en && sum{n} == c) else $error("sum{n} mismatch");', 'assert (en && sum{n} == c) else $error("sum{n} mismatch");'),
+    ('assert (a && f(x && y) && q{n} == 1 && q{n} != z) else $error("expected q{n}");', 'assert (!(a && f(x && y)) || (q{n} == 1 && q{n} != z)) else $error("expected q{n}");'),
+    ('assert (a && b && c{n}) else $error("the data wrong");', 'assert (a && b && c{n}) else $error("the data wrong");'),
+)
+_ONLY = (
+    ('assert (en{n}) else $error("out must be 4\'hf");', 'assert (!(en{n}) || (out == 4\'hf)) else $error("out must be 4\'hf");'),
+    ('assert (en{n}) else $error("out must be 8\'hf0");', None),
+    ('assert (en{n}) else $error("ghost must be 1");', None),
+    ('assert (en{n} && top) else $error("top should be 1 and u.low shall be 0 here, must be so");', 'assert (!(en{n} && top) || (u.low == 0)) else $error("top should be 1 and u.low shall be 0 here, must be so");'),
+    ('assert (en{n}) else $error("all wrong");', 'assert (en{n}) else $error("all wrong");'),
+    ('assert (en{n} || x) else $error("out must be 1");', 'assert (en{n} || x) else $error("out must be 1");'),
+    ("assert property (en{n});", "assert property (en{n});"),
+)
+_VALUES = ((" 32'h55{n} rest", "32'h55{n}"), ("{4{1'b0}} x", "{4{1'b0}}"), ("name_{n}, y", "name_{n}"), ("; none", None), ("{open {n", None))
+_CHOICES = (("(a{n} == b) ? c : (d ? e : f)", ("a{n} == b", "c", "(d ? e : f)")), ("((x) ? y{n} : z)", ("x", "y{n}", "z")), ("f(a ? b : c{n})", None), ("p ? q{n} ? r : s : t", ("p", "q{n} ? r", "s : t")), ("a{n} + b", None))
+#: The parenthesis before the message counts as the missing wrapper's.
+_FRAGMENTS = (
+    ("// why\n((a{n}) |-> (b))\n  else $error(\"x\");\nassert (c);", "// why\nassert property (@(posedge clk) disable iff (!rst) ((a{n}) |-> (b)) else $error(\"x\");\nassert (c);"),
+    ("(a{n} && b) else $error(\"x\")\n\nwire q;", "assert ((a{n} && b) else $error(\"x\");\n\nwire q;"),
+    ("property p{n};\n a |-> b;\nendproperty", "property p{n};\n a |-> b;\nendproperty"),
+)
 
 
 def glob_filter(spark, d):
@@ -159,7 +183,35 @@ def covered_signatures(spark, d):
     return _shapes(spark, d, [x[0] for x in _SHORT]).select("pos", X.covered_signature(F.col("assertion")).alias("signature")).where("signature IS NOT NULL")
 
 
-QUERIES = {f.__name__: f for f in (glob_filter, name_lookup, missing_lookup, exact_lookup, allowed_targets, module_participation, name_counts, listed_names, run_matrix, denylist_totals, ranked_properties, ranked_pairs, first_and_last, coverage_events, appended_rows, property_inlining, repaired_assertions, loop_scope, low_affinity, checked_signals, covered_signatures)}
+def and_forms(spark, d):
+    return repairs.fix_immediate_and_form(_shapes(spark, d, [x[0] for x in _ANDS])).select("pos", "assertion")
+
+
+def condition_only(spark, d):
+    names = F.get(F.array(*map(F.lit, ("out", "top", "low", "en", "x"))), F.col("r_regionkey").cast("int"))
+    signals = t(spark, d, "region").select(names.alias("name"), F.when(F.col("r_regionkey") == 0, 4).alias("width"))
+    return repairs.fix_condition_only(signals)(_shapes(spark, d, [x[0] for x in _ONLY])).select("pos", "assertion")
+
+
+def values_read(spark, d):
+    return _shapes(spark, d, [x[0] for x in _VALUES]).select("pos", repairs.value_read(F.col("assertion")).alias("value")).where("value IS NOT NULL")
+
+
+def ternaries(spark, d):
+    return repairs.ternaries(_shapes(spark, d, [x[0] for x in _CHOICES]), "pos", "assertion")
+
+
+def wrapped_fragments(spark, d):
+    return repairs.with_wrapped_fragments(_shapes(spark, d, [x[0] for x in _FRAGMENTS]), "pos", "assertion", "clk", "rst")
+
+
+def doc_coverage(spark, d):
+    props = t(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.lit("must").alias("modal"), F.array(F.concat(F.lit("s"), F.col("p_size").cast("string")), F.lit("s1")).alias("signals"))
+    used = t(spark, d, "nation").select(F.concat(F.lit("s"), F.col("n_nationkey").cast("string")).alias("name"))
+    return repairs.doc_coverage(props, "signals", used, "name")
+
+
+QUERIES = {f.__name__: f for f in (glob_filter, name_lookup, missing_lookup, exact_lookup, allowed_targets, module_participation, name_counts, listed_names, run_matrix, denylist_totals, ranked_properties, ranked_pairs, first_and_last, coverage_events, appended_rows, property_inlining, repaired_assertions, loop_scope, low_affinity, checked_signals, covered_signatures, and_forms, condition_only, values_read, ternaries, wrapped_fragments, doc_coverage)}
 ORACLES = {
     "glob_filter": "SELECT p_partkey FROM part WHERE (p_type LIKE '%BRASS' OR p_type LIKE 'STANDARD%' OR regexp_full_match(p_type, '[^A-S].....')) AND p_type NOT LIKE '%TIN%'",
     "name_lookup": "SELECT p_partkey, p_type, (SELECT count(*) > 0 FROM part WHERE contains(lower(p_type), 'steel')) AS found FROM part WHERE contains(lower(p_type), 'steel') OR NOT EXISTS (SELECT 1 FROM part WHERE contains(lower(p_type), 'steel'))",
@@ -183,4 +235,11 @@ ORACLES = {
     "low_affinity": "WITH r AS (SELECT p_partkey AS pos, (p_size % 25)::INT AS a, (p_partkey % 25)::INT AS b FROM part) SELECT pos, CASE WHEN a <> b AND (SELECT n_regionkey FROM nation WHERE n_nationkey = a) <> (SELECT n_regionkey FROM nation WHERE n_nationkey = b) THEN 'low_affinity' ELSE '' END AS flags FROM r",
     "checked_signals": _sql(_MESSAGES, {"signal": [x[1] for x in _MESSAGES]}),
     "covered_signatures": _sql(_SHORT, {"signature": [x[1] for x in _SHORT]}),
+    "and_forms": _sql(_ANDS, {"assertion": [x[1] for x in _ANDS]}),
+    "condition_only": _sql(_ONLY, {"assertion": [x[1] for x in _ONLY]}),
+    "values_read": _sql(_VALUES, {"value": [x[1] for x in _VALUES]}),
+    "ternaries": _sql(_CHOICES, {n: [x[1] and x[1][i] for x in _CHOICES] for i, n in enumerate(("condition", "then", "otherwise"))}).replace(" AS then", ' AS "then"'),
+    "wrapped_fragments": _sql(_FRAGMENTS, {"assertion": [x[1] for x in _FRAGMENTS]}),
+    "doc_coverage": """WITH p AS (SELECT p_partkey AS pos, p_size AS n, p_size IN (SELECT n_nationkey FROM nation) AND 1 IN (SELECT n_nationkey FROM nation) AS ok FROM part), m AS (SELECT pos, 'must:' || CASE WHEN n = 1 THEN 's1' ELSE 's1,s' || n END AS l FROM p WHERE NOT ok ORDER BY pos LIMIT 6)
+      SELECT count(*) FILTER (ok) AS covered, count(*) AS total, (SELECT coalesce(string_agg(l, '; ' ORDER BY pos), '') FROM m) AS missing FROM p""",
 }
