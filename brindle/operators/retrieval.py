@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Okapi BM25's parameters and the rank fusion constant.
@@ -80,12 +83,28 @@ def bm25(rows: DataFrame, id_col: str, tokens: str, queries: DataFrame, n_docs:
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, k: int, id_col: str) -> DataFrame:
-    """L3: reciprocal-rank fusion of two ranked tables, 1 / (60 + rank) with ranks from 0; ties go to the smaller id."""
+    """Reciprocal-rank fusion of two ranked tables, 1 / (60 + rank) with ranks from 0; ties go to the smaller id.
+
+    With the text as id_col the lists meet where their texts are equal."""
     both = dense.select("query", id_col, F.col("rank").alias("d")).join(sparse.select("query", id_col, F.col("rank").alias("s")), ["query", id_col], "full")
     part = lambda c: F.coalesce(1 / (RRF_K + F.col(c)), F.lit(0.0))
     return ranked(both.select("query", id_col, (part("d") + part("s")).alias("score")), k, id_col)
 
 
+def built_or_loaded(spark: SparkSession, path: str, stamp: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table at path if it was built under this stamp (a checksum of what it is made from), else built and written there.
+
+    The stamp is written last, so a table whose writing failed is built again."""
+    try:
+        if spark.read.text(f"{path}/stamp").collect() == [(stamp,)]:  # one row
+            return spark.read.parquet(f"{path}/table")
+    except AnalysisException:  # there is none yet
+        pass
+    build().write.mode("overwrite").parquet(f"{path}/table")
+    spark.createDataFrame([(stamp,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/stamp")
+    return spark.read.parquet(f"{path}/table")
+
+
 def two_stage(hits: DataFrame, groups: DataFrame, k: int, id_col: str, group: str) -> DataFrame:
     """L4/C14: of ranked hits first those of the query's groups, then, if these are fewer than k, the others."""
     chosen = groups.select("query", group).distinct().withColumn("__in", F.lit(0))

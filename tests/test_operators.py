@@ -228,3 +228,20 @@ def test_streams(spark, sf, tmp_path):
     out = counters.append_csv(steps, str(tmp_path / "out"), str(tmp_path / "cp"))
     out.awaitTermination()
     assert spark.read.csv(str(tmp_path / "out")).count() == 5
+
+
+def test_built_or_loaded(spark, tmp_path):
+    made = []
+
+    def build():
+        made.append(1)
+        return spark.range(3 + len(made))
+
+    load = lambda stamp: retrieval.built_or_loaded(spark, f"file://{tmp_path}/index", stamp, build).count()
+    assert [load("a"), load("a"), load("b"), load("b")] == [4, 4, 5, 5] and len(made) == 2
+
+
+def test_fusion_by_text(spark):
+    dense = spark.createDataFrame([(1, "x", 0), (1, "y", 1)], "query int, text string, rank int")
+    sparse = spark.createDataFrame([(1, "y", 0), (1, "z", 1)], "query int, text string, rank int")
+    assert [r.text for r in retrieval.fuse(dense, sparse, 3, "text").orderBy("rank").collect()] == ["y", "x", "z"]
