@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brindle.functions import text as X
-from brindle.operators import clean, lookup, repairs
+from brindle.operators import clean, cluster, facts, lookup, repairs
 from brindle.plans.tables import ASSERTIONS, assertions, t
 
 
@@ -211,7 +211,94 @@ def doc_coverage(spark, d):
     return repairs.doc_coverage(props, "signals", used, "name")
 
 
-QUERIES = {f.__name__: f for f in (glob_filter, name_lookup, missing_lookup, exact_lookup, allowed_targets, module_participation, name_counts, listed_names, run_matrix, denylist_totals, ranked_properties, ranked_pairs, first_and_last, coverage_events, appended_rows, property_inlining, repaired_assertions, loop_scope, low_affinity, checked_signals, covered_signatures, and_forms, condition_only, values_read, ternaries, wrapped_fragments, doc_coverage)}
+_said = lambda c: F.array_join(c, ",")
+#: A text function, a text and what it gives.
+_FUNCTIONS = (
+    (lambda c: _said(X.idents_before_message(c)), "assert (a{n} == 8'h0f && $past(sig)) else $error(\"bad x\");", "a{n},sig"),
+    (lambda c: _said(X.idents_of_pair(c, F.lit("z"))), "assert (a{n});", "a{n},z"),
+    (X.literal_width, "16'hab{n}", "16"),
+    (X.select_width, "x{n}[7:0]", "8"),
+    (X.normal_literal, " 8'HF_{n} ", "8'hf{n}"),
+    (X.design_name, "nvdla_c{n}", "c{n}"),
+    (X.design_name, "rvv_backend", "rvv"),
+    (X.data_uri, "data:text/plain;base64,aGk=", "hi"),
+    (X.bare_source, "a{n}; // c\n`define X\nb", "a{n}; \nb"),
+    (lambda c: X.line_of(c, F.lit(5)), "ab\ncd\nef{n}", "2"),
+    (X.fenced_code, "x\n```sv\nassert a{n};\n```\ny", "assert a{n};"),
+    (X.property_block, "so\nproperty p; a{n}; endproperty\nassert property (p);\nok", "property p; a{n}; endproperty\nassert property (p);"),
+    (X.zero_reset, "8'h00", "true"),
+    (X.zero_reset, "4'd{n}", "false"),
+    (lambda c: F.size(X.tool_calls(c)), '<tool_call>{"name": "f{n}"}</tool_call> <tool_call>{bad</tool_call>', "1"),
+    (lambda c: X.plan_json(c), "so [1, {n}] it is", "[1,{n}]"),
+    (lambda c: X.inflate(X.template(c), X.template_indices(c)), "x_{n} == y[66]", "x_{n} == y[66]"),
+    (lambda c: X.unresolved(c, F.array(F.lit("a"), F.lit("b"))), "assert (a == c{n});", "true"),
+    (lambda c: _said(facts.eligible(X.idents(c), F.array(F.lit("clk")), F.array(F.lit("sig"), F.lit("AB"), F.lit("clk")))), "assert (sig && AB && clk && i && other{n});", "sig"),
+)
+_PATTERNS = (
+    ("comb_assign", "assert (q{n} == d);"),
+    ("comb_if", "assert (!(en) || (q{n} == d));"),
+    ("reset_value", "assert property (@(posedge clk) !rst |-> q{n} == d);"),
+    ("seq_update", "assert property (@(posedge clk) disable iff (!rst) (en) |=> q{n} == $past(d));"),
+    ("hold", "assert property (@(posedge clk) disable iff (!rst) !(en) |=> $stable(q{n}));"),
+    ("other", None),
+)
+
+
+def text_functions(spark, d):
+    rows = _shapes(spark, d, [x[1] for x in _FUNCTIONS])
+    value = F.coalesce(*[F.when(F.col("pos") % len(_FUNCTIONS) == i, f(F.col("assertion")).cast("string")) for i, (f, _, _) in enumerate(_FUNCTIONS)])
+    return rows.select("pos", value.alias("value"))
+
+
+def signal_roles(spark, d):
+    n = F.col("p_partkey")
+    end = F.get(F.array(*map(F.lit, ("_baseaddr", "_pd", "_idle", "_x", "_DATA_q", "_din"))), (n % 6).cast("int"))
+    signals = t(spark, d, "part").select(F.concat(F.lit("u"), n.cast("string"), end).alias("name"), (F.col("p_size") % 3).cast("int").alias("width"))
+    marks = t(spark, d, "part").where("p_size < 10").select(F.concat(F.lit("u"), n.cast("string"), end).alias("name"), F.when(F.col("p_size") < 5, "reset").otherwise("state").alias("mark"))
+    return facts.roles(signals, marks.union(marks.select("name", F.lit("handshake_resp"))))
+
+
+def cluster_parts(spark, d):
+    n, k = F.col("p_partkey"), F.col("p_partkey") % 10
+    ys = F.array(F.when(k < 6, n * 4 + 1).when(k < 8, F.lit(7) - n).otherwise(n * n), F.when(k < 6, F.lit(3).cast("long")).otherwise(n))
+    return cluster.partition(t(spark, d, "part").select(F.floor(n / 40).cast("string").alias("key"), n.alias("pos"), n.alias("x"), ys.alias("ys")), "key", "pos", "x", "ys").select("pos", "part", F.array_join("formulas", ",").alias("formulas"))
+
+
+def compaction_stats(spark, d):
+    return cluster.compaction_stats(t(spark, d, "part").groupBy("p_type", "p_size").agg(F.count(F.lit(1)).alias("n")), least=2)
+
+
+def declared_names(spark, d):
+    said = F.get(F.array(*map(F.lit, ("input wire [7:0] aa, bb;", "output reg cc; // input zz", "wire [0:3] aa;", "assign x = y;"))), (F.col("p_partkey") % 4).cast("int"))
+    return facts.declarations(t(spark, d, "part").select("p_brand", "p_partkey", said.alias("line")), "p_brand", "p_partkey", "line")
+
+
+def assigned_names(spark, d):
+    said = F.get(F.array(*map(F.lit, ("  assign x[3:0] = yy & zz;", "q <= q + 4'd1;", "if (a) b = c;", "r = 1'b0;"))), (F.col("p_partkey") % 4).cast("int"))
+    return facts.assignments(t(spark, d, "part").select("p_brand", "p_partkey", said.alias("line")), "p_brand", "p_partkey", "line").select("p_partkey", "lhs", F.array_join("refs", ",").alias("refs"), "delay")
+
+
+def pattern_texts(spark, d):
+    kind = F.get(F.array(*[F.lit(k) for k, _ in _PATTERNS]), (F.col("p_partkey") % len(_PATTERNS)).cast("int"))
+    made = facts.pattern_text(kind, F.concat(F.lit("q"), F.col("p_size").cast("string")), F.lit("d"), F.lit("en"), F.lit("clk"), F.lit("rst"))
+    return t(spark, d, "part").select(F.col("p_partkey").alias("pos"), made.alias("assertion")).where("assertion IS NOT NULL")
+
+
+def fact_passes(spark, d):
+    shapes = (_P + "!rst |-> q == 8'h01);", _P + "en |=> w == 4'h3);", _P + "en |-> q == 9'h1);", _P + "en |-> w == 4'h2);")
+    widths = t(spark, d, "region").where("r_regionkey < 2").select(F.when(F.col("r_regionkey") == 0, "q").otherwise("w").alias("name"), F.when(F.col("r_regionkey") == 0, 8).otherwise(4).alias("width"))
+    rows = _shapes(spark, d, shapes)
+    passes = {"reset": clean.reset_values(widths.select(F.col("name").alias("register"), F.lit("8'h00").alias("value"))), "width": clean.known_widths(widths), "owner": clean.constant_owners(widths.where("name = 'q'").select(F.lit("4'h3").alias("literal"), "name")), "next": clean.next_cycle_on(widths.where("name = 'w'").select("name"), True)}
+    made = [f(rows).select(F.lit(k).alias("pass"), "pos", "assertion") for k, f in passes.items()]
+    return made[0].union(made[1]).union(made[2]).union(made[3])
+
+
+def preferred_names(spark, d):
+    wanted = facts.priority_names(t(spark, d, "nation").select(F.col("n_nationkey").alias("name")), t(spark, d, "region").select((F.col("r_regionkey") + 30).alias("name")))
+    return facts.preferred(t(spark, d, "part").select("p_partkey", "p_size"), "p_size", wanted).select("p_partkey", "p_size")
+
+
+QUERIES = {f.__name__: f for f in (glob_filter, name_lookup, missing_lookup, exact_lookup, allowed_targets, module_participation, name_counts, listed_names, run_matrix, denylist_totals, ranked_properties, ranked_pairs, first_and_last, coverage_events, appended_rows, property_inlining, repaired_assertions, loop_scope, low_affinity, checked_signals, covered_signatures, and_forms, condition_only, values_read, ternaries, wrapped_fragments, doc_coverage, text_functions, signal_roles, cluster_parts, compaction_stats, declared_names, assigned_names, pattern_texts, fact_passes, preferred_names)}
 ORACLES = {
     "glob_filter": "SELECT p_partkey FROM part WHERE (p_type LIKE '%BRASS' OR p_type LIKE 'STANDARD%' OR regexp_full_match(p_type, '[^A-S].....')) AND p_type NOT LIKE '%TIN%'",
     "name_lookup": "SELECT p_partkey, p_type, (SELECT count(*) > 0 FROM part WHERE contains(lower(p_type), 'steel')) AS found FROM part WHERE contains(lower(p_type), 'steel') OR NOT EXISTS (SELECT 1 FROM part WHERE contains(lower(p_type), 'steel'))",
@@ -242,4 +329,17 @@ ORACLES = {
     "wrapped_fragments": _sql(_FRAGMENTS, {"assertion": [x[1] for x in _FRAGMENTS]}),
     "doc_coverage": """WITH p AS (SELECT p_partkey AS pos, p_size AS n, p_size IN (SELECT n_nationkey FROM nation) AND 1 IN (SELECT n_nationkey FROM nation) AS ok FROM part), m AS (SELECT pos, 'must:' || CASE WHEN n = 1 THEN 's1' ELSE 's1,s' || n END AS l FROM p WHERE NOT ok ORDER BY pos LIMIT 6)
       SELECT count(*) FILTER (ok) AS covered, count(*) AS total, (SELECT coalesce(string_agg(l, '; ' ORDER BY pos), '') FROM m) AS missing FROM p""",
+    "text_functions": _sql(_FUNCTIONS, {"value": [x[2] for x in _FUNCTIONS]}),
+    "signal_roles": """SELECT 'u' || p_partkey || ['_baseaddr', '_pd', '_idle', '_x', '_DATA_q', '_din'][p_partkey % 6 + 1] AS name,
+      CASE WHEN p_size < 5 THEN 'reset' WHEN p_size < 10 THEN 'handshake_resp' ELSE CASE p_partkey % 6 WHEN 0 THEN 'address' WHEN 1 THEN 'data' WHEN 2 THEN 'status' WHEN 5 THEN 'data' ELSE CASE p_size % 3 WHEN 1 THEN 'control' WHEN 2 THEN 'data' ELSE 'unknown' END END END AS role FROM part""",
+    "cluster_parts": """WITH p AS (SELECT p_partkey AS pos, p_partkey // 40 AS key, CASE WHEN p_partkey % 10 < 6 THEN 0 WHEN p_partkey % 10 < 8 THEN 1 ELSE 2 END AS g FROM part), n AS (SELECT *, count(*) OVER (PARTITION BY key, g) AS n FROM p), b AS (SELECT key, max(n) FILTER (g = 0) AS a, max(n) FILTER (g = 1) AS b FROM n GROUP BY 1)
+      SELECT pos, CASE WHEN g = 0 AND n >= 5 THEN 0 WHEN g = 1 AND n >= 5 THEN 1 ELSE -1 END::BIGINT AS part, CASE WHEN g = 0 AND n >= 5 THEN '0 4 1,0 0 3' WHEN g = 1 AND n >= 5 THEN '0 -1 7,0 1 0' END AS formulas FROM n""",
+    "compaction_stats": "WITH c AS (SELECT count(*) AS n FROM part GROUP BY p_type, p_size) SELECT sum(n)::BIGINT AS n_rows, count(*) AS n_clusters, coalesce(sum(n) FILTER (n >= 2), 0)::BIGINT AS n_compacted, max(n) AS largest FROM c",
+    "declared_names": """WITH l AS (SELECT p_brand, p_partkey AS no, p_partkey % 4 AS k FROM part), e AS (SELECT p_brand, no, unnest(CASE k WHEN 0 THEN ['aa', 'bb'] WHEN 1 THEN ['cc'] WHEN 2 THEN ['aa'] ELSE [] END) AS name, CASE k WHEN 0 THEN 'input' WHEN 1 THEN 'output' END AS direction, CASE k WHEN 0 THEN 8 WHEN 1 THEN 1 ELSE 4 END AS width FROM l)
+      SELECT p_brand, name, max(direction) AS direction, arg_min(width, no)::INT AS width, min(no) AS line FROM e GROUP BY 1, 2""",
+    "assigned_names": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'x' WHEN 1 THEN 'q' ELSE 'r' END AS lhs, CASE p_partkey % 4 WHEN 0 THEN 'yy,zz' ELSE '' END AS refs, (p_partkey % 4 = 1)::BIGINT AS delay FROM part WHERE p_partkey % 4 <> 2",
+    "pattern_texts": _sql(_PATTERNS, {"assertion": [x[1] for x in _PATTERNS]}),
+    "fact_passes": """WITH a AS (SELECT p_partkey AS pos, p_partkey % 4 AS k, 'assert property (@(posedge clk) ' || ['!rst |-> q == 8''h01);', 'en |=> w == 4''h3);', 'en |-> q == 9''h1);', 'en |-> w == 4''h2);'][p_partkey % 4 + 1] AS s FROM part)
+      SELECT 'reset' AS pass, pos, s AS assertion FROM a WHERE k <> 0 UNION ALL SELECT 'width', pos, s FROM a WHERE k <> 2 UNION ALL SELECT 'owner', pos, s FROM a WHERE k <> 1 UNION ALL SELECT 'next', pos, CASE k WHEN 1 THEN replace(s, '|=>', '|->') ELSE s END FROM a""",
+    "preferred_names": "WITH w AS (SELECT n_nationkey AS n FROM nation UNION SELECT r_regionkey + 30 FROM region) SELECT p_partkey, p_size FROM part WHERE p_size IN (SELECT n FROM w) OR NOT EXISTS (SELECT 1 FROM part WHERE p_size IN (SELECT n FROM w))",
 }

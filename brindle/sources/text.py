@@ -92,25 +92,22 @@ def doc_chunks(df: DataFrame, id_col: str, text: str, size: int = 1000, overlap:
 
 
 def sentences(text: str) -> Iterator[tuple[int, str]]:
-    """H27 for one text: (line of the start, sentence). Fence lines go, a blank line or a terminator ends a sentence."""
-    held, first = "", 0
-    for no, line in enumerate([*text.split("\n"), ""], 1):
-        if line.lstrip().startswith("```"):
+    """H27 for one text: (line, sentence). Fence lines go; a sentence ends with a terminator or before a blank line. The line is
+    that on which the sentence before it ended (the first for the first), or the one behind the blank line."""
+    held, line = [], 1
+    for no, said in enumerate(map(str.strip, text.splitlines()), 1):
+        if said.startswith(("```", "~~~")):
             continue
-        if not line.strip():
-            if held.strip():
-                yield first, held.strip()
-            held = ""
-            continue
-        if not held:
-            first = no
-        held = f"{held} {line.strip()}" if held else line.strip()
-        parts = re.split(r"(?<=[.!?])\s+", held)
-        done, held = (parts, "") if re.search(r"[.!?]$", held) else (parts[:-1], parts[-1])
-        for p in done:
-            if p.strip():
-                yield first, p.strip()
-        first = no
+        for part in filter(None, re.split(r"(?<=[.!?])\s+", said)):
+            held.append(part)
+            if part[-1] in ".!?":
+                yield line, " ".join(held)
+                held, line = [], no
+        if held and not said:
+            yield line, " ".join(held)
+            held, line = [], no + 1
+    if held:
+        yield line, " ".join(held)
 
 
 def documented(df: DataFrame, id_col: str, text: str, phrases: Sequence[str] = MODALS, most: int = 60, size: int = 240) -> DataFrame:

@@ -83,8 +83,8 @@ def chain(spark, *texts):
 
 def test_chain(spark):
     p = "assert property (@(posedge clk) "
-    kept = [p + "a |-> b == c);", p + "req |=> ack);"]
-    gone = [p + "x == x);", p + "a && !a |-> b);", p + "a && b |-> a);", "assert (1'b1);", p + "p == q);", p + "a  |->  b == c);", p + "a || !a);"]
+    kept = [p + "a |-> b == c);", p + "req |=> ack);", p + "p == q);"]
+    gone = [p + "x == x);", p + "a && !a |-> b);", p + "a && b |-> a);", "assert (1'b1);", p + "m == 4'd3);", "assert (v && !r);", p + "a  |->  b == c);", p + "a || !a);"]
     assert chain(spark, *kept, *gone) == kept
     assert chain(spark, p + "a |-> !(!(b)));") == [p + "a |-> b);"]
     assert chain(spark) == []

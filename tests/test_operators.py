@@ -149,7 +149,8 @@ def test_chunks():
 
 
 def test_sentences():
-    assert list(S.sentences("One two. Three\nfour.\n\n```\nFive")) == [(1, "One two."), (1, "Three four."), (5, "Five")]
+    assert list(S.sentences("One two. Three\nfour.\n\n```\nFive")) == [(1, "One two."), (1, "Three four."), (2, "Five")]
+    assert list(S.sentences("- a\n- b\n\n~~~\nc! d?\n\ne")) == [(1, "- a - b"), (4, "c!"), (5, "d?"), (5, "e")] and list(S.sentences("")) == []
 
 
 def test_html():
