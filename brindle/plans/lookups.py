@@ -215,7 +215,7 @@ _said = lambda c: F.array_join(c, ",")
 #: A text function, a text and what it gives.
 _FUNCTIONS = (
     (lambda c: _said(X.idents_before_message(c)), "assert (a{n} == 8'h0f && $past(sig)) else $error(\"bad x\");", "a{n},sig"),
-    (lambda c: _said(X.idents_of_pair(c, F.lit("z"))), "assert (a{n});", "a{n},z"),
+    (lambda c: _said(X.idents_of_pair(c, F.lit("zed"))), "assert (a{n});", "a{n},zed"),
     (X.literal_width, "16'hab{n}", "16"),
     (X.select_width, "x{n}[7:0]", "8"),
     (X.normal_literal, " 8'HF_{n} ", "8'hf{n}"),
