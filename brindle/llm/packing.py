@@ -41,6 +41,8 @@ K1, B = 1.2, 0.75
 SAMPLE, SAMPLE_TERMS, DEPTH, COORDINATES, BUCKETS = 4096, 2048, 8, 16, 4096
 #: Tokens whose terms are looked at together, if they aren't one document's.
 SUMMED = 1 << 17
+#: Documents that are encoded at a time, which bounds a worker's memory.
+ROWS = 1024
 
 
 def distinct(docs: list[np.ndarray], wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,14 +148,16 @@ def encoded(df: DataFrame, vocabulary: str, end_id: int, order: Order, id_col: s
         end, seen = np.array([end_id], np.uint32), np.zeros(len(order.loads), dtype=np.int64)
         names = ["id", "row", "n", "topic", "first", "second", "ids"]
         for b in batches:
-            ids = [np.concatenate([x, end]) for x in chunks.ids(b.column(1))]
-            n = np.array([len(x) for x in ids], dtype=np.int64)
-            keys, counts = order.keys(ids)
-            seen += counts
-            narrow = [(x.astype("<u2") if x.max() < 1 << 16 else x.astype("<u4")).tobytes() for x in ids]
-            columns = [b.column(0), pa.array(row + np.cumsum(n) - n), pa.array(n), *[pa.array(np.ascontiguousarray(keys[:, i])) for i in range(3)], pa.array(narrow, pa.binary())]
-            yield pa.record_batch(columns, names=names)
-            row += int(n.sum())
+            for i in range(0, b.num_rows, ROWS):
+                some = b.slice(i, ROWS)
+                ids = [np.concatenate([x, end]) for x in chunks.ids(some.column(1))]
+                n = np.array([len(x) for x in ids], dtype=np.int64)
+                keys, counts = order.keys(ids)
+                seen += counts
+                narrow = [(x.astype("<u2") if x.max() < 1 << 16 else x.astype("<u4")).tobytes() for x in ids]
+                columns = [some.column(0), pa.array(row + np.cumsum(n) - n), pa.array(n), *[pa.array(np.ascontiguousarray(keys[:, k])) for k in range(3)], pa.array(narrow, pa.binary())]
+                yield pa.record_batch(columns, names=names)
+                row += int(n.sum())
             empty = b.column(0)[:0]
         if row & ((1 << 40) - 1):
             at = np.flatnonzero(seen)
