@@ -293,6 +293,9 @@ ORACLES = {
       h AS (SELECT grp, key, min(pos)::INT AS pos FROM k JOIN g ON regexp_matches(key, re) GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY pos, key)::INT AS rn FROM h) WHERE rn <= 30""",
     "identifier_counts": f"""WITH a AS ({ASSERTIONS}), c AS (SELECT pos, regexp_replace(regexp_replace(regexp_replace(assertion, '"[^"]*"|//.*', '', 'g'), '\\$\\w+', '', 'g'), '\\b\\d+\\b', '', 'g') AS s FROM a),
       i AS (SELECT pos, unnest(list_distinct(regexp_extract_all(s, '\\b[A-Za-z_][A-Za-z0-9_]*\\b'))) AS name FROM c) SELECT name, count(*) AS n FROM i WHERE lower(name) NOT IN ({', '.join(f"'{k}'" for k in X.KEYWORDS)}) GROUP BY 1""",
+    "implication_parts": """SELECT p_partkey AS pos, CASE p_partkey % 12 WHEN 1 THEN 'valid && ready' WHEN 4 THEN '!rst' WHEN 5 THEN '$rose(req)' WHEN 9 THEN 'en' END AS condition,
+      CASE p_partkey % 12 WHEN 0 THEN 'size_' || (p_size % 7) || ' == q_' || (p_size % 3) WHEN 1 THEN 'data_' || (p_size % 5) || ' == hold' WHEN 2 THEN 'a_' || (p_size % 4) || ' == b' WHEN 3 THEN 'a_' || (p_size % 4) || '  ==  b' WHEN 4 THEN 'cnt == ' || (p_size % 3) WHEN 5 THEN 'ack' WHEN 6 THEN '$bits(bus_' || (p_size % 6) || ') == 8'
+      WHEN 7 THEN 'b || a_' || (p_size % 2) WHEN 8 THEN 'a_' || (p_size % 2) || ' || b' WHEN 9 THEN '$past(q_' || (p_size % 3) || ') == d' WHEN 10 THEN 'x == x' ELSE '' END AS claim FROM part""",
     "template_cluster": "SELECT c_mktsegment AS kind, 'acct_* == seg[*]' AS template, count(*) AS n, min(c_custkey) AS first_pos, max(c_custkey) AS last_pos FROM customer GROUP BY 1",
     "slot_fit": """WITH m AS (SELECT unnest([1, -1, 2, -2, 3, 4, -4, 8, -8, 16, 32, 64, 128]) AS mul, unnest(range(1, 14)) AS i), g AS (SELECT 0 AS shift, 0 AS mul, 0 AS o UNION ALL SELECT s, mul, 100 * s + i FROM m, (SELECT unnest(range(0, 8)) AS s)),
       c AS (SELECT c_nationkey, c_custkey AS x, [c_custkey + 5, c_custkey * 8 - 3, (c_custkey >> 3) + 1, c_custkey * c_custkey, 7 - c_custkey, c_custkey * 128 + 1, c_custkey * 5, 9, (c_custkey >> 7) * -8 + 2][c_nationkey % 9 + 1] AS y FROM customer),
