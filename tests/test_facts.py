@@ -33,7 +33,7 @@ def test_types_and_roles(spark):
     got = [r.t for r in df.select(X.signal_type(F.col("name"), F.col("direction"), F.col("width")).alias("t")).collect()]
     assert got == ["clock", "control", "status", "control", "data"]
     marks = spark.createDataFrame([("x", "state"), ("x", "reset"), ("sum", "handshake_init")], "name string, mark string")
-    assert {r.name: r.role for r in X.roles(df, marks).collect()} == {"core_clk": "control", "wr_en": "control", "busy": "status", "x": "reset", "sum": "handshake_init"}
+    assert {r.name: r.role for r in X.roles(df, marks).collect()} == {"core_clk": "control", "wr_en": "control", "busy": "control", "x": "reset", "sum": "handshake_init"}
     ports = df.withColumn("module", F.lit("top"))
     assert {r.key for r in X.signal_map(ports, "other").collect()} >= {"top.busy"}
 
