@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, credentials, jaccard, linededup, packing, pfor, quality, rules, sharding, topk
+from brindle.llm import bpe, credentials, jaccard, lexical, linededup, packing, pfor, quality, rules, sharding, simhash, topk
 from brindle.llm.store import table, written
 
 
@@ -78,6 +78,14 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
 
 
+def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def lexical_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_retrieval_packing": packing_query,
     "op2_rule_ledger": rules_query,
@@ -90,6 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_credential_linking": secrets_query,
     "op9_line_winnowing": lines_query,
     "op10_attention_quality": quality_query,
+    "op12_ball_hashing": simhash_query,
+    "op13_blocked_product": lexical_query,
 }
 
 #: Every row of a ledger with all rules; the words, lines and windows are list functions.
@@ -166,4 +176,21 @@ SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id
 FROM t LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x) m USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_rule_ledger": _RULES, "rule_ablation": _ABLATION, "op3_ngram_jaccard": _JACCARD, "op7_threshold_topk": _TOPK}
+_LEXICAL = r"""
+WITH t AS (
+  SELECT doc_id, r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT doc_id, text, row_number() OVER () AS r FROM documents)
+), d AS (SELECT r, count(*) AS n FROM t GROUP BY r), a AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS l FROM d),
+p AS (SELECT doc_id, r, term, count(*) AS tf FROM t GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+i AS (
+  SELECT DISTINCT item_id, r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT item_id, text, row_number() OVER () AS r FROM benchmark)
+), s AS (
+  SELECT i.item_id, i.r AS item, p.doc_id, p.r, sum(floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // l))))::BIGINT AS score
+  FROM i JOIN p USING (term) JOIN f USING (term) JOIN d ON d.r = p.r CROSS JOIN a GROUP BY ALL
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST))::INT AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST) <= 50
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_rule_ledger": _RULES, "rule_ablation": _ABLATION, "op3_ngram_jaccard": _JACCARD, "op7_threshold_topk": _TOPK, "op13_blocked_product": _LEXICAL}
