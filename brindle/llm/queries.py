@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, credentials, jaccard, lexical, linededup, packing, pfor, quality, rules, sharding, simhash, topk
+from brindle.llm import bpe, credentials, jaccard, lexical, linededup, packing, pfor, quality, rules, sharding, simhash, topk, turns
 from brindle.llm.store import table, written
 
 
@@ -78,6 +78,19 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
 
 
+def turns_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of the events of all conversations, fed in twelve batches."""
+    n_batches = 12
+    dealt = turns.by_batch(turns.arrivals(table(spark, sf_dir, "conversations"), n_batches), n_batches)
+    made = turns.Reassembly(spark, n_batches)
+    for batch in range(n_batches):
+        made.feed(dealt.where(F.col("batch") == batch))
+    made.finish()
+    said = F.when(F.col("event") == "close", F.array_join(F.col("unreleased").cast("array<string>"), ",")).otherwise(F.col("payload"))
+    conv = F.when(F.col("conv") != "", F.col("conv")).cast("long")
+    return made.events().select("event", conv.alias("conv_id"), "turn", F.col("batch").cast("long").alias("batch"), F.sha2(said.cast("binary"), 256).alias("sha256"), "n_missing", "n_breaks")
+
+
 def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -98,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_credential_linking": secrets_query,
     "op9_line_winnowing": lines_query,
     "op10_attention_quality": quality_query,
+    "op11_boundary_fragments": turns_query,
     "op12_ball_hashing": simhash_query,
     "op13_blocked_product": lexical_query,
 }
@@ -176,6 +190,33 @@ SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id
 FROM t LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x) m USING (doc_id)
 """
 
+#: The events by windows over kept turns and batches of arrivals.
+_TURNS = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, min(turn) OVER (PARTITION BY conv_id) AS first,
+         ('0x' || sha256(coalesce(conv_id::VARCHAR, '') || ':' || turn::VARCHAR)[1:8])::BIGINT AS h
+  FROM conversations WHERE turn IS NOT NULL
+), r AS (
+  SELECT conv_id, turn, first, role, text, h % 12 AS batch FROM t UNION ALL SELECT conv_id, turn, first, 'user', text, (h + 3) % 12 FROM t WHERE h % 7 < 2
+), a AS (
+  SELECT conv_id, turn, first, batch, min(role || '|' || text) AS payload, arg_min(role, role || '|' || text) AS role FROM r GROUP BY ALL
+), b AS (
+  SELECT conv_id, batch, lead(batch) OVER (PARTITION BY conv_id ORDER BY batch) AS next FROM (SELECT DISTINCT conv_id, batch FROM a)
+), c AS (
+  SELECT conv_id, least(min(batch) + 3, 12) AS closed FROM b WHERE next IS NULL OR next - batch > 3 GROUP BY conv_id
+), x AS (
+  SELECT a.*, batch > closed AS late, closed FROM a JOIN c ON a.conv_id IS NOT DISTINCT FROM c.conv_id
+), k AS (
+  SELECT conv_id, turn, first, closed, payload, role, batch FROM x WHERE NOT late QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY batch) = 1
+), m AS (
+  SELECT *, row_number() OVER w - 1 = turn - first AS released, max(batch) OVER w AS due, lag(turn) OVER w = turn - 1 AND lag(role) OVER w = role AS broken
+  FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+)
+SELECT 'release' AS event, conv_id, turn, due AS batch, sha256(payload) AS sha256, NULL::BIGINT AS n_missing, NULL::BIGINT AS n_breaks FROM m WHERE released
+UNION ALL SELECT 'reject', conv_id, turn, batch, sha256(payload), NULL, NULL FROM x WHERE late
+UNION ALL SELECT 'close', conv_id, -1, any_value(closed), sha256(coalesce(string_agg(turn::VARCHAR, ',' ORDER BY turn) FILTER (NOT released), '')), max(turn) - any_value(first) + 1 - count(*), count(*) FILTER (broken) FROM m GROUP BY conv_id
+"""
+
 _LEXICAL = r"""
 WITH t AS (
   SELECT doc_id, r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
@@ -193,4 +234,4 @@ SELECT item_id, (row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_i
 QUALIFY row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST) <= 50
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_rule_ledger": _RULES, "rule_ablation": _ABLATION, "op3_ngram_jaccard": _JACCARD, "op7_threshold_topk": _TOPK, "op13_blocked_product": _LEXICAL}
+ORACLE_SQL: dict[str, str] = {"op2_rule_ledger": _RULES, "rule_ablation": _ABLATION, "op3_ngram_jaccard": _JACCARD, "op7_threshold_topk": _TOPK, "op11_boundary_fragments": _TURNS, "op13_blocked_product": _LEXICAL}

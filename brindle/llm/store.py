@@ -50,6 +50,11 @@ def release() -> None:
         _delete(*_written.pop())
 
 
+def keep(spark: SparkSession, path: str) -> None:
+    """Have release() delete the folder."""
+    _written.append((spark, path))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage ends there and survives lost executors."""
     spark = df.sparkSession
