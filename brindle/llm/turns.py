@@ -41,6 +41,8 @@ MADE = "kind string, conv string, turn bigint, new boolean, batch int, upto bigi
 CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # a start's stores are closed as its tasks end: none is left on an executor's disk for the next start
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     # one micro-batch for each start: timers count batches
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
