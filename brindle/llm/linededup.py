@@ -1,11 +1,15 @@
 """Repeated runs of lines, found by winnowing over line hashes.
 
 Only lines with a word count; blank lines neither match nor break a run. A window is a shortest run of such lines with at
-least MIN_WORDS words that starts (or ends) at a given line. Each window's smallest line hash is its fingerprint: two
-documents that share a run of MIN_WORDS words share all windows inside it, and so their fingerprints, wherever the run
-stands. Positions are joined on fingerprints first, which leaves the few windows whose fingerprint occurs elsewhere; of
-these the whole window decides, by two hashes of its lines' hashes (128 bits). Windows that start and windows that end at each line of a shared run together
-cover exactly that run, so matches are extended both ways to the run's ends without comparing documents in pairs.
+least MIN_WORDS words that starts (or ends) at a given line. Each window selects its smallest line hash (the last of equal
+ones) as its fingerprint: neighbouring windows mostly select the same line, so a document has far fewer selected positions
+than lines, and two documents that share a run of MIN_WORDS words select the same lines of it, wherever the run stands.
+
+Positions are joined on fingerprints first: one that stands at a single position of the whole table can't be shared, and all
+windows that selected it are done with. From the positions of the others a match is extended both ways: the windows through such
+a position start and end at each line around it, and together those that occur again, by two hashes of their lines' hashes
+(128 bits), cover exactly the shared run, from its first to its last line. So no two documents are compared in pairs, and a
+run is found also where the first place of its fingerprint has other lines around it.
 
 Of windows with equal content the one in the smallest (id, text hash, line) is the first; lines of all others are deleted,
 but for one that overlaps the first in its own document. A group is never gathered: the first of each content is a minimum
@@ -43,24 +47,29 @@ def worded_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def windows(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """id, h, first, last (line numbers), content (two hashes of the lines' hashes), fingerprint (the smallest of them)."""
+    """id, h, first, last (line numbers), content (two hashes of the lines' hashes), fingerprint (the smallest of them), at (its line)."""
     doc = Window.partitionBy(*KEY).orderBy("line")
     rows = lines.withColumn("upto", F.sum("n").over(doc)).withColumn("before", F.col("upto") - F.col("n"))
     starting = Window.partitionBy(*KEY).orderBy("before").rangeBetween(0, min_words - 1)
     ending = Window.partitionBy(*KEY).orderBy("upto").rangeBetween(1 - min_words, 0)
 
     def of(frame) -> Column:
-        made = F.struct(F.min("line").over(frame).alias("first"), F.max("line").over(frame).alias("last"), F.struct(F.xxhash64(F.collect_list("hash").over(frame)).alias("a"), F.xxhash64(F.collect_list("other").over(frame)).alias("b")).alias("content"), F.min("hash").over(frame).alias("fingerprint"))
+        made = F.struct(F.min("line").over(frame).alias("first"), F.max("line").over(frame).alias("last"), F.struct(F.xxhash64(F.collect_list("hash").over(frame)).alias("a"), F.xxhash64(F.collect_list("other").over(frame)).alias("b")).alias("content"), F.min(F.struct("hash", (-F.col("line")).alias("back"))).over(frame).alias("least"))
         return F.when(F.sum("n").over(frame) >= min_words, made)
 
     both = rows.select(*KEY, of(starting).alias("a"), of(ending).alias("b"))
-    return both.select(*KEY, F.explode(F.array_distinct(F.array_compact(F.array("a", "b")))).alias("w")).select(*KEY, "w.*")
+    return both.select(*KEY, F.explode(F.array_distinct(F.array_compact(F.array("a", "b")))).alias("w")).select(*KEY, "w.first", "w.last", "w.content", F.col("w.least.hash").alias("fingerprint"), (-F.col("w.least.back")).alias("at"))
+
+
+def shared_fingerprints(found: DataFrame) -> DataFrame:
+    """fingerprint: those that were selected at two positions or more."""
+    positions = found.groupBy("fingerprint", *KEY, "at").agg(F.count(F.lit(1)).alias("n_windows"))
+    return positions.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
 
 
 def repeated_windows(found: DataFrame) -> DataFrame:
     """id, h, first, last, source (id, h, first, last of the first window of that content) of the windows that aren't first."""
-    shared = found.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
-    candidates = found.join(shared, "fingerprint", "left_semi")
+    candidates = found.join(shared_fingerprints(found), "fingerprint", "left_semi")
     place = F.struct("id", "h", "first", "last")
     # of a content's windows two counts and the first: partial aggregates make one row for each content and task
     firsts = candidates.groupBy("content").agg(F.min(place).alias("source"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
