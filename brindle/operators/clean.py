@@ -19,7 +19,7 @@ def body(text: Column) -> Column:
     t = F.regexp_replace(F.trim(F.regexp_replace(text, r"//[^\n]*", "")), r"(?s)\s*else\s+\$\w+\s*\(.*$|;\s*$", "")
     t = F.regexp_extract(t, r"(?s)^assert\s*(?:property\s*)?(.*)$", 1)
     t = strip_outer(t, 2)
-    return strip_outer(F.regexp_replace(t, r"@\s*\([^)]*\)\s*|disable\s+iff\s*\((?:[^()]|\([^()]*\))*\)\s*", ""), 3)
+    return strip_outer(F.regexp_replace(t, r"@\s*\([^)]*\)\s*|disable\s+iff\s*\((?:[^()]++|\([^()]*+\))*+\)\s*", ""), 3)
 
 
 def sides(text: Column) -> Column:
@@ -107,7 +107,7 @@ def _flags(df: DataFrame) -> Column:
 fix_immediate_implication = change(lambda t: F.when(t.rlike(r"^assert\s*\("), F.regexp_replace(t, r"^assert\s*\((.*?)\s*\|->\s*(.*)\)(\s*(?:else.*)?;)\s*$", "assert (!($1) || ($2))$3")).otherwise(t))
 # A double negation of the same goes.
 fix_double_negation = change(lambda t: F.regexp_replace(t, r"!\s*\(\s*!\s*\(?([A-Za-z_]\w*)\)?\s*\)", "$1"))
-_DISABLED = r"(?s)^(assert\b.*?(?i:disable\s+iff)\s*\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)\s*)(.*?)(\|[-=]>.*)$"
+_DISABLED = r"(?s)^(assert\b.*?(?i:disable\s+iff)\s*\(((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+)\)\s*)(.*?)(\|[-=]>.*)$"
 
 
 def _dead(t: Column) -> tuple[Column, Column]:

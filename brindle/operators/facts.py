@@ -87,7 +87,7 @@ def choice(df: DataFrame, name: str, *tiers: Column) -> DataFrame:
 def declarations(lines: DataFrame, source: str, no: str, line: str) -> DataFrame:
     """Source, name, direction, width, line of declared names, the first of each; a direction holds for the names
     that follow it in the line."""
-    head = r"\b(input|output|inout|wire|reg|logic)\b\s*(?:wire|reg|logic|signed|\s)*\s*(\[[^\]]*\])?\s*([A-Za-z_]\w*(?:\s*,\s*[A-Za-z_]\w*)*)"
+    head = r"\b(input|output|inout|wire|reg|logic)\b\s*(?:wire|reg|logic|signed|\s++)*+\s*(\[[^\]]*\])?\s*([A-Za-z_]\w*+(?:\s*+,\s*+[A-Za-z_]\w*+)*+)"
     found = lines.withColumn("s", F.explode(F.regexp_extract_all(F.regexp_replace(line, "//.*", ""), F.lit(f"({head})"), F.lit(1))))
     part = lambda i: F.regexp_extract("s", head, i)
     hi, lo = (F.regexp_extract(part(2), r"\[\s*(\d+)\s*:\s*(\d+)", g).try_cast("int") for g in (1, 2))

@@ -23,9 +23,8 @@ def cut(df: DataFrame) -> DataFrame:
 def cooccurrence(rows: DataFrame, group: str, name: str) -> DataFrame:
     """Unordered pairs of names that share a group (statements are small), with the number of groups."""
     one = rows.select(F.col(group).alias("g"), F.col(name).alias("n")).distinct()
-    listed = one.groupBy("g").agg(F.sort_array(F.collect_set("n")).alias("ns"))
-    pairs = F.flatten(F.transform("ns", lambda a: F.transform(F.filter("ns", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return listed.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n_groups"))
+    # two sides of one table: a large group is split by the join
+    return one.alias("x").join(one.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.n") < F.col("y.n"))).groupBy(F.col("x.n").alias("a"), F.col("y.n").alias("b")).agg(F.count(F.lit(1)).alias("n_groups"))
 
 
 def directed(rows: DataFrame, driver: str, driven: str, delay: str) -> DataFrame:
@@ -49,6 +48,49 @@ def least_delays(edges: DataFrame, sources: DataFrame, most: int = 8) -> DataFra
     return best
 
 
+def pair_delays(edges: DataFrame, pairs: DataFrame, most: int = 8) -> DataFrame:
+    """K1: a, b, delay of the least sum of 0/1 delays over at most `most` edges between each asked pair (a, b); null without a path.
+
+    The search goes from both ends. Each round extends the side with fewer rows ahead by one edge, keeps only what improves on what
+    that side knows, and meets the other side at common nodes. A pair with delay 0 is done, and ends without an open pair
+    are left behind, so that neither side spreads over the graph for pairs that are answered. edges: a, b, delay."""
+    asked = cut(pairs.select("a", "b").distinct())
+    best = asked.withColumn("delay", F.when(F.col("a") == F.col("b"), F.lit(0)).cast("long"))
+    steps = {"a": edges.select(F.col("a").alias("node"), F.col("b").alias("to"), F.col("delay").alias("more")), "b": edges.select(F.col("b").alias("node"), F.col("a").alias("to"), F.col("delay").alias("more"))}
+    steps = {end: cut(x) for end, x in steps.items()}
+    degrees = {end: cut(x.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))) for end, x in steps.items()}
+    known = {end: asked.select(F.col(end).alias("end"), F.col(end).alias("node"), F.lit(0).cast("long").alias("delay")).distinct() for end in "ab"}
+    front = dict(known)
+    for _ in range(most):
+        open_ = best.where("delay IS NULL OR delay > 0").select("a", "b")
+        if open_.isEmpty():
+            break
+        front = {end: x.join(open_.select(F.col(end).alias("end")).distinct(), "end", "left_semi") for end, x in front.items()}
+        ahead = {end: x.join(degrees[end], "node").agg(F.coalesce(F.sum("degree"), F.lit(0))).first()[0] for end, x in front.items()}
+        end = min("ab", key=lambda e: ahead[e])
+        other = "b" if end == "a" else "a"
+        if not ahead[end]:  # this side has nothing ahead, so no path is left
+            break
+        step = front[end].join(steps[end], "node").groupBy("end", F.col("to").alias("node")).agg(F.min(F.col("delay") + F.col("more")).alias("delay"))
+        had = known[end].groupBy("end", "node").agg(F.min("delay").alias("had"))
+        front[end] = cut(step.join(had, ["end", "node"], "left").where("had IS NULL OR delay < had").drop("had"))
+        known[end] = known[end].union(front[end])
+        there = open_.join(known[other].select(F.col("end").alias(other), "node", F.col("delay").alias("rest")), other)
+        met = there.join(front[end].withColumnRenamed("end", end), [end, "node"]).groupBy("a", "b").agg(F.min(F.col("delay") + F.col("rest")).alias("new"))
+        best = cut(best.join(met, ["a", "b"], "left").select("a", "b", F.least("delay", "new").alias("delay")))
+    return best
+
+
+def pairs_reached(edges: DataFrame, pairs: DataFrame, hops: int = 3) -> DataFrame:
+    """K3 for asked pairs: a, b, ahead (b within that many edges of a), behind (a of b)."""
+    plain = edges.select("a", "b", F.lit(0).cast("long").alias("delay")).distinct()
+    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    found = pair_delays(plain, both, hops)
+    ahead = found.select("a", "b", F.col("delay").isNotNull().alias("ahead"))
+    behind = found.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("delay").isNotNull().alias("behind"))
+    return pairs.select("a", "b").distinct().join(ahead, ["a", "b"]).join(behind, ["a", "b"])
+
+
 def reachable(edges: DataFrame, sources: DataFrame, hops: int = 3) -> DataFrame:
     """K3: source, node within that many edges (any path, so also nodes that a depth-first walk would have cut off)."""
     found = sources.select(F.col("node").alias("source"), "node")
@@ -118,7 +160,12 @@ def linked(pairs: DataFrame, edges: DataFrame, modules: DataFrame) -> DataFrame:
     """Pairs (a, b) that touch directly, share a neighbour, or share a module (modules: name, module)."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     direct = pairs.join(both, ["a", "b"], "left_semi")
-    shared = pairs.join(both.select("a", F.col("b").alias("m")), "a").join(both.select(F.col("a").alias("m"), "b"), ["m", "b"]).select("a", "b")
+    # a pair looks up the neighbours of its rarer end alone
+    degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
+    sized = pairs.join(degree.withColumnRenamed("d", "da"), "a").join(degree.select(F.col("a").alias("b"), F.col("d").alias("db")), "b")
+    rarer, other = (F.when((F.col("da") <= F.col("db")) == first, F.col("a")).otherwise(F.col("b")) for first in (True, False))
+    ends = sized.select(F.col("a").alias("pa"), F.col("b").alias("pb"), rarer.alias("a"), other.alias("b"))
+    shared = ends.join(both.select("a", F.col("b").alias("m")), "a").join(both.select(F.col("a").alias("m"), "b"), ["m", "b"], "left_semi").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
     same = pairs.join(modules.select(F.col("name").alias("a"), "module"), "a").join(modules.select(F.col("name").alias("b"), "module"), ["b", "module"]).select("a", "b")
     return direct.union(shared).union(same).distinct()
 

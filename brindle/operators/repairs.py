@@ -69,7 +69,7 @@ def fix_condition_only(signals: DataFrame) -> Callable[[DataFrame], DataFrame]:
 
 def value_read(text: Column) -> Column:
     """The value that text starts with: a brace expression (braces in it up to three deep), a sized literal or a word; null without one."""
-    braces = r"\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}"
+    braces = r"\{(?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+\}"
     return F.nullif(F.regexp_extract(text, rf"^\s*({braces}|\d+'[bdhoBDHO][0-9a-fA-F_xXzZ?]+|\w+)", 1), F.lit(""))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brindle.operators import graph, trace
@@ -48,12 +49,21 @@ def directed_edges(spark, d):
     return _edges(spark, d)
 
 
+def _asked(spark, d):
+    """Each supplier with the next one of its nation."""
+    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    return t(spark, d, "supplier").select(F.col("s_suppkey").alias("a"), F.lead("s_suppkey").over(w).alias("b")).where("b IS NOT NULL")
+
+
+_P = "SELECT a, b FROM (SELECT s_suppkey AS a, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS b FROM supplier) WHERE b IS NOT NULL"
+
+
 def zero_one_path(spark, d):
-    return graph.least_delays(graph.cut(_edges(spark, d)), t(spark, d, "supplier").select(F.col("s_suppkey").alias("node")), 4)
+    return graph.pair_delays(_edges(spark, d), _asked(spark, d), 4)
 
 
 def reach_three(spark, d):
-    return graph.reachable(graph.cut(_edges(spark, d).where("delay = 0")), t(spark, d, "supplier").select(F.col("s_suppkey").alias("node")), 2)
+    return graph.pairs_reached(_edges(spark, d).where("delay = 0"), _asked(spark, d), 2)
 
 
 def fanout(spark, d):
@@ -138,9 +148,10 @@ ORACLES = {
 }
 ORACLES |= {
     "directed_edges": _E,
-    "zero_one_path": f"""WITH RECURSIVE e AS MATERIALIZED ({_E}), p AS (SELECT s_suppkey AS source, s_suppkey AS node, 0::BIGINT AS delay, 0 AS k FROM supplier UNION SELECT p.source, e.b, p.delay + e.delay, k + 1 FROM p JOIN e ON e.a = p.node WHERE k < 4)
-      SELECT source, node, min(delay)::BIGINT AS delay FROM p GROUP BY 1, 2""",
-    "reach_three": f"WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM ({_E}) WHERE delay = 0), p AS (SELECT s_suppkey AS source, s_suppkey AS node, 0 AS k FROM supplier UNION SELECT p.source, e.b, k + 1 FROM p JOIN e ON e.a = p.node WHERE k < 2) SELECT DISTINCT source, node FROM p",
+    "zero_one_path": f"""WITH RECURSIVE e AS MATERIALIZED ({_E}), p AS (SELECT s_suppkey AS source, s_suppkey AS node, 0::BIGINT AS delay, 0 AS k FROM supplier UNION SELECT p.source, e.b, p.delay + e.delay, k + 1 FROM p JOIN e ON e.a = p.node WHERE k < 4),
+      l AS (SELECT source, node, min(delay)::BIGINT AS delay FROM p GROUP BY 1, 2) SELECT a, b, delay FROM ({_P}) LEFT JOIN l ON source = a AND node = b""",
+    "reach_three": f"""WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM ({_E}) WHERE delay = 0), p AS (SELECT s_suppkey AS source, s_suppkey AS node, 0 AS k FROM supplier UNION SELECT p.source, e.b, k + 1 FROM p JOIN e ON e.a = p.node WHERE k < 2), r AS (SELECT DISTINCT source, node FROM p)
+      SELECT a, b, x.node IS NOT NULL AS ahead, y.node IS NOT NULL AS behind FROM ({_P}) LEFT JOIN r x ON x.source = a AND x.node = b LEFT JOIN r y ON y.source = b AND y.node = a""",
     "fanout": f"SELECT a, count(*) AS n FROM ({_E}) GROUP BY 1 ORDER BY n DESC, a LIMIT 25",
     "linked_pairs": f"""WITH e AS MATERIALIZED (SELECT a, b FROM ({_E}) WHERE delay = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), s AS (SELECT DISTINCT l_orderkey AS g, l_suppkey AS n FROM lineitem), p AS (SELECT DISTINCT x.n AS a, y.n AS b FROM s x JOIN s y ON x.g = y.g AND x.n < y.n), m AS (SELECT p_partkey AS name, p_brand AS module FROM part)
       SELECT a, b FROM p JOIN u USING (a, b) UNION SELECT p.a, p.b FROM p JOIN u x ON p.a = x.a JOIN u y ON y.a = x.b AND y.b = p.b UNION SELECT p.a, p.b FROM p JOIN m x ON p.a = x.name JOIN m y ON p.b = y.name AND x.module = y.module""",
