@@ -4,19 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder that the cluster names; only a local run without one gets its own."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.master.startswith("local"):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; only a local run without one gets its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        made = "file://" + tempfile.mkdtemp(prefix="brindle-")
-        spark.conf.set("spark.checkpoint.dir", made)
-        spark.sparkContext.setCheckpointDir(made)
+        found = "file://" + tempfile.mkdtemp(prefix="brindle-")
+        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """checkpoint() in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -109,26 +116,39 @@ def one_way(edges: DataFrame, sources: DataFrame, hops: int = 3) -> DataFrame:
     return ahead.join(behind, ["source", "node"], "left_anti")
 
 
-def closure(seeds: DataFrame, refs: DataFrame, most: int = 10) -> DataFrame:
-    """K2: the seeds and what hangs on them alone (refs: name, ref), until nothing changes or most rounds are done.
+def detected(seeds: DataFrame, refs: DataFrame, most: int = 10) -> DataFrame:
+    """Name, rule (seed, forward or backward), round of the seeds and what hangs on them alone, until nothing changes or most
+    rounds are done.
 
     Forwards a name enters when all that it refers to is in; backwards a name that is defined (it has refs of its own) enters
-    when all names that refer to it are in. Self-references don't count; a null ref only says that the name is defined."""
+    when all names that refer to it are in; forwards is tried first. Self-references don't count; a null ref only says that the
+    name is defined. Only what entered in a round is looked at in the next: names keep a count of what they still wait for."""
     links = cut(refs.where("name <> ref").select("name", "ref").distinct())
-    needs = links.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    users = links.groupBy("ref").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("ref", "name").join(refs.select("name"), "name", "left_semi")
-    inside = seeds.select("name").distinct()
-    for _ in range(most):
-        inside = cut(inside)
-        ahead = links.join(inside.withColumnRenamed("name", "ref"), "ref", "left_semi").groupBy("name").agg(F.count(F.lit(1)).alias("n")).join(needs, ["name", "n"])
-        back = links.join(inside, "name", "left_semi").groupBy("ref").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("ref", "name").join(users, ["name", "n"])
-        new = cut(ahead.select("name").union(back.select("name")).distinct().join(inside, "name", "left_anti"))
+    needs = cut(links.groupBy("name").agg(F.count(F.lit(1)).alias("n")))
+    users = cut(links.groupBy("ref").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("ref", "name").join(refs.select("name"), "name", "left_semi"))
+    new = cut(seeds.select("name").distinct().select("name", F.lit("seed").alias("rule"), F.lit(0).alias("round")))
+    inside, waits = new, {"forward": needs, "backward": users}
+    ways = {"forward": ("ref", "name"), "backward": ("name", "ref")}
+    for number in range(1, most + 1):
+        ready = []
+        for rule, (met, gains) in ways.items():
+            gained = links.join(new.select(F.col("name").alias(met)), met).groupBy(F.col(gains).alias("name")).agg(F.count(F.lit(1)).alias("gained"))
+            left = cut(waits[rule].join(gained, "name", "left").select("name", (F.col("n") - F.coalesce("gained", F.lit(0))).alias("n")))
+            ready.append(left.where("n = 0").select("name", F.lit(rule).alias("rule")))
+            waits[rule] = left.where("n > 0")
+        entered = ready[0].union(ready[1]).groupBy("name").agg(F.max("rule").alias("rule")).join(inside, "name", "left_anti")
+        new = cut(entered.select("name", "rule", F.lit(number).alias("round")))
         if new.isEmpty():
             break
         inside = inside.union(new)
     return inside
 
 
+def closure(seeds: DataFrame, refs: DataFrame, most: int = 10) -> DataFrame:
+    """K2: the names of detected()."""
+    return detected(seeds, refs, most).select("name")
+
+
 def depths(edges: DataFrame, root: Column, most: int = 100) -> DataFrame:
     """K7: node and its least depth below the root (edges: parent, child; root: a condition on parent)."""
     found = edges.where(root).select(F.col("parent").alias("node"), F.lit(0).alias("depth")).distinct()

@@ -66,6 +66,14 @@ def reach_three(spark, d):
     return graph.pairs_reached(_edges(spark, d).where("delay = 0"), _asked(spark, d), 2)
 
 
+def detection(spark, d):
+    """Inputs and outputs of every fiftieth order's lines are sinks; parts refer to the one before, in tens."""
+    c = t(spark, d, "lineitem").select(F.col("l_partkey").alias("name"), F.col("l_orderkey").alias("instance"), F.when(F.col("l_orderkey") % 50 == 0, "gate").otherwise("logic").alias("type"), F.when(F.col("l_linenumber") % 2 == 0, "output").otherwise("input").alias("direction"))
+    p = t(spark, d, "part").select(F.col("p_partkey").alias("name"))
+    refs = p.select("name", F.when(F.col("name") % 10 != 0, F.col("name") - 1).alias("ref")).where("ref IS NOT NULL")
+    return graph.detected(graph.out_of_scope_seed(c, spark.createDataFrame([("gate",)], "type string")), refs)
+
+
 def fanout(spark, d):
     return graph.fanout(_edges(spark, d), 25, 4).select("a", "n")
 
@@ -125,7 +133,7 @@ def last_match(spark, d):
     return trace.last_match(t(spark, d, "events"), "user_id", "event_id", F.when(F.col("event_type") == "error", F.col("event_id")))
 
 
-QUERIES = {f.__name__: f for f in (cooccurrence, directed_edges, zero_one_path, reach_three, closure, hierarchy_depth, tree_lines, fanout, state_machines, scope_seed, linked_pairs, running_counter, role_merge, token_totals, forward_fill, look_back, step_deltas, batches, first_definition, last_match)}
+QUERIES = {f.__name__: f for f in (cooccurrence, directed_edges, zero_one_path, reach_three, closure, hierarchy_depth, tree_lines, fanout, state_machines, scope_seed, detection, linked_pairs, running_counter, role_merge, token_totals, forward_fill, look_back, step_deltas, batches, first_definition, last_match)}
 ORACLES = {
     "cooccurrence": "WITH s AS (SELECT DISTINCT l_orderkey AS g, l_suppkey AS n FROM lineitem) SELECT a.n AS a, b.n AS b, count(*) AS n_groups FROM s a JOIN s b ON a.g = b.g AND a.n < b.n GROUP BY 1, 2",
     "closure": "WITH RECURSIVE r AS (SELECT 2::BIGINT AS name UNION SELECT p_partkey FROM part JOIN r ON p_partkey // 2 = r.name) SELECT name FROM r",
@@ -152,6 +160,9 @@ ORACLES |= {
       l AS (SELECT source, node, min(delay)::BIGINT AS delay FROM p GROUP BY 1, 2) SELECT a, b, delay FROM ({_P}) LEFT JOIN l ON source = a AND node = b""",
     "reach_three": f"""WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM ({_E}) WHERE delay = 0), p AS (SELECT s_suppkey AS source, s_suppkey AS node, 0 AS k FROM supplier UNION SELECT p.source, e.b, k + 1 FROM p JOIN e ON e.a = p.node WHERE k < 2), r AS (SELECT DISTINCT source, node FROM p)
       SELECT a, b, x.node IS NOT NULL AS ahead, y.node IS NOT NULL AS behind FROM ({_P}) LEFT JOIN r x ON x.source = a AND x.node = b LEFT JOIN r y ON y.source = b AND y.node = a""",
+    "detection": """WITH c AS (SELECT l_partkey AS name, l_orderkey % 50 = 0 AS g, l_linenumber % 2 = 0 AS o FROM lineitem), s AS (SELECT name FROM c WHERE g AND o UNION SELECT name FROM c WHERE g AND NOT o AND name NOT IN (SELECT name FROM c WHERE NOT g AND NOT o)),
+      p AS (SELECT p_partkey AS name, p_partkey // 10 AS ten FROM part), d AS (SELECT p.name, min(p.name - s.name) FILTER (s.name <= p.name) AS f, min(s.name - p.name) FILTER (s.name > p.name AND p.name % 10 <> 0) AS b FROM p JOIN s ON s.name // 10 = p.ten GROUP BY 1)
+      SELECT name, CASE WHEN f = 0 THEN 'seed' WHEN f <= coalesce(b, 99) THEN 'forward' ELSE 'backward' END AS rule, least(coalesce(f, 99), coalesce(b, 99))::INT AS round FROM d WHERE f IS NOT NULL OR b IS NOT NULL""",
     "fanout": f"SELECT a, count(*) AS n FROM ({_E}) GROUP BY 1 ORDER BY n DESC, a LIMIT 25",
     "linked_pairs": f"""WITH e AS MATERIALIZED (SELECT a, b FROM ({_E}) WHERE delay = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), s AS (SELECT DISTINCT l_orderkey AS g, l_suppkey AS n FROM lineitem), p AS (SELECT DISTINCT x.n AS a, y.n AS b FROM s x JOIN s y ON x.g = y.g AND x.n < y.n), m AS (SELECT p_partkey AS name, p_brand AS module FROM part)
       SELECT a, b FROM p JOIN u USING (a, b) UNION SELECT p.a, p.b FROM p JOIN u x ON p.a = x.a JOIN u y ON y.a = x.b AND y.b = p.b UNION SELECT p.a, p.b FROM p JOIN m x ON p.a = x.name JOIN m y ON p.b = y.name AND x.module = y.module""",
