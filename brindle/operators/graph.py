@@ -1,13 +1,18 @@
-"""Graph facts on edge tables. Loops are bounded by depth; each step is joins and aggregates, and lineage is cut by checkpoint()."""
+"""Graph facts on edge tables. Loops are bounded by depth; each step is joins and aggregates, and lineage is cut by written tables."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_cuts: list[tuple[SparkSession, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; only a local run without one gets its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,10 +26,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@atexit.register
+def _release() -> None:
+    while _cuts:
+        spark, path = _cuts.pop()
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the JVM is gone: the cluster's own retention removes the folder
+            pass
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df written to the shared folder and read again: lineage ends there, and unlike with checkpoint() it is computed once."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _cuts.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cooccurrence(rows: DataFrame, group: str, name: str) -> DataFrame:

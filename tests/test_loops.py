@@ -102,3 +102,20 @@ def test_compaction_places_every_row_once(spark):
     report = compact.report(routed).first()
     assert (report.n_patterns, report.n_packed, report.largest) == (len(rows), len(wanted), 6)
     assert compact.route(df.limit(0)).count() == 0
+
+
+def test_overlap_is_that_of_all_pairs(spark):
+    from brindle.operators import coverage
+
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(30)]
+    draw = lambda n: [words[min(int(r.expovariate(0.15)), 29)] for _ in range(n)]
+    events = [(i, draw(r.randrange(9))) for i in range(60)] + [(90, ["none", "never"]), (91, []), (92, None)]
+    texts = [(i, draw(r.randrange(12))) for i in range(80)] + [(99, None)]
+    e, t = spark.createDataFrame(events, "e long, w array<string>"), spark.createDataFrame(texts, "t long, g array<string>")
+    got = {x.e: (x.best, x.covered) for x in coverage.overlap(e, "e", "w", t, "t", "g").collect()}
+    wanted = {}
+    for i, w in events:
+        best, n = max(len(set(w or []) & set(g or [])) for _, g in texts), len(set(w or []))
+        wanted[i] = (best, n > 0 and best >= max(-(-n // 2), 1))
+    assert {k: v for k, v in got.items() if k != 92} == {k: v for k, v in wanted.items() if k != 92} and got[92][0] == 0
