@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.text import KEYWORDS, canonical_constant, idents, lit_array
 from brindle.operators.clean import sides, squeezed
-from brindle.operators.graph import least_delays, one_way
+from brindle.operators.graph import pair_delays, pairs_reached
 
 # Types by name, the first that matches.
 NAME_TYPES = (
@@ -147,20 +147,17 @@ def against_flow(rows: DataFrame, row: str, condition: str, claim: str, edges: D
     (wrong) or the other way; flagged if wrong outnumber right."""
     a, b = F.array_except(condition, claim), F.array_except(claim, condition)
     pairs = rows.select(F.col(row).alias("r"), F.explode(a).alias("a"), b.alias("b")).select("r", "a", F.explode("b").alias("b"))
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    flow = one_way(edges.select("a", "b").distinct(), ends, hops).distinct()
-    ahead = flow.select(F.col("source").alias("a"), F.col("node").alias("b"), F.lit(1).alias("right"))
-    back = flow.select(F.col("source").alias("b"), F.col("node").alias("a"), F.lit(1).alias("wrong"))
-    votes = pairs.join(ahead, ["a", "b"], "left").join(back, ["a", "b"], "left").groupBy("r").agg(F.count("wrong").alias("wrong"), F.count("right").alias("right"))
+    flow = pairs_reached(edges.select("a", "b").distinct(), pairs.select("a", "b").distinct(), hops)
+    one = flow.select("a", "b", F.when(F.col("ahead") & ~F.col("behind"), 1).alias("right"), F.when(F.col("behind") & ~F.col("ahead"), 1).alias("wrong"))
+    votes = pairs.join(one, ["a", "b"]).groupBy("r").agg(F.count("wrong").alias("wrong"), F.count("right").alias("right"))
     out = rows.select(F.col(row).alias("r")).join(votes, "r", "left").fillna(0, ["wrong", "right"])
     return out.select(F.col("r").alias(row), "wrong", "right", ((F.col("wrong") > 0) & (F.col("wrong") > F.col("right"))).alias("flagged"))
 
 
 def past_depth(rows: DataFrame, row: str, driven: str, driver: str, depth: str, edges: DataFrame, most: int = 8) -> DataFrame:
     """Row, least, flagged: a claim that driven follows driver after `depth` cycles, where the least delay between them differs."""
-    sources = rows.select(F.col(driver).alias("node")).distinct()
-    paths = least_delays(edges, sources, most)
-    joined = rows.join(paths.select(F.col("source").alias(driver), F.col("node").alias(driven), F.col("delay").alias("least")), [driver, driven], "left")
+    paths = pair_delays(edges, rows.select(F.col(driver).alias("a"), F.col(driven).alias("b")), most)
+    joined = rows.join(paths.select(F.col("a").alias(driver), F.col("b").alias(driven), F.col("delay").alias("least")), [driver, driven], "left")
     return joined.select(row, "least", F.coalesce(F.col("least") != F.col(depth), F.lit(False)).alias("flagged"))
 
 
@@ -253,3 +250,22 @@ def signal_map(ports: DataFrame, top: str) -> DataFrame:
     kind = signal_type(F.col("name"), F.col("direction"), F.col("width"))
     said = F.concat(F.initcap("direction"), F.lit(" "), kind, F.lit(" of "), F.col("module"), F.when(F.col("width") > 1, F.concat(F.lit(" ["), (F.col("width") - 1).cast("string"), F.lit(":0]"))).otherwise(""))
     return ports.select(key.alias("key"), "name", "module", "direction", "width", kind.alias("type"), said.alias("description"))
+
+
+def module_summaries(modules: DataFrame, ports: DataFrame, children: DataFrame, cells: DataFrame, most_cells: int = 20) -> DataFrame:
+    """Module, prefix, summary: texts with the parent (of several the smallest), ports and submodules of each module.
+
+    modules: module; ports: module, name, direction, width; children: parent, child, pos (their order); cells: module, cell, type. A module
+    without any of these has a text without that part."""
+    port = lambda cut: F.concat("name", F.lit("("), F.substring("direction", 1, cut), F.lit(","), F.col("width").cast("string"), F.lit(")"))
+    listed = ports.groupBy("module").agg(*[F.sort_array(F.collect_list(F.struct("name", port(n).alias("said")))).alias(c) for n, c in ((3, "short"), (99, "long"))])
+    below = children.groupBy(F.col("parent").alias("module")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "child"))), lambda x: x["child"]), ", ").alias("below"))
+    above = children.groupBy(F.col("child").alias("module")).agg(F.min("parent").alias("parent"))
+    inside = cells.groupBy("module").agg(F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("cell", "type"))), 1, most_cells), lambda x: F.concat(x["cell"], F.lit("->"), x["type"])), ", ").alias("inside"))
+    rows = modules.select("module").distinct().join(listed, "module", "left").join(below, "module", "left").join(above, "module", "left").join(inside, "module", "left")
+    said = lambda c: F.array_join(F.transform(c, lambda x: x["said"]), ", ")
+    part = lambda label, c: F.concat(F.lit(label), c)
+    first, parent = part("Module: ", F.col("module")), part("Parent: ", F.col("parent"))
+    prefix = F.concat(F.lit("["), F.concat_ws(" | ", first, parent, part("Ports: ", said(F.slice("short", 1, 10))), part("Children: ", F.col("below"))), F.lit("]\n"))
+    summary = F.concat_ws("\n", first, parent, part("Ports: ", said("long")), part("Submodules: ", F.coalesce("below", F.lit("none (leaf module)"))), part("Instances: ", F.col("inside")))
+    return rows.select("module", prefix.alias("prefix"), summary.alias("summary"))

@@ -116,3 +116,10 @@ def two_stage(hits: DataFrame, groups: DataFrame, k: int, id_col: str, group: st
 def top_groups(hits: DataFrame, group: str, k: int, id_col: str) -> DataFrame:
     """The groups of the first k hits of each query."""
     return hits.where(F.col("rank") < k).select("query", group).distinct()
+
+
+def index_kind(n_modules: int, hierarchical: bool, hybrid: bool, whole_context: bool) -> str:
+    """Which index serves a run: hierarchical from five modules on, else hybrid, and dense where the whole source is in the context."""
+    if whole_context:
+        return "dense"
+    return "hierarchical" if hierarchical and n_modules >= 5 else "hybrid" if hybrid else "dense"

@@ -71,6 +71,16 @@ def write_json(df: DataFrame, path: str) -> None:
     df.select(*[F.sort_array(c).alias(c) if t.startswith("array<") and "struct" not in t else F.col(c) for c, t in df.dtypes]).write.mode("overwrite").json(path)
 
 
+def write_trace(steps: DataFrame, path: str) -> None:
+    """The steps of a run twice, from one table: whole as JSON lines, and as a CSV with a header, one line for each step in their order.
+
+    steps: no, phase, step, timestamp, output, tools (array), assertions, prompt_tokens, completion_tokens, notes; null counts are 0."""
+    count = lambda c: F.coalesce(F.col(c), F.lit(0))
+    steps.write.mode("overwrite").json(f"{path}/trace.json")
+    row = steps.select("no", "phase", "step", "timestamp", F.char_length(F.coalesce("output", F.lit(""))).alias("output_length"), F.size(F.coalesce("tools", F.array().cast("array<string>"))).alias("n_tools"), F.coalesce(F.nullif(F.array_join("tools", ", "), F.lit("")), F.lit("-")).alias("tools"), count("assertions").alias("assertions"), count("prompt_tokens").alias("prompt_tokens"), count("completion_tokens").alias("completion_tokens"), (count("prompt_tokens") + count("completion_tokens")).alias("total_tokens"), "notes", F.translate(F.substring(F.coalesce("output", F.lit("")), 1, 150), "\n", " ").alias("preview"))
+    row.orderBy("no").write.mode("overwrite").csv(f"{path}/trace.csv", header=True)
+
+
 def write_index(vectors: DataFrame, postings: DataFrame, path: str) -> None:
     """Vectors and postings; postings lie by term, so a query reads the row groups of its terms."""
     vectors.write.mode("overwrite").parquet(f"{path}/vectors")

@@ -119,3 +119,15 @@ def test_overlap_is_that_of_all_pairs(spark):
         best, n = max(len(set(w or []) & set(g or [])) for _, g in texts), len(set(w or []))
         wanted[i] = (best, n > 0 and best >= max(-(-n // 2), 1))
     assert {k: v for k, v in got.items() if k != 92} == {k: v for k, v in wanted.items() if k != 92} and got[92][0] == 0
+
+
+def test_trace_in_two_forms(spark, tmp_path):
+    from brindle.operators import retrieval
+    from brindle.sources import reports
+
+    steps = spark.createDataFrame([(2, "draft", "b", "t2", "x\ny" * 100, ["lint", "read"], 3, 10, None, "n"), (1, "plan", "a", "t1", None, None, None, None, None, None)], "no long, phase string, step string, timestamp string, output string, tools array<string>, assertions long, prompt_tokens long, completion_tokens long, notes string")
+    reports.write_trace(steps, str(tmp_path))
+    rows = spark.read.csv(f"{tmp_path}/trace.csv", header=True).orderBy("no").collect()
+    assert [(x.output_length, x.n_tools, x.tools, x.total_tokens) for x in rows] == [("0", "0", "-", "0"), ("300", "2", "lint, read", "10")] and rows[1].preview == ("x y" * 100)[:150]
+    assert spark.read.json(f"{tmp_path}/trace.json").count() == 2
+    assert [retrieval.index_kind(*x) for x in ((5, True, True, False), (4, True, True, False), (9, True, False, True), (4, True, False, False))] == ["hierarchical", "hybrid", "dense", "dense"]
