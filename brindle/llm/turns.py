@@ -41,11 +41,14 @@ MADE = "kind string, conv string, turn bigint, new boolean, batch int, upto bigi
 CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    # a start's stores stay open on executors for a while: they take the disk that they fill, not what they might
+    # a start's stores are closed as its tasks end, so that executors hold few at a time, and take the disk that they fill
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     # no reads before writes and no second file for each file, which cost more than the few rows of a store
     "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
     "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",
+    # the same atomic rename by the file system's own API, without a child process for each file's permissions where files are local
+    "spark.sql.streaming.checkpointFileManagerClass": "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager",
     # one micro-batch for each start: timers count batches
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
