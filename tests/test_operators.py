@@ -246,3 +246,34 @@ def test_fusion_by_text(spark):
     dense = spark.createDataFrame([(1, "x", 0), (1, "y", 1)], "query int, text string, rank int")
     sparse = spark.createDataFrame([(1, "y", 0), (1, "z", 1)], "query int, text string, rank int")
     assert [r.text for r in retrieval.fuse(dense, sparse, 3, "text").orderBy("rank").collect()] == ["y", "x", "z"]
+
+
+def test_parted_in_families_across_batches(spark):
+    """Rows without a family, families longer than a batch, and many of one row, with the least row and size of each part."""
+    rows = [(None, i, [i]) for i in range(500)] + [("a", i, [i, 2 * i + 1]) for i in range(700)] + [("a", 700 + i, [i, 7]) for i in range(3)] + [(f"s{i:03}", i, [i]) for i in range(300)] + [("z", i, None if i else [4]) for i in range(6)]
+    df = spark.createDataFrame(rows, "f string, r long, i array<long>").coalesce(1)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = cluster.parted(df, "f", "r", "i").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert len(got) == len(rows)
+    by = {(x.f, x.r): x for x in got}
+    assert {(x.part, x.size, x.first == x.r) for x in got if x.f is None or x.f[0] == "s"} == {(-1, 1, True)}
+    assert {(by["a", i].part, by["a", i].size, by["a", i].first, tuple(by["a", i].formulas)) for i in range(700)} == {(0, 700, 0, ("0 2 1",))}
+    assert [(by["a", i].part, by["a", i].size, by["a", i].first) for i in range(700, 703)] == [(-1, 3, 700)] * 3
+    assert {(x.part, x.size, x.first) for x in got if x.f == "z"} == {(-1, 6, 0)}
+
+
+def test_formulas_of_a_large_cluster():
+    """A hypothesis for each row, each held against every row, took the square of the cluster."""
+    import time
+
+    import numpy as np
+
+    x = np.arange(40000)
+    began = time.process_time()
+    parts, made = cluster.formulas(x, np.stack([x * 3 + 1, np.where(x % 2 == 0, x, 0)], 1))
+    assert time.process_time() - began < 20
+    assert made == [["0 3 1", "0 0 0"], ["0 3 1", "0 1 0"]] and parts[0] == 0 and (parts[1::2] == 0).all() and (parts[2::2] == 1).all()
