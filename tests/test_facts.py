@@ -86,3 +86,13 @@ def test_sections(spark):
     kind = spark.createDataFrame([("hold", "q", None, "en", "clk", "rst"), ("nothing", "q", "d", "en", "clk", None)], "k string, l string, r string, c string, clk string, rst string")
     got = [r.t for r in kind.select(X.pattern_text(*[F.col(c) for c in ("k", "l", "r", "c", "clk", "rst")]).alias("t")).collect()]
     assert got == ["assert property (@(posedge clk) disable iff (!rst) !(en) |=> $stable(q));", None]
+
+
+def test_module_facts_scan_each_text_once(spark):
+    """Each extractor scanned the texts anew."""
+    from brindle.operators import modules
+
+    df = spark.createDataFrame([("a", "module m;\ninput [3:0] x;\nalways @(posedge clk or negedge rst_n) if (!rst_n) q <= 4'h0; else q <= x;\nendmodule\n")], "id string, text string")
+    made = modules.extracted(df, "id", "text")
+    assert "MapInArrow" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted((x.kind, x.name, x.value) for x in made.collect()) == [("clock", "clk", "2"), ("refers", "q", "rst_n"), ("reset", "rst_n", "low"), ("reset_value", "q", "4'h0")]
