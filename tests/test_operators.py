@@ -306,3 +306,12 @@ def test_linked_by_either_way(spark):
     wanted = {(a, b) for a, b in pairs if a is not None and b is not None and (b in both.get(a, ()) or both.get(a, set()) & both.get(b, set()) or (a in module and module[a] == module.get(b)))}
     assert len(got) == len(wanted) and {tuple(x) for x in got} == wanted
     assert n < 700_000  # each pair with each neighbour of its rarer end were 1.2 million rows
+
+
+def test_paths_go_out_from_all_suppliers(spark, sf):
+    from brindle.plans.graphs import reach_three, zero_one_path
+
+    suppliers = spark.read.parquet(f"{sf}/supplier.parquet").count()
+    for df in (zero_one_path(spark, sf), reach_three(spark, sf)):
+        assert df.columns[:2] == ["source", "node"]
+        assert df.select("source").distinct().count() == suppliers and df.count() > 100 * suppliers
