@@ -315,3 +315,18 @@ def test_paths_go_out_from_all_suppliers(spark, sf):
     for df in (zero_one_path(spark, sf), reach_three(spark, sf)):
         assert df.columns[:2] == ["source", "node"]
         assert df.select("source").distinct().count() == suppliers and df.count() > 100 * suppliers
+
+
+def test_mutants_hold_a_batch_only(spark):
+    """A source was a pandas group with all its lines and mutants."""
+    lines = spark.range(3000).select((F.col("id") % 2).alias("f"), F.col("id").alias("n"), F.when(F.col("id") % 10 == 4, "sub u1 (").when(F.col("id") % 10 == 6, ");").otherwise("assign x = a && b;").alias("l"))
+    lines = lines.unionByName(spark.createDataFrame([(None, 1, "assign y = a || b;"), (None, None, "assign z = a == b;")], "f long, n long, l string"))
+    made = mutate.mutants(lines.repartition(3), "f", "n", "l")
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().executedPlan().toString()
+    got = made.collect()
+    for f in ("0", "1", None):
+        mine = sorted((x for x in got if x.source == f), key=lambda x: x.id)
+        assert [x.id for x in mine] == list(range(len(mine)))
+        assert [x.line_no for x in mine if x.line_no is not None] == sorted(x.line_no for x in mine if x.line_no is not None)
+    assert {x.line_no % 10 for x in got if x.source == "0"} == {0, 2, 8} and {x.line_no % 10 for x in got if x.source == "1"} == {1, 3, 5, 7, 9}
+    assert [x.line_no for x in got if x.source is None][-1] is None
