@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -114,13 +116,16 @@ def documented(df: DataFrame, id_col: str, text: str, phrases: Sequence[str] = M
     """Sentences with a modal phrase, once for each phrase and first 80 characters, the first of all in the order of (id, line)."""
     from brindle.functions.text import modal
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a text and some sentences at a time, however many a batch holds
         for b in batches:
-            rows = [(i, k, *s) for i, t in zip(b.id, b.text) for k, s in enumerate(sentences(t or ""))]
-            yield pd.DataFrame(rows, columns=["id", "k", "source_line", "sentence"])
+            found = ((i.as_py(), k, *s) for i, t in zip(*b.columns, strict=True) for k, s in enumerate(sentences(t.as_py() or "")))
+            while rows := list(islice(found, 4096)):
+                kinds = (b.schema.field(0).type, pa.int32(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "k", "source_line", "sentence"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    found = rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, k int, source_line int, sentence string")
+    found = rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, k int, source_line int, sentence string")
     found = found.withColumn("modal", modal(F.col("sentence"), phrases)).where("modal IS NOT NULL").withColumn("short", F.left("sentence", F.lit(80)))
     first = found.groupBy("modal", "short").agg(F.min(F.struct("id", "k", "source_line", "sentence")).alias("s"))
     return first.orderBy("s.id", "s.k").limit(most).select(F.col("s.id").alias(id_col), "s.source_line", "modal", F.left("s.sentence", F.lit(size)).alias("sentence"))

@@ -330,3 +330,11 @@ def test_mutants_hold_a_batch_only(spark):
         assert [x.line_no for x in mine if x.line_no is not None] == sorted(x.line_no for x in mine if x.line_no is not None)
     assert {x.line_no % 10 for x in got if x.source == "0"} == {0, 2, 8} and {x.line_no % 10 for x in got if x.source == "1"} == {1, 3, 5, 7, 9}
     assert [x.line_no for x in got if x.source is None][-1] is None
+
+
+def test_sentences_leave_python_by_batches(spark):
+    """All sentences of a batch of texts were one pandas table."""
+    df = spark.createDataFrame([(2, None), (1, "The reset must fall. " * 9000 + "It shall rise."), (3, "")], "id long, text string")
+    made = S.documented(df, "id", "text", ("must", "shall"))
+    assert "MapInPandas" not in made._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(x) for x in made.collect()] == [(1, 1, "must", "The reset must fall."), (1, 1, "shall", "It shall rise.")]
