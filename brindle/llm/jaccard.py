@@ -45,6 +45,8 @@ WORDS, PERCENT = 5, 75
 SMALL = 32
 #: Slots of a set's sketch (at least), which joins compare as numbers of 64 bits.
 SLOTS = 1024
+#: Keys before each key that are looked at for an earlier meeting of a pair.
+EARLIER = 16
 #: The most sets with candidates of which the driver makes a filter, and its slots for each. It spares texts from being made
 #: into sets again and never decides; beyond it the texts are joined.
 FILTERED, FILTER_SLOTS = 1 << 21, 16
@@ -429,19 +431,32 @@ def linked(pairs: DataFrame, docs: DataFrame, df: DataFrame, words: int, percent
 
 
 def crossing(groups: DataFrame, rooted: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a key and that sizes and sketches don't rule out, but for the centres' pairs."""
+    """Pairs (a, b) of different components that share a key and that sizes and sketches don't rule out, but for the centres' pairs.
+
+    Two sets with a long passage in common share hundreds of keys. Each carries the EARLIER keys before each of its keys, and
+    where these have one in common the pair is a row there (or at one before that), so not here."""
+    from pyspark.sql import Window
+
     known = written(groups.where("crowded AND node <> centre").join(rooted, "node", "left").select("key", "node", "flags", F.coalesce("root", "node").alias("root")), "known")
     spans = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     others = known.join(spans, "key", "left_semi")
     facts = docs.where("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("fold").alias("fold"))
-    open_ = written(others.join(facts, "node").select("key", "node", "flags", "root", "n", "fold"), "open")
+    # a fold that is full of differences rules nothing out
+    tells = F.expr(f"2 * n * {100 - percent} div {100 + percent} < {SLOTS * 3 // 5}")
+    probes, indexed = (F.col("flags").bitwiseAND(bit) != 0 for bit in (2, 1))
+    before = Window.partitionBy("node", indexed).orderBy("key").rowsBetween(-EARLIER, -1)
+    lists = {c: F.collect_list(F.when(is_, F.col("key"))).over(before) for c, is_ in (("p_before", probes), ("i_before", indexed))}
+    rows = others.join(facts, "node").withColumns({"fold": F.when(tells, F.col("fold")), "both": probes & indexed} | lists)
+    open_ = written(rows.select("key", "node", "flags", "both", "root", "n", "fold", *lists), "open")
 
     def side(bit: int, c: str) -> DataFrame:
-        return open_.where(F.col("flags").bitwiseAND(bit) != 0).select("key", *[F.col(x).alias(f"{c}_{x}") for x in ("node", "root", "n", "fold")])
+        return open_.where(F.col("flags").bitwiseAND(bit) != 0).select("key", f"{c}_before", *[F.col(x).alias(f"{c}_{x}") for x in ("node", "both", "root", "n", "fold")])
 
     most = F.expr(f"(p_n + i_n) * {100 - percent} div {100 + percent}")
     differ = sum((F.bit_count(F.col("p_fold")[j].bitwiseXOR(F.col("i_fold")[j])) for j in range(1, SLOTS // 64)), F.bit_count(F.col("p_fold")[0].bitwiseXOR(F.col("i_fold")[0])))
-    fits = (F.col("p_root") != F.col("i_root")) & (percent * F.greatest("p_n", "i_n") <= 100 * F.least("p_n", "i_n")) & (differ <= most)
+    fits = (F.col("p_root") != F.col("i_root")) & (percent * F.greatest("p_n", "i_n") <= 100 * F.least("p_n", "i_n")) & F.coalesce(differ <= most, F.lit(True))
+    # once, where each is the other's probe, and not where they have met at one of the keys just before
+    fits = fits & ~(F.col("p_both") & F.col("i_both") & (F.col("p_node") > F.col("i_node"))) & ~F.arrays_overlap("p_before", "i_before")
     pairs = side(2, "p").withColumnRenamed("key", "p_key").join(side(1, "i"), (F.col("p_key") == F.col("key")) & fits)
     return ordered(F.col("p_node"), F.col("i_node"), pairs)
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from brindle.llm import lexical, linededup, simhash, turns
+from brindle.llm import jaccard, lexical, linededup, simhash, turns
 
 
 def plain_events(batches, n_batches, patience):
@@ -199,3 +199,22 @@ def test_fingerprints_of_single_positions_reach_no_join(spark):
     left = found.join(linededup.shared_fingerprints(found), "fingerprint", "left_semi")
     assert {x.id for x in left.select("id").distinct().collect()} == {1, 2} and left.count() < found.count() / 2
     assert sorted((x["first"], x["last"]) for x in linededup.runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [(1, 5)]
+
+
+def test_pairs_of_many_keys_are_few_rows(spark, monkeypatch):
+    # sets that share hundreds of keys: the same pairs, but hardly a row for each key
+    r = random.Random(5)
+    rows = [(key, node, r.choice((1, 2, 3, 3)), 99, True) for key in r.sample(range(1 << 40), 300) for node in range(10) if r.random() < 0.6]
+    roots = {node: node // 2 for node in range(10)}
+    groups = spark.createDataFrame(rows, "key long, node long, flags long, centre long, crowded boolean")
+    sizes = {node: 100 if node < 5 else 3000 for node in range(10)}
+    docs = spark.createDataFrame([(k, n, [0] * (jaccard.SLOTS // 64)) for k, n in sizes.items()], "node long, n_shingles long, fold array<long>")
+    by_key = {}
+    for key, node, flags, *_ in rows:
+        by_key.setdefault(key, []).append((node, flags))
+    met = [(p, i) for held in by_key.values() for p, f in held for i, g in held if f & 2 and g & 1 and roots[p] != roots[i] and sizes[p] == sizes[i]]
+    seen, plain = [], jaccard.ordered
+    monkeypatch.setattr(jaccard, "ordered", lambda a, b, pairs: seen.append(pairs.count()) or plain(a, b, pairs))
+    found = jaccard.crossing(groups, spark.createDataFrame(list(roots.items()), "node long, root long"), docs, 75)
+    assert sorted(map(tuple, found.collect())) == sorted({(min(x), max(x)) for x in met})
+    assert seen[0] * 10 < len(met)
