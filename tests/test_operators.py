@@ -1,4 +1,7 @@
+import math
+
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from brindle.operators import clean, cluster, coverage, dedup, graph, mutate, retrieval, stats, trace
@@ -338,3 +341,23 @@ def test_sentences_leave_python_by_batches(spark):
     made = S.documented(df, "id", "text", ("must", "shall"))
     assert "MapInPandas" not in made._jdf.queryExecution().executedPlan().toString()
     assert [tuple(x) for x in made.collect()] == [(1, 1, "must", "The reset must fall."), (1, 1, "shall", "It shall rise.")]
+
+
+def test_bm25_counts_terms_in_the_row(spark):
+    # rows' terms are counted in the row, so that only scores are shuffled; rows of one id are one row
+    texts = [(1, ["a", "b", "a", None]), (2, ["b"]), (3, []), (4, None), (5, ["c", "a"]), (6, ["c"]), (7, ["d", "d"]), (8, ["e"])]
+    rows = spark.createDataFrame(texts, "id long, w array<string>")
+    queries = spark.createDataFrame([(1, "a"), (1, "b"), (2, "d"), (2, "none")], "query long, term string")
+    n_docs = rows.agg(F.count(F.lit(1)).alias("n"), F.lit(1.5).alias("mean_length"))
+    assert [tuple(r) for r in rows.select("id", F.inline(retrieval.counted(F.col("w")))).where("id = 1").collect()] == [(1, "a", 2), (1, "b", 1)]
+    scored = retrieval.bm25(rows, "id", "w", queries, n_docs)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
+    df = {"a": 2, "b": 2, "d": 1}
+    idf = {t: math.log(8 - n + 0.5) - math.log(n + 0.5) for t, n in df.items()}
+    part = lambda t, tf, length: idf[t] * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / 1.5))
+    want = {(1, 1): part("a", 2, 4) + part("b", 1, 4), (1, 2): part("b", 1, 1), (1, 5): part("a", 1, 2), (2, 7): part("d", 2, 2)}
+    got = {(r.query, r.id): r.score for r in scored.collect()}
+    assert got == pytest.approx(want)
+    same = retrieval.bm25(spark.createDataFrame([(1, ["a", "b"]), (1, ["b", "a"]), (2, ["z"])], "id long, w array<string>"), "id", "w", queries, n_docs.select(F.lit(8).alias("n"), "mean_length"))
+    assert {(r.query, r.id): r.score for r in same.collect()} == pytest.approx({(1, 1): part("a", 2, 2) + part("b", 2, 2)})
