@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from brindle.functions import text as X
 from brindle.operators import clean, cluster, facts, lookup, repairs
-from brindle.plans.tables import ASSERTIONS, assertions, t
+from brindle.plans.tables import ASSERTIONS, assertions, parts, t
 
 
 def _shapes(spark, d, shapes):
     """Rows id, pos, assertion of all parts; the shapes take turns, and {n} is the part's size."""
     each = [F.replace(F.lit(s), F.lit("{n}"), F.col("p_size").cast("string")) for s in shapes]
-    return t(spark, d, "part").select(F.col("p_brand").alias("id"), F.col("p_partkey").alias("pos"), F.get(F.array(*each), (F.col("p_partkey") % len(shapes)).cast("int")).alias("assertion"))
+    return parts(spark, d).select(F.col("p_brand").alias("id"), F.col("p_partkey").alias("pos"), F.get(F.array(*each), (F.col("p_partkey") % len(shapes)).cast("int")).alias("assertion"))
 
 
 def _sql(shapes, columns):
