@@ -6,10 +6,9 @@ unused neighbours by falling BM25 score fill it, and the document that is cut at
 
 Shards are dealt by lexical content, so that a seed's neighbours are in its own shard: all documents are put in one order,
 cut into shards of about SHARD_TOKENS tokens, and each shard has an inverted index that answers its seeds by all their
-distinct terms. The order is that of a tree of topics (latent semantic coordinates, halved again and again; fitted on at most
-SAMPLE documents, their first SAMPLE_TERMS distinct terms each), within a topic that of two weighted minhashes of the terms,
-which put copies and near copies side by side, and then that of a hash. The minhashes don't depend on the sample, so the
-order goes on parting documents however many there are; copies in any number are parted by the last hash only. A task sees
+distinct terms. The order is that of a tree of topics (latent semantic coordinates, halved again and again; counts, coordinates
+and halves are of all documents), within a topic that of two weighted minhashes of the terms, which put copies and near
+copies side by side, and then that of a hash. Copies in any number are parted by the last hash only. A task sees
 one shard and half of the next at most. Only the last window of a shard has room left.
 
 Every document gets a number when the table is written, the tokens before it in its task; a window's sequence_id is the number of
@@ -29,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.store import written
@@ -37,8 +36,10 @@ from brindle.llm.tokens import forget, library_table
 
 WINDOW, SHARD_TOKENS = 4096, 1 << 20
 K1, B = 1.2, 0.75
-#: Documents, and distinct terms of each, that the tree of topics is fitted on; its depth, coordinates and hashed terms.
-SAMPLE, SAMPLE_TERMS, DEPTH, COORDINATES, BUCKETS = 4096, 2048, 8, 16, 4096
+#: The tree of topics: its depth, coordinates, hashed terms, bins of a coordinate and passes over the documents that fit it.
+DEPTH, COORDINATES, BUCKETS, BINS, PASSES = 8, 16, 4096, 1024, 2
+#: What stands for 1 in whole sums; documents whose hashed terms are held at a time.
+ONE, DENSE = 1 << 20, 256
 #: Tokens whose terms are looked at together, if they aren't one document's.
 SUMMED = 1 << 17
 #: Documents that are encoded at a time, which bounds a worker's memory.
@@ -67,105 +68,226 @@ class Order:
 
     def keys(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """A row of topic, first and second minhash for each document (ids, never empty), and how many of them hold each term."""
+        place, least, counts = self.marks(docs)
+        return np.column_stack([self.topic(place), least]), counts
+
+    def marks(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Coordinates and the two minhashes of each document, and how many of them hold each term."""
         wide = len(self.loads)
-        out, counts = np.zeros((len(docs), 3), dtype=np.int32), np.zeros(wide, dtype=np.int64)
-        at = 0
-        while at < len(docs):
-            to, n = at, 0
-            while to < len(docs) and (n == 0 or n + len(docs[to]) <= SUMMED):
-                n, to = n + len(docs[to]), to + 1
-            owner, terms, _ = distinct(docs[at:to], wide)
+        place, least = np.zeros((len(docs), self.loads.shape[1]), dtype=np.float32), np.zeros((len(docs), 2), dtype=np.int32)
+        counts = np.zeros(wide, dtype=np.int64)
+        for at, to, owner, terms in grouped(docs, wide):
             first = np.searchsorted(owner, np.arange(to - at))
             counts += np.bincount(terms, minlength=wide)
-            out[at:to, 0] = self.topic(np.add.reduceat(self.loads[terms], first, axis=0))
+            place[at:to] = unit(np.add.reduceat(self.loads[terms], first, axis=0))
             for i in (0, 1):
                 draw = self.draws[i][terms]
                 hit = np.flatnonzero(draw == np.minimum.reduceat(draw, first)[owner])
-                out[at:to, 1 + i] = terms[hit[np.searchsorted(owner[hit], np.arange(to - at))]]
-            at = to
-        return out, counts
+                least[at:to, i] = terms[hit[np.searchsorted(owner[hit], np.arange(to - at))]]
+        return place, least, counts
 
     def topic(self, place: np.ndarray) -> np.ndarray:
-        place = place / np.maximum(np.linalg.norm(place, axis=1, keepdims=True), 1e-9)
         node = np.zeros(len(place), dtype=np.int64)
         for axis, value in self.cuts:
             node = 2 * node + (place[np.arange(len(place)), axis[node]] > value[node])
         return node.astype(np.int32)
 
 
-def order_of(sample: list[np.ndarray], terms: int) -> Order:
-    """Fitted on the distinct terms of sampled documents."""
-    r = np.random.default_rng(7)
-    df = np.bincount(np.concatenate(sample), minlength=terms) if sample else np.zeros(terms)
-    idf = np.log1p((len(sample) - df + 0.5) / (df + 0.5))
+def unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+
+
+def grouped(docs: list[np.ndarray], wide: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from, to, document, term) of the distinct terms of about SUMMED tokens' documents at a time."""
+    at = 0
+    while at < len(docs):
+        to, n = at, 0
+        while to < len(docs) and (n == 0 or n + len(docs[to]) <= SUMMED):
+            n, to = n + len(docs[to]), to + 1
+        owner, terms, _ = distinct(docs[at:to], wide)
+        yield at, to, owner, terms
+        at = to
+
+
+@dataclass
+class Topics:
+    """What the order is fitted with. Sums over documents are whole numbers (ONE for 1), so that the order of adding is no matter."""
+
+    idf: np.ndarray
+    draws: np.ndarray
+    bucket: np.ndarray  # of each term
+    signed: np.ndarray  # its idf, of either sign
+    base: np.ndarray  # the leading right singular vectors of documents by buckets, so far
+
+    def order(self) -> Order:
+        return Order((self.base[self.bucket] * self.signed[:, None]).astype(np.float32), self.draws, [])
+
+    def turned(self, docs: list[np.ndarray]) -> np.ndarray:
+        """What these documents add to the next base of the subspace iteration, a row for each bucket."""
+        out = np.zeros(self.base.shape)
+        for i in range(0, len(docs), DENSE):
+            for at, to, owner, terms in grouped(docs[i : i + DENSE], len(self.idf)):
+                x = np.bincount(owner * BUCKETS + self.bucket[terms], self.signed[terms], (to - at) * BUCKETS).reshape(-1, BUCKETS)
+                x = unit(x.astype(np.float32))
+                out += x.T @ (x @ self.base)
+        return np.rint(out * ONE).astype(np.int64)
+
+
+def topics_of(df: np.ndarray, n_docs: int) -> Topics:
+    """From the number of documents that hold each term."""
+    r, terms = np.random.default_rng(7), len(df)
+    idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
     draws = (r.exponential(size=(2, terms)) / idf).astype(np.float32)
     bucket, sign = r.integers(0, BUCKETS, terms), r.choice([-1.0, 1.0], terms)
-    x = np.zeros((max(len(sample), 1), BUCKETS), dtype=np.float32)
-    for row, own in zip(x, sample):
-        np.add.at(row, bucket[own], sign[own] * idf[own])
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    # the leading right singular vectors, by subspace iteration
-    base = r.normal(size=(BUCKETS, COORDINATES)).astype(np.float32)
-    for _ in range(8):
-        base = np.linalg.qr(x.T @ (x @ base))[0]
-    order = Order((base[bucket] * (sign * idf)[:, None]).astype(np.float32), draws, [])
-    place = x @ base
-    place /= np.maximum(np.linalg.norm(place, axis=1, keepdims=True), 1e-9)
-    node = np.zeros(len(place), dtype=np.int64)
-    for level in range(DEPTH):
-        axis, value = np.zeros(1 << level, dtype=np.int64), np.zeros(1 << level, dtype=np.float32)
-        for k in range(1 << level):
-            if len(own := place[node == k]) > 1:
-                axis[k] = own.var(axis=0).argmax()
-                value[k] = np.median(own[:, axis[k]])
-        order.cuts.append((axis, value))
-        node = 2 * node + (place[np.arange(len(place)), axis[node]] > value[node])
+    return Topics(idf, draws, bucket, sign * idf, r.normal(size=(BUCKETS, COORDINATES)).astype(np.float32))
+
+
+def spreads(order: Order, place: np.ndarray) -> np.ndarray:
+    """Of each node and axis: documents, sum and sum of squares."""
+    node, wide = order.topic(place), 1 << len(order.cuts)
+    rows = [[np.bincount(node, w, wide) for w in (None, place[:, k], place[:, k] ** 2)] for k in range(place.shape[1])]
+    return np.rint(np.array(rows).transpose(2, 0, 1) * np.array([1, ONE, ONE])).astype(np.int64)
+
+
+def widest(sums: np.ndarray) -> np.ndarray:
+    """The axis of most variance of each node."""
+    n, total, squares = (sums[:, :, i].astype(float) for i in range(3))
+    n = np.maximum(n, 1)
+    return (squares / n - total / n * (total / n / ONE)).argmax(axis=1)
+
+
+def bins(order: Order, axis: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Documents of each node and bin of its axis."""
+    node, wide = order.topic(place).astype(np.int64), 1 << len(order.cuts)
+    at = np.clip(np.floor((place[np.arange(len(place)), axis[node]] + 1) * (BINS / 2)), 0, BINS - 1).astype(np.int64)
+    return np.bincount(node * BINS + at, minlength=wide * BINS).reshape(wide, BINS)
+
+
+def edge(bin_: np.ndarray) -> np.ndarray:
+    """The value up to which a bin goes."""
+    return ((np.asarray(bin_) + 1) * (2 / BINS) - 1).astype(np.float32)
+
+
+def order_of(docs: list[np.ndarray], terms: int) -> Order:
+    """Fitted on the distinct terms of these documents; fitted() does it for a table."""
+    topics = topics_of(np.bincount(np.concatenate([np.unique(x) for x in docs]), minlength=terms) if docs else np.zeros(terms), len(docs))
+    for _ in range(PASSES * bool(docs)):
+        topics.base = np.linalg.qr(topics.turned(docs).astype(np.float32))[0]
+    order = topics.order()
+    place = order.marks(docs)[0]
+    for _ in range(DEPTH):
+        axis = widest(spreads(order, place))
+        upto = bins(order, axis, place).cumsum(axis=1)
+        order.cuts.append((axis, edge((2 * upto >= upto[:, -1:]).argmax(axis=1))))
     return order
 
 
-def fitted(df: DataFrame, vocabulary: str, terms: int, id_col: str, text_col: str) -> Order:
-    """The order of content, from about SAMPLE documents that a hash of their place picks."""
+def coordinates(places: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(places.to_pylist()), np.float32).reshape(-1, COORDINATES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = library_table(vocabulary)
+
+def documents(b: pa.RecordBatch) -> list[np.ndarray]:
+    """The ids of a batch of ids and n."""
+    return [ids_of(d, n).astype(np.int64) for d, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+
+
+def fitted(tokens: DataFrame, df: np.ndarray, n_docs: int) -> tuple[Order, DataFrame]:
+    """The order of content, from all documents, and a written table of their rows with first, second and place (the coordinates).
+    What comes to the driver is a row for each bucket, or for each node and axis."""
+    topics = topics_of(df, n_docs)
+    held = tokens.where("n > 0").select("ids", "n")
+
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # a worker that has encoded doesn't need its table any more
+        out = np.zeros(topics.base.shape, dtype=np.int64)
         for b in batches:
-            own = [np.unique(x)[:SAMPLE_TERMS].astype("<u4").tobytes() for x in chunks.ids(b.column(0))]
-            yield pa.record_batch([pa.array(own, pa.binary())], names=["terms"])
+            for i in range(0, b.num_rows, ROWS):
+                out += topics.turned(documents(b.slice(i, ROWS)))
+        yield pa.record_batch([pa.array(np.arange(BUCKETS)), *(pa.array(np.ascontiguousarray(x)) for x in out.T)], names=["bucket", *axes])
 
-    chance = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.col(id_col)), F.lit(1 << 30))
-    some = df.where(chance < int((1 << 30) * min(1.0, SAMPLE / max(df.count(), 1)))).select(F.col(text_col).alias("text"))
-    return order_of([x for r in some.mapInArrow(run, "terms binary").collect() if len(x := np.frombuffer(r.terms, "<u4").astype(np.int64))], terms)
+    axes = [f"c{k}" for k in range(COORDINATES)]
+    for _ in range(PASSES * bool(n_docs)):
+        made = held.mapInArrow(turned, "bucket long, " + ", ".join(f"{c} long" for c in axes)).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in axes]).toPandas()
+        topics.base = np.linalg.qr(made.sort_values("bucket")[axes].to_numpy(dtype=np.float32))[0]
+    order = topics.order()
 
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for b in batches:
+            for i in range(0, b.num_rows, ROWS):
+                some = b.slice(i, ROWS)
+                place, least, _ = order.marks(documents(some.select(["ids", "n"])))
+                own = [*(pa.array(np.ascontiguousarray(x)) for x in least.T), pa.array([x.tobytes() for x in place], pa.binary())]
+                yield pa.record_batch([*some.columns, *own], names=[*some.schema.names, "first", "second", "place"])
 
-def encoded(df: DataFrame, vocabulary: str, end_id: int, order: Order, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Written table: id, row (a number of its own for each token of each row: that of its first), n, topic, first, second, ids
-    (little-endian, two bytes each where all fit). Each task adds a row with n -1 whose ids hold terms and in how many of its
-    documents they are (8 bytes each)."""
+    kind = dict(tokens.dtypes)["id"]
+    docs = written(tokens.where("n > 0").mapInArrow(marked, f"id {kind}, row long, n long, ids binary, first int, second int, place binary"), "marked")
+
+    def summed(count, names: list[str]) -> DataFrame:
+        """Sums of count(places) over the table: node, what stands beside it, and the sums."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = 0
+            for b in batches:
+                out = out + count(coordinates(b.column(0)))
+            if not np.isscalar(out):
+                out = out.reshape(*out.shape[:2], -1)
+                node, beside = np.nonzero(out[:, :, 0])
+                yield pa.record_batch([pa.array(node), pa.array(beside), *(pa.array(np.ascontiguousarray(x)) for x in out[node, beside].T)], names=["node", "beside", *names])
+
+        return docs.select("place").mapInArrow(run, "node long, beside long, " + ", ".join(f"{c} long" for c in names)).groupBy("node", "beside").agg(*[F.sum(c).alias(c) for c in names])
+
+    so_far = F.sum("n").over(Window.partitionBy("node").orderBy("beside"))
+    for level in range(DEPTH * bool(n_docs)):
+        sums = np.zeros((1 << level, COORDINATES, 3), dtype=np.int64)
+        for node, axis, *rest in summed(lambda place: spreads(order, place), ["n", "total", "squares"]).collect():
+            sums[node, axis] = rest
+        axis, value = widest(sums), np.zeros(1 << level, dtype=np.float32)
+        halves = summed(lambda place: bins(order, axis, place), ["n"]).select("node", "beside", so_far.alias("upto"), F.sum("n").over(Window.partitionBy("node")).alias("all"))
+        for node, bin_ in halves.where("2 * upto >= all").groupBy("node").agg(F.min("beside")).collect():
+            value[node] = edge(bin_)
+        order.cuts.append((axis, value))
+    return order, docs
+
+
+def encoded(df: DataFrame, vocabulary: str, end_id: int, terms: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Written table: id, row (a number of its own for each token of each row: that of its first), n, ids (little-endian, two bytes
+    each where all fit). Each task adds a row with n -1 whose ids hold terms and in how many of its documents they are (8 bytes
+    each)."""
     kind = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks, row = library_table(vocabulary), TaskContext.get().partitionId() << 40
-        end, seen = np.array([end_id], np.uint32), np.zeros(len(order.loads), dtype=np.int64)
-        names = ["id", "row", "n", "topic", "first", "second", "ids"]
+        end, seen = np.array([end_id], np.uint32), np.zeros(terms, dtype=np.int64)
+        names = ["id", "row", "n", "ids"]
         for b in batches:
             for i in range(0, b.num_rows, ROWS):
                 some = b.slice(i, ROWS)
                 ids = [np.concatenate([x, end]) for x in chunks.ids(some.column(1))]
                 n = np.array([len(x) for x in ids], dtype=np.int64)
-                keys, counts = order.keys(ids)
-                seen += counts
+                for *_, held in grouped(ids, terms):
+                    seen += np.bincount(held, minlength=terms)
                 narrow = [(x.astype("<u2") if x.max() < 1 << 16 else x.astype("<u4")).tobytes() for x in ids]
-                columns = [some.column(0), pa.array(row + np.cumsum(n) - n), pa.array(n), *[pa.array(np.ascontiguousarray(keys[:, k])) for k in range(3)], pa.array(narrow, pa.binary())]
-                yield pa.record_batch(columns, names=names)
+                yield pa.record_batch([some.column(0), pa.array(row + np.cumsum(n) - n), pa.array(n), pa.array(narrow, pa.binary())], names=names)
                 row += int(n.sum())
             empty = b.column(0)[:0]
         if row & ((1 << 40) - 1):
             at = np.flatnonzero(seen)
-            none = pa.nulls(1, empty.type)
-            yield pa.record_batch([none, pa.array([-1]), pa.array([-1]), *[pa.array([-1], pa.int32())] * 3, pa.array([at.tobytes() + seen[at].tobytes()], pa.binary())], names=names)
+            yield pa.record_batch([pa.nulls(1, empty.type), pa.array([-1]), pa.array([-1]), pa.array([at.tobytes() + seen[at].tobytes()], pa.binary())], names=names)
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return written(rows.mapInArrow(run, f"id {kind}, row long, n long, topic int, first int, second int, ids binary"), "tokens")
+    return written(rows.mapInArrow(run, f"id {kind}, row long, n long, ids binary"), "tokens")
+
+
+def ordered(docs: DataFrame, order: Order) -> DataFrame:
+    """fitted()'s rows with their topic in the place of the coordinates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([*b.columns[:-1], pa.array(order.topic(coordinates(b.column(b.num_columns - 1))))], names=[*b.schema.names[:-1], "topic"])
+
+    kind = dict(docs.dtypes)["id"]
+    return docs.mapInArrow(run, f"id {kind}, row long, n long, ids binary, first int, second int, topic int")
 
 
 def ids_of(data: bytes, n: int) -> np.ndarray:
@@ -263,8 +385,9 @@ def pack(df: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW,
     from tokenizers import Tokenizer
 
     terms = max(Tokenizer.from_file(vocabulary).get_vocab_size(with_added_tokens=True), end_id + 1)
-    tokens = encoded(df, vocabulary, end_id, fitted(df, vocabulary, terms, id_col, text_col), id_col, text_col)
+    tokens = encoded(df, vocabulary, end_id, terms, id_col, text_col)
     docs, n_docs, n_tokens = frequencies(tokens, terms)
+    order, marked = fitted(tokens, docs, n_docs)
     idf, mean = np.log1p((n_docs - docs + 0.5) / (docs + 0.5)), n_tokens / max(n_docs, 1)
 
     def packed(ids: pa.Array, rows: np.ndarray, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +424,7 @@ def pack(df: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW,
         yield from shards(1)
 
     by = ["topic", "first", "second", "tie"]
-    dealt = tokens.where("n > 0").withColumn("tie", F.xxhash64("row")).repartitionByRange(max(1, -(-n_tokens // shard_tokens)), *by).sortWithinPartitions(*by)
+    dealt = ordered(marked, order).withColumn("tie", F.xxhash64("row")).repartitionByRange(max(1, -(-n_tokens // shard_tokens)), *by).sortWithinPartitions(*by)
     kind = dict(tokens.dtypes)["id"]
     made = dealt.select("id", "row", "n", "ids").mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids)
     return made.withColumnRenamed("id", id_col)

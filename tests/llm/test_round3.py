@@ -218,3 +218,23 @@ def test_pairs_of_many_keys_are_few_rows(spark, monkeypatch):
     found = jaccard.crossing(groups, spark.createDataFrame(list(roots.items()), "node long, root long"), docs, 75)
     assert sorted(map(tuple, found.collect())) == sorted({(min(x), max(x)) for x in met})
     assert seen[0] * 10 < len(met)
+
+
+def test_order_is_fitted_on_every_document(spark, monkeypatch):
+    # counts, coordinates and halves follow documents that a sample of 4096 would leave out, and the table's order is that of the list
+    import public_tokenizers as P
+    from brindle.llm import packing
+
+    r = random.Random(3)
+    texts = [" ".join(r.choice(WORDS) for _ in range(r.randint(1, 9))) for _ in range(6000)]
+    tokens = packing.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), P.path("word_bpe_49k.json"), 2, 50000)
+    df, n, _ = packing.frequencies(tokens, 50000)
+    held = [packing.ids_of(x.ids, x.n).astype(np.int64) for x in tokens.where("n > 0").collect()]
+    assert n == 6000 and df.tolist() == np.bincount(np.concatenate([np.unique(x) for x in held]), minlength=50000).tolist()
+    made, plain = packing.fitted(tokens, df, n)[0], packing.order_of(held, 50000)
+    assert np.array_equal(made.draws, plain.draws) and np.allclose(np.abs(made.loads), np.abs(plain.loads), atol=1e-2)
+    sizes = np.bincount(made.keys(held)[0][:, 0], minlength=2**packing.DEPTH)
+    assert sizes.sum() == 6000 and sizes.max() < 6000 / 16
+
+
+WORDS = [f"{a}{b}" for a in ("red", "blue", "stone", "river", "cloud", "glass", "north", "paper") for b in ("", "s", "ing", "er", "house", "line", "mark", "way")]
