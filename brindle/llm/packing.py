@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.store import written
+from brindle.llm.store import dropped, written
 from brindle.llm.tokens import forget, library_table
 
 WINDOW, SHARD_TOKENS = 4096, 1 << 20
@@ -44,6 +44,8 @@ ONE, DENSE = 1 << 20, 256
 SUMMED = 1 << 17
 #: Documents that are encoded at a time, which bounds a worker's memory.
 ROWS = 1024
+#: Documents whose coordinates a task counts.
+PLACES = 1 << 15
 
 
 def distinct(docs: list[np.ndarray], wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,7 +185,7 @@ def order_of(docs: list[np.ndarray], terms: int) -> Order:
 
 
 def coordinates(places: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(places.to_pylist()), np.float32).reshape(-1, COORDINATES)
+    return places.flatten().to_numpy().reshape(-1, COORDINATES)
 
 
 def documents(b: pa.RecordBatch) -> list[np.ndarray]:
@@ -217,11 +219,15 @@ def fitted(tokens: DataFrame, df: np.ndarray, n_docs: int) -> tuple[Order, DataF
             for i in range(0, b.num_rows, ROWS):
                 some = b.slice(i, ROWS)
                 place, least, _ = order.marks(documents(some.select(["ids", "n"])))
-                own = [*(pa.array(np.ascontiguousarray(x)) for x in least.T), pa.array([x.tobytes() for x in place], pa.binary())]
+                flat = pa.array(place.ravel(), pa.float32())
+                own = [*(pa.array(np.ascontiguousarray(x)) for x in least.T), pa.ListArray.from_arrays(pa.array(np.arange(len(place) + 1) * COORDINATES, pa.int32()), flat)]
                 yield pa.record_batch([*some.columns, *own], names=[*some.schema.names, "first", "second", "place"])
 
     kind = dict(tokens.dtypes)["id"]
-    docs = written(tokens.where("n > 0").mapInArrow(marked, f"id {kind}, row long, n long, ids binary, first int, second int, place binary"), "marked")
+    docs = written(tokens.where("n > 0").mapInArrow(marked, f"id {kind}, row long, n long, ids binary, first int, second int, place array<float>"), "marked")
+    # coordinates are few bytes of a row: a task takes those of several files. What finds nodes needs the cuts alone, not the terms' loads
+    places = docs.select("place").coalesce(max(tokens.sparkSession.sparkContext.defaultParallelism, n_docs // PLACES))
+    tree = Order(order.loads[:0], order.draws[:, :0], order.cuts)
 
     def summed(count, names: list[str]) -> DataFrame:
         """Sums of count(places) over the table: node, what stands beside it, and the sums."""
@@ -235,15 +241,15 @@ def fitted(tokens: DataFrame, df: np.ndarray, n_docs: int) -> tuple[Order, DataF
                 node, beside = np.nonzero(out[:, :, 0])
                 yield pa.record_batch([pa.array(node), pa.array(beside), *(pa.array(np.ascontiguousarray(x)) for x in out[node, beside].T)], names=["node", "beside", *names])
 
-        return docs.select("place").mapInArrow(run, "node long, beside long, " + ", ".join(f"{c} long" for c in names)).groupBy("node", "beside").agg(*[F.sum(c).alias(c) for c in names])
+        return places.mapInArrow(run, "node long, beside long, " + ", ".join(f"{c} long" for c in names)).groupBy("node", "beside").agg(*[F.sum(c).alias(c) for c in names])
 
     so_far = F.sum("n").over(Window.partitionBy("node").orderBy("beside"))
     for level in range(DEPTH * bool(n_docs)):
         sums = np.zeros((1 << level, COORDINATES, 3), dtype=np.int64)
-        for node, axis, *rest in summed(lambda place: spreads(order, place), ["n", "total", "squares"]).collect():
+        for node, axis, *rest in summed(lambda place: spreads(tree, place), ["n", "total", "squares"]).collect():
             sums[node, axis] = rest
         axis, value = widest(sums), np.zeros(1 << level, dtype=np.float32)
-        halves = summed(lambda place: bins(order, axis, place), ["n"]).select("node", "beside", so_far.alias("upto"), F.sum("n").over(Window.partitionBy("node")).alias("all"))
+        halves = summed(lambda place: bins(tree, axis, place), ["n"]).select("node", "beside", so_far.alias("upto"), F.sum("n").over(Window.partitionBy("node")).alias("all"))
         for node, bin_ in halves.where("2 * upto >= all").groupBy("node").agg(F.min("beside")).collect():
             value[node] = edge(bin_)
         order.cuts.append((axis, value))
@@ -280,14 +286,12 @@ def encoded(df: DataFrame, vocabulary: str, end_id: int, terms: int, id_col: str
 
 
 def ordered(docs: DataFrame, order: Order) -> DataFrame:
-    """fitted()'s rows with their topic in the place of the coordinates."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.record_batch([*b.columns[:-1], pa.array(order.topic(coordinates(b.column(b.num_columns - 1))))], names=[*b.schema.names[:-1], "topic"])
-
-    kind = dict(docs.dtypes)["id"]
-    return docs.mapInArrow(run, f"id {kind}, row long, n long, ids binary, first int, second int, topic int")
+    """fitted()'s rows with their topic in the place of the coordinates; the ids stay in the JVM."""
+    topic = F.lit(0)
+    if order.cuts:
+        levels = F.array(*[F.struct(F.lit(axis.astype(np.int32)).alias("axis"), F.lit(value.astype(np.float32)).alias("value")) for axis, value in order.cuts])
+        topic = F.aggregate(levels, F.lit(0), lambda node, level: 2 * node + (F.get("place", F.get(level["axis"], node)) > F.get(level["value"], node)).cast("int"))
+    return docs.withColumn("topic", topic).drop("place")
 
 
 def ids_of(data: bytes, n: int) -> np.ndarray:
@@ -388,6 +392,7 @@ def pack(df: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW,
     tokens = encoded(df, vocabulary, end_id, terms, id_col, text_col)
     docs, n_docs, n_tokens = frequencies(tokens, terms)
     order, marked = fitted(tokens, docs, n_docs)
+    dropped(tokens)  # marked has all of it
     idf, mean = np.log1p((n_docs - docs + 0.5) / (docs + 0.5)), n_tokens / max(n_docs, 1)
 
     def packed(ids: pa.Array, rows: np.ndarray, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:

@@ -237,4 +237,22 @@ def test_order_is_fitted_on_every_document(spark, monkeypatch):
     assert sizes.sum() == 6000 and sizes.max() < 6000 / 16
 
 
+def test_ids_are_held_once(spark):
+    # the first table goes as soon as the second has its ids, and nodes are found in SQL as in numpy
+    import public_tokenizers as P
+    from brindle.llm import packing, store
+
+    rows = spark.createDataFrame([(i, " ".join(random.Random(i).choices(WORDS, k=8))) for i in range(500)], "doc_id long, text string")
+    before = len(store._written)
+    packing.pack(rows, P.path("word_bpe_49k.json"), with_ids=False)
+    assert [path.rsplit("/", 1)[1].split("-")[0] for _, path in store._written[before:]] == ["marked"]
+    tokens = packing.encoded(rows, P.path("word_bpe_49k.json"), 2, 50000)
+    df, n, _ = packing.frequencies(tokens, 50000)
+    order, marked = packing.fitted(tokens, df, n)
+    got = {x.row: (x.topic, x.first, x.second) for x in packing.ordered(marked, order).collect()}
+    held = marked.collect()
+    keys = order.keys([packing.ids_of(x.ids, x.n).astype(np.int64) for x in held])[0]
+    assert {x.row: tuple(k) for x, k in zip(held, keys.tolist())} == got and len({x[0] for x in got.values()}) > 50
+
+
 WORDS = [f"{a}{b}" for a in ("red", "blue", "stone", "river", "cloud", "glass", "north", "paper") for b in ("", "s", "ing", "er", "house", "line", "mark", "way")]
