@@ -151,4 +151,23 @@ def test_out_of_scope_seed_meets_names_once(spark):
     found = graph.out_of_scope_seed(c, spark.createDataFrame([("gate",), ("gate",)], "type string"))
     assert sorted(map(str, (x.name for x in found.collect()))) == ["None", "a", "b", "f"]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Join") == 1 and plan.count("LogicalRDD") == 2
\ No newline at end of file
+    assert plan.count("Join") == 1 and plan.count("LogicalRDD") == 2
+
+def test_least_delays_write_inner_nodes_only(spark, monkeypatch):
+    # nodes without edges of their own are found in the last step and written by no round
+    r = random.Random(5)
+    rows = list({(a, b): (a, b, r.randint(0, 1)) for a, b in ((r.randint(0, 9), r.randint(0, 400)) for _ in range(300)) if a != b}.values())
+    edges, plain, sizes = spark.createDataFrame(rows, "a long, b long, delay long"), graph.cut, []
+
+    def cut(df):
+        made = plain(df)
+        sizes.append(made.count())
+        return made
+
+    monkeypatch.setattr(graph, "cut", cut)
+    sources = spark.createDataFrame([(x,) for x in [*range(12), 3]], "node long")
+    for most in (0, 1, 2, 4):
+        want = {(s, n): d for (s, n), d in plain_delays(rows + [(x, -1, 0) for x in range(12)], most).items() if n >= 0 and s < 12}
+        got = [(x.source, x.node, x.delay) for x in graph.least_delays(edges, sources, most).collect()]
+        assert len(got) == len(set(got)) and {(s, n): d for s, n, d in got} == want
+    assert max(sizes) <= 12 * 12
