@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators.graph import dealt
+
 #: Lines of a chunk.
 CHUNK = 1024
 # What a string holds up to its end or the line's.
@@ -54,13 +56,15 @@ def _turned(df: DataFrame, order: Window, zero: str, one: str) -> DataFrame:
     return df.withColumn("turned", F.when(F.col(zero) == F.col(one), so_far))
 
 
-def states(lines: DataFrame, source: str, no: str, line: str, chunk: int = CHUNK) -> DataFrame:
+def states(lines: DataFrame, source: str, no: str, line: str, chunk: int = CHUNK, n_rows: int = 0) -> DataFrame:
     """Source, no, line, depth and in_string after the line, complete: the line ends a statement (a semicolon at depth 0 outside
-    strings)."""
+    strings). n_rows: how many lines there are, if a task is to hold a bounded number of them."""
     outside, inside = _line_maps(F.col(line))
     rows = lines.select(F.col(source).alias("source"), F.col(no).alias("no"), F.col(line).alias("line"), outside.alias("o"), inside.alias("i"))
     rows = rows.withColumns({"chunk": F.floor(F.col("no") / chunk), "zero": F.col("o.out"), "one": F.col("i.out")})
-    own = Window.partitionBy("source", "chunk").orderBy("no", "line")
+    # windows over a chunk and the join of its start find its lines in place; a struct's nulls are equal
+    rows = dealt(rows.withColumn("of", F.struct("source", "chunk")), n_rows, "of")
+    own = Window.partitionBy("of").orderBy("no", "line")
     rows = _turned(rows, own, "zero", "one")
     rows = rows.withColumns({"from_zero": _flag_before(own, F.col("zero"), F.col("one"), F.lit(0)), "from_one": _flag_before(own, F.col("zero"), F.col("one"), F.lit(1))})
 
@@ -73,8 +77,8 @@ def states(lines: DataFrame, source: str, no: str, line: str, chunk: int = CHUNK
     rows = rows.withColumns({f"lift_{f}": F.max(F.col(f"floor_{f}") - F.col(f"net_{f}")).over(own) for f in ("from_zero", "from_one")})
     last = F.struct("no", "line")
     facts = [F.max_by(F.struct(F.col(f"after_{f}").alias("after"), F.col(f"net_{f}").alias("net"), F.col(f"lift_{f}").alias("lift")), last).alias(f) for f in ("from_zero", "from_one")]
-    chunks = rows.groupBy("source", "chunk").agg(*facts).withColumns({"zero": F.col("from_zero.after"), "one": F.col("from_one.after")})
-    text = Window.partitionBy("source").orderBy("chunk")
+    chunks = rows.groupBy("of").agg(*facts).withColumns({"zero": F.col("from_zero.after"), "one": F.col("from_one.after")})
+    text = Window.partitionBy("of.source").orderBy("of.chunk")
     chunks = _turned(chunks, text, "zero", "one")
     chunks = chunks.withColumn("start", _flag_before(text, F.col("zero"), F.col("one"), F.lit(0)))
     chunks = chunks.withColumn("at", F.when(F.col("start") == 1, F.col("from_one")).otherwise(F.col("from_zero"))).withColumn("net", F.sum("at.net").over(text))
@@ -83,17 +87,17 @@ def states(lines: DataFrame, source: str, no: str, line: str, chunk: int = CHUNK
     lift = F.col("at.lift") - F.col("net") + F.col("at.net")
     chunks = chunks.withColumn("lift", lift)
     net, most = F.coalesce(F.sum("at.net").over(before), F.lit(0)), F.coalesce(F.max("lift").over(before), F.lit(0))
-    chunks = chunks.select("source", "chunk", "start", (net + F.greatest(most, F.lit(0))).alias("depth_at"))
-    joined = rows.join(chunks.withColumnsRenamed({"source": "s", "chunk": "c"}), F.col("source").eqNullSafe(F.col("s")) & F.col("chunk").eqNullSafe(F.col("c")))
+    chunks = chunks.select("of", "start", (net + F.greatest(most, F.lit(0))).alias("depth_at"))
+    joined = rows.join(chunks, "of")
     pick = lambda name: F.when(F.col("start") == 1, F.col(f"{name}_from_one")).otherwise(F.col(f"{name}_from_zero"))
     depth = pick("net") + F.greatest("depth_at", pick("lift"))
     out = joined.select("source", "no", "line", depth.alias("depth"), (pick("after") == 1).alias("in_string"))
     return out.withColumn("complete", F.coalesce(F.col("line").rlike(r";\s*$"), F.lit(False)) & (F.col("depth") == 0) & ~F.col("in_string"))
 
 
-def statements(lines: DataFrame, source: str, no: str, line: str) -> DataFrame:
+def statements(lines: DataFrame, source: str, no: str, line: str, n_rows: int = 0) -> DataFrame:
     """Source, statement (from 0), first, last (line numbers), text: lines joined up to each that completes a statement."""
     order = Window.partitionBy("source").orderBy("no", "line")
-    held = states(lines, source, no, line).withColumn("statement", F.coalesce(F.sum(F.col("complete").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
+    held = dealt(states(lines, source, no, line, n_rows=n_rows), n_rows, "source").withColumn("statement", F.coalesce(F.sum(F.col("complete").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
     listed = F.sort_array(F.collect_list(F.struct("no", F.coalesce("line", F.lit("")).alias("line"))))
     return held.groupBy("source", "statement").agg(F.min("no").alias("first"), F.max("no").alias("last"), F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("text"))
