@@ -91,7 +91,8 @@ def with_partner(prints: DataFrame) -> DataFrame:
     exact = written(halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")), "halves")
     probes = halves.select("print", "half", F.explode(F.array(*map(F.lit, HALF))).alias("flip"))
     probes = probes.select("print", F.col("half").bitwiseXOR(F.col("flip").cast("long")).alias("half"), (F.col("flip") != 0).alias("other"))
-    return probes.join(exact, "half").where("other OR n > 1").select("print").distinct()
+    # by sorting: Spark takes an explode's rows for as many as its input's, and would broadcast the 66 probes of every print
+    return probes.join(exact.hint("merge"), "half").where("other OR n > 1").select("print").distinct()
 
 
 def links(prints: DataFrame) -> DataFrame:
