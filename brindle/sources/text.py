@@ -112,8 +112,9 @@ def sentences(text: str) -> Iterator[tuple[int, str]]:
         yield line, " ".join(held)
 
 
-def documented(df: DataFrame, id_col: str, text: str, phrases: Sequence[str] = MODALS, most: int = 60, size: int = 240) -> DataFrame:
-    """Sentences with a modal phrase, once for each phrase and first 80 characters, the first of all in the order of (id, line)."""
+def documented(df: DataFrame, id_col: str, text: str, phrases: Sequence[str] = MODALS, most: int | None = None, size: int = 240) -> DataFrame:
+    """Sentences with a modal phrase, once for each phrase and first 80 characters, the first of all in the order of (id, line).
+    All of them; with most, only so many in that order."""
     from brindle.functions.text import modal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,8 +128,9 @@ def documented(df: DataFrame, id_col: str, text: str, phrases: Sequence[str] = M
     rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     found = rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, k int, source_line int, sentence string")
     found = found.withColumn("modal", modal(F.col("sentence"), phrases)).where("modal IS NOT NULL").withColumn("short", F.left("sentence", F.lit(80)))
-    first = found.groupBy("modal", "short").agg(F.min(F.struct("id", "k", "source_line", "sentence")).alias("s"))
-    return first.orderBy("s.id", "s.k").limit(most).select(F.col("s.id").alias(id_col), "s.source_line", "modal", F.left("s.sentence", F.lit(size)).alias("sentence"))
+    first = found.groupBy("modal", "short").agg(F.min(F.struct("id", "k", "source_line", F.left("sentence", F.lit(size)).alias("sentence"))).alias("s"))
+    first = first if most is None else first.orderBy("s.id", "s.k").limit(most)
+    return first.select(F.col("s.id").alias(id_col), "s.source_line", "modal", "s.sentence")
 
 
 def log_counts(lines: DataFrame, line: str, rules: Sequence[tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:

@@ -343,6 +343,14 @@ def test_sentences_leave_python_by_batches(spark):
     assert [tuple(x) for x in made.collect()] == [(1, 1, "must", "The reset must fall."), (1, 1, "shall", "It shall rise.")]
 
 
+def test_sentences_are_all_kept(spark):
+    """Only the first 60 were."""
+    df = spark.createDataFrame([(i, f"Signal {i} must fall. It may rise.\nSignal {i % 50} must fall.") for i in range(100)], "id long, text string")
+    made = [tuple(x) for x in S.documented(df, "id", "text", ("must",)).collect()]
+    assert sorted(made) == [(i, 1, "must", f"Signal {i} must fall.") for i in range(100)]
+    assert sorted(tuple(x) for x in S.documented(df, "id", "text", ("must",), 7, 8).collect()) == [(i, 1, "must", "Signal " + str(i)) for i in range(7)]
+
+
 def test_bm25_counts_terms_in_the_row(spark):
     # rows' terms are counted in the row, so that only scores are shuffled; rows of one id are one row
     texts = [(1, ["a", "b", "a", None]), (2, ["b"]), (3, []), (4, None), (5, ["c", "a"]), (6, ["c"]), (7, ["d", "d"]), (8, ["e"])]
