@@ -171,3 +171,21 @@ def test_least_delays_write_inner_nodes_only(spark, monkeypatch):
         got = [(x.source, x.node, x.delay) for x in graph.least_delays(edges, sources, most).collect()]
         assert len(got) == len(set(got)) and {(s, n): d for s, n, d in got} == want
     assert max(sizes) <= 12 * 12
+
+
+def test_least_delays_meet_in_blocks(spark, monkeypatch):
+    """Steps joined each path of each source; sources and nodes meet in blocks, of which only the answer leaves the task."""
+    monkeypatch.setattr(graph, "SOURCE_BITS", 2)
+    monkeypatch.setattr(graph, "NODE_BITS", 3)
+    r = random.Random(8)
+    rows = list({(a, b): (a, b, r.randint(0, 1)) for a, b in ((r.randint(0, 40), r.randint(0, 90)) for _ in range(160)) if a != b}.values())
+    edges = spark.createDataFrame([*rows, (None, 3, 0), (4, None, 0)], "a int, b long, delay int")
+    sources = spark.createDataFrame([(x,) for x in [*range(50), 7, None]], "node int")
+    for most in (1, 3):
+        want = {(s, n): d for (s, n), d in plain_delays(rows + [(x, -1, 0) for x in range(50)], most).items() if n >= 0 and s < 50} | {(None, None): 0}
+        found = graph.least_delays(edges, sources, most)
+        got = [(x.source, x.node, x.delay) for x in found.collect()]
+        assert len(got) == len(set(got)) and {(s, n): d for s, n, d in got} == want
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    letters = spark.createDataFrame([("a", "b", 1), ("b", "c", 0), ("a", "c", 1)], "a string, b string, delay long")
+    assert {tuple(x) for x in graph.reachable(letters, spark.createDataFrame([("a",), ("a",), ("z",)], "node string"), 2).collect()} == {("a", "a"), ("a", "b"), ("a", "c"), ("z", "z")}
