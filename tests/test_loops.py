@@ -189,3 +189,12 @@ def test_least_delays_meet_in_blocks(spark, monkeypatch):
     assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
     letters = spark.createDataFrame([("a", "b", 1), ("b", "c", 0), ("a", "c", 1)], "a string, b string, delay long")
     assert {tuple(x) for x in graph.reachable(letters, spark.createDataFrame([("a",), ("a",), ("z",)], "node string"), 2).collect()} == {("a", "a"), ("a", "b"), ("a", "c"), ("z", "z")}
+
+
+def test_reach_three_goes_three_edges(spark, tmp_path):
+    """It went two, over edges without delay only."""
+    from brindle.plans.graphs import reach_three
+
+    spark.createDataFrame([(1, 2, 1), (2, 3, 1), (3, 4, 2), (4, 5, 1), (9, 9, 1)], "l_suppkey long, l_partkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1,), (9,)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    assert sorted(tuple(x) for x in reach_three(spark, str(tmp_path)).collect()) == [(1, 1), (1, 2), (1, 3), (1, 4), (9, 9)]
