@@ -96,3 +96,12 @@ def test_module_facts_scan_each_text_once(spark):
     made = modules.extracted(df, "id", "text")
     assert "MapInArrow" not in made._jdf.queryExecution().executedPlan().toString()
     assert sorted((x.kind, x.name, x.value) for x in made.collect()) == [("clock", "clk", "2"), ("refers", "q", "rst_n"), ("reset", "rst_n", "low"), ("reset_value", "q", "4'h0")]
+
+
+def test_only_telling_lines_are_put_in_order(spark):
+    """All lines of a source went through the windows that find their module."""
+    from brindle.operators import modules
+
+    text = "input a;\nx = y;\nmodule m;\nz = 1;\nwire b; // endmodule\nq = 2;\nendmodule\n\nr = 3;\nreg c; /* module n */\n  module o; logic d;\nendmodule module p;\nreg e;\n"
+    rows = modules._lines(spark.createDataFrame([("s", text)], "source string, text string")).orderBy("no").collect()
+    assert [(x.no, x.module) for x in rows] == [(0, None), (2, "m"), (4, "m"), (6, "m"), (9, None), (10, "o"), (11, "o"), (12, None)]
